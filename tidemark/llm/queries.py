@@ -4,19 +4,35 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat, exact, licences, mixing, urls
+from . import chat, exact, hamming, licences, minhash, mixing, pieces, suffix_tree, toxic, urls
 
 
 def _table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_sampled_segmentations(spark, sf_dir):
+    return pieces.sample_segmentations(_table(spark, sf_dir, "documents"), with_ids=False)
+
+
+def op2_suffix_tree(spark, sf_dir):
+    return suffix_tree.score_texts(_table(spark, sf_dir, "documents"), held_out=suffix_tree.held_out())
+
+
 def op3_chat_perspectives(spark, sf_dir):
     out = chat.perspectives(_table(spark, sf_dir, "conversations"))
     spans = F.array_join(F.transform("masks", lambda m: F.concat_ws("-", m["start"].cast("string"), m["end"].cast("string"))), ",")
     return out.select("conv_id", "participant", "block", "n_turns", "char_offset", "text", spans.alias("masks"), "mask_chars")
 
 
+def op4_near_groups(spark, sf_dir):
+    return minhash.near_groups(_table(spark, sf_dir, "documents"))
+
+
+def op5_nearest(spark, sf_dir):
+    return hamming.nearest(_table(spark, sf_dir, "embeddings"))
+
+
 def op6_url_filter(spark, sf_dir):
     out = urls.judge_urls(_table(spark, sf_dir, "pages"))
     return out.select("page_id", "host", "path", "rule", "verdict")
@@ -30,12 +46,31 @@ def op8_license_scan(spark, sf_dir):
     return licences.scan(_table(spark, sf_dir, "documents")).drop("matches")
 
 
+def op9_toxicity(spark, sf_dir):
+    out = toxic.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "held_out", "score", "predicted", F.size("passages").cast("long").alias("n_passages"))
+
+
 def op10_pfair_mix(spark, sf_dir):
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
 def queries():
-    return {f.__name__: f for f in (op3_chat_perspectives, op6_url_filter, op7_exact_dedup, op8_license_scan, op10_pfair_mix)}
+    return {
+        f.__name__: f
+        for f in (
+            op1_sampled_segmentations,
+            op2_suffix_tree,
+            op3_chat_perspectives,
+            op4_near_groups,
+            op5_nearest,
+            op6_url_filter,
+            op7_exact_dedup,
+            op8_license_scan,
+            op9_toxicity,
+            op10_pfair_mix,
+        )
+    }
 
 
 def oracle_sql():
