@@ -18,7 +18,9 @@ distinct, and each costs one pass over the rest of the text. The inclusion score
 
 All draws are hashes of the row's key and the place of the draw: results do not
 depend on batches, partitions or retries. Texts of a batch are worked off together in
-numpy; the lattice of a distinct word is built once and kept.
+numpy, and the lattice of each of a batch's distinct words is built once. The sets are
+split along default paths: at each place a segmentation either follows the likeliest
+pieces to the end of the word or leaves that path at some step by some piece.
 """
 
 from __future__ import annotations
@@ -35,10 +37,8 @@ from ..runtime import ship
 from .tokens import mix64
 
 TOKENIZER = "piece_bpe_32k.model"
-K = 4
-BATCH_CHARS = 1 << 19
-#: Lattice nodes kept in a worker before its memory of words is dropped and built anew.
-MEMORY = 3_000_000
+K = 3
+BATCH_CHARS = 1 << 21
 SPACE = "▁"
 _STATE: dict = {}
 
@@ -86,77 +86,206 @@ class Vocabulary:
             self.split = re.compile(f"(?s){SPACE}+[^{SPACE}{alone}]*|[{alone}]|[^{SPACE}{alone}]+" if alone else f"(?s){SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 
 
-class Lattices:
-    """Lattices of distinct words as flat arrays: nodes (word positions) and, for each, its arcs."""
+class Trie:
+    """The vocabulary's prefixes as a two-table hash of (state, character class) -> state, probed for whole arrays at once."""
 
     def __init__(self, vocab: Vocabulary):
+        chars = sorted({c for p in vocab.ids for c in p})
+        self.char = np.zeros(0x110000, np.int32)
+        self.char[[ord(c) for c in chars]] = np.arange(1, len(chars) + 1)
+        self.width = len(chars) + 1
+        self.lone = np.zeros(0x110000, bool)  # characters that are pieces
+        self.lone[[ord(p) for p in vocab.ids if len(p) == 1]] = True
+        next_: dict = {}
+        piece = [0]
+        for p, i in sorted(vocab.ids.items()):
+            at = 0
+            for c in p:
+                k = (at, int(self.char[ord(c)]))
+                if k not in next_:
+                    next_[k] = len(piece)
+                    piece.append(0)
+                at = next_[k]
+            piece[at] = i
+        self.piece = np.array(piece, np.int32)  # 0: no piece ends here
+        keys = np.array([a * self.width + c for a, c in next_], np.int64)
+        values = np.array(list(next_.values()), np.int64)
+        self.bits = max(4, int(len(keys) * 1.5).bit_length())
+        table: list = [{}, {}]
+        for k, v, s1, s2 in zip(keys.tolist(), values.tolist(), self._slot(keys, 0).tolist(), self._slot(keys, 1).tolist()):
+            item, side, slot = (k, v, s1, s2), 0, s1
+            for _ in range(10_000):  # cuckoo placement
+                item, table[side][slot] = table[side].get(slot), item
+                if item is None:
+                    break
+                side = 1 - side
+                slot = item[2 + side]
+            else:
+                raise RuntimeError("the prefix table could not be built")
+        self.keys = np.full((2, 1 << self.bits), -1, np.int64)
+        self.values = np.full((2, 1 << self.bits), -1, np.int32)
+        for side in (0, 1):
+            for slot, (k, v, _, _) in table[side].items():
+                self.keys[side, slot], self.values[side, slot] = k, v
+
+    def _slot(self, keys, side: int):
+        odd = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)[side]
+        return ((keys.astype(np.uint64) * np.uint64(odd)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def step(self, state, chars):
+        """Next states, -1 where there is none."""
+        keys = state.astype(np.int64) * self.width + chars
+        s = self._slot(keys, 0)
+        out = np.where(self.keys[0, s] == keys, self.values[0, s], -1)
+        miss = np.flatnonzero(out < 0)
+        if len(miss):
+            k = keys[miss]
+            s = self._slot(k, 1)
+            out[miss] = np.where(self.keys[1, s] == k, self.values[1, s], -1)
+        out[chars == 0] = -1
+        return out
+
+
+class Lattices:
+    """The lattices of a batch's distinct words, built for all of them at once.
+
+    A node is a place in a word. Words are ranked by falling length and nodes are numbered by
+    the characters that remain, then by rank, so that the backward pass takes one array
+    operation for each number of remaining characters; nodes 0 .. words-1 are the ends. Each node has
+    its arcs (pieces) with conditional log-probabilities, and a default path to the end that
+    follows the likeliest arcs.
+    """
+
+    def __init__(self, vocab: Vocabulary, trie: Trie, words: list[str]):
         self.vocab = vocab
-        self.clear()
-
-    def clear(self):
-        self.of: dict[str, int] = {}
-        self.pending: list = []
-        self.first = np.zeros(0, np.int64)  # of each word, its first node
-        self.total = np.zeros(0)  # log weight of all its segmentations
-        self.arc = np.zeros(1, np.int64)  # of each node, its first arc
-        self.to = np.zeros(0, np.int64)  # node an arc leads to, -1 at the word's end
-        self.logq = np.zeros(0)  # conditional log-probability
-        self.cum = np.zeros(0)  # node number plus the conditional probability up to and with the arc
-        self.seq = np.zeros(0, np.int64)  # of each arc, the place of its ids
-        self.spelt: list = []  # ids of arcs that are spelt in bytes
-        self.nodes = 0
-
-    def add(self, words):
-        """Builds the lattices of words that are not known yet."""
-        new = [w for w in words if w not in self.of]
-        if not new:
-            return
-        v = self.vocab
-        first, total, arcs, to, logq, cum, seq = [], [], [], [], [], [], []
-        ids, logp, longest = v.ids, v.logp, v.longest
-        node = self.nodes
-        for w in new:
-            self.of[w] = len(self.of)
-            n = len(w)
-            beta = [0.0] * (n + 1)
-            out: list = [None] * n
-            for i in range(n - 1, -1, -1):
-                got = []
-                for j in range(i + 1, min(n, i + longest) + 1):
-                    k = ids.get(w[i:j])
-                    if k is not None:
-                        got.append((logp[k] + beta[j], j, k))
-                if w[i] not in ids:
-                    spelt = [v.byte_ids[b] for b in w[i].encode("utf-8", "surrogatepass")]
+        self.spelt: list[list[int]] = []
+        n = np.fromiter(map(len, words), np.int64, len(words))
+        order = np.argsort(-n, kind="stable")
+        words = [words[k] for k in order.tolist()]
+        n = n[order]
+        self.rank = dict(zip(words, range(len(words))))
+        most = int(n[0]) if len(n) else 0
+        text = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
+        ends = np.cumsum(n)
+        count = np.searchsorted(-n, -np.arange(most + 1), side="right") if most else np.array([0])  # words of at least t characters
+        count[0] = len(words)
+        off = np.concatenate(([0], np.cumsum(count)))
+        total = int(off[-1])
+        code = np.zeros(total, np.int32)
+        left = np.zeros(total, np.int32)
+        off = off.astype(np.int32)
+        for t in range(1, most + 1):
+            code[off[t] : off[t + 1]] = text[ends[: count[t]] - t]
+            left[off[t] : off[t + 1]] = t
+        self.start = off[n] + np.arange(len(words), dtype=np.int32)  # of each word, its first node
+        nodes = np.arange(len(words), total, dtype=np.int32)
+        chars = trie.char[code]
+        logp = np.full(len(vocab.surface) + 1, -np.inf)
+        logp[list(vocab.logp)] = list(vocab.logp.values())
+        src, dst, pid, val = [], [], [], []
+        lone = ~trie.lone[code[nodes]]
+        if lone.any():  # characters spelt in bytes
+            at = nodes[lone]
+            kinds, inverse = np.unique(code[at], return_inverse=True)
+            cost, named = np.zeros(len(kinds)), np.zeros(len(kinds), np.int64)
+            for k, c in enumerate(kinds.tolist()):
+                spelt = [vocab.byte_ids[b] for b in chr(c).encode("utf-8", "surrogatepass")]
+                if len(spelt) > 1:
                     self.spelt.append(spelt)
-                    got.append((sum(logp[b] for b in spelt) + beta[i + 1], i + 1, -len(self.spelt)))
-                top = max(g[0] for g in got)
-                beta[i] = top + math.log(sum(math.exp(g[0] - top) for g in got))
-                out[i] = got
-            first.append(node)
-            total.append(beta[0])
-            for i in range(n):
-                b, mass = beta[i], 0.0
-                arcs.append(len(out[i]))
-                for g in out[i]:
-                    q = g[0] - b
-                    mass += math.exp(q)
-                    to.append(node + g[1] - i if g[1] < n else -1)
-                    logq.append(q)
-                    cum.append(node + min(mass, 1.0))
-                    seq.append(g[2])
-                cum[-1] = node + 1.0
-                node += 1
-        self.nodes = node
-        grow = lambda old, x, t: np.concatenate((old, np.array(x, t)))
-        self.first, self.total = grow(self.first, first, np.int64), grow(self.total, total, float)
-        self.arc = np.concatenate((self.arc, self.arc[-1] + np.cumsum(np.array(arcs, np.int64))))
-        self.to, self.logq, self.cum, self.seq = grow(self.to, to, np.int64), grow(self.logq, logq, float), grow(self.cum, cum, float), grow(self.seq, seq, np.int64)
-
-
-def _uniform(key, salt: int, at) -> np.ndarray:
-    """Numbers in (0, 1) from the row key, a salt and the place of the draw."""
-    x = mix64(mix64(key + np.uint64(salt * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) + at.astype(np.uint64))
+                named[k] = spelt[0] if len(spelt) == 1 else -len(self.spelt)
+                cost[k] = sum(vocab.logp[b] for b in spelt)
+            src.append(at)
+            dst.append(off[left[at] - 1] + at - off[left[at]])
+            pid.append(named[inverse])
+            val.append(cost[inverse])
+        state, at, row, remain = np.zeros(len(nodes), np.int32), nodes, nodes - off[left[nodes]], left[nodes]
+        for size in range(1, vocab.longest + 1):
+            ok = remain >= size
+            state, at, row, remain = state[ok], at[ok], row[ok], remain[ok]
+            if not len(at):
+                break
+            state = trie.step(state, chars[off[remain - size + 1] + row])
+            ok = state >= 0
+            state, at, row, remain = state[ok], at[ok], row[ok], remain[ok]
+            ends_here = trie.piece[state]
+            hit = ends_here > 0
+            src.append(at[hit])
+            dst.append(off[remain[hit] - size] + row[hit])
+            pid.append(ends_here[hit])
+            val.append(logp[ends_here[hit]])
+        cat = lambda x, t: np.concatenate(x) if x else np.zeros(0, t)
+        src, self.to, self.seq, weight = cat(src, np.int32), cat(dst, np.int32), cat(pid, np.int32).astype(np.int32), cat(val, float)
+        order = np.argsort(src, kind="stable")
+        src, self.to, self.seq, weight = src[order], self.to[order], self.seq[order], weight[order]
+        self.arc = np.concatenate(([0], np.cumsum(np.bincount(src, minlength=total)))).astype(np.int32)
+        beta = np.zeros(total)
+        self.logq = np.zeros(len(src))
+        self.best = np.zeros(total, np.int32)
+        self.logd = np.zeros(total)  # log-probability of the default path
+        for t in range(1, most + 1):
+            lo, hi = off[t], off[t + 1]
+            a0, a1 = self.arc[lo], self.arc[hi]
+            first = self.arc[lo:hi] - a0
+            sizes = np.diff(np.append(first, a1 - a0))
+            v = weight[a0:a1] + beta[self.to[a0:a1]]
+            top = np.maximum.reduceat(v, first)
+            beta[lo:hi] = top + np.log(np.add.reduceat(np.exp(v - np.repeat(top, sizes)), first))
+            self.logq[a0:a1] = v - np.repeat(beta[lo:hi], sizes)
+            at = np.flatnonzero(v == np.repeat(top, sizes))
+            at = at[np.searchsorted(at, first)]  # the first of equally likely arcs
+            self.best[lo:hi] = at + a0
+            self.logd[lo:hi] = np.minimum(0.0, top - beta[lo:hi] + self.logd[self.to[at + a0]])
+        self.total = beta[self.start]
+        with np.errstate(divide="ignore"):
+            self.logr = np.log(-np.expm1(self.logd))  # log-probability of leaving the default path
+        single = np.diff(self.arc) <= 1
+        single[: len(words)] = True
+        for t in range(1, most + 1):  # nodes without any choice
+            lo, hi = off[t], off[t + 1]
+            single[lo:hi] &= single[self.to[self.best[lo:hi]]]
+        self.logr[single] = -np.inf
+        self.logd[single] = 0.0
+        self.prob = np.exp(self.logd)
+        self.ends = len(words)
+        # arcs of every word's default path
+        self.path, bounds = self.expand(self.start)
+        self.path_at, self.path_len = bounds[:-1].astype(np.int32), np.diff(bounds).astype(np.int32)
+
+    def expand(self, nodes, steps=None, more=None):
+        """Arcs of the default paths from nodes, one after the other, with bounds.
+
+        ``steps``: for each node the number of arcs (negative: to the end); ``more``: an arc to be put after them (negative: none).
+        """
+        at, node, got, step = np.arange(len(nodes)), nodes.copy(), [], 0
+        while True:
+            on = node >= self.ends
+            if steps is not None:
+                on &= steps[at] != step
+            at, node = at[on], node[on]
+            if not len(at):
+                break
+            arc = self.best[node]
+            got.append((at, arc))
+            node = self.to[arc]
+            step += 1
+        if more is not None:
+            own = np.flatnonzero(more >= 0)
+            got.append((own, more[own]))
+        if not got:
+            return np.zeros(0, np.int64), np.zeros(len(nodes) + 1, np.int64)
+        at, arc = np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got])
+        order = np.argsort(at, kind="stable")
+        return arc[order], np.searchsorted(at[order], np.arange(len(nodes) + 1))
+
+
+def _salted(key, salt: int) -> np.ndarray:
+    """Row keys for one kind of draw."""
+    return mix64(key + np.uint64(salt * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
+
+
+def _uniform(salted, at) -> np.ndarray:
+    """Numbers in (0, 1) from salted row keys and the place of the draw."""
+    x = mix64(salted + at.astype(np.uint64))
     return ((x >> np.uint64(11)).astype(float) + 0.5) * 2.0**-53
 
 
@@ -167,171 +296,272 @@ def _below(location, bound, u):
         return location - np.log(np.exp(np.minimum(location - bound, 700.0)) - np.log(u))
 
 
-class Path:
-    """A segmentation found: its arcs by word, and the sets that branch off."""
-
-    __slots__ = ("arcs", "score", "logp", "steps")
-
+#: A draw's place: the word's number, then the run of choices within the word.
+_RUNS = 1 << 20
 
-def _follow(lat: Lattices, words, starts, keys, emission: int, place):
-    """Conditional draws from given nodes to the ends of the words.
 
-    ``starts``: node of each word; ``keys`` and ``place``: row key and number of the word in
-    its text. Returns (word index, step, arc) rows in the order of words and steps.
-    """
-    at, node, step = np.arange(len(words)), starts.copy(), 0
-    alive = node >= 0
-    at, node = at[alive], node[alive]
-    got = []
+def _leave(lat: Lattices, nodes, keys, place):
+    """Where choices leave the default paths of nodes, given that they do: (steps kept, arc taken, log-probability of that choice)."""
+    at, node = np.arange(len(nodes)), nodes.copy()
+    kept, taken, logp = np.zeros(len(nodes), np.int64), np.zeros(len(nodes), np.int64), np.zeros(len(nodes))
+    draw = 0
     while len(at):
-        u = _uniform(keys[at], 3 * emission + 1, (place[at] << np.int64(16)) + step)
-        arc = np.searchsorted(lat.cum, node + u, side="left")
-        arc = np.clip(arc, lat.arc[node], lat.arc[node + 1] - 1)
-        got.append((at, np.full(len(at), step), arc))
-        node = lat.to[arc]
-        on = node >= 0
-        at, node, step = at[on], node[on], step + 1
-    if not got:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    w, s, a = (np.concatenate([g[k] for g in got]) for k in range(3))
-    order = np.lexsort((s, w))
-    return w[order], s[order], a[order]
-
-
-def sample_batch(lat: Lattices, texts, keys, k: int):
-    """For each text, up to ``k`` (arcs, log-probability, perturbed score) in descending order, and kappa (-inf without a next one).
-
-    All texts of the batch advance together: emission e of every text is one vectorised pass.
+        best = lat.best[node]
+        gone = -np.expm1(np.minimum(lat.logq[best], 0.0))  # probability of another arc here
+        stay = np.exp(lat.logq[best]) * -np.expm1(lat.logd[lat.to[best]])
+        u = _uniform(keys[at], (place[at] << np.int64(8)) + draw) * (gone + stay)
+        now = u < gone
+        k = np.flatnonzero(now)
+        if len(k):  # the first arc, without the default one, at which the mass exceeds the draw
+            lo, hi, mass, want = lat.arc[node[k]].copy(), lat.arc[node[k] + 1], np.zeros(len(k)), u[k]
+            last = lo.copy()
+            open_ = np.arange(len(k))
+            while len(open_):
+                a = lo[open_]
+                other = a != best[k[open_]]
+                mass[open_] += np.where(other, np.exp(lat.logq[a]), 0.0)
+                last[open_] = np.where(other, a, last[open_])
+                lo[open_] += 1
+                open_ = open_[(~other | (mass[open_] <= want[open_])) & (lo[open_] < hi[open_])]
+            taken[at[k]] = last
+            logp[at[k]] += lat.logq[last]
+        k = np.flatnonzero(~now)
+        kept[at[k]] += 1
+        logp[at[k]] += lat.logq[best[k]]
+        at, node = at[k], lat.to[best[k]]
+        draw += 1
+    return kept, taken, logp
+
+
+class Found:
+    """A segmentation: which words leave their default path, and by which arcs."""
+
+    __slots__ = ("words", "at", "arcs", "logp", "score")
+
+    def __init__(self, words, at, arcs, logp, score):
+        self.words, self.at, self.arcs, self.logp, self.score = words, at, arcs, logp, score
+
+
+def sample_batch(vocab: Vocabulary, trie: Trie, texts, keys, k: int):
+    """The lattices of a batch and, for each text, its words, up to ``k`` segmentations in descending order, kappa and log weight.
+
+    All texts advance together: emission e of every text is one vectorised pass.
     """
-    split = lat.vocab.split.findall
+    split = vocab.split.findall
     chunks = [split(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
-    fresh = {w for c in chunks for w in c}
-    if lat.nodes + sum(map(len, fresh)) > MEMORY and lat.nodes:
-        lat.clear()
-    lat.add(fresh)
-    of = lat.of
-    kinds = [np.fromiter(map(of.__getitem__, c), np.int64, len(c)) for c in chunks]
-    z = [float(lat.total[x].sum()) for x in kinds]
+    fresh: set = set()
+    for c in chunks:
+        fresh.update(c)
+    lat = Lattices(vocab, trie, list(fresh))
+    rank = lat.rank.__getitem__
+    kinds = [np.fromiter(map(rank, c), np.int64, len(c)) for c in chunks]
     n = len(texts)
     key = np.array([x & 0xFFFFFFFFFFFFFFFF for x in keys], np.uint64)
-    results: list = [[] for _ in range(n)]
-    kappa = [-math.inf] * n
+    none = np.zeros(0, np.int64)
+    found: list = [[] for _ in range(n)]
     heaps: list = [[] for _ in range(n)]
     for d in range(n):
+        g = float(-np.log(-np.log(_uniform(_salted(key[d : d + 1], 0), np.zeros(1, np.int64))))[0])
         if chunks[d]:
-            g = float(-np.log(-np.log(_uniform(key[d : d + 1], 0, np.zeros(1, np.int64))))[0])
-            heaps[d].append((-g, 0, None))  # the root: all segmentations (log weight 0)
+            heaps[d].append((-g, 0, None))  # the root: all segmentations, log weight 0
         else:
-            results[d].append((np.zeros(0, np.int64), 0.0, 0.0))
+            found[d].append(Found(none, np.zeros(1, np.int64), none, 0.0, g))
     for e in range(k):
-        live, jobs = [], []
-        for d in range(n):
-            if heaps[d]:
-                jobs.append((d, *heapq.heappop(heaps[d])))
+        jobs = [(d, *heapq.heappop(heaps[d])) for d in range(n) if heaps[d]]
         if not jobs:
             break
-        prefix, w_kind, w_start, w_key, w_place, owner, sizes = [], [], [], [], [], [], []
+        # what each text has before its fresh words: the path it branches off from, and the branching word's arcs so far
+        heads, nodes, place, gaps = [], [], [], []
         for d, neg, _, node in jobs:
             if node is None:
-                head, first, start = np.zeros(0, np.int64), 0, None
-            else:
-                arcs, step, banned, loc = node  # the path up to ``step``, and the arcs excluded there
-                head, first, start, again = _branch(lat, arcs, step, banned, loc, -neg, key[d], e, kinds[d])
-                if again is not None:
-                    heapq.heappush(heaps[d], (-again[0], e + 1, again[1]))
-            rest = kinds[d][first:]
-            begin = lat.first[rest]
-            if start is not None:
-                begin = np.concatenate(([start], begin))  # -1: the branching word is finished
-                places = np.concatenate(([first - 1], np.arange(first, first + len(rest))))
+                head, first, at = (None, 0, none, 0.0), 0, None
             else:
-                places = np.arange(first, first + len(rest))
-            prefix.append(head)
-            w_start.append(begin)
-            w_key.append(np.full(len(begin), key[d]))
-            w_place.append(places)
-            sizes.append(len(begin))
-        starts = np.concatenate(w_start)
-        wi, _, arcs = _follow(lat, starts, starts, np.concatenate(w_key), e, np.concatenate(w_place))
-        edges = np.searchsorted(wi, np.concatenate(([0], np.cumsum(sizes))))
-        # full paths of all texts, and the places from which new branches come
-        full, fresh_from = [], []
-        for j, head in enumerate(prefix):
-            full.append(np.concatenate((head, arcs[edges[j] : edges[j + 1]])))
-            fresh_from.append(len(head))
-        lens = np.array([len(x) for x in full])
-        flat = np.concatenate(full)
-        logq = lat.logq[flat]
-        ends = np.cumsum(lens)
-        run = np.cumsum(logq)
-        base = np.concatenate(([0.0], run))[ends - lens]
-        before = run - logq - np.repeat(base, lens)  # log weight of the prefix sets
-        bound = np.array([-x[1] for x in jobs])
-        new = np.concatenate([np.arange(m) >= f for m, f in zip(lens, fresh_from)]) if len(lens) else np.zeros(0, bool)
-        other = -np.expm1(np.minimum(logq, 0.0))
-        single = (lat.arc[_node_of(lat, flat) + 1] - lat.arc[_node_of(lat, flat)]) == 1
-        new &= ~single & (other > 0)
-        at = np.flatnonzero(new)
-        text = np.repeat(np.arange(len(jobs)), lens)[at]
-        place = at - (ends - lens)[text]
-        dkey = key[np.array([x[0] for x in jobs], np.int64)[text]]
-        loc = before[at] + np.log(other[at])
-        g = _below(loc, bound[text], _uniform(dkey, 3 * e + 2, place))
-        cuts = np.searchsorted(text, np.arange(len(jobs) + 1))
+                head, first, at = _branch(lat, kinds[d], node, -neg, key[d], e, heaps[d])
+            rest = lat.start[kinds[d][first:]]
+            places = np.arange(first, first + len(rest))
+            if at is not None and at >= lat.ends:
+                rest, places = np.concatenate(([at], rest)), np.concatenate(([first - 1], places))
+            heads.append((*head, first, at))
+            nodes.append(rest)
+            place.append(places)
+            gaps.append(len(rest))
+        gaps = np.array(gaps)
+        text = np.repeat(np.arange(len(jobs)), gaps)
+        node, place = np.concatenate(nodes), np.concatenate(place)
+        of = key[np.array([j[0] for j in jobs], np.int64)]
+        of1, of2, of3 = (_salted(of, 4 * e + k) for k in (1, 2, 3))
+        # rows: (item, run, node, log-probability of the outcome, steps kept, arc) with arc -1 for the default path
+        item = np.arange(len(node))
+        rows, run = [], 0
+        while len(item):
+            spot = place[item] * _RUNS + run
+            u = _uniform(of1[text[item]], spot)
+            own = node if run == 0 else node_now
+            off = np.flatnonzero(u >= lat.prob[own])
+            kept, arc, logp = np.zeros(len(item), np.int64), np.full(len(item), -1, np.int64), lat.logd[own].copy()
+            if len(off):
+                kept[off], arc[off], logp[off] = _leave(lat, own[off], of2[text[item[off]]], spot[off])
+            rows.append((item, np.full(len(item), run), own, logp, kept, arc))
+            to = lat.to[arc[off]]
+            on = to >= lat.ends
+            item, node_now = item[off[on]], to[on]
+            run += 1
+        r_item, r_run, r_node, r_logp, r_kept, r_arc = (np.concatenate([r[c] for r in rows]) for c in range(6)) if rows else (none, none, none, np.zeros(0), none, none)
+        if run > 1:
+            order = np.lexsort((r_run, r_item))
+            r_item, r_run, r_node, r_logp, r_kept, r_arc = (x[order] for x in (r_item, r_run, r_node, r_logp, r_kept, r_arc))
+        r_text = text[r_item]
+        cuts = np.searchsorted(r_text, np.arange(len(jobs) + 1))
+        total = np.concatenate(([0.0], np.cumsum(r_logp)))
+        before = total[:-1] - np.repeat(total[cuts[:-1]], np.diff(cuts)) + np.repeat([h[3] for h in heads], np.diff(cuts))
+        bound = np.array([-j[1] for j in jobs])
+        # sets that branch off: all outcomes of a row but the one taken
+        with np.errstate(divide="ignore"):
+            other = np.where(r_arc < 0, lat.logr[r_node], np.log(-np.expm1(np.minimum(r_logp, 0.0))))
+        at = np.flatnonzero(other > -np.inf)
+        g = _below(before[at] + other[at], bound[r_text[at]], _uniform(of3[r_text[at]], place[r_item[at]] * _RUNS + r_run[at]))
+        at_cuts = np.searchsorted(r_text[at], np.arange(len(jobs) + 1))
+        # words that left their default path, with all their arcs
+        odd = np.flatnonzero((r_arc >= 0) | (r_run > 0))
+        o_arcs, o_at = lat.expand(r_node[odd], np.where(r_arc[odd] < 0, -1, r_kept[odd]), r_arc[odd])
+        o_place = place[r_item[odd]]
+        o_first = np.ones(len(odd), bool)
+        o_first[1:] = r_item[odd][1:] != r_item[odd][:-1]
+        o_cuts = np.searchsorted(odd, cuts)
         for j, (d, neg, _, _) in enumerate(jobs):
-            m = lens[j]
-            results[d].append((full[j], float(run[ends[j] - 1] - base[j]) if m else 0.0, -neg))
             lo, hi = cuts[j], cuts[j + 1]
-            want = k - e  # no more branches than that can still come out (kappa included)
-            if hi > lo:
-                part = np.arange(lo, hi)
-                if hi - lo > want:
-                    part = lo + np.argpartition(-g[lo:hi], want - 1)[:want]
-                for x in part.tolist():
-                    s = int(place[x])
-                    heapq.heappush(heaps[d], (-float(g[x]), e * 1_000_000_000 + s + 1, (full[j], s, (int(full[j][s]),), float(before[at[x]]))))
-    for d in range(n):
-        if heaps[d]:
-            kappa[d] = -heaps[d][0][0]
-    return results, kappa, z
-
-
-def _node_of(lat: Lattices, arcs) -> np.ndarray:
-    return np.searchsorted(lat.arc, arcs, side="right") - 1
+            x, y = o_cuts[j], o_cuts[j + 1]
+            starts = np.flatnonzero(o_first[x:y]) + x
+            fresh_words, fresh_at, fresh_arcs = o_place[starts], np.append(o_at[starts], o_at[y]) - o_at[x], o_arcs[o_at[x] : o_at[y]]
+            words, bounds, arcs = _join(lat, heads[j], fresh_words, fresh_at, fresh_arcs)
+            path = Found(words, bounds, arcs, float(total[hi] - total[lo]) + heads[j][3], -neg)
+            found[d].append(path)
+            a, b = at_cuts[j], at_cuts[j + 1]
+            want = k - e  # no more branches than that can still come out, kappa included
+            part = np.arange(a, b)
+            if b - a > want:
+                part = a + np.argpartition(-g[a:b], want - 1)[:want]
+            for x in part.tolist():
+                r = at[x]
+                taken = (-1,) if r_arc[r] < 0 else (int(r_kept[r]), int(r_arc[r]))
+                heapq.heappush(heaps[d], (-float(g[x]), (e << 40) + int(r) + 1, (path, int(place[r_item[r]]), int(r_node[r]), (taken,), float(before[r]))))
+    kappa = [-heaps[d][0][0] if heaps[d] else -math.inf for d in range(n)]
+    return lat, kinds, found, kappa, [float(lat.total[x].sum()) for x in kinds]
+
+
+def _default(lat: Lattices, node: int, steps: int) -> list[int]:
+    """The first arcs of a node's default path (all of them if ``steps`` is negative)."""
+    out = []
+    while node >= lat.ends and steps != 0:
+        a = int(lat.best[node])
+        out.append(a)
+        node = int(lat.to[a])
+        steps -= 1
+    return out
 
 
-def _branch(lat, arcs, step, banned, loc, bound, key, e, kinds):
-    """The first piece of a set's best member, and what is left of the set.
+def _branch(lat: Lattices, kinds, node, bound: float, key, e: int, heap):
+    """Takes the best outcome of a set and puts what is left of the set back on the heap.
 
-    Returns (path up to and with that piece, number of the next whole word, node to go on
-    from in the branching word (-1: finished), (bound, node) of the remaining set or None).
+    A set is (path, word, lattice node, outcomes taken, log weight of the node's set). Returns
+    (path, word, arcs of that word before the next choice, log weight) with the number of the next whole word
+    and the lattice node to go on from in the branching word.
     """
-    node = int(_node_of(lat, np.array([arcs[step]]))[0])
-    own = np.arange(lat.arc[node], lat.arc[node + 1])
-    own = own[~np.isin(own, banned)]
-    q = np.exp(lat.logq[own])
-    u = _uniform(np.array([key]), 3 * e, np.array([step]))
-    pick = int(min(len(own) - 1, np.searchsorted(np.cumsum(q), u[0] * q.sum())))
-    arc = int(own[pick])
-    again = None
+    path, word, at, banned, loc = node
+    outcomes = [((-1,), float(lat.logd[at]))]
+    now, kept, logp = at, 0, 0.0
+    while now >= lat.ends:
+        best, first = int(lat.best[now]), int(lat.arc[now])
+        own = lat.logq[first : int(lat.arc[now + 1])].tolist()
+        if len(own) > 1:
+            outcomes.extend([((kept, first + i), logp + x) for i, x in enumerate(own) if first + i != best])
+        logp += own[best - first]
+        now, kept = int(lat.to[best]), kept + 1
+    outcomes = [o for o in outcomes if o[0] not in banned]
+    q = np.exp([o[1] for o in outcomes])
+    spot = np.array([word * _RUNS + len(banned)])
+    salted = _salted(np.array([key]), 4 * e)
+    u = _uniform(salted, spot)
+    pick = int(min(len(q) - 1, np.searchsorted(np.cumsum(q), u[0] * q.sum())))
+    outcome, lp = outcomes[pick]
     rest = float(q.sum() - q[pick])
-    if len(own) > 1 and rest > 0:
-        g = float(_below(loc + math.log(rest), bound, _uniform(np.array([key]), 3 * e, np.array([step + (1 << 40)])))[0])
-        again = (g, (arcs, step, (*banned, arc), loc))
-    # words finished before the branching one: arcs that lead to -1
-    done = int((lat.to[arcs[:step]] < 0).sum())
-    return np.concatenate((arcs[:step], [arc])), done + 1, int(lat.to[arc]), again
-
-
-def ids_of(lat: Lattices, arcs) -> list[int]:
+    if len(q) > 1 and rest > 0:
+        g = float(_below(loc + math.log(rest), bound, _uniform(salted, spot + (np.int64(1) << np.int64(50))))[0])
+        heapq.heappush(heap, (-g, (e << 40), (path, word, at, (*banned, outcome), loc)))
+    # arcs of the branching word before this node
+    k = int(np.searchsorted(path.words, word))
+    if k < len(path.words) and path.words[k] == word:
+        so_far, now = [], int(lat.start[kinds[word]])
+        for a in path.arcs[path.at[k] : path.at[k + 1]].tolist():
+            if now == at:
+                break
+            so_far.append(a)
+            now = int(lat.to[a])
+    else:
+        so_far = []
+    if outcome == (-1,):
+        so_far = so_far + _default(lat, at, -1)
+        to = -1
+    else:
+        so_far = so_far + _default(lat, at, outcome[0]) + [outcome[1]]
+        to = int(lat.to[outcome[1]])
+    return (path, word, np.array(so_far, np.int64), loc + lp), word + 1, to
+
+
+def _join(lat, head, words, at, arcs):
+    """The words off their default path: those of the path branched off from, the branching word, then the fresh ones."""
+    path, word, so_far, _, _, to = head
+    if path is None:
+        return words, at, arcs
+    k = int(np.searchsorted(path.words, word))
+    if len(words) and words[0] == word:  # goes on with choices of its own
+        at = np.concatenate(([0], at[1:] + len(so_far)))
+        own = so_far
+    else:
+        own = np.concatenate((so_far, np.array(_default(lat, to, -1), np.int64)))
+        words, at = np.concatenate(([word], words)), np.concatenate(([0], at + len(own)))
+    before = path.at[k]
+    return np.concatenate((path.words[:k], words)), np.concatenate((path.at[:k], at + before)), np.concatenate((path.arcs[:before], own, arcs))
+
+
+def path_arcs(lat: Lattices, kinds, path: Found) -> np.ndarray:
+    """All arcs of a segmentation of a text with the words ``kinds``."""
+    n = lat.path_len[kinds]
+    if len(path.words):
+        n[path.words] = np.diff(path.at)
+    if not len(n):
+        return np.zeros(0, np.int32)
+    ends = np.cumsum(n, dtype=np.int32)
+    shift = lat.path_at[kinds] - (ends - n)
+    source = lat.path
+    if len(path.words):
+        source = np.concatenate((lat.path, path.arcs)) if len(path.arcs) * 8 > len(lat.path) else None
+        shift[path.words] = 0
+    if source is None:  # few arcs of their own: put them over the default ones
+        shift[path.words] = -(ends - n)[path.words]
+        spot = np.repeat(shift, n) + np.arange(ends[-1], dtype=np.int32)
+        out = lat.path[np.minimum(spot, len(lat.path) - 1)]
+        at = np.repeat((ends - n)[path.words] - path.at[:-1], np.diff(path.at)) + np.arange(len(path.arcs))
+        out[at] = path.arcs
+        return out
+    if len(path.words):
+        shift[path.words] = len(lat.path) + path.at[:-1] - (ends - n)[path.words]
+    return source[np.repeat(shift, n) + np.arange(ends[-1], dtype=np.int32)]
+
+
+def ids_of(lat: Lattices, arcs) -> np.ndarray:
     """Piece ids of a path."""
-    seq = lat.seq[arcs].tolist()
-    if min(seq, default=0) >= 0:
+    seq = lat.seq[arcs]
+    if not len(seq) or seq.min() >= 0:
         return seq
-    out: list[int] = []
-    for s in seq:
-        out.extend(lat.spelt[-s - 1]) if s < 0 else out.append(s)
-    return out
+    size = np.array([1] + [len(x) for x in lat.spelt], np.int64)
+    flat = np.array([i for x in lat.spelt for i in x], np.int64)
+    first = np.concatenate(([0, 0], np.cumsum(size[1:])))[:-1]
+    kind = np.maximum(-seq, 0)
+    n = size[kind]
+    step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    spelt = np.repeat(kind, n)
+    return np.where(spelt > 0, flat[np.minimum(first[spelt] + step, len(flat) - 1)], np.repeat(seq, n))
 
 
 def decode_ids(ids, raw: list[bytes]) -> str:
@@ -340,12 +570,13 @@ def decode_ids(ids, raw: list[bytes]) -> str:
     return text[1:] if text[:1] == " " else text
 
 
-def _worker(model: bytes) -> Lattices:
-    """The lattices of this worker process; they outlive a task."""
+def _worker(model: bytes) -> tuple[Vocabulary, Trie]:
+    """The vocabulary in this worker process; it outlives a task."""
     mark = hash(model)
     if _STATE.get("mark") != mark:
-        _STATE["mark"], _STATE["lat"] = mark, Lattices(Vocabulary(model))
-    return _STATE["lat"]
+        vocab = Vocabulary(model)
+        _STATE["mark"], _STATE["vocab"] = mark, (vocab, Trie(vocab))
+    return _STATE["vocab"]
 
 
 def _runs(batch):
@@ -366,24 +597,24 @@ def _encode(model: bytes, k: int, with_ids: bool):
     def run(batches):
         import pyarrow as pa
 
-        lat = _worker(model)
+        vocab, trie = _worker(model)
         for whole in batches:
             for b, texts in _runs(whole):
-                found, kappa, z = sample_batch(lat, [t or "" for t in texts], b.column("__key").to_pylist(), k)
+                lat, kinds, found, kappa, z = sample_batch(vocab, trie, [t or "" for t in texts], b.column("__key").to_pylist(), k)
                 rows, rank, ids, pieces, logp, score, incl, same, digest = [], [], [], [], [], [], [], [], []
                 for d, paths in enumerate(found):
-                    for r, (arcs, lq, g) in enumerate(paths):
-                        own = ids_of(lat, arcs)
+                    for r, p in enumerate(paths):
+                        own = ids_of(lat, path_arcs(lat, kinds[d], p))
                         rows.append(d)
                         rank.append(r + 1)
                         pieces.append(len(own))
-                        logp.append(lq)
-                        score.append(g)
-                        incl.append(1.0 if kappa[d] == -math.inf else -math.expm1(-math.exp(min(700.0, lq - kappa[d]))))
-                        same.append(decode_ids(own, lat.vocab.raw) == (texts[d] or ""))
-                        digest.append(int(np.add.reduce(mix64(np.array(own, np.uint64) + (np.arange(len(own), dtype=np.uint64) << np.uint64(20)))).view(np.int64)) if own else 0)
+                        logp.append(p.logp)
+                        score.append(p.score)
+                        incl.append(1.0 if kappa[d] == -math.inf else -math.expm1(-math.exp(min(700.0, p.logp - kappa[d]))))
+                        same.append(decode_ids(own.tolist(), vocab.raw) == (texts[d] or "") if not r else None)
+                        digest.append(int(np.add.reduce(mix64(own.astype(np.uint64) + (np.arange(len(own), dtype=np.uint64) << np.uint64(20)))).view(np.int64)) if len(own) else 0)
                         if with_ids:
-                            ids.append(np.array(own, np.int32))
+                            ids.append(own.astype(np.int32))
                 take = b.drop_columns(["__text", "__key"]).take(pa.array(rows, pa.int64()))
                 cols = [pa.array(rank, pa.int32()), pa.array(pieces, pa.int64()), pa.array(logp, pa.float64()), pa.array([z[d] for d in rows], pa.float64()), pa.array(score, pa.float64()), pa.array(incl, pa.float64()), pa.array(same, pa.bool_()), pa.array(digest, pa.int64())]
                 names = ["rank", "n_pieces", "log_prob", "log_total", "perturbed", "inclusion", "decodes", "digest"]
@@ -409,8 +640,8 @@ def sample_segmentations(
 
     For each row of ``df`` and each rank (from 1, by falling perturbed score): ``keep``
     columns, rank, n_pieces, log_prob (of the segmentation given the text), log_total (log
-    weight of all segmentations), perturbed, inclusion (1 if there are no more than ``k``), decodes (whether
-    the pieces decode to the text), digest (of the ids) and, if wanted, ids. Draws are seeded
+    weight of all segmentations), perturbed, inclusion (1 if there are no more than ``k``), decodes (at rank 1,
+    whether the pieces decode to the text; else null), digest (of the ids) and, if wanted, ids. Draws are seeded
     by ``seed`` and the row's key; rows of equal key and text get the same draws, null keys
     count as one key. A null or empty text has one segmentation without pieces. Texts are
     used whole. An empty table gives an empty result.
@@ -438,7 +669,7 @@ def decode(df: DataFrame, ids_col: str = "ids", to: str = "text", model: bytes |
     def run(batches):
         import pyarrow as pa
 
-        raw = _worker(model).vocab.raw
+        raw = _worker(model)[0].raw
         for b in batches:
             texts = [None if i is None else decode_ids(i, raw) for i in b.column(ids_col).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], [*b.schema.names, to])
