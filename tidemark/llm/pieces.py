@@ -39,6 +39,7 @@ from .tokens import mix64
 TOKENIZER = "piece_bpe_32k.model"
 K = 3
 BATCH_CHARS = 1 << 21
+PART_WORDS = 1 << 16
 SPACE = "▁"
 _STATE: dict = {}
 
@@ -355,14 +356,29 @@ def sample_batch(vocab: Vocabulary, trie: Trie, texts, keys, k: int):
     lat = Lattices(vocab, trie, list(fresh))
     rank = lat.rank.__getitem__
     kinds = [np.fromiter(map(rank, c), np.int64, len(c)) for c in chunks]
-    n = len(texts)
     key = np.array([x & 0xFFFFFFFFFFFFFFFF for x in keys], np.uint64)
+    found, kappa, at = [], [], 0
+    while at < len(kinds):  # parts that fit the cache
+        end, size = at, 0
+        while end < len(kinds) and (end == at or size + len(kinds[end]) <= PART_WORDS):
+            size += len(kinds[end])
+            end += 1
+        f, c = _emit(lat, kinds[at:end], key[at:end], k)
+        found += f
+        kappa += c
+        at = end
+    return lat, kinds, found, kappa, [float(lat.total[x].sum()) for x in kinds]
+
+
+def _emit(lat: Lattices, kinds, key, k: int):
+    """Up to ``k`` segmentations of each text, given by the numbers of its words, and kappa."""
+    n = len(kinds)
     none = np.zeros(0, np.int64)
     found: list = [[] for _ in range(n)]
     heaps: list = [[] for _ in range(n)]
     for d in range(n):
         g = float(-np.log(-np.log(_uniform(_salted(key[d : d + 1], 0), np.zeros(1, np.int64))))[0])
-        if chunks[d]:
+        if len(kinds[d]):
             heaps[d].append((-g, 0, None))  # the root: all segmentations, log weight 0
         else:
             found[d].append(Found(none, np.zeros(1, np.int64), none, 0.0, g))
@@ -445,8 +461,7 @@ def sample_batch(vocab: Vocabulary, trie: Trie, texts, keys, k: int):
                 r = at[x]
                 taken = (-1,) if r_arc[r] < 0 else (int(r_kept[r]), int(r_arc[r]))
                 heapq.heappush(heaps[d], (-float(g[x]), (e << 40) + int(r) + 1, (path, int(place[r_item[r]]), int(r_node[r]), (taken,), float(before[r]))))
-    kappa = [-heaps[d][0][0] if heaps[d] else -math.inf for d in range(n)]
-    return lat, kinds, found, kappa, [float(lat.total[x].sum()) for x in kinds]
+    return found, [-heaps[d][0][0] if heaps[d] else -math.inf for d in range(n)]
 
 
 def _default(lat: Lattices, node: int, steps: int) -> list[int]:
@@ -653,7 +668,7 @@ def sample_segmentations(
     rows = df.select(*names, F.col(text_col).alias("__text"), F.xxhash64(F.lit(seed), F.col(key_col)).alias("__key"))
     schema = T.StructType(rows.schema.fields[:-2])
     for c, t in (("rank", "int"), ("n_pieces", "long"), ("log_prob", "double"), ("log_total", "double"), ("perturbed", "double"), ("inclusion", "double"), ("decodes", "boolean"), ("digest", "long")):
-        schema = schema.add(c, t)
+        schema = schema.add(c, T.DataType.fromDDL(t))
     if with_ids:
         schema = schema.add("ids", T.ArrayType(T.IntegerType()))
     return rows.mapInArrow(_encode(default_model() if model is None else model, k, with_ids), schema)
@@ -674,4 +689,4 @@ def decode(df: DataFrame, ids_col: str = "ids", to: str = "text", model: bytes |
             texts = [None if i is None else decode_ids(i, raw) for i in b.column(ids_col).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], [*b.schema.names, to])
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields]).add(to, "string"))
+    return df.mapInArrow(run, T.StructType([*df.schema.fields]).add(to, T.StringType()))

@@ -184,7 +184,7 @@ def fit(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: str
     return model | {"a": a, "b": max(b, 1e-6)}
 
 
-def _score(model):
+def _score(model, text: str):
     def run(batches):
         import pyarrow as pa
 
@@ -192,7 +192,7 @@ def _score(model):
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
         for whole in batches:
             for b in _batches(whole):
-                f, bounds = _features(b.column("__text").to_pylist())
+                f, bounds = _features(b.column(text).to_pylist())
                 v = _values(f, w)
                 spans, scores = [], []
                 for k in range(b.num_rows):
@@ -202,7 +202,7 @@ def _score(model):
                     x = min(40.0, max(-20.0, (best - free) * model["lam"]))
                     spans.append([{"start": s, "end": e, "score": z} for s, e, z in kept])
                     scores.append(1 / (1 + math.exp(-max(-30.0, min(30.0, model["a"] + model["b"] * x)))))
-                rest = b.drop_columns(["__text"])
+                rest = b.drop_columns(["__text"]) if text == "__text" else b
                 yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(scores, pa.float64()), pa.array(spans, kind)], [*rest.schema.names, "score", "passages"])
 
     return run
@@ -218,9 +218,10 @@ def score(docs: DataFrame, model: dict, text_col: str = "text", keep: list[str]
 
     ship(docs.sparkSession)
     names = docs.columns if keep is None else keep
-    rows = docs.select(*names, F.col(text_col).alias("__text"))
-    schema = T.StructType(rows.schema.fields[:-1]).add("score", "double").add("passages", T.DataType.fromDDL("array<struct<start:bigint,end:bigint,score:double>>"))
-    return rows.mapInArrow(_score(model), schema)
+    extra = [] if text_col in names else [F.col(text_col).alias("__text")]
+    rows = docs.select(*names, *extra)
+    schema = T.StructType(rows.schema.fields[: len(names)]).add("score", "double").add("passages", T.DataType.fromDDL("array<struct<start:bigint,end:bigint,score:double>>"))
+    return rows.mapInArrow(_score(model, "__text" if extra else text_col), schema)
 
 
 def held_out(id_col: str = "doc_id", folds: int = 5) -> Column:
