@@ -5,9 +5,10 @@ through the first, and coordinate k is the smallest value of the second after a
 shift by k strides. Documents with equal shingle sets are one node. Nodes that share a band
 are linked to the band's smallest node; these links are checked on full shingle sets, and
 connected components are formed. Members of a band that are still apart are then
-compared among themselves by signature (blocks of rows, in numpy) and what can reach
-the threshold is checked exactly too, so that a failed star loses no link. Groups of any
-size give links in proportion to their members and not to their pairs.
+compared among themselves by signature (blocks of rows, in numpy), and pairs that can
+reach the threshold are checked exactly unless a chain of links joins them already, so a
+failed star loses no link. Groups of any size give rows in proportion to their members and
+not to their pairs.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ BATCH_ROWS = 256
 BLOCK = 2048
 CHECKED = 64
 #: Standard errors below the threshold at which a signature is given up.
-SLACK = 5.0
+SLACK = 4.0
 
 
 def _shingles(texts, width: int):
@@ -109,9 +110,8 @@ def _digest(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def _names(h: np.ndarray, bounds: np.ndarray) -> list[str]:
-    """The node of each set: its digest and size."""
-    rows = np.concatenate((_digest(h, bounds), np.diff(bounds)[:, None].astype(np.uint64)), axis=1)
-    return [r.tobytes().hex() for r in rows]
+    """The node of each set: its digest (empty for an empty set)."""
+    return [r.tobytes() if n else b"" for r, n in zip(_digest(h, bounds), np.diff(bounds))]
 
 
 def _sketch(width: int, size: int):
@@ -125,12 +125,23 @@ def _sketch(width: int, size: int):
                 n = np.diff(bounds)
                 sig = signatures(h, bounds, size)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("id"), b.column("key"), pa.array(n, pa.int64()), pa.array(_names(h, bounds), pa.string()), pa.array([r.tobytes() for r in sig], pa.binary())], ["id", "key", "n", "node", "sig"]
+                    [b.column("id"), b.column("key"), pa.array(n, pa.int64()), pa.array(_names(h, bounds), pa.binary()), pa.array([r.tobytes() for r in sig], pa.binary())], ["id", "key", "n", "node", "sig"]
                 )
 
     return run
 
 
+def _band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """The key of each band of each signature (signatures x bands)."""
+    out = np.empty((len(sig), bands), np.int64)
+    for k in range(bands):
+        x = np.full(len(sig), k + 1, np.uint64)
+        for r in range(rows):
+            x = mix64(x * np.uint64(0x9E3779B97F4A7C15) + sig[:, k * rows + r])
+        out[:, k] = x.view(np.int64)
+    return out
+
+
 def _bands(bands: int, rows: int):
     """(band key, node) rows of the signatures."""
 
@@ -138,15 +149,10 @@ def _bands(bands: int, rows: int):
         import pyarrow as pa
 
         for b in batches:
-            if not b.num_rows:
-                continue
-            sig = np.frombuffer(b"".join(b.column("sig").to_pylist()), np.uint32).reshape(b.num_rows, -1)
-            node = b.column("node")
-            for k in range(bands):
-                x = np.full(b.num_rows, k + 1, np.uint64)
-                for r in range(rows):
-                    x = mix64(x * np.uint64(0x9E3779B97F4A7C15) + sig[:, k * rows + r])
-                yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), node], ["band", "node"])
+            if b.num_rows:
+                keys = _band_keys(np.frombuffer(b"".join(b.column("sig").to_pylist()), np.uint32).reshape(b.num_rows, -1), bands, rows)
+                for k in range(bands):
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[:, k]), b.column("node")], ["band", "node"])
 
     return run
 
@@ -178,7 +184,7 @@ def _verify(width: int, threshold: int):
                     else:
                         raise RuntimeError("a link's first text is missing")
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.string())], ["leader", "member"])
+                    yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.binary())], ["leader", "member"])
 
     return run
 
@@ -202,7 +208,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, width: int, t
     with_text = asked.join(texts.select(F.col("key").alias("rep"), "text"), "rep")
     lined = with_text.select("leader", "part", "member", "text").repartition(_parts(pairs), "leader", "part")
     lined = lined.sortWithinPartitions("leader", "part", (F.col("member") != F.col("leader")))
-    return lined.select("leader", "member", "text").mapInArrow(_verify(width, threshold), "leader string, member string")
+    return lined.select("leader", "member", "text").mapInArrow(_verify(width, threshold), "leader binary, member binary")
 
 
 def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -231,40 +237,96 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
-def _apart(threshold: int):
-    """Pairs of one block of a band that lie in different components and whose signatures may reach the threshold."""
+def _candidates(table, threshold: int, bands: int, rows: int):
+    """Pairs (i, j, matches) of a group that lie in different components, may reach the threshold by signature, and share no earlier band."""
+    n = table.num_rows
+    sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint32).reshape(n, -1)
+    code = {r: k for k, r in enumerate(dict.fromkeys(table.column("root").to_pylist()))}
+    comp = np.array([code[r] for r in table.column("root").to_pylist()])
+    part, crossed = table.column("part").to_numpy(), table.column("crossed")[0].as_py()
+    band = bytes(table.column("band")[0].as_py().to_bytes(8, "little", signed=True))
+    j = threshold / 100
+    least = max(1.0, sig.shape[1] * (j - SLACK * (j * (1 - j) / sig.shape[1]) ** 0.5))
+    keys = _band_keys(sig, bands, rows)
+    own = int(np.flatnonzero((keys == np.frombuffer(band, np.int64)[0]).all(axis=0))[0])
+    at = np.arange(n)
+    for i in range(n):
+        others = at[(comp != comp[i]) & (at > i)]
+        if crossed:
+            others = others[part[others] != part[i]]
+        if not len(others):
+            continue
+        same = (sig[others] == sig[i]).sum(axis=1)
+        ok = same >= least
+        others, same = others[ok], same[ok]
+        if own and len(others):
+            new = ~(keys[others, :own] == keys[i, :own]).any(axis=1)
+            others, same = others[new], same[new]
+        if len(others):
+            yield i, others, same
+
+
+def _open(threshold: int, bands: int, rows: int):
+    """The members of a group that have a candidate pair in it."""
+
+    def run(key, table):
+        import pyarrow as pa
+
+        use = np.zeros(table.num_rows, bool)
+        for i, others, _ in _candidates(table, threshold, bands, rows):
+            use[i] = True
+            use[others] = True
+        return table.select(["band", "x", "y", "node", "root", "sig", "part", "crossed"]).filter(pa.array(use))
+
+    return run
+
+
+def _connect(width: int, threshold: int, bands: int, rows: int):
+    """Links that connect a group: its candidate pairs, likeliest first, are checked on full sets unless already connected."""
 
     def run(key, table):
         import pyarrow as pa
 
-        n = table.num_rows
-        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint32).reshape(n, -1)
-        node, root, part = table.column("node").to_pylist(), table.column("root").to_pylist(), np.array(table.column("part").to_pylist())
-        code = {r: k for k, r in enumerate(dict.fromkeys(root))}
-        comp = np.array([code[r] for r in root])
-        j = threshold / 100
-        least = max(1.0, sig.shape[1] * (j - SLACK * (j * (1 - j) / sig.shape[1]) ** 0.5))
+        names = table.column("node").to_pylist()
+        h, bounds = _shingles(table.column("text").to_pylist(), width)
+        right = [a == b for a, b in zip(_names(h, bounds), names)]  # not another text of the same key
+        pairs = [(-int(s), i, int(o)) for i, others, same in _candidates(table, threshold, bands, rows) for o, s in zip(others, same)]
+        pairs.sort()
+        root = list(range(len(names)))
+
+        def find(x):
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        first: dict = {}
+        for k, r in enumerate(table.column("root").to_pylist()):  # what is connected already
+            root[k] = first.setdefault(r, k)
         a, b = [], []
-        crossed = table.column("crossed")[0].as_py()
-        for i in range(n):
-            others = np.flatnonzero((comp != comp[i]) & (np.arange(n) > i))
-            if crossed:
-                others = others[part[others] != part[i]]
-            if len(others):
-                same = (sig[others] == sig[i]).sum(axis=1)
-                for o in others[same >= least]:
-                    a.append(min(node[i], node[o]))
-                    b.append(max(node[i], node[o]))
-        return pa.table({"leader": pa.array(a, pa.string()), "member": pa.array(b, pa.string())})
+        for _, i, o in pairs:
+            x, y = find(i), find(o)
+            if x == y or not (right[i] and right[o]):
+                continue
+            s, t = h[bounds[i] : bounds[i + 1]], h[bounds[o] : bounds[o + 1]]
+            if 100 * min(len(s), len(t)) < threshold * max(len(s), len(t)):
+                continue
+            both = len(np.intersect1d(s, t, assume_unique=True))
+            if both and 100 * both >= threshold * (len(s) + len(t) - both):
+                root[x] = y
+                a.append(names[i])
+                b.append(names[o])
+        return pa.table({"leader": pa.array(a, pa.binary()), "member": pa.array(b, pa.binary())})
 
     return run
 
 
-def _left_apart(members: DataFrame, nodes: DataFrame, roots: DataFrame, threshold: int) -> DataFrame:
-    """Candidate pairs that the stars left undecided, from bands with more than one component.
+def _left_apart(members: DataFrame, nodes: DataFrame, roots: DataFrame, texts: DataFrame, width: int, threshold: int, bands: int, rows: int) -> DataFrame:
+    """Checked links among what the stars left apart, from bands with more than one component.
 
     ``members``: (band, node) of shared bands. A band of more than BLOCK members is split
-    into parts; each pair of parts is one group, so all pairs are met.
+    into parts; each pair of parts is one group, so all pairs are met. A pair is looked at in
+    the first band it shares. A group gives fewer links than it has members.
     """
     named = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     spread = named.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("c")).where("lo <> hi")
@@ -274,8 +336,12 @@ def _left_apart(members: DataFrame, nodes: DataFrame, roots: DataFrame, threshol
     other = open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     lo, hi = F.least("part", "other"), F.greatest("part", "other")
     grouped = other.select("band", lo.alias("x"), hi.alias("y"), "node", "root", "sig", "part", (F.col("part") != F.col("other")).alias("crossed"))
-    # within its own part a member meets the group (part, part); across parts only the other part's members
-    return grouped.groupBy("band", "x", "y").applyInArrow(_apart(threshold), "leader string, member string").distinct()
+    schema = "band long, x int, y int, node binary, root binary, sig binary, part int, crossed boolean"
+    asked = grouped.groupBy("band", "x", "y").applyInArrow(_open(threshold, bands, rows), schema)
+    asked = asked.join(nodes.select("node", "rep"), "node").join(texts.select(F.col("key").alias("rep"), "text"), "rep")
+    # rows of one node and text may repeat (rows equal in identifier and text); once is enough
+    asked = asked.select("band", "x", "y", "node", "root", "sig", "part", "crossed", "text")
+    return asked.groupBy("band", "x", "y").applyInArrow(_connect(width, threshold, bands, rows), "leader binary, member binary")
 
 
 def near_groups(
@@ -298,7 +364,7 @@ def near_groups(
     ship(df.sparkSession)
     texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     texts = texts.withColumn("key", F.xxhash64("id", "text"))  # finds a node's text again
-    sketched = cut(texts.mapInArrow(_sketch(width, bands * rows), "id long, key long, n long, node string, sig binary"))
+    sketched = cut(texts.mapInArrow(_sketch(width, bands * rows), "id long, key long, n long, node binary, sig binary"))
     filled = sketched.where("n > 0")
     # copies of a set: the smallest identifier stands for all
     nodes = cut(filled.groupBy("node").agg(F.min("id").alias("id"), F.min("key").alias("rep"), F.max("sig").alias("sig")))
@@ -319,16 +385,14 @@ def near_groups(
 
 def near_links(nodes: DataFrame, texts: DataFrame, width: int, threshold: int, bands: int, rows: int) -> DataFrame:
     """Checked links (leader, member) that connect all nodes whose sets reach the threshold."""
-    banded = nodes.select("node", "sig").mapInArrow(_bands(bands, rows), "band long, node string")
+    banded = nodes.select("node", "sig").mapInArrow(_bands(bands, rows), "band long, node binary")
     heads = banded.groupBy("band").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("c")).where("c > 1").select("band", "leader")
     members = cut(banded.join(heads, "band"))
     stars = members.where("leader <> node").select("leader", F.col("node").alias("member")).distinct()
     reps = nodes.select("node", "rep")
     sure = cut(verified(stars, reps, texts, width, threshold))
     roots = cut(components(sure.select(F.col("leader").alias("a"), F.col("member").alias("b"))))
-    more = _left_apart(members.select("band", "node"), nodes, roots, threshold)
-    more = cut(more.join(stars, ["leader", "member"], "left_anti"))
-    return sure.unionByName(verified(more, reps, texts, width, threshold))
+    return sure.unionByName(_left_apart(members.select("band", "node"), nodes, roots, texts, width, threshold, bands, rows))
 
 
 def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
