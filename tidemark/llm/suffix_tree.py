@@ -21,13 +21,14 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
+from pyspark.serializers import BatchedSerializer, CPickleSerializer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import ship
 from .tokens import mix64, word_hashes
 
-END, BEGIN = 0x1D872B41F1A3C5E7, 0x7A5F3C9D20B6E841  # never equal to a word's hash in practice (64 bits)
+END = 0x1D872B41F1A3C5E7  # the end's hash; equal to a word's only by a collision of 64 bits
 MIN_CONTEXT = 4
 DIVERGENCE = 4.0
 MU = 4.0
@@ -43,47 +44,52 @@ def pair(a, b):
 # --- one partition's texts as arrays -------------------------------------------------
 
 
-def _load(batches):
-    """One row for each partition: identifiers, folds, word counts and word hashes (with an end after each text)."""
-    import pyarrow as pa
+def _load(index: int, rows):
+    """One item for each partition: (number, (identifiers, folds, word counts, word hashes with an end after each text))."""
+    ids, held, counts, words = [], [], [], []
+    texts: list = []
 
-    ids, null, held, counts, words = [], [], [], [], []
-    for whole in batches:
-        for k in range(0, whole.num_rows, BATCH_ROWS):
-            b = whole.slice(k, BATCH_ROWS)
-            h, at = word_hashes(b.column("text").to_pylist())
-            words.append(np.insert(h, at[1:], np.uint64(END)))
-            counts.append(np.diff(at) + 1)
-            ids.append(np.array(b.column("id").fill_null(0).to_numpy(zero_copy_only=False), np.int64))
-            null.append(np.array(b.column("id").is_null().to_numpy(zero_copy_only=False), bool))
-            held.append(np.array(b.column("held").to_numpy(zero_copy_only=False), bool))
-    one = lambda x, t: (np.concatenate(x) if x else np.zeros(0)).astype(t).tobytes()
-    yield pa.RecordBatch.from_pydict({"ids": [one(ids, np.int64)], "nulls": [one(null, bool)], "held": [one(held, bool)], "counts": [one(counts, np.int64)], "words": [one(words, np.uint64)]})
+    def flush():
+        h, at = word_hashes(texts)
+        words.append(np.insert(h, at[1:], np.uint64(END)))
+        counts.append(np.diff(at) + 1)
+        texts.clear()
+
+    for r in rows:
+        ids.append(r[0])
+        texts.append(r[1])
+        held.append(bool(r[2]))
+        if len(texts) == BATCH_ROWS:
+            flush()
+    if texts:
+        flush()
+    one = lambda x, t: (np.concatenate(x) if x else np.zeros(0)).astype(t)
+    yield index, (ids, np.array(held, bool), one(counts, np.int64), one(words, np.uint64))
 
 
 class Chunk:
-    """The arrays of one partition."""
+    """The arrays of one partition.
+
+    The context at a text's beginning is the end symbol, which never is a context elsewhere,
+    and occurs as often as there are texts.
+    """
 
     def __init__(self, row):
-        self.ids = np.frombuffer(row[0], np.int64)
-        self.nulls = np.frombuffer(row[1], bool)
-        self.held = np.frombuffer(row[2], bool)
-        self.counts = np.frombuffer(row[3], np.int64)
-        self.words = np.frombuffer(row[4], np.uint64)
+        self.ids, self.held, self.counts, self.words = row
+        n = len(self.words)
         self.train = np.repeat(~self.held, self.counts)
-        starts = np.zeros(len(self.words), bool)
-        ends = np.cumsum(self.counts)
-        if len(self.words):
-            starts[np.concatenate(([0], ends[:-1]))] = True
-        self.starts, self.ends = starts, ends
-        prev = np.empty_like(self.words)
-        if len(prev):
-            prev[0], prev[1:] = BEGIN, self.words[:-1]
-            prev[starts] = BEGIN
-        self.prev = prev
-        self.uni, self.word = np.unique(self.words, return_inverse=True)
-        self.bi, self.edge = np.unique(pair(prev, self.words), return_inverse=True)
-        self.ctx, self.state = np.unique(prev, return_inverse=True)  # contexts of one word
+        self.ends = np.cumsum(self.counts)
+        self.starts = np.zeros(n, bool)
+        self.uni, word = np.unique(self.words, return_inverse=True)
+        self.word = word.astype(np.int32)
+        del word
+        self.state = np.empty(n, np.int32)
+        if n:
+            self.starts[np.concatenate(([0], self.ends[:-1]))] = True
+            self.state[1:] = self.word[:-1]
+            self.state[self.starts] = np.searchsorted(self.uni, np.uint64(END))
+        self.bi, edge = np.unique(pair(self.uni[self.state], self.words), return_inverse=True) if n else (self.uni, self.word)
+        self.edge = edge.astype(np.int32)
 
     def summed(self, index, n, weights=None):
         """Sums over training occurrences for each of n keys."""
@@ -160,19 +166,22 @@ def _exchange(sent, owners: int, chunks: int, kinds, answers):
 
     owned = sent.partitionBy(owners, lambda k: k)
     back = owned.mapPartitionsWithIndex(own).partitionBy(chunks, lambda k: k)
-    return owned, back.mapPartitions(join)
+    return owned, _single(back.mapPartitions(join))
+
+
+def _single(rdd):
+    """The same items, pickled one by one: such RDDs are zipped without another pass through Python."""
+    return rdd._reserialize(BatchedSerializer(CPickleSerializer(), 1))
 
 
 def _zip(base, *more):
-    """Items of the chunks with their answers; answers may have more (empty) partitions."""
-    spark = base.context
-    n = max(r.getNumPartitions() for r in (base, *more))
-    out = None
-    for r in (base, *more):
-        if (gap := n - r.getNumPartitions()) > 0:
-            r = spark.union([r, spark.parallelize([], gap)])
-        out = r.map(lambda x: (x,)) if out is None else out.zip(r).map(lambda x: (*x[0], x[1]))
-    return out
+    """((item, answer), answer) ... of the chunks; answers may have more, empty partitions."""
+    n = max(r.getNumPartitions() for r in more)
+    if (gap := n - base.getNumPartitions()) > 0:
+        base = _single(base.context.union([base, base.context.parallelize([], gap)]))
+    for r in more:
+        base = base.zip(r)
+    return base
 
 
 # --- the rounds ------------------------------------------------------------------------
@@ -199,7 +208,7 @@ class Model:
 
     def first(self, ch, a):
         """Probabilities at the root and with contexts of one word (for all), for each occurrence."""
-        c1, c2, n1 = a[0][ch.word], a[1][ch.edge], a[2][ch.state]
+        c1, c2, n1 = a[0][ch.word], a[1][ch.edge], a[0][ch.state]
         root = _root(c1.astype(float), self.n, self.v, self.discount)
         return c1, c2.astype(float), n1.astype(float), root
 
@@ -235,20 +244,19 @@ def score_texts(
     ship(spark)
     held = F.lit(False) if held_out is None else F.coalesce(held_out, F.lit(False))
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), held.alias("held"))
-    base = rows.mapInArrow(_load, "ids binary, nulls binary, held binary, counts binary, words binary").rdd
-    chunks = base.getNumPartitions()
-    owners = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    numbered = base.mapPartitionsWithIndex(lambda i, rows: ((i, r) for r in rows))
+    base = rows.rdd
+    chunks = max(1, base.getNumPartitions())
+    owners = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), 8 * chunks))
+    numbered = _single(base.mapPartitionsWithIndex(_load))
     model = Model(min_context, divergence, mu, discount)
 
     def ask_counts(i, row):
         ch = Chunk(row)
-        pairs = [(ch.uni, ch.summed(ch.word, len(ch.uni)).astype(np.uint32)), (ch.bi, ch.summed(ch.edge, len(ch.bi)).astype(np.uint32))]
-        return _send(i, [*pairs, (ch.ctx, ch.summed(ch.state, len(ch.ctx)).astype(np.uint32))], owners)
+        return _send(i, [(ch.uni, ch.summed(ch.word, len(ch.uni)).astype(np.uint32)), (ch.bi, ch.summed(ch.edge, len(ch.bi)).astype(np.uint32))], owners)
 
-    kinds = [np.uint32] * 3
+    kinds = [np.uint32] * 2
     sent = numbered.flatMap(lambda x: ask_counts(*x))
-    owned, r1 = _exchange(sent, owners, chunks, kinds, [np.uint64] * 3)
+    owned, r1 = _exchange(sent, owners, chunks, kinds, [np.uint64, np.uint64])
 
     def sizes(items):
         _, sums, _ = _totals(sorted((m for _, m in items), key=lambda m: m[0]), kinds)[0]
@@ -263,15 +271,15 @@ def score_texts(
         ch = Chunk(row)
         _, c2, n1, root = model.first(ch, a)
         gain = np.where(ch.train, _gain(np.maximum(c2, 1), np.maximum(n1, 1), root, model.mu), 0)
-        sums = ch.summed(ch.state, len(ch.ctx), gain).astype(np.float32)
+        sums = ch.summed(ch.state, len(ch.uni), gain).astype(np.float32)
         keys, tri = _trigrams(ch, c2, model.m)
-        return _send(i, [(ch.ctx, sums), (keys, ch.summed_at(tri, len(keys)))], owners)
+        return _send(i, [(ch.uni, sums), (keys, ch.summed_at(tri, len(keys)))], owners)
 
     kinds2, answers2 = [np.float32, np.uint32], [np.float32, np.uint32]
     _, r2 = _exchange(_zip(numbered, r1).flatMap(ask_second), owners, chunks, kinds2, answers2)
 
     def ask_third(item):
-        (i, row), a, b = item
+        ((i, row), a), b = item
         ch = Chunk(row)
         tri = Third(ch, a, b, model)
         # for each context of two words (an edge), the gain of its training occurrences
@@ -282,7 +290,7 @@ def score_texts(
     _, r3 = _exchange(_zip(numbered, r1, r2).flatMap(ask_third), owners, chunks, [np.float32], [np.float32])
 
     def result(item):
-        (_, row), a, b, c = item
+        (((_, row), a), b), c = item
         ch = Chunk(row)
         if not len(ch.ids):
             return
@@ -304,7 +312,7 @@ def score_texts(
         used1 = tri.kept.astype(np.int64) * (1 - used2)
         cols = (ch.held, ch.counts, add((c1 > 0).astype(np.int64)), add(low), add(log), add(used1), add(used2))
         for k, r in enumerate(zip(*(x.tolist() for x in cols))):
-            yield (None if ch.nulls[k] else int(ch.ids[k]), r[0], r[1], r[2], model.n, r[3], r[4], r[5], r[6])
+            yield (ch.ids[k], r[0], r[1], r[2], model.n, r[3], r[4], r[5], r[6])
 
     schema = f"{id_col} long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, depth1 long, depth2 long"
     return spark.createDataFrame(_zip(numbered, r1, r2, r3).flatMap(result), schema)
@@ -332,7 +340,7 @@ class Third:
 
     def __init__(self, ch, a, b, model):
         _, c2, _, _ = model.first(ch, a)
-        self.kept = (b[0][ch.state] >= model.d) & (a[2][ch.state] >= model.m)
+        self.kept = (b[0][ch.state] >= model.d) & (a[0][ch.state] >= model.m)
         self.parent = model.one(ch, a, self.kept)
         _, (self.at, inverse) = _trigrams(ch, c2, model.m)
         before = ch.second()[self.at]
