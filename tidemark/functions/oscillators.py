@@ -86,24 +86,34 @@ def polynomial(t: Column, coefficients) -> Column:
     return out
 
 
-def closed_form(t: Column, p, frequency=None, phase=None, duty=None, width=None) -> Column:
+def closed_form(t: Column, p, frequency=None, phase=None, duty=None, width=None, kinds=CLOSED) -> Column:
     """The oscillation of the kind in ``p["kind"]`` (null for kinds that are no function of t alone).
 
     ``p`` maps parameter names to columns; overrides replace frequency, phase, duty or width.
+    ``kinds``: those that can occur, which keeps the expression short.
     """
     from .rng import uniform
 
-    kind = p["kind"]
-    out = None
-    for k in CARRIERS:
-        y = carrier(k, t, p, frequency, phase, duty, width)
-        out = F.when(kind == k, y) if out is None else out.when(kind == k, y)
     f = p["frequency"] if frequency is None else frequency
-    out = out.when(kind == "dirichlet", dirichlet_kernel(theta(t, p["n"], f), p["periodicity"]) * _c(p["amplitude"]))
-    out = out.when(kind == "polynomial", polynomial(t, p["coefficients"]))
-    step = F.greatest(F.floor(_c(p["n"]) / _c(p["frequency"])), F.lit(1))
-    sign = F.when(uniform(p["seed"], "jump", p["random_seed"], F.floor(t / step).cast("long")) < 0.5, -1.0).otherwise(1.0)
-    return out.when(kind == "random-mode-jump", sign * (_c(p["channel_diff"]) * p["channel"] + _c(p["channel_offset"])))
+    branches = []
+    for k in CLOSED:
+        if k not in kinds:
+            continue
+        if k in CARRIERS:
+            y = carrier(k, t, p, frequency, phase, duty, width)
+        elif k == "dirichlet":
+            y = dirichlet_kernel(theta(t, p["n"], f), p["periodicity"]) * _c(p["amplitude"])
+        elif k == "polynomial":
+            y = polynomial(t, p["coefficients"])
+        else:
+            step = F.greatest(F.floor(_c(p["n"]) / _c(p["frequency"])), F.lit(1))
+            sign = F.when(uniform(p["seed"], "jump", p["random_seed"], F.floor(t / step).cast("long")) < 0.5, -1.0).otherwise(1.0)
+            y = sign * (_c(p["channel_diff"]) * p["channel"] + _c(p["channel_offset"]))
+        branches.append((k, y))
+    out = F.lit(None).cast("double")
+    for k, y in reversed(branches):
+        out = F.when(p["kind"] == k, y).otherwise(out)
+    return out
 
 
 # --- periods, on the driver ------------------------------------------------------------
