@@ -12,8 +12,8 @@ Counts and divergences of contexts are sums over occurrences, so they are formed
 three rounds of the same kind: each input partition (chunk) sends its distinct keys with
 partial sums to owners chosen by the key, already summed within the chunk; the owners
 add up and return the totals to the chunks that asked. Nothing is collected or broadcast
-but the two totals N and V. Every chunk reads its texts again in each round, which is
-cheaper than moving them.
+but the two totals N and V. The texts are read once and kept as word numbers in a
+checkpointed table, which every round reads in place.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.serializers import BatchedSerializer, CPickleSerializer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import ship
+from ..runtime import cut, ship
 from .tokens import mix64, word_hashes
 
 END = 0x1D872B41F1A3C5E7  # the end's hash; equal to a word's only by a collision of 64 bits
@@ -34,6 +34,7 @@ DIVERGENCE = 4.0
 MU = 4.0
 DISCOUNT = 0.6
 BATCH_ROWS = 256
+CHUNK_TOKENS = 1_500_000
 
 
 def pair(a, b):
@@ -44,51 +45,59 @@ def pair(a, b):
 # --- one partition's texts as arrays -------------------------------------------------
 
 
-def _load(index: int, rows):
-    """One item for each partition: (number, (identifiers, folds, word counts, word hashes with an end after each text))."""
-    ids, held, counts, words = [], [], [], []
-    texts: list = []
+def _load(batches):
+    """Rows of up to about CHUNK_TOKENS words each: identifiers, folds, word counts, the distinct words and the words as numbers of them."""
+    import pyarrow as pa
+    from pyspark import TaskContext
+
+    part, no = TaskContext.get().partitionId(), 0
+    got: list = []
+    size = 0
 
     def flush():
-        h, at = word_hashes(texts)
-        words.append(np.insert(h, at[1:], np.uint64(END)))
-        counts.append(np.diff(at) + 1)
-        texts.clear()
-
-    for r in rows:
-        ids.append(r[0])
-        texts.append(r[1])
-        held.append(bool(r[2]))
-        if len(texts) == BATCH_ROWS:
-            flush()
-    if texts:
-        flush()
-    one = lambda x, t: (np.concatenate(x) if x else np.zeros(0)).astype(t)
-    yield index, (ids, np.array(held, bool), one(counts, np.int64), one(words, np.uint64))
+        ids, held, counts, words = (np.concatenate([g[k] for g in got]) for k in range(4))
+        null = np.concatenate([g[4] for g in got])
+        uni, word = np.unique(words, return_inverse=True)
+        cols = {"part": [part], "no": [no], "ids": [ids.tobytes()], "nulls": [null.tobytes()], "held": [held.tobytes()], "counts": [counts.tobytes()], "uni": [uni.tobytes()], "word": [_planes(word.astype(np.uint32))]}
+        return pa.RecordBatch.from_pydict(cols)
+
+    for whole in batches:
+        for k in range(0, whole.num_rows, BATCH_ROWS):
+            b = whole.slice(k, BATCH_ROWS)
+            h, at = word_hashes(b.column("text").to_pylist())
+            words = np.insert(h, at[1:], np.uint64(END))
+            flag = lambda c: np.array(c.to_numpy(zero_copy_only=False), bool)
+            ids = np.array(b.column("id").fill_null(0).to_numpy(zero_copy_only=False), np.int64)
+            got.append((ids, flag(b.column("held")), np.diff(at) + 1, words, flag(b.column("id").is_null())))
+            size += len(words)
+            if size >= CHUNK_TOKENS:
+                yield flush()
+                got, size, no = [], 0, no + 1
+    if got:
+        yield flush()
 
 
 class Chunk:
-    """The arrays of one partition.
+    """The arrays of one chunk.
 
     The context at a text's beginning is the end symbol, which never is a context elsewhere,
     and occurs as often as there are texts.
     """
 
     def __init__(self, row):
-        self.ids, self.held, self.counts, self.words = row
-        n = len(self.words)
+        self.at = row[0], row[1]
+        self.ids, self.nulls, self.held = np.frombuffer(row[2], np.int64), np.frombuffer(row[3], bool), np.frombuffer(row[4], bool)
+        self.counts, self.uni = np.frombuffer(row[5], np.int64), np.frombuffer(row[6], np.uint64)
+        self.word = _unplanes(row[7], np.uint32).astype(np.int32)
+        n = len(self.word)
         self.train = np.repeat(~self.held, self.counts)
         self.ends = np.cumsum(self.counts)
         self.starts = np.zeros(n, bool)
-        self.uni, word = np.unique(self.words, return_inverse=True)
-        self.word = word.astype(np.int32)
-        del word
+        self.starts[np.concatenate(([0], self.ends[:-1]))] = True
         self.state = np.empty(n, np.int32)
-        if n:
-            self.starts[np.concatenate(([0], self.ends[:-1]))] = True
-            self.state[1:] = self.word[:-1]
-            self.state[self.starts] = np.searchsorted(self.uni, np.uint64(END))
-        self.bi, edge = np.unique(pair(self.uni[self.state], self.words), return_inverse=True) if n else (self.uni, self.word)
+        self.state[1:] = self.word[:-1]
+        self.state[self.starts] = np.searchsorted(self.uni, np.uint64(END))
+        self.bi, edge = np.unique(pair(self.uni[self.state], self.uni[self.word]), return_inverse=True)
         self.edge = edge.astype(np.int32)
 
     def summed(self, index, n, weights=None):
@@ -97,7 +106,7 @@ class Chunk:
 
     def second(self):
         """For each word, the occurrence that ends its context of two words (-1 without one)."""
-        before = np.arange(len(self.words)) - 1
+        before = np.arange(len(self.word)) - 1
         before[self.starts] = -1
         return before
 
@@ -117,8 +126,8 @@ def _unplanes(b: bytes, kind) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(zlib.decompress(b), np.uint8).reshape(size, -1).T).view(kind).ravel()
 
 
-def _send(chunk_no: int, tables, owners: int):
-    """(owner, (chunk, blobs)) for every owner; ``tables``: (sorted keys, sums) pairs."""
+def _send(at: tuple[int, int], tables, owners: int):
+    """(owner, (chunk, blobs)) for every owner; a chunk is a partition and a number in it. ``tables``: (sorted keys, sums) pairs."""
     cuts = []
     for keys, _ in tables:
         own = ((keys >> np.uint64(40)) * np.uint64(owners)) >> np.uint64(24)
@@ -130,8 +139,8 @@ def _send(chunk_no: int, tables, owners: int):
             delta = k.copy()
             delta[1:] = k[1:] - k[:-1]
             blobs.append((_planes(delta), _planes(sums[c[o] : c[o + 1]])))
-        if o == chunk_no % owners or any(b[0] for b in blobs):  # every chunk gets an answer
-            yield o, (chunk_no, blobs)
+        if o == sum(at) % owners or any(b[0] for b in blobs):  # every chunk gets an answer
+            yield o, (at, blobs)
 
 
 def _totals(messages, kinds):
@@ -151,18 +160,21 @@ def _totals(messages, kinds):
 
 
 def _exchange(sent, owners: int, chunks: int, kinds, answers):
-    """Totals for every chunk, as an RDD with one item (chunk, arrays) for each partition, in the order of its keys."""
+    """Totals for every chunk, in the order of its keys, as an RDD with the partitions and items of the chunks."""
 
     def own(owner, items):
         messages = sorted((m for _, m in items), key=lambda m: m[0])
         tables = _totals(messages, kinds)
         for k, (c, _) in enumerate(messages):
-            yield c, (owner, [_planes(sums[where[k][1]].astype(a)) for (_, sums, where), a in zip(tables, answers)])
+            yield c[0], (c[1], owner, [_planes(sums[where[k][1]].astype(a)) for (_, sums, where), a in zip(tables, answers)])
 
     def join(items):
-        got = sorted(v for _, v in items)
-        if got:
-            yield [np.concatenate([_unplanes(v[1][t], a) for v in got]) for t, a in enumerate(answers)]
+        got: dict = {}
+        for _, (no, owner, blobs) in items:
+            got.setdefault(no, []).append((owner, blobs))
+        for no in sorted(got):
+            parts = sorted(got.pop(no))
+            yield [np.concatenate([_unplanes(v[1][t], a) for v in parts]) for t, a in enumerate(answers)]
 
     owned = sent.partitionBy(owners, lambda k: k)
     back = owned.mapPartitionsWithIndex(own).partitionBy(chunks, lambda k: k)
@@ -236,26 +248,29 @@ def score_texts(
     space, A-Z lower-cased; a null text is empty and has only the end. ``held_out``: a
     boolean column; null counts as no, and by default nothing is held out. Null and
     repeated identifiers are scored row by row. Without any training row every
-    probability at the root is one symbol's, i.e. 1. The input must give the same
-    partitions when it is read again (files and checkpoints do; checked by the answers'
-    sizes). An empty table gives an empty result. Other columns are not read.
+    probability at the root is one symbol's, i.e. 1. An empty table gives an empty result. Other columns are not read.
     """
     spark = df.sparkSession
     ship(spark)
     held = F.lit(False) if held_out is None else F.coalesce(held_out, F.lit(False))
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), held.alias("held"))
-    base = rows.rdd
-    chunks = max(1, base.getNumPartitions())
-    owners = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), 8 * chunks))
-    numbered = _single(base.mapPartitionsWithIndex(_load))
+    schema = f"{id_col} long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, depth1 long, depth2 long"
+    # words as numbers, about half the size of the texts; all rounds read this table
+    words = cut(rows.mapInArrow(_load, "part long, no long, ids binary, nulls binary, held binary, counts binary, uni binary, word binary"))
+    base = words.rdd
+    chunks = base.getNumPartitions()
+    if not chunks:
+        return spark.createDataFrame([], schema)
+    owners = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    chunked = _single(base.map(tuple))
     model = Model(min_context, divergence, mu, discount)
 
-    def ask_counts(i, row):
+    def ask_counts(row):
         ch = Chunk(row)
-        return _send(i, [(ch.uni, ch.summed(ch.word, len(ch.uni)).astype(np.uint32)), (ch.bi, ch.summed(ch.edge, len(ch.bi)).astype(np.uint32))], owners)
+        return _send(ch.at, [(ch.uni, ch.summed(ch.word, len(ch.uni)).astype(np.uint32)), (ch.bi, ch.summed(ch.edge, len(ch.bi)).astype(np.uint32))], owners)
 
     kinds = [np.uint32] * 2
-    sent = numbered.flatMap(lambda x: ask_counts(*x))
+    sent = chunked.flatMap(ask_counts)
     owned, r1 = _exchange(sent, owners, chunks, kinds, [np.uint64, np.uint64])
 
     def sizes(items):
@@ -267,33 +282,31 @@ def score_texts(
     model.n, model.v = sum(x[0] for x in got), sum(x[1] for x in got)
 
     def ask_second(item):
-        (i, row), a = item
+        row, a = item
         ch = Chunk(row)
         _, c2, n1, root = model.first(ch, a)
         gain = np.where(ch.train, _gain(np.maximum(c2, 1), np.maximum(n1, 1), root, model.mu), 0)
         sums = ch.summed(ch.state, len(ch.uni), gain).astype(np.float32)
         keys, tri = _trigrams(ch, c2, model.m)
-        return _send(i, [(ch.uni, sums), (keys, ch.summed_at(tri, len(keys)))], owners)
+        return _send(ch.at, [(ch.uni, sums), (keys, ch.summed_at(tri, len(keys)))], owners)
 
     kinds2, answers2 = [np.float32, np.uint32], [np.float32, np.uint32]
-    _, r2 = _exchange(_zip(numbered, r1).flatMap(ask_second), owners, chunks, kinds2, answers2)
+    _, r2 = _exchange(_zip(chunked, r1).flatMap(ask_second), owners, chunks, kinds2, answers2)
 
     def ask_third(item):
-        ((i, row), a), b = item
+        (row, a), b = item
         ch = Chunk(row)
         tri = Third(ch, a, b, model)
         # for each context of two words (an edge), the gain of its training occurrences
         sums = np.bincount(tri.context[tri.train], tri.gain[tri.train], len(ch.bi))
         use = np.bincount(tri.context, minlength=len(ch.bi)) > 0
-        return _send(i, [(ch.bi[use], sums[use].astype(np.float32))], owners)
+        return _send(ch.at, [(ch.bi[use], sums[use].astype(np.float32))], owners)
 
-    _, r3 = _exchange(_zip(numbered, r1, r2).flatMap(ask_third), owners, chunks, [np.float32], [np.float32])
+    _, r3 = _exchange(_zip(chunked, r1, r2).flatMap(ask_third), owners, chunks, [np.float32], [np.float32])
 
     def result(item):
-        (((_, row), a), b), c = item
+        ((row, a), b), c = item
         ch = Chunk(row)
-        if not len(ch.ids):
-            return
         tri = Third(ch, a, b, model)
         use = np.bincount(tri.context, minlength=len(ch.bi)) > 0
         gains = np.zeros(len(ch.bi))
@@ -312,10 +325,9 @@ def score_texts(
         used1 = tri.kept.astype(np.int64) * (1 - used2)
         cols = (ch.held, ch.counts, add((c1 > 0).astype(np.int64)), add(low), add(log), add(used1), add(used2))
         for k, r in enumerate(zip(*(x.tolist() for x in cols))):
-            yield (ch.ids[k], r[0], r[1], r[2], model.n, r[3], r[4], r[5], r[6])
+            yield (None if ch.nulls[k] else int(ch.ids[k]), r[0], r[1], r[2], model.n, r[3], r[4], r[5], r[6])
 
-    schema = f"{id_col} long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, depth1 long, depth2 long"
-    return spark.createDataFrame(_zip(numbered, r1, r2, r3).flatMap(result), schema)
+    return spark.createDataFrame(_zip(chunked, r1, r2, r3).flatMap(result), schema)
 
 
 def _trigrams(ch, c2, least):
@@ -323,7 +335,7 @@ def _trigrams(ch, c2, least):
     before = ch.second()
     at = np.flatnonzero(before >= 0)
     at = at[c2[before[at]] >= least]
-    keys, inverse = np.unique(pair(ch.bi[ch.edge[before[at]]], ch.words[at]), return_inverse=True)
+    keys, inverse = np.unique(pair(ch.bi[ch.edge[before[at]]], ch.uni[ch.word[at]]), return_inverse=True)
     return keys, (at, inverse)
 
 
