@@ -290,8 +290,9 @@ def _connect(width: int, threshold: int, bands: int, rows: int):
         names = table.column("node").to_pylist()
         h, bounds = _shingles(table.column("text").to_pylist(), width)
         right = [a == b for a, b in zip(_names(h, bounds), names)]  # not another text of the same key
-        pairs = [(-int(s), i, int(o)) for i, others, same in _candidates(table, threshold, bands, rows) for o, s in zip(others, same)]
-        pairs.sort()
+        found = [(np.full(len(o), i, np.int32), o.astype(np.int32), same.astype(np.int32)) for i, o, same in _candidates(table, threshold, bands, rows)]
+        left, right_, same = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int32) for k in range(3))
+        order = np.lexsort((right_, left, -same))
         root = list(range(len(names)))
 
         def find(x):
@@ -304,13 +305,14 @@ def _connect(width: int, threshold: int, bands: int, rows: int):
         for k, r in enumerate(table.column("root").to_pylist()):  # what is connected already
             root[k] = first.setdefault(r, k)
         a, b = [], []
-        for _, i, o in pairs:
+        sizes = np.diff(bounds)
+        close = 100 * np.minimum(sizes[left], sizes[right_]) >= threshold * np.maximum(sizes[left], sizes[right_])
+        for k in order[close[order]]:
+            i, o = int(left[k]), int(right_[k])
             x, y = find(i), find(o)
             if x == y or not (right[i] and right[o]):
                 continue
             s, t = h[bounds[i] : bounds[i + 1]], h[bounds[o] : bounds[o + 1]]
-            if 100 * min(len(s), len(t)) < threshold * max(len(s), len(t)):
-                continue
             both = len(np.intersect1d(s, t, assume_unique=True))
             if both and 100 * both >= threshold * (len(s) + len(t) - both):
                 root[x] = y
