@@ -71,7 +71,7 @@ def _line(i: Column, n: Column, lo: float, hi: float) -> Column:
 def amplitude_bell(i: Column, length: Column, creep: Column, factor: Column, transition: Column) -> Column:
     """What an amplitude anomaly multiplies the base with at local index i."""
     auto = F.greatest(F.lit(1), F.least(F.bround(length * 0.2).cast("long"), F.floor(length / 2).cast("long")))
-    given = F.greatest(F.lit(0), F.least(transition, F.floor(length / 2).cast("long")))
+    given = F.when(transition.isNotNull(), F.greatest(F.lit(0), F.least(transition, F.floor(length / 2).cast("long"))))
     t = F.coalesce(given, auto)
     low = half_bell(F.lit(-3.0))
     up, down = half_bell(_line(i, t, -3.0, 0.0)), half_bell(_line(i - (length - t), t, 0.0, 3.0))
@@ -178,7 +178,7 @@ def _rewritten(inside: DataFrame, scales: DataFrame | None, kinds: set[str], bas
         li = F.when(carried, F.least(F.col("i"), F.col("len") - 1)).otherwise(F.col("i"))
         rows = rows.withColumn("local_trend", F.when(what == "trend", F.coalesce("walk", osc.closed_form(li, tr, kinds=trends))))
         flat = F.col("local_trend") - ((1.0 - alpha) * F.first("local_trend").over(ends) + alpha * F.last("local_trend").over(ends))
-        tlen = F.coalesce(F.greatest(F.lit(0), F.least(F.col("transition"), F.col("len"))), F.greatest(F.lit(1), F.least(F.bround(n * 0.2).cast("long"), F.col("len"))))
+        tlen = F.coalesce(F.when(F.col("transition").isNotNull(), F.greatest(F.lit(0), F.least(F.col("transition"), F.col("len")))), F.greatest(F.lit(1), F.least(F.bround(n * 0.2).cast("long"), F.col("len"))))
         low = half_bell(F.lit(-3.0))
         rise = F.when(li < tlen, half_bell(_line(li.cast("double"), tlen, -3.0, 0.0))).otherwise(1.0)
         rise = F.when(tlen == 0, 1.0).when(tlen == 1, 0.0).otherwise((rise - low) / (1.0 - low))

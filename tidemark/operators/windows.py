@@ -29,7 +29,8 @@ def sliding_rms(df: DataFrame, length: int, keys, value: str = "value", to: str
     w = ordered(keys)
     sums = df.withColumn("__s", F.coalesce(F.sum(F.col(value) * F.col(value)).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
     upto = F.lead(F.col("__s") + F.col(value) * F.col(value), length - 1).over(w)
-    return sums.withColumn(to, F.sqrt(F.greatest(F.lit(0.0), upto - F.col("__s")) / length)).where(F.col(to).isNotNull()).drop("__s")
+    rows = sums.withColumn("__u", upto).where("__u is not null")
+    return rows.withColumn(to, F.sqrt(F.greatest(F.lit(0.0), F.col("__u") - F.col("__s")) / length)).drop("__s", "__u")
 
 
 def sliding_peak(df: DataFrame, length: int, keys, value: str = "value", to: str = "peak") -> DataFrame:
@@ -86,7 +87,7 @@ def reverse(df: DataFrame, keys, value: str = "value", to: str = "reversed") ->
 def resample(df: DataFrame, points: int, keys, value: str = "value", to: str = "resampled") -> DataFrame:
     """Linear interpolation at ``points`` places spread evenly from the first to the last sample."""
     n = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    grid = n.select("*", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).cast("long").alias("t"))
+    grid = n.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(points - 1).cast("long"))).alias("t"))
     at = F.col("t") * (F.col("__n") - 1) / F.lit(float(max(1, points - 1)))
     grid = grid.withColumn("__at", at).withColumn("__lo", F.floor("__at").cast("long")).withColumn("__hi", F.least(F.col("__lo") + 1, F.col("__n") - 1))
     left = df.select(*keys, F.col("t").alias("__lo"), F.col(value).alias("__x"))
