@@ -28,6 +28,7 @@ from __future__ import annotations
 import heapq
 import math
 import re
+from collections import defaultdict
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -38,7 +39,7 @@ from .tokens import mix64
 
 TOKENIZER = "piece_bpe_32k.model"
 K = 3
-BATCH_CHARS = 1 << 21
+BATCH_CHARS = 1 << 22
 PART_WORDS = 1 << 16
 SPACE = "▁"
 _STATE: dict = {}
@@ -147,6 +148,14 @@ class Trie:
         return out
 
 
+def _fold(ids) -> int:
+    """A 64-bit number for a character spelt in bytes."""
+    x = 0
+    for i in ids:
+        x = _mix(x * 0x9E3779B97F4A7C15 + i + 1)
+    return x
+
+
 class Lattices:
     """The lattices of a batch's distinct words, built for all of them at once.
 
@@ -164,7 +173,8 @@ class Lattices:
         order = np.argsort(-n, kind="stable")
         words = [words[k] for k in order.tolist()]
         n = n[order]
-        self.rank = dict(zip(words, range(len(words))))
+        self.rank = np.empty(len(words), np.int32)
+        self.rank[order] = np.arange(len(words), dtype=np.int32)
         most = int(n[0]) if len(n) else 0
         text = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
         ends = np.cumsum(n)
@@ -251,6 +261,36 @@ class Lattices:
         # arcs of every word's default path
         self.path, bounds = self.expand(self.start)
         self.path_at, self.path_len = bounds[:-1].astype(np.int32), np.diff(bounds).astype(np.int32)
+        # what each arc adds to the number of pieces and to a digest
+        size = np.array([1] + [len(x) for x in self.spelt], np.int64)
+        mark = np.array([0] + [_fold(x) for x in self.spelt], np.uint64)
+        spelt = np.maximum(-self.seq, 0)
+        self.pieces = size[spelt]
+        self.code = np.where(spelt > 0, mark[spelt], mix64(self.seq + 1))
+        self.path_pieces, self.path_code = self._words(self.path, bounds)
+
+    def _words(self, arcs, bounds):
+        """Numbers of pieces and codes of words given by their arcs."""
+        if not len(arcs):
+            return np.zeros(len(bounds) - 1, np.int64), np.zeros(len(bounds) - 1, np.uint64)
+        step = np.arange(len(arcs)) - np.repeat(bounds[:-1], np.diff(bounds))
+        return np.add.reduceat(self.pieces[arcs], bounds[:-1]), np.add.reduceat(self.code[arcs] * (2 * step + 1).astype(np.uint64), bounds[:-1])
+
+    def digests(self, kinds, paths) -> list[tuple[int, int]]:
+        """For each segmentation of a text the number of pieces and a 64-bit digest of its pieces word by word.
+
+        The default paths of all words are summed once; each segmentation differs in a few words.
+        """
+        weight = np.arange(1, 2 * len(kinds), 2, dtype=np.uint64)
+        pieces, code = int(self.path_pieces[kinds].sum()), (self.path_code[kinds] * weight).sum() if len(kinds) else np.uint64(0)
+        out = []
+        with np.errstate(over="ignore"):
+            for p in paths:
+                own = kinds[p.words]
+                n, c = self._words(p.arcs, p.at)
+                more = ((c - self.path_code[own]) * weight[p.words]).sum() if len(own) else np.uint64(0)
+                out.append((pieces + int(n.sum() - self.path_pieces[own].sum()), int((code + more).view(np.int64))))
+        return out
 
     def expand(self, nodes, steps=None, more=None):
         """Arcs of the default paths from nodes, one after the other, with bounds.
@@ -297,6 +337,22 @@ def _below(location, bound, u):
         return location - np.log(np.exp(np.minimum(location - bound, 700.0)) - np.log(u))
 
 
+def _mix(x: int) -> int:
+    """``mix64`` of one number."""
+    x &= _M
+    x ^= x >> 33
+    x = x * 0xFF51AFD7ED558CCD & _M
+    x ^= x >> 33
+    x = x * 0xC4CEB9FE1A85EC53 & _M
+    return x ^ x >> 33
+
+
+def _uniform1(key: int, salt: int, at: int) -> float:
+    """``_uniform`` of one draw."""
+    return ((_mix(_mix(key + salt * 0x9E3779B97F4A7C15) + at) >> 11) + 0.5) * 2.0**-53
+
+
+_M = (1 << 64) - 1
 #: A draw's place: the word's number, then the run of choices within the word.
 _RUNS = 1 << 20
 
@@ -350,12 +406,12 @@ def sample_batch(vocab: Vocabulary, trie: Trie, texts, keys, k: int):
     """
     split = vocab.split.findall
     chunks = [split(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
-    fresh: set = set()
-    for c in chunks:
-        fresh.update(c)
-    lat = Lattices(vocab, trie, list(fresh))
-    rank = lat.rank.__getitem__
-    kinds = [np.fromiter(map(rank, c), np.int64, len(c)) for c in chunks]
+    seen: defaultdict = defaultdict()
+    seen.default_factory = seen.__len__  # a word's number is the number of words before it
+    number = seen.__getitem__
+    kinds = [np.fromiter(map(number, c), np.int32, len(c)) for c in chunks]
+    lat = Lattices(vocab, trie, list(seen))
+    kinds = [lat.rank[x] for x in kinds]
     key = np.array([x & 0xFFFFFFFFFFFFFFFF for x in keys], np.uint64)
     found, kappa, at = [], [], 0
     while at < len(kinds):  # parts that fit the cache
@@ -392,7 +448,7 @@ def _emit(lat: Lattices, kinds, key, k: int):
             if node is None:
                 head, first, at = (None, 0, none, 0.0), 0, None
             else:
-                head, first, at = _branch(lat, kinds[d], node, -neg, key[d], e, heaps[d])
+                head, first, at = _branch(lat, kinds[d], node, -neg, int(key[d]), e, heaps[d])
             rest = lat.start[kinds[d][first:]]
             places = np.arange(first, first + len(rest))
             if at is not None and at >= lat.ends:
@@ -402,29 +458,29 @@ def _emit(lat: Lattices, kinds, key, k: int):
             place.append(places)
             gaps.append(len(rest))
         gaps = np.array(gaps)
-        text = np.repeat(np.arange(len(jobs)), gaps)
+        text = np.repeat(np.arange(len(jobs), dtype=np.int32), gaps)
         node, place = np.concatenate(nodes), np.concatenate(place)
         of = key[np.array([j[0] for j in jobs], np.int64)]
         of1, of2, of3 = (_salted(of, 4 * e + k) for k in (1, 2, 3))
         # rows: (item, run, node, log-probability of the outcome, steps kept, arc) with arc -1 for the default path
-        item = np.arange(len(node))
+        item = np.arange(len(node), dtype=np.int32)
         rows, run = [], 0
         while len(item):
             spot = place[item] * _RUNS + run
             u = _uniform(of1[text[item]], spot)
             own = node if run == 0 else node_now
             off = np.flatnonzero(u >= lat.prob[own])
-            kept, arc, logp = np.zeros(len(item), np.int64), np.full(len(item), -1, np.int64), lat.logd[own].copy()
+            kept, arc, logp = np.zeros(len(item), np.int32), np.full(len(item), -1, np.int32), lat.logd[own]
             if len(off):
                 kept[off], arc[off], logp[off] = _leave(lat, own[off], of2[text[item[off]]], spot[off])
-            rows.append((item, np.full(len(item), run), own, logp, kept, arc))
+            rows.append((item, np.full(len(item), run, np.int32), own, logp, kept, arc))
             to = lat.to[arc[off]]
             on = to >= lat.ends
             item, node_now = item[off[on]], to[on]
             run += 1
         r_item, r_run, r_node, r_logp, r_kept, r_arc = (np.concatenate([r[c] for r in rows]) for c in range(6)) if rows else (none, none, none, np.zeros(0), none, none)
         if run > 1:
-            order = np.lexsort((r_run, r_item))
+            order = np.argsort(r_item, kind="stable")  # runs of one item stay in their order
             r_item, r_run, r_node, r_logp, r_kept, r_arc = (x[order] for x in (r_item, r_run, r_node, r_logp, r_kept, r_arc))
         r_text = text[r_item]
         cuts = np.searchsorted(r_text, np.arange(len(jobs) + 1))
@@ -432,8 +488,10 @@ def _emit(lat: Lattices, kinds, key, k: int):
         before = total[:-1] - np.repeat(total[cuts[:-1]], np.diff(cuts)) + np.repeat([h[3] for h in heads], np.diff(cuts))
         bound = np.array([-j[1] for j in jobs])
         # sets that branch off: all outcomes of a row but the one taken
+        other = lat.logr[r_node]
+        left = np.flatnonzero(r_arc >= 0)
         with np.errstate(divide="ignore"):
-            other = np.where(r_arc < 0, lat.logr[r_node], np.log(-np.expm1(np.minimum(r_logp, 0.0))))
+            other[left] = np.log(-np.expm1(np.minimum(r_logp[left], 0.0)))
         at = np.flatnonzero(other > -np.inf)
         g = _below(before[at] + other[at], bound[r_text[at]], _uniform(of3[r_text[at]], place[r_item[at]] * _RUNS + r_run[at]))
         at_cuts = np.searchsorted(r_text[at], np.arange(len(jobs) + 1))
@@ -475,7 +533,7 @@ def _default(lat: Lattices, node: int, steps: int) -> list[int]:
     return out
 
 
-def _branch(lat: Lattices, kinds, node, bound: float, key, e: int, heap):
+def _branch(lat: Lattices, kinds, node, bound: float, key: int, e: int, heap):
     """Takes the best outcome of a set and puts what is left of the set back on the heap.
 
     A set is (path, word, lattice node, outcomes taken, log weight of the node's set). Returns
@@ -493,15 +551,17 @@ def _branch(lat: Lattices, kinds, node, bound: float, key, e: int, heap):
         logp += own[best - first]
         now, kept = int(lat.to[best]), kept + 1
     outcomes = [o for o in outcomes if o[0] not in banned]
-    q = np.exp([o[1] for o in outcomes])
-    spot = np.array([word * _RUNS + len(banned)])
-    salted = _salted(np.array([key]), 4 * e)
-    u = _uniform(salted, spot)
-    pick = int(min(len(q) - 1, np.searchsorted(np.cumsum(q), u[0] * q.sum())))
+    q = [math.exp(o[1]) for o in outcomes]
+    mass, spot = sum(q), word * _RUNS + len(banned)
+    want, pick = _uniform1(key, 4 * e, spot) * mass, 0
+    while pick < len(q) - 1 and want >= q[pick]:
+        want -= q[pick]
+        pick += 1
     outcome, lp = outcomes[pick]
-    rest = float(q.sum() - q[pick])
+    rest = mass - q[pick]
     if len(q) > 1 and rest > 0:
-        g = float(_below(loc + math.log(rest), bound, _uniform(salted, spot + (np.int64(1) << np.int64(50))))[0])
+        at_ = loc + math.log(rest)
+        g = at_ - math.log(math.exp(min(at_ - bound, 700.0)) - math.log(_uniform1(key, 4 * e, spot + (1 << 50))))
         heapq.heappush(heap, (-g, (e << 40), (path, word, at, (*banned, outcome), loc)))
     # arcs of the branching word before this node
     k = int(np.searchsorted(path.words, word))
@@ -618,16 +678,18 @@ def _encode(model: bytes, k: int, with_ids: bool):
                 lat, kinds, found, kappa, z = sample_batch(vocab, trie, [t or "" for t in texts], b.column("__key").to_pylist(), k)
                 rows, rank, ids, pieces, logp, score, incl, same, digest = [], [], [], [], [], [], [], [], []
                 for d, paths in enumerate(found):
+                    digests = lat.digests(kinds[d], paths)
                     for r, p in enumerate(paths):
-                        own = ids_of(lat, path_arcs(lat, kinds[d], p))
+                        own = ids_of(lat, path_arcs(lat, kinds[d], p)) if with_ids or not r else None
+                        count, code = digests[r]
                         rows.append(d)
                         rank.append(r + 1)
-                        pieces.append(len(own))
+                        pieces.append(count)
                         logp.append(p.logp)
                         score.append(p.score)
                         incl.append(1.0 if kappa[d] == -math.inf else -math.expm1(-math.exp(min(700.0, p.logp - kappa[d]))))
                         same.append(decode_ids(own.tolist(), vocab.raw) == (texts[d] or "") if not r else None)
-                        digest.append(int(np.add.reduce(mix64(own.astype(np.uint64) + (np.arange(len(own), dtype=np.uint64) << np.uint64(20)))).view(np.int64)) if len(own) else 0)
+                        digest.append(code)
                         if with_ids:
                             ids.append(own.astype(np.int32))
                 take = b.drop_columns(["__text", "__key"]).take(pa.array(rows, pa.int64()))
