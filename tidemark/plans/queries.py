@@ -121,7 +121,7 @@ def _events(spark, sf_dir):
     return {f"c{c}": rows.where(F.col("channel") == c).select("t", "value") for c in range(5)}
 
 
-_EV = "e as (select dense_rank() over (order by event_type) - 1 as channel, row_number() over (partition by event_type order by ts, event_id) - 1 as t, value as base from events)"
+_EV = "e as (select (dense_rank() over (order by event_type) - 1)::INTEGER as channel, row_number() over (partition by event_type order by ts, event_id) - 1 as t, value as base from events)"
 _CUSTOM = [{"kind": "custom-input", "input": f"c{c}"} for c in range(5)]
 _BIG = 10**7
 add("bo_custom_events", lambda s, d: tables.event_channels(s.read.parquet(f"{d}/events.parquet")).select("channel", "t", r6(F.col("value")).alias("value")), f"with {_EV} select channel, t, {q6('base')} as value from e")
@@ -143,7 +143,7 @@ def var_shared_noise(spark, sf_dir):
 
 
 add("var_shared_noise", var_shared_noise, f"""with x as (select c as channel, t, {sql_normal(_key, "'noise'", 'c', 't')} * case when c = 0 then 0.2::DOUBLE else 0.3::DOUBLE end as n, {sql_normal(str(SEED), "'shared'", "'q'", "'test'", 't')} as z
-  from (select range as t from range({N})), (select range as c from range(2)))
+  from (select range as t from range({N})), (select range::INTEGER as c from range(2)))
 select channel, t, {q6("0.8::DOUBLE * (n - avg(n) over p) + 0.6::DOUBLE * (z - avg(z) over p) / stddev_pop(z) over p * stddev_pop(n) over p + avg(n) over p")} as noise from x window p as (partition by channel)""")
 
 # --- anomalies ----------------------------------------------------------------------------------
@@ -299,7 +299,7 @@ def _orders_events(spark):
     return spark.createDataFrame([(0, 0, 10, 40), (0, 1, 35, 60), (1, 0, 5, 6), (2, 0, 100, 300), (3, 0, 0, 50)], "channel long, event long, start long, end long")
 
 
-_EVENTS = "ev(channel, event, s, e) as (values (0, 0, 10, 40), (0, 1, 35, 60), (1, 0, 5, 6), (2, 0, 100, 300), (3, 0, 0, 50))"
+_EVENTS = "ev as (select channel, event::BIGINT as event, s::BIGINT as s, e::BIGINT as e from (values (0, 0, 10, 40), (0, 1, 35, 60), (1, 0, 5, 6), (2, 0, 100, 300), (3, 0, 0, 50)) v(channel, event, s, e))"
 add("lb_points", lambda s, d: lb.point_labels(_ev(s, d).select("channel", "t"), _orders_events(s), _K).select("channel", "t", "label"),
     f"with {_EV}, {_EVENTS} select channel, t, case when exists (select 1 from ev where ev.channel = e.channel and t >= ev.s and t < ev.e) then 1 else 0 end as label from e")
 
