@@ -12,14 +12,18 @@ from pyspark.sql import SparkSession
 
 _ROOT = Path(__file__).resolve().parent
 _SHIPPED: set[str] = set()
+ARROW_ROWS = 1000
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the Python workers once per Spark application.
+    """Send this package to the Python workers once per Spark application, and bound the rows of an Arrow batch.
 
     The archive is served by the driver's file server, so executors need no
     shared folder and no installation.
     """
+    # texts are long: Spark's 10,000 rows in an Arrow batch would take too much of an executor
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ARROW_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return
