@@ -35,6 +35,9 @@ MU = 4.0
 DISCOUNT = 0.6
 BATCH_ROWS = 256
 CHUNK_TOKENS = 1_500_000
+GAIN = 64
+#: Keys of two and three words have so many bits more than the number of words has, up to 64: about one key in 2 ** 24 is shared by chance.
+SPARE_BITS = 24
 
 
 def pair(a, b):
@@ -58,7 +61,7 @@ def _load(batches):
         ids, held, counts, words = (np.concatenate([g[k] for g in got]) for k in range(4))
         null = np.concatenate([g[4] for g in got])
         uni, word = np.unique(words, return_inverse=True)
-        cols = {"part": [part], "no": [no], "ids": [ids.tobytes()], "nulls": [null.tobytes()], "held": [held.tobytes()], "counts": [counts.tobytes()], "uni": [uni.tobytes()], "word": [_planes(word.astype(np.uint32))]}
+        cols = {"part": [part], "no": [no], "ids": [ids.tobytes()], "nulls": [null.tobytes()], "held": [held.tobytes()], "counts": [counts.tobytes()], "uni": [_planes(_deltas(uni))], "word": [_planes(word.astype(np.uint32))], "n": [len(words)]}
         return pa.RecordBatch.from_pydict(cols)
 
     for whole in batches:
@@ -84,10 +87,11 @@ class Chunk:
     and occurs as often as there are texts.
     """
 
-    def __init__(self, row):
+    def __init__(self, row, mask: int):
+        self.mask = np.uint64(mask)
         self.at = row[0], row[1]
         self.ids, self.nulls, self.held = np.frombuffer(row[2], np.int64), np.frombuffer(row[3], bool), np.frombuffer(row[4], bool)
-        self.counts, self.uni = np.frombuffer(row[5], np.int64), np.frombuffer(row[6], np.uint64)
+        self.counts, self.uni = np.frombuffer(row[5], np.int64), np.cumsum(_unplanes(row[6], np.uint64), dtype=np.uint64)
         self.word = _unplanes(row[7], np.uint32).astype(np.int32)
         n = len(self.word)
         self.train = np.repeat(~self.held, self.counts)
@@ -97,7 +101,7 @@ class Chunk:
         self.state = np.empty(n, np.int32)
         self.state[1:] = self.word[:-1]
         self.state[self.starts] = np.searchsorted(self.uni, np.uint64(END))
-        self.bi, edge = np.unique(pair(self.uni[self.state], self.uni[self.word]), return_inverse=True)
+        self.bi, edge = np.unique(pair(self.uni[self.state], self.uni[self.word]) & self.mask, return_inverse=True)
         self.edge = edge.astype(np.int32)
 
     def summed(self, index, n, weights=None):
@@ -119,6 +123,18 @@ def _planes(x: np.ndarray) -> bytes:
     return zlib.compress(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T.tobytes(), 1) if len(x) else b""
 
 
+def _deltas(keys: np.ndarray) -> np.ndarray:
+    """Differences of sorted keys."""
+    out = keys.copy()
+    out[1:] = keys[1:] - keys[:-1]
+    return out
+
+
+def _fixed(x: np.ndarray) -> np.ndarray:
+    """Sums of gains as whole multiples of 1 / GAIN, which pack better."""
+    return np.clip(np.rint(x * GAIN), -(2**31) + 1, 2**31 - 1).astype(np.int32)
+
+
 def _unplanes(b: bytes, kind) -> np.ndarray:
     if not b:
         return np.zeros(0, kind)
@@ -135,10 +151,7 @@ def _send(at: tuple[int, int], tables, owners: int):
     for o in range(owners):
         blobs = []
         for (keys, sums), c in zip(tables, cuts):
-            k = keys[c[o] : c[o + 1]]
-            delta = k.copy()
-            delta[1:] = k[1:] - k[:-1]
-            blobs.append((_planes(delta), _planes(sums[c[o] : c[o + 1]])))
+            blobs.append((_planes(_deltas(keys[c[o] : c[o + 1]])), _planes(sums[c[o] : c[o + 1]])))
         if o == sum(at) % owners or any(b[0] for b in blobs):  # every chunk gets an answer
             yield o, (at, blobs)
 
@@ -256,8 +269,11 @@ def score_texts(
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), held.alias("held"))
     schema = f"{id_col} long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, depth1 long, depth2 long"
     # words as numbers, about half the size of the texts; all rounds read this table
-    words = cut(rows.mapInArrow(_load, "part long, no long, ids binary, nulls binary, held binary, counts binary, uni binary, word binary"))
-    base = words.rdd
+    words = cut(rows.mapInArrow(_load, "part long, no long, ids binary, nulls binary, held binary, counts binary, uni binary, word binary, n long"))
+    tokens = words.agg(F.sum("n")).first()[0] or 0
+    bits = min(64, int(tokens).bit_length() + SPARE_BITS)
+    mask = (1 << 64) - (1 << (64 - bits))
+    base = words.drop("n").rdd
     chunks = base.getNumPartitions()
     if not chunks:
         return spark.createDataFrame([], schema)
@@ -266,7 +282,7 @@ def score_texts(
     model = Model(min_context, divergence, mu, discount)
 
     def ask_counts(row):
-        ch = Chunk(row)
+        ch = Chunk(row, mask)
         return _send(ch.at, [(ch.uni, ch.summed(ch.word, len(ch.uni)).astype(np.uint32)), (ch.bi, ch.summed(ch.edge, len(ch.bi)).astype(np.uint32))], owners)
 
     kinds = [np.uint32] * 2
@@ -283,34 +299,35 @@ def score_texts(
 
     def ask_second(item):
         row, a = item
-        ch = Chunk(row)
+        ch = Chunk(row, mask)
         _, c2, n1, root = model.first(ch, a)
         gain = np.where(ch.train, _gain(np.maximum(c2, 1), np.maximum(n1, 1), root, model.mu), 0)
-        sums = ch.summed(ch.state, len(ch.uni), gain).astype(np.float32)
+        use = a[0] >= model.m  # rarer contexts are never kept
+        sums = _fixed(ch.summed(ch.state, len(ch.uni), gain)[use])
         keys, tri = _trigrams(ch, c2, model.m)
-        return _send(ch.at, [(ch.uni, sums), (keys, ch.summed_at(tri, len(keys)))], owners)
+        return _send(ch.at, [(ch.uni[use], sums), (keys, ch.summed_at(tri, len(keys)))], owners)
 
-    kinds2, answers2 = [np.float32, np.uint32], [np.float32, np.uint32]
+    kinds2, answers2 = [np.int32, np.uint32], [np.int32, np.uint32]
     _, r2 = _exchange(_zip(chunked, r1).flatMap(ask_second), owners, chunks, kinds2, answers2)
 
     def ask_third(item):
         (row, a), b = item
-        ch = Chunk(row)
+        ch = Chunk(row, mask)
         tri = Third(ch, a, b, model)
         # for each context of two words (an edge), the gain of its training occurrences
         sums = np.bincount(tri.context[tri.train], tri.gain[tri.train], len(ch.bi))
         use = np.bincount(tri.context, minlength=len(ch.bi)) > 0
-        return _send(ch.at, [(ch.bi[use], sums[use].astype(np.float32))], owners)
+        return _send(ch.at, [(ch.bi[use], _fixed(sums[use]))], owners)
 
-    _, r3 = _exchange(_zip(chunked, r1, r2).flatMap(ask_third), owners, chunks, [np.float32], [np.float32])
+    _, r3 = _exchange(_zip(chunked, r1, r2).flatMap(ask_third), owners, chunks, [np.int32], [np.int32])
 
     def result(item):
         ((row, a), b), c = item
-        ch = Chunk(row)
+        ch = Chunk(row, mask)
         tri = Third(ch, a, b, model)
         use = np.bincount(tri.context, minlength=len(ch.bi)) > 0
         gains = np.zeros(len(ch.bi))
-        gains[use] = c[0]
+        gains[use] = c[0] / GAIN
         p = tri.parent.copy()
         deep = (gains >= model.d)[tri.context]
         at = tri.at[deep]
@@ -335,7 +352,7 @@ def _trigrams(ch, c2, least):
     before = ch.second()
     at = np.flatnonzero(before >= 0)
     at = at[c2[before[at]] >= least]
-    keys, inverse = np.unique(pair(ch.bi[ch.edge[before[at]]], ch.uni[ch.word[at]]), return_inverse=True)
+    keys, inverse = np.unique(pair(ch.bi[ch.edge[before[at]]], ch.uni[ch.word[at]]) & ch.mask, return_inverse=True)
     return keys, (at, inverse)
 
 
@@ -352,7 +369,9 @@ class Third:
 
     def __init__(self, ch, a, b, model):
         _, c2, _, _ = model.first(ch, a)
-        self.kept = (b[0][ch.state] >= model.d) & (a[0][ch.state] >= model.m)
+        gains = np.full(len(ch.uni), -np.inf)
+        gains[a[0] >= model.m] = b[0] / GAIN
+        self.kept = gains[ch.state] >= model.d
         self.parent = model.one(ch, a, self.kept)
         _, (self.at, inverse) = _trigrams(ch, c2, model.m)
         before = ch.second()[self.at]
