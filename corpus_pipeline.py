@@ -17,8 +17,7 @@ from tidemark.runtime import checkpoint_dir
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below one half."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return toxic.classify(docs, labels, keep=docs.columns).where("predicted = 0").select(*docs.columns)
+    return toxic.drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -100,4 +100,5 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``df`` that stay, with its own columns; rows repeated in identifier and text are reduced to one."""
-    return exact_groups(df, id_col, text_col, carry=df.columns).where("kept").select(*df.columns)
+    rows = df.select(id_col, text_col, F.struct(*df.columns).alias("__row"))
+    return exact_groups(rows, id_col, text_col, carry=["__row"]).where("kept").select("__row.*")

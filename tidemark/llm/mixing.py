@@ -158,6 +158,7 @@ def mix(
 
 def mixed_rows(df: DataFrame, **options) -> DataFrame:
     """The rows of ``df``, every one once and with its own columns, in the order of the mix."""
-    out = mix(df, carry=df.columns, **options)
+    rows = df.select(options.get("id_col", "doc_id"), options.get("source_col", "source"), F.struct(*df.columns).alias("__row"))
+    out = mix(rows, carry=["__row"], **options)
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return out.repartitionByRange(parts, "position").sortWithinPartitions("position").select(*df.columns)
+    return out.repartitionByRange(parts, "position").sortWithinPartitions("position").select("__row.*")

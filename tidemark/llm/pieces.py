@@ -484,8 +484,14 @@ def _emit(lat: Lattices, kinds, key, k: int):
             r_item, r_run, r_node, r_logp, r_kept, r_arc = (x[order] for x in (r_item, r_run, r_node, r_logp, r_kept, r_arc))
         r_text = text[r_item]
         cuts = np.searchsorted(r_text, np.arange(len(jobs) + 1))
-        total = np.concatenate(([0.0], np.cumsum(r_logp)))
-        before = total[:-1] - np.repeat(total[cuts[:-1]], np.diff(cuts)) + np.repeat([h[3] for h in heads], np.diff(cuts))
+        before, total = np.empty(len(r_logp)), np.zeros(len(jobs))  # by text, so that rounding does not depend on its neighbours
+        for j in range(len(jobs)):
+            lo, hi = cuts[j], cuts[j + 1]
+            if hi > lo:
+                upto = np.cumsum(r_logp[lo:hi])
+                total[j] = upto[-1]
+                before[lo] = heads[j][3]
+                before[lo + 1 : hi] = heads[j][3] + upto[:-1]
         bound = np.array([-j[1] for j in jobs])
         # sets that branch off: all outcomes of a row but the one taken
         other = lat.logr[r_node]
@@ -508,7 +514,7 @@ def _emit(lat: Lattices, kinds, key, k: int):
             starts = np.flatnonzero(o_first[x:y]) + x
             fresh_words, fresh_at, fresh_arcs = o_place[starts], np.append(o_at[starts], o_at[y]) - o_at[x], o_arcs[o_at[x] : o_at[y]]
             words, bounds, arcs = _join(lat, heads[j], fresh_words, fresh_at, fresh_arcs)
-            path = Found(words, bounds, arcs, float(total[hi] - total[lo]) + heads[j][3], -neg)
+            path = Found(words, bounds, arcs, float(total[j]) + heads[j][3], -neg)
             found[d].append(path)
             a, b = at_cuts[j], at_cuts[j + 1]
             want = k - e  # no more branches than that can still come out, kappa included

@@ -132,7 +132,7 @@ def _measure(model):
                 f, bounds = _features(b.column("text").to_pylist())
                 v = _values(f, w)
                 best = [max([s for _, _, s in segments(v[bounds[k] : bounds[k + 1]])], default=0.0) for k in range(b.num_rows)]
-                sums = [sum(s for _, _, s in segments(v[bounds[k] : bounds[k + 1]])) for k in range(b.num_rows)]
+                sums = [float(sum(s for _, _, s in segments(v[bounds[k] : bounds[k + 1]]))) for k in range(b.num_rows)]
                 yield pa.RecordBatch.from_pydict({"n": np.diff(bounds), "best": best, "total": sums, "y": b.column("__y")})
 
     return run
@@ -184,7 +184,7 @@ def fit(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: str
     return model | {"a": a, "b": max(b, 1e-6)}
 
 
-def _score(model, text: str):
+def _score(model, text: str, names):
     def run(batches):
         import pyarrow as pa
 
@@ -203,13 +203,13 @@ def _score(model, text: str):
                     spans.append([{"start": s, "end": e, "score": z} for s, e, z in kept])
                     scores.append(1 / (1 + math.exp(-max(-30.0, min(30.0, model["a"] + model["b"] * x)))))
                 rest = b.drop_columns(["__text"]) if text == "__text" else b
-                yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(scores, pa.float64()), pa.array(spans, kind)], [*rest.schema.names, "score", "passages"])
+                yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(scores, pa.float64()), pa.array(spans, kind)], [*rest.schema.names, *names])
 
     return run
 
 
-def score(docs: DataFrame, model: dict, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """``keep`` columns (all by default) with ``score`` and ``passages`` (start and end in words, log-odds).
+def score(docs: DataFrame, model: dict, text_col: str = "text", keep: list[str] | None = None, names: tuple[str, str] = ("score", "passages")) -> DataFrame:
+    """``keep`` columns (all by default) with the score and the passages (start and end in words, log-odds), under ``names``.
 
     Null and empty texts have no words: they get the score of a text without evidence and
     no passage. Rows are judged one by one, so repeats and other columns change nothing.
@@ -217,11 +217,11 @@ def score(docs: DataFrame, model: dict, text_col: str = "text", keep: list[str]
     from pyspark.sql import types as T
 
     ship(docs.sparkSession)
-    names = docs.columns if keep is None else keep
-    extra = [] if text_col in names else [F.col(text_col).alias("__text")]
-    rows = docs.select(*names, *extra)
-    schema = T.StructType(rows.schema.fields[: len(names)]).add("score", "double").add("passages", T.DataType.fromDDL("array<struct<start:bigint,end:bigint,score:double>>"))
-    return rows.mapInArrow(_score(model, "__text" if extra else text_col), schema)
+    kept = docs.columns if keep is None else keep
+    extra = [] if text_col in kept else [F.col(text_col).alias("__text")]
+    rows = docs.select(*kept, *extra)
+    schema = T.StructType(rows.schema.fields[: len(kept)]).add(names[0], "double").add(names[1], T.DataType.fromDDL("array<struct<start:bigint,end:bigint,score:double>>"))
+    return rows.mapInArrow(_score(model, "__text" if extra else text_col, names), schema)
 
 
 def held_out(id_col: str = "doc_id", folds: int = 5) -> Column:
@@ -234,3 +234,10 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     model = fit(docs, train_rows(labels.where(~held_out(id_col)), id_col), id_col, text_col)
     out = score(docs, model, text_col, keep or [id_col])
     return out.withColumn("held_out", held_out(id_col)).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that are not predicted as toxic, with their own columns; learns as ``classify`` does."""
+    model = fit(docs, train_rows(labels.where(~held_out(id_col)), id_col), id_col, text_col)
+    out = score(docs, model, text_col, names=("__score", "__passages"))
+    return out.where("__score < 0.5").select(*docs.columns)
