@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import io
 import os
 import tempfile
@@ -51,6 +52,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut(df):
-    """Cut the lineage of ``df`` by a reliable checkpoint in the shared folder."""
+    """Cut the lineage of ``df`` by a reliable checkpoint in the shared folder.
+
+    Before that, the driver collects its garbage, so that Spark removes the shuffle files of
+    steps whose lineage was cut earlier and to which nothing refers any more.
+    """
     checkpoint_dir(df.sparkSession)
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
     return df.checkpoint(eager=True)
