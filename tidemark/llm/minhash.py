@@ -237,10 +237,9 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
-def _candidates(table, threshold: int, bands: int, rows: int):
+def _candidates(table, sig, threshold: int, bands: int, rows: int):
     """Pairs (i, j, matches) of a group that lie in different components, may reach the threshold by signature, and share no earlier band."""
     n = table.num_rows
-    sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint32).reshape(n, -1)
     code = {r: k for k, r in enumerate(dict.fromkeys(table.column("root").to_pylist()))}
     comp = np.array([code[r] for r in table.column("root").to_pylist()])
     part, crossed = table.column("part").to_numpy(), table.column("crossed")[0].as_py()
@@ -248,7 +247,7 @@ def _candidates(table, threshold: int, bands: int, rows: int):
     j = threshold / 100
     least = max(1.0, sig.shape[1] * (j - SLACK * (j * (1 - j) / sig.shape[1]) ** 0.5))
     keys = _band_keys(sig, bands, rows)
-    own = int(np.flatnonzero((keys == np.frombuffer(band, np.int64)[0]).all(axis=0))[0])
+    own = int(np.flatnonzero((keys == np.frombuffer(band, np.int64)[0]).any(axis=0))[0])
     at = np.arange(n)
     for i in range(n):
         others = at[(comp != comp[i]) & (at > i)]
@@ -273,10 +272,11 @@ def _open(threshold: int, bands: int, rows: int):
         import pyarrow as pa
 
         use = np.zeros(table.num_rows, bool)
-        for i, others, _ in _candidates(table, threshold, bands, rows):
+        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint32).reshape(table.num_rows, -1)
+        for i, others, _ in _candidates(table, sig, threshold, bands, rows):
             use[i] = True
             use[others] = True
-        return table.select(["band", "x", "y", "node", "root", "sig", "part", "crossed"]).filter(pa.array(use))
+        return table.select(["band", "x", "y", "node", "root", "part", "crossed"]).filter(pa.array(use))
 
     return run
 
@@ -290,7 +290,7 @@ def _connect(width: int, threshold: int, bands: int, rows: int):
         names = table.column("node").to_pylist()
         h, bounds = _shingles(table.column("text").to_pylist(), width)
         right = [a == b for a, b in zip(_names(h, bounds), names)]  # not another text of the same key
-        found = [(np.full(len(o), i, np.int32), o.astype(np.int32), same.astype(np.int32)) for i, o, same in _candidates(table, threshold, bands, rows)]
+        found = [(np.full(len(o), i, np.int32), o.astype(np.int32), same.astype(np.int32)) for i, o, same in _candidates(table, signatures(h, bounds, bands * rows), threshold, bands, rows)]
         left, right_, same = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int32) for k in range(3))
         order = np.lexsort((right_, left, -same))
         root = list(range(len(names)))
@@ -338,11 +338,11 @@ def _left_apart(members: DataFrame, nodes: DataFrame, roots: DataFrame, texts: D
     other = open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     lo, hi = F.least("part", "other"), F.greatest("part", "other")
     grouped = other.select("band", lo.alias("x"), hi.alias("y"), "node", "root", "sig", "part", (F.col("part") != F.col("other")).alias("crossed"))
-    schema = "band long, x int, y int, node binary, root binary, sig binary, part int, crossed boolean"
+    schema = "band long, x int, y int, node binary, root binary, part int, crossed boolean"
     asked = grouped.groupBy("band", "x", "y").applyInArrow(_open(threshold, bands, rows), schema)
     asked = asked.join(nodes.select("node", "rep"), "node").join(texts.select(F.col("key").alias("rep"), "text"), "rep")
     # rows of one node and text may repeat (rows equal in identifier and text); once is enough
-    asked = asked.select("band", "x", "y", "node", "root", "sig", "part", "crossed", "text")
+    asked = asked.select("band", "x", "y", "node", "root", "part", "crossed", "text")
     return asked.groupBy("band", "x", "y").applyInArrow(_connect(width, threshold, bands, rows), "leader binary, member binary")
 
 
