@@ -39,7 +39,7 @@ from .tokens import mix64
 
 TOKENIZER = "piece_bpe_32k.model"
 K = 3
-BATCH_CHARS = 1 << 22
+BATCH_CHARS = 1 << 21
 PART_WORDS = 1 << 16
 SPACE = "▁"
 _STATE: dict = {}
@@ -261,20 +261,17 @@ class Lattices:
         # arcs of every word's default path
         self.path, bounds = self.expand(self.start)
         self.path_at, self.path_len = bounds[:-1].astype(np.int32), np.diff(bounds).astype(np.int32)
-        # what each arc adds to the number of pieces and to a digest
-        size = np.array([1] + [len(x) for x in self.spelt], np.int64)
-        mark = np.array([0] + [_fold(x) for x in self.spelt], np.uint64)
-        spelt = np.maximum(-self.seq, 0)
-        self.pieces = size[spelt]
-        self.code = np.where(spelt > 0, mark[spelt], mix64(self.seq + 1))
+        # what a piece (or a character spelt in bytes, counted from the end) adds to the number of pieces and to a digest
+        self.pieces = np.array([1] * len(vocab.surface) + [len(x) for x in reversed(self.spelt)], np.int64)
+        self.code = np.concatenate((mix64(np.arange(1, len(vocab.surface) + 1)), np.array([_fold(x) for x in reversed(self.spelt)], np.uint64)))
         self.path_pieces, self.path_code = self._words(self.path, bounds)
 
     def _words(self, arcs, bounds):
         """Numbers of pieces and codes of words given by their arcs."""
         if not len(arcs):
             return np.zeros(len(bounds) - 1, np.int64), np.zeros(len(bounds) - 1, np.uint64)
-        step = np.arange(len(arcs)) - np.repeat(bounds[:-1], np.diff(bounds))
-        return np.add.reduceat(self.pieces[arcs], bounds[:-1]), np.add.reduceat(self.code[arcs] * (2 * step + 1).astype(np.uint64), bounds[:-1])
+        step, seq = np.arange(len(arcs)) - np.repeat(bounds[:-1], np.diff(bounds)), self.seq[arcs]
+        return np.add.reduceat(self.pieces[seq], bounds[:-1]), np.add.reduceat(self.code[seq] * (2 * step + 1).astype(np.uint64), bounds[:-1])
 
     def digests(self, kinds, paths) -> list[tuple[int, int]]:
         """For each segmentation of a text the number of pieces and a 64-bit digest of its pieces word by word.
