@@ -36,8 +36,8 @@ DISCOUNT = 0.6
 BATCH_ROWS = 256
 CHUNK_TOKENS = 1_500_000
 GAIN = 64
-#: Keys of two and three words have so many bits more than the number of words has, up to 64: about one key in 2 ** 24 is shared by chance.
-SPARE_BITS = 24
+#: Keys of two and three words have so many bits; of 2 ** n distinct keys about one in 2 ** (52 - n) is shared by chance.
+KEY_BITS = 52
 
 
 def pair(a, b):
@@ -61,7 +61,7 @@ def _load(batches):
         ids, held, counts, words = (np.concatenate([g[k] for g in got]) for k in range(4))
         null = np.concatenate([g[4] for g in got])
         uni, word = np.unique(words, return_inverse=True)
-        cols = {"part": [part], "no": [no], "ids": [ids.tobytes()], "nulls": [null.tobytes()], "held": [held.tobytes()], "counts": [counts.tobytes()], "uni": [_planes(_deltas(uni))], "word": [_planes(word.astype(np.uint32))], "n": [len(words)]}
+        cols = {"part": [part], "no": [no], "ids": [ids.tobytes()], "nulls": [null.tobytes()], "held": [held.tobytes()], "counts": [counts.tobytes()], "uni": [_planes(_deltas(uni))], "word": [_planes(word.astype(np.uint32))]}
         return pa.RecordBatch.from_pydict(cols)
 
     for whole in batches:
@@ -142,7 +142,7 @@ def _unplanes(b: bytes, kind) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(zlib.decompress(b), np.uint8).reshape(size, -1).T).view(kind).ravel()
 
 
-def _send(at: tuple[int, int], tables, owners: int):
+def _send(at: tuple[int, int], tables, owners: int, known: bool = False):
     """(owner, (chunk, blobs)) for every owner; a chunk is a partition and a number in it. ``tables``: (sorted keys, sums) pairs."""
     cuts = []
     for keys, _ in tables:
@@ -151,8 +151,8 @@ def _send(at: tuple[int, int], tables, owners: int):
     for o in range(owners):
         blobs = []
         for (keys, sums), c in zip(tables, cuts):
-            blobs.append((_planes(_deltas(keys[c[o] : c[o + 1]])), _planes(sums[c[o] : c[o + 1]])))
-        if o == sum(at) % owners or any(b[0] for b in blobs):  # every chunk gets an answer
+            blobs.append((b"" if known and not blobs else _planes(_deltas(keys[c[o] : c[o + 1]])), _planes(sums[c[o] : c[o + 1]])))
+        if o == sum(at) % owners or any(b[1] for b in blobs):  # every chunk gets an answer
             yield o, (at, blobs)
 
 
@@ -172,12 +172,28 @@ def _totals(messages, kinds):
     return out
 
 
-def _exchange(sent, owners: int, chunks: int, kinds, answers):
-    """Totals for every chunk, in the order of its keys, as an RDD with the partitions and items of the chunks."""
+def _number(k):
+    return k
+
+
+def _exchange(sent, owners: int, chunks: int, kinds, answers, known=None, about=None):
+    """Totals for every chunk, in the order of its keys, as an RDD with the partitions and items of the chunks.
+
+    ``known`` (the messages of an earlier round, by owner) saves sending the keys of the first
+    table again: its sums then stand for the keys of that round's table number ``about[0]`` whose
+    totals are ``about[1]`` at least, which both sides know.
+    """
+
+    again = known is not None
 
     def own(owner, items):
-        messages = sorted((m for _, m in items), key=lambda m: m[0])
-        tables = _totals(messages, kinds)
+        if not again:
+            messages = sorted((m for _, m in items), key=lambda m: m[0])
+            tables = _totals(messages, kinds)
+        else:
+            before, now = next(iter(items), ([], []))
+            messages = sorted((m for _, m in now), key=lambda m: m[0])
+            tables = [_again(before, messages, *about, kinds[0])] + _totals([(c, b[1:]) for c, b in messages], kinds[1:])
         for k, (c, _) in enumerate(messages):
             yield c[0], (c[1], owner, [_planes(sums[where[k][1]].astype(a)) for (_, sums, where), a in zip(tables, answers)])
 
@@ -189,11 +205,32 @@ def _exchange(sent, owners: int, chunks: int, kinds, answers):
             parts = sorted(got.pop(no))
             yield [np.concatenate([_unplanes(v[1][t], a) for v in parts]) for t, a in enumerate(answers)]
 
-    owned = sent.partitionBy(owners, lambda k: k)
-    back = owned.mapPartitionsWithIndex(own).partitionBy(chunks, lambda k: k)
+    owned = sent.partitionBy(owners, _number)
+    both = owned if known is None else _all(known).zip(_all(owned))
+    back = both.mapPartitionsWithIndex(own).partitionBy(chunks, _number)
     return owned, _single(back.mapPartitions(join))
 
 
+def _all(rdd):
+    """One item for each partition: the list of its items."""
+    return _single(rdd.mapPartitions(lambda items: [list(items)]))
+
+
+def _again(before, messages, table: int, least: int, kind):
+    """Like a table of ``_totals``, for sums that come without keys (see ``_exchange``)."""
+    first = sorted((m for _, m in before), key=lambda m: m[0])
+    keys, totals, where = _totals([(c, b[table : table + 1]) for c, b in first], [np.uint32])[0]
+    sums, own = np.zeros(len(keys)), {}
+    for c, at in where:
+        own[c] = at[totals[at] >= least]
+    out = []
+    for c, b in messages:
+        at = own.get(c, np.zeros(0, np.int64))
+        sums[at] += _unplanes(b[0][1], kind)  # a chunk has a key once
+        out.append((c, at))
+    return keys, sums, out
+
+
 def _single(rdd):
     """The same items, pickled one by one: such RDDs are zipped without another pass through Python."""
     return rdd._reserialize(BatchedSerializer(CPickleSerializer(), 1))
@@ -269,11 +306,9 @@ def score_texts(
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), held.alias("held"))
     schema = f"{id_col} long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, depth1 long, depth2 long"
     # words as numbers, about half the size of the texts; all rounds read this table
-    words = cut(rows.mapInArrow(_load, "part long, no long, ids binary, nulls binary, held binary, counts binary, uni binary, word binary, n long"))
-    tokens = words.agg(F.sum("n")).first()[0] or 0
-    bits = min(64, int(tokens).bit_length() + SPARE_BITS)
-    mask = (1 << 64) - (1 << (64 - bits))
-    base = words.drop("n").rdd
+    words = cut(rows.mapInArrow(_load, "part long, no long, ids binary, nulls binary, held binary, counts binary, uni binary, word binary"))
+    mask = (1 << 64) - (1 << (64 - KEY_BITS))
+    base = words.rdd
     chunks = base.getNumPartitions()
     if not chunks:
         return spark.createDataFrame([], schema)
@@ -305,10 +340,10 @@ def score_texts(
         use = a[0] >= model.m  # rarer contexts are never kept
         sums = _fixed(ch.summed(ch.state, len(ch.uni), gain)[use])
         keys, tri = _trigrams(ch, c2, model.m)
-        return _send(ch.at, [(ch.uni[use], sums), (keys, ch.summed_at(tri, len(keys)))], owners)
+        return _send(ch.at, [(ch.uni[use], sums), (keys, ch.summed_at(tri, len(keys)))], owners, True)
 
     kinds2, answers2 = [np.int32, np.uint32], [np.int32, np.uint32]
-    _, r2 = _exchange(_zip(chunked, r1).flatMap(ask_second), owners, chunks, kinds2, answers2)
+    _, r2 = _exchange(_zip(chunked, r1).flatMap(ask_second), owners, chunks, kinds2, answers2, owned, (0, model.m))
 
     def ask_third(item):
         (row, a), b = item
@@ -316,18 +351,17 @@ def score_texts(
         tri = Third(ch, a, b, model)
         # for each context of two words (an edge), the gain of its training occurrences
         sums = np.bincount(tri.context[tri.train], tri.gain[tri.train], len(ch.bi))
-        use = np.bincount(tri.context, minlength=len(ch.bi)) > 0
-        return _send(ch.at, [(ch.bi[use], _fixed(sums[use]))], owners)
+        use = a[1] >= model.m
+        return _send(ch.at, [(ch.bi[use], _fixed(sums[use]))], owners, True)
 
-    _, r3 = _exchange(_zip(chunked, r1, r2).flatMap(ask_third), owners, chunks, [np.int32], [np.int32])
+    _, r3 = _exchange(_zip(chunked, r1, r2).flatMap(ask_third), owners, chunks, [np.int32], [np.int32], owned, (1, model.m))
 
     def result(item):
         ((row, a), b), c = item
         ch = Chunk(row, mask)
         tri = Third(ch, a, b, model)
-        use = np.bincount(tri.context, minlength=len(ch.bi)) > 0
         gains = np.zeros(len(ch.bi))
-        gains[use] = c[0] / GAIN
+        gains[a[1] >= model.m] = c[0] / GAIN
         p = tri.parent.copy()
         deep = (gains >= model.d)[tri.context]
         at = tri.at[deep]
