@@ -24,7 +24,7 @@ def simulate(blocks, weights, resolution):
     while left:
         parts = mixing.quantise({s: weights[s] for s in left}, resolution)
         size, used, t = sum(parts.values()), Counter(), 0
-        order = sorted(left, key=str)
+        order = sorted(left, key=lambda s: (s is None, str(s)))
         while all(used[s] < left[s] for s in left):
             ready = [s for s in left if used[s] * size // parts[s] <= t]
             s = min(ready, key=lambda s: (-(-(used[s] + 1) * size // parts[s]), order.index(s)))
