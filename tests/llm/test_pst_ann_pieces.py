@@ -79,6 +79,15 @@ def test_suffix_tree_matches_brute_force(spark, monkeypatch):
     assert suffix_tree.score_texts(frame(spark, [])).count() == 0
 
 
+def test_suffix_tree_totals_beyond_32_bits(spark, monkeypatch):
+    rows = documents(n=150)
+    scores = lambda: sorted((str(r.doc_id), r.depth1, r.depth2, round(r.score, 6)) for r in suffix_tree.score_texts(frame(spark, rows)).collect())
+    want = scores()
+    assert any(r[1] for r in want) and any(r[2] for r in want)
+    monkeypatch.setattr(suffix_tree, "GAIN", 1 << 28)  # 8 nats are 2 ** 31
+    assert scores() == want
+
+
 def test_suffix_tree_distributions_sum_to_one():
     model = Brute([r[1] for r in documents(n=150)])
     seen = [*model.c1, "never seen"]

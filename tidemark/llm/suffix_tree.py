@@ -130,9 +130,9 @@ def _deltas(keys: np.ndarray) -> np.ndarray:
     return out
 
 
-def _fixed(x: np.ndarray) -> np.ndarray:
-    """Sums of gains as whole multiples of 1 / GAIN, which pack better."""
-    return np.clip(np.rint(x * GAIN), -(2**31) + 1, 2**31 - 1).astype(np.int32)
+def _fixed(x: np.ndarray, scale: int) -> np.ndarray:
+    """Sums of gains as whole multiples of 1 / scale, which pack better."""
+    return np.rint(x * scale).astype(np.int64)
 
 
 def _unplanes(b: bytes, kind) -> np.ndarray:
@@ -266,6 +266,7 @@ class Model:
 
     def __init__(self, min_context, divergence, mu, discount):
         self.m, self.d, self.mu, self.discount = min_context, divergence, mu, discount
+        self.scale = GAIN  # of the gains' sums; totals over all chunks need 64 bits
         self.n = self.v = self.texts = 0
 
     def first(self, ch, a):
@@ -338,11 +339,11 @@ def score_texts(
         _, c2, n1, root = model.first(ch, a)
         gain = np.where(ch.train, _gain(np.maximum(c2, 1), np.maximum(n1, 1), root, model.mu), 0)
         use = a[0] >= model.m  # rarer contexts are never kept
-        sums = _fixed(ch.summed(ch.state, len(ch.uni), gain)[use])
+        sums = _fixed(ch.summed(ch.state, len(ch.uni), gain)[use], model.scale)
         keys, tri = _trigrams(ch, c2, model.m)
         return _send(ch.at, [(ch.uni[use], sums), (keys, ch.summed_at(tri, len(keys)))], owners, True)
 
-    kinds2, answers2 = [np.int32, np.uint32], [np.int32, np.uint32]
+    kinds2, answers2 = [np.int64, np.uint32], [np.int64, np.uint32]
     _, r2 = _exchange(_zip(chunked, r1).flatMap(ask_second), owners, chunks, kinds2, answers2, owned, (0, model.m))
 
     def ask_third(item):
@@ -352,16 +353,16 @@ def score_texts(
         # for each context of two words (an edge), the gain of its training occurrences
         sums = np.bincount(tri.context[tri.train], tri.gain[tri.train], len(ch.bi))
         use = a[1] >= model.m
-        return _send(ch.at, [(ch.bi[use], _fixed(sums[use]))], owners, True)
+        return _send(ch.at, [(ch.bi[use], _fixed(sums[use], model.scale))], owners, True)
 
-    _, r3 = _exchange(_zip(chunked, r1, r2).flatMap(ask_third), owners, chunks, [np.int32], [np.int32], owned, (1, model.m))
+    _, r3 = _exchange(_zip(chunked, r1, r2).flatMap(ask_third), owners, chunks, [np.int64], [np.int64], owned, (1, model.m))
 
     def result(item):
         ((row, a), b), c = item
         ch = Chunk(row, mask)
         tri = Third(ch, a, b, model)
         gains = np.zeros(len(ch.bi))
-        gains[a[1] >= model.m] = c[0] / GAIN
+        gains[a[1] >= model.m] = c[0] / model.scale
         p = tri.parent.copy()
         deep = (gains >= model.d)[tri.context]
         at = tri.at[deep]
@@ -404,7 +405,7 @@ class Third:
     def __init__(self, ch, a, b, model):
         _, c2, _, _ = model.first(ch, a)
         gains = np.full(len(ch.uni), -np.inf)
-        gains[a[0] >= model.m] = b[0] / GAIN
+        gains[a[0] >= model.m] = b[0] / model.scale
         self.kept = gains[ch.state] >= model.d
         self.parent = model.one(ch, a, self.kept)
         _, (self.at, inverse) = _trigrams(ch, c2, model.m)
