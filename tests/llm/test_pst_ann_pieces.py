@@ -196,3 +196,15 @@ def test_segmentations_decode_and_do_not_depend_on_partitions(spark):
     many = sorted(map(str, [(r.doc_id, r["rank"], r.digest, r.perturbed) for r in pieces.sample_segmentations(df.repartition(9)).collect()]))
     assert one == many
     assert pieces.sample_segmentations(df.where("false")).count() == 0
+
+
+def test_every_rank_is_built_decoded_and_digested_from_its_ids(spark):
+    key = lambda r: (str(r.doc_id), r["rank"], r.n_pieces, r.digest, r.perturbed)
+    whole = pieces.sample_segmentations(frame(spark), k=3).collect()
+    bare = pieces.sample_segmentations(frame(spark), k=3, with_ids=False).collect()
+    assert sorted(map(key, bare)) == sorted(map(key, whole))
+    assert {r["rank"] for r in bare if r.decodes} == {1, 2, 3} and all(r.decodes for r in bare + whole)
+    v, _ = pieces._worker(pieces.default_model())
+    codes = pieces.mix64(np.arange(1, len(v.raw) + 1))
+    assert all(r.digest == pieces.digest_of(np.array(r.ids, np.int64), codes) and r.n_pieces == len(r.ids) for r in whole)
+    assert not pieces.decodes([], v.raw, b"x")

@@ -148,14 +148,6 @@ class Trie:
         return out
 
 
-def _fold(ids) -> int:
-    """A 64-bit number for a character spelt in bytes."""
-    x = 0
-    for i in ids:
-        x = _mix(x * 0x9E3779B97F4A7C15 + i + 1)
-    return x
-
-
 class Lattices:
     """The lattices of a batch's distinct words, built for all of them at once.
 
@@ -261,33 +253,6 @@ class Lattices:
         # arcs of every word's default path
         self.path, bounds = self.expand(self.start)
         self.path_at, self.path_len = bounds[:-1].astype(np.int32), np.diff(bounds).astype(np.int32)
-        # what a piece (or a character spelt in bytes, counted from the end) adds to the number of pieces and to a digest
-        self.pieces = np.array([1] * len(vocab.surface) + [len(x) for x in reversed(self.spelt)], np.int64)
-        self.code = np.concatenate((mix64(np.arange(1, len(vocab.surface) + 1)), np.array([_fold(x) for x in reversed(self.spelt)], np.uint64)))
-        self.path_pieces, self.path_code = self._words(self.path, bounds)
-
-    def _words(self, arcs, bounds):
-        """Numbers of pieces and codes of words given by their arcs."""
-        if not len(arcs):
-            return np.zeros(len(bounds) - 1, np.int64), np.zeros(len(bounds) - 1, np.uint64)
-        step, seq = np.arange(len(arcs)) - np.repeat(bounds[:-1], np.diff(bounds)), self.seq[arcs]
-        return np.add.reduceat(self.pieces[seq], bounds[:-1]), np.add.reduceat(self.code[seq] * (2 * step + 1).astype(np.uint64), bounds[:-1])
-
-    def digests(self, kinds, paths) -> list[tuple[int, int]]:
-        """For each segmentation of a text the number of pieces and a 64-bit digest of its pieces word by word.
-
-        The default paths of all words are summed once; each segmentation differs in a few words.
-        """
-        weight = np.arange(1, 2 * len(kinds), 2, dtype=np.uint64)
-        pieces, code = int(self.path_pieces[kinds].sum()), (self.path_code[kinds] * weight).sum() if len(kinds) else np.uint64(0)
-        out = []
-        with np.errstate(over="ignore"):
-            for p in paths:
-                own = kinds[p.words]
-                n, c = self._words(p.arcs, p.at)
-                more = ((c - self.path_code[own]) * weight[p.words]).sum() if len(own) else np.uint64(0)
-                out.append((pieces + int(n.sum() - self.path_pieces[own].sum()), int((code + more).view(np.int64))))
-        return out
 
     def expand(self, nodes, steps=None, more=None):
         """Arcs of the default paths from nodes, one after the other, with bounds.
@@ -648,6 +613,18 @@ def decode_ids(ids, raw: list[bytes]) -> str:
     return text[1:] if text[:1] == " " else text
 
 
+def decodes(ids, raw: list[bytes], text: bytes) -> bool:
+    """Whether piece ids decode to a text given as bytes (see ``decode_ids``)."""
+    got = b"".join(map(raw.__getitem__, ids))
+    return got[1:] == text if got[:1] == b" " else got == text
+
+
+def digest_of(ids: np.ndarray, codes: np.ndarray) -> int:
+    """A 64-bit digest of piece ids and their places; ``codes`` has a number for every piece."""
+    place = np.arange(1, 2 * len(ids), 2, dtype=np.uint64)
+    return int((codes[ids] * place).sum(dtype=np.uint64).view(np.int64))
+
+
 def _worker(model: bytes) -> tuple[Vocabulary, Trie]:
     """The vocabulary in this worker process; it outlives a task."""
     mark = hash(model)
@@ -676,23 +653,23 @@ def _encode(model: bytes, k: int, with_ids: bool):
         import pyarrow as pa
 
         vocab, trie = _worker(model)
+        codes = mix64(np.arange(1, len(vocab.raw) + 1))
         for whole in batches:
             for b, texts in _runs(whole):
                 lat, kinds, found, kappa, z = sample_batch(vocab, trie, [t or "" for t in texts], b.column("__key").to_pylist(), k)
                 rows, rank, ids, pieces, logp, score, incl, same, digest = [], [], [], [], [], [], [], [], []
                 for d, paths in enumerate(found):
-                    digests = lat.digests(kinds[d], paths)
+                    text = (texts[d] or "").encode("utf-8", "surrogatepass")
                     for r, p in enumerate(paths):
-                        own = ids_of(lat, path_arcs(lat, kinds[d], p)) if with_ids or not r else None
-                        count, code = digests[r]
+                        own = ids_of(lat, path_arcs(lat, kinds[d], p))
                         rows.append(d)
                         rank.append(r + 1)
-                        pieces.append(count)
+                        pieces.append(len(own))
                         logp.append(p.logp)
                         score.append(p.score)
                         incl.append(1.0 if kappa[d] == -math.inf else -math.expm1(-math.exp(min(700.0, p.logp - kappa[d]))))
-                        same.append(decode_ids(own.tolist(), vocab.raw) == (texts[d] or "") if not r else None)
-                        digest.append(code)
+                        same.append(decodes(own.tolist(), vocab.raw, text))
+                        digest.append(digest_of(own, codes))
                         if with_ids:
                             ids.append(own.astype(np.int32))
                 take = b.drop_columns(["__text", "__key"]).take(pa.array(rows, pa.int64()))
@@ -720,8 +697,8 @@ def sample_segmentations(
 
     For each row of ``df`` and each rank (from 1, by falling perturbed score): ``keep``
     columns, rank, n_pieces, log_prob (of the segmentation given the text), log_total (log
-    weight of all segmentations), perturbed, inclusion (1 if there are no more than ``k``), decodes (at rank 1,
-    whether the pieces decode to the text; else null), digest (of the ids) and, if wanted, ids. Draws are seeded
+    weight of all segmentations), perturbed, inclusion (1 if there are no more than ``k``), decodes (whether
+    the pieces decode to the text), digest (of the ids) and, if wanted, ids. Draws are seeded
     by ``seed`` and the row's key; rows of equal key and text get the same draws, null keys
     count as one key. A null or empty text has one segmentation without pieces. Texts are
     used whole. An empty table gives an empty result.
