@@ -102,3 +102,20 @@ def test_toxicity_of_fixture_runs(spark):
     df = frame(spark)
     lab = spark.createDataFrame([(r[0], k % 2) for k, r in enumerate(documents()) if r[0] is not None], "doc_id long, toxic int")
     assert toxic.classify(df, lab).count() == df.count()
+
+
+def test_toxicity_sums_significant_passages(spark):
+    rng = np.random.default_rng(5)
+    rows, labels = [], []
+    for i in range(1200):
+        w = [f"w{x}" for x in rng.integers(0, 300, 300)]
+        bad = i % 3 == 0
+        for k in range(3 if bad else int(i % 5 == 1)):  # one passage in some clean texts, three in toxic ones
+            w[20 + 100 * k] = f"{'abcdefghijklmnopqrstuvwxyzABCD'[rng.integers(30)] * 3}zz"
+        rows.append((i, " ".join(w)))
+        labels.append((i, int(bad)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = toxic.classify(df, spark.createDataFrame(labels, "doc_id long, toxic int")).collect()
+    one = [r.predicted for r in got if r.doc_id % 3 and r.doc_id % 5 == 1]
+    three = [r.predicted for r in got if r.doc_id % 3 == 0]
+    assert np.mean(one) < 0.1 and np.mean(three) > 0.9

@@ -121,7 +121,7 @@ def _values(f, w):
 
 
 def _measure(model):
-    """Best segment and number of words of each training document."""
+    """Number of words, best segment and evidence of each training document."""
 
     def run(batches):
         import pyarrow as pa
@@ -131,9 +131,8 @@ def _measure(model):
             for b in _batches(whole):
                 f, bounds = _features(b.column("text").to_pylist())
                 v = _values(f, w)
-                best = [max([s for _, _, s in segments(v[bounds[k] : bounds[k + 1]])], default=0.0) for k in range(b.num_rows)]
-                sums = [float(sum(s for _, _, s in segments(v[bounds[k] : bounds[k + 1]]))) for k in range(b.num_rows)]
-                yield pa.RecordBatch.from_pydict({"n": np.diff(bounds), "best": best, "total": sums, "y": b.column("__y")})
+                got = [_evidence(v[bounds[k] : bounds[k + 1]], model)[1:] for k in range(b.num_rows)]
+                yield pa.RecordBatch.from_pydict({"n": np.diff(bounds), "best": [float(x[1]) for x in got], "total": [float(x[0]) for x in got], "y": b.column("__y")})
 
     return run
 
@@ -162,16 +161,20 @@ def fit(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: str
     odds = log_odds(table.n0, table.n1, docs0, docs1)
     good = odds > FLOOR
     model |= {"f": table.f.to_numpy()[good], "w": odds[good].astype(np.float32)}
-    seen = rows.mapInArrow(_measure(model), "n long, best double, total double, y int").toPandas()  # four numbers for each training row
-    seen = seen.sort_values(["n", "best", "total", "y"])
+
+    def measured():  # four numbers for each training row
+        seen = rows.mapInArrow(_measure(model), "n long, best double, total double, y int").toPandas()
+        return seen.sort_values(["n", "best", "total", "y"])
+
+    seen = measured()
     clean = seen[seen.y == 0]
     # Extreme-value law of clean maxima by moments; its scale and location.
     excess = clean.best.to_numpy()
     lam = math.pi / math.sqrt(6) / max(0.25, float(excess.std()))
     mu = float(np.mean(excess - np.log(np.maximum(1, clean.n)) / lam)) - 0.5772156649 / lam
     model |= {"lam": lam, "mu": mu}
-    free = mu + np.log(np.maximum(1, seen.n)) / lam
-    x = np.clip((seen.best - free) * lam, -20, 40).to_numpy()
+    seen = measured()  # on that scale
+    x = np.clip(seen.total, -20, 40).to_numpy()
     y = seen.y.to_numpy().astype(float)
     a, b = model["a"], 0.1
     for _ in range(60):  # Newton's method with a small ridge
@@ -197,9 +200,8 @@ def _score(model, text: str, names):
                 spans, scores = [], []
                 for k in range(b.num_rows):
                     own = v[bounds[k] : bounds[k + 1]]
-                    kept, _, best = _evidence(own, model)
-                    free = model["mu"] + math.log(max(1, len(own))) / model["lam"]
-                    x = min(40.0, max(-20.0, (best - free) * model["lam"]))
+                    kept, total, _ = _evidence(own, model)
+                    x = min(40.0, max(-20.0, total))
                     spans.append([{"start": s, "end": e, "score": z} for s, e, z in kept])
                     scores.append(1 / (1 + math.exp(-max(-30.0, min(30.0, model["a"] + model["b"] * x)))))
                 rest = b.drop_columns(["__text"]) if text == "__text" else b
