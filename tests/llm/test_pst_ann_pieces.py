@@ -120,6 +120,19 @@ def test_nearest_recall_and_exact_scores(spark):
     assert hamming.nearest(df.where("false")).count() == 0
 
 
+def test_nearest_counts_candidates_not_rows(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(300, 16))
+    rows = [(i, v.tolist()) for i, v in enumerate(x) for _ in range(2)]
+    rows += [(7, (x[0] + 1e-3 * (j + 1)).tolist()) for j in range(30)]  # one candidate in many rows near a query
+    got = hamming.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    for q in (0, 100, 200):
+        own = sorted((r["rank"], r.vec_id, r.score) for r in got if r.query_id == q)
+        assert [r[0] for r in own] == list(range(1, 11)) and len({r[1] for r in own}) == 10
+    near = {r.vec_id: r.score for r in got if r.query_id == 0}
+    assert abs(near[7] - 4e-3) < 1e-9
+
+
 def test_probing_finds_every_code_within_the_radius():
     rng = np.random.default_rng(2)
     code = rng.integers(0, 2**32, 400, dtype=np.uint64)

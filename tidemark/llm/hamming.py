@@ -137,16 +137,24 @@ def _search(model: dict, k: int):
         ids, asked = vectors.column("id").to_numpy(), queries.column("id").to_numpy()
         code, own = codes(x, model), codes(q, model)
         index = Index(code, model["bits"])
+        names, who = np.unique(ids, return_inverse=True)
+        repeats = len(names) < len(ids)
         out = []
         for j in range(len(q)):
             radius = model["radius"]
             while True:
                 at = index.within(own[j], radius)
                 at = at[ids[at] != asked[j]]
-                if len(at) >= k or radius >= model["bits"]:
+                some = len(np.unique(who[at])) if repeats else len(at)  # candidates, not rows
+                if some >= k or radius >= model["bits"]:
                     break
                 radius = min(model["bits"], radius + PARTS)  # too few: a wider radius, up to all
             d = np.sqrt(((x[at] - q[j]) ** 2).sum(axis=1))
+            if repeats:  # the nearest row of each candidate
+                order = np.lexsort((d, who[at]))
+                first = np.ones(len(at), bool)
+                first[1:] = who[at[order[1:]]] != who[at[order[:-1]]]
+                at, d = at[order[first]], d[order[first]]
             if len(at) > k:
                 least = np.partition(d, k - 1)[k - 1]
                 keep = d <= least
