@@ -1,4 +1,5 @@
 from collections import Counter
+from fractions import Fraction
 
 from tidemark.llm import chat, mixing, urls
 
@@ -72,6 +73,31 @@ def test_mix_order_is_independent_of_partitions(spark):
     assert mixing.mix(frame(spark, [])).count() == 0
 
 
+def test_lag_against_the_unrounded_weights_stays_below_one_block():
+    blocks = {"a": 9000, "b": 5000, "c": 3, None: 40000}
+    weights = {"a": 3**0.5, "b": 2**0.5, "c": 1e-3, None: 5.1}
+    p = mixing.phases(blocks, weights)[0]
+    total, slots = sum(map(Fraction, weights.values())), {}
+    for s, (first, used, at) in p["of"].items():
+        slots |= {p["start"] + j // len(at) * p["period"] + at[j % len(at)]: s for j in range(used)}
+    assert sorted(slots) == list(range(len(slots))) and len(slots) > 10000
+    seen = Counter()
+    for t in range(len(slots)):
+        seen[slots[t]] += 1
+        assert all(abs(seen[s] - (t + 1) * Fraction(w) / total) < 1 for s, w in weights.items())
+
+
+def test_small_and_zero_weights_are_not_raised(spark):
+    rows = [(i, "tiny" if i % 10 == 0 else "none" if i % 10 == 1 else "big") for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, source string")
+    out = mixing.mix(df, {"tiny": 1e-5, "none": 0.0, "big": 1.0}, block_rows=1).collect()
+    assert sorted(r.position for r in out) == list(range(3000))
+    first = [r for r in out if r.phase == 0]
+    assert Counter(r.source for r in first)["tiny"] <= 1 and Counter(r.source for r in first)["big"] == 2400
+    assert all(r.release <= r.slot < r.deadline for r in first)
+    assert min(r.slot for r in out if r.source == "none") > max(r.slot for r in out if r.source == "tiny")
+
+
 URLS = [None, "", "no scheme", "http://EXAMPLE.org/es/x?y", "https://a.b.example.org/en/1", "https://example.org/en/2", "http://notexample.org/es/", "http://org", "http://org/", "x://www.de.com/de/", "x://com/fr/#a", "http://host.com/de", "http:///path", "a://b://c.com/fr/", "http://ex.org:80/x", "http://" + "a." * 500 + "org/" + "p" * 5000, "https://example.org/es/x\ny"]
 
 

@@ -3,8 +3,9 @@
 Every source is cut into blocks of ``block_rows`` rows. Block j (from 0) of a source
 of weight w is released at slot floor(j / w) and due at slot ceil((j + 1) / w); one
 block runs in each slot, and the released block of the earliest deadline goes first.
-The weights are whole numbers of 1/L and sum to one, so the schedule repeats after L
-slots and each source is less than one block away from its target at every slot.
+The weights are exact fractions and sum to one, so each source is less than one block
+away from its target at every slot. Whole numbers of 1/L repeat after L slots; other
+weights are scheduled slot by slot, on the driver, up to the end of the phase.
 When a source has run out, the weights of the rest are scaled up and a new phase
 begins; every row is placed exactly once, none is dropped or repeated.
 """
@@ -12,8 +13,12 @@ begins; every row is placed exactly once, none is dropped or repeated.
 from __future__ import annotations
 
 import heapq
+import math
+from array import array
 from fractions import Fraction
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,44 +45,62 @@ def quantise(weights: dict, resolution: int = RESOLUTION) -> dict:
     return parts
 
 
-def period(parts: dict) -> list:
-    """The source of each slot of one period, by earliest deadline first."""
+def unrounded(weights: dict) -> dict:
+    """Whole parts of the shortest period in the exact proportions of the weights. Sources without a weight wait for the others, then share equally."""
+    some = {s: Fraction(w) for s, w in weights.items() if w > 0} or dict.fromkeys(weights, Fraction(1))
+    scale = math.lcm(*(w.denominator for w in some.values()))
+    parts = {s: int(w * scale) for s, w in some.items()}
+    shared = math.gcd(*parts.values())
+    return {s: n // shared for s, n in parts.items()}
+
+
+def period(parts: dict, blocks: dict | None = None) -> list:
+    """The source of each slot of one period, by earliest deadline first, or up to the slot that takes the last of a source's ``blocks``."""
     size = sum(parts.values())
     order = {s: k for k, s in enumerate(sorted(parts, key=lambda s: (s is None, str(s))))}
     waiting = [(0, order[s], 0, s) for s in parts]  # release, rank, block, source
     heapq.heapify(waiting)
     ready: list = []
-    slots = []
-    for t in range(size):
+    slots, t = [], -1
+    while (t := t + 1) < size:
         while waiting and waiting[0][0] <= t:
             _, k, j, s = heapq.heappop(waiting)
             heapq.heappush(ready, (-(-(j + 1) * size // parts[s]), k, j, s))
         due, k, j, s = heapq.heappop(ready)
         slots.append(s)
+        if blocks and j + 1 == blocks[s]:
+            break
         if j + 1 < parts[s]:
             heapq.heappush(waiting, ((j + 1) * size // parts[s], k, j + 1, s))
     return slots
 
 
-def phases(blocks: dict, weights: dict, resolution: int = RESOLUTION) -> list[dict]:
-    """For each phase: its first slot, its period, and for each source its first block, its number of blocks and its slots in a period.
+def phases(blocks: dict, weights: dict, resolution: int | None = None) -> list[dict]:
+    """For each phase: its first slot, its period, its weights, and for each source its first block, its number of blocks and its slots in a period (in the phase, if that ends sooner).
 
-    The work is bounded by the number of sources times the period; no row is touched.
+    The weights are exact, or rounded to parts of a period of ``resolution`` slots. The work
+    is bounded by the number of blocks; no row is touched.
     """
     left, start, out = {s: n for s, n in blocks.items() if n}, 0, []
     done = dict.fromkeys(left, 0)
     while left:
-        parts = quantise({s: weights[s] for s in left}, resolution)
+        own = {s: weights[s] for s in left}
+        parts = quantise(own, resolution) if resolution else unrounded(own)
         size = sum(parts.values())
-        at: dict = {s: [] for s in left}
-        for t, s in enumerate(period(parts)):
+        at: dict = {s: array("q") for s in parts}
+        slots = period(parts, left)
+        for t, s in enumerate(slots):
             at[s].append(t)
-        last = {s: (n - 1) // parts[s] * size + at[s][(n - 1) % parts[s]] for s, n in left.items()}
-        end = min(last.values()) + 1
-        used = {s: end // size * parts[s] + sum(t < end % size for t in at[s]) for s in left}
-        out.append({"start": start, "period": size, "of": {s: (done[s], used[s], at[s]) for s in left}})
-        done = {s: done[s] + used[s] for s in left}
-        left = {s: n - used[s] for s, n in left.items() if n > used[s]}
+        if len(slots) < size:  # a source has run out before the schedule repeats
+            end = repeat = len(slots)
+            used = {s: len(at[s]) for s in parts}
+        else:
+            repeat = size
+            end = min((left[s] - 1) // parts[s] * size + at[s][(left[s] - 1) % parts[s]] for s in parts) + 1
+            used = {s: end // size * parts[s] + sum(t < end % size for t in at[s]) for s in parts}
+        out.append({"start": start, "period": repeat, "parts": parts, "of": {s: (done[s], used[s], at[s]) for s in parts}})
+        done |= {s: done[s] + used[s] for s in parts}
+        left = {s: n - used.get(s, 0) for s, n in left.items() if n > used.get(s, 0)}
         start += end
     return out
 
@@ -89,7 +112,7 @@ def mix(
     source_col: str = "source",
     id_col: str = "doc_id",
     block_rows: int = BLOCK_ROWS,
-    resolution: int = RESOLUTION,
+    resolution: int | None = None,
     carry: list[str] | None = None,
 ) -> DataFrame:
     """Places every row of ``df`` in the mix.
@@ -97,11 +120,13 @@ def mix(
     Returns the identifier, the source, ``carry`` columns, ``block`` (number within the
     source), ``phase``, ``slot`` (of the block), ``release`` and ``deadline`` (slots, counted
     from the phase's start) and ``position`` (of the row, unique). ``weights`` are target
-    weights by source; a source that is not listed gets its share of rows raised to
+    weights by source, taken exactly unless ``resolution`` rounds them to parts of a period
+    of so many slots; a source that is not listed gets its share of rows raised to
     ``temperature`` and scaled, as do all sources if ``weights`` is None. Null sources are a
     source of their own. Within a source the order is by a hash of the identifier, then the
     identifier; rows with equal or null identifiers are adjacent. Sources are expected to
-    be few (one row each reaches the driver); rows may be any number and one source may hold
+    be few (one row each reaches the driver); the driver schedules blocks, three numbers
+    for each unless the weights repeat sooner; rows may be any number and one source may hold
     most of them. An empty table gives an empty result.
     """
     spark = df.sparkSession
@@ -126,14 +151,19 @@ def mix(
     placed = base.withColumn("__inside", inside).join(sizes, ["__s", "__n", "__bucket"])
     number = F.col("__before") + F.col("__inside") - 1
     placed = placed.withColumn("__number", number).withColumn("block", F.floor(number / block_rows).cast("long"))
-    table, spans = [], []
+    table, spans = [], []  # blocks of a period with their slots, and sources
     for k, p in enumerate(plan):
         for s, (first, used, at) in p["of"].items():
-            spans.append((s or "", s is None, k, first, first + used, p["start"], p["period"], len(at)))
-            table.extend((s or "", s is None, k, r, t) for r, t in enumerate(at[: min(len(at), used)]))
+            n, w, size = min(len(at), used), p["parts"][s], sum(p["parts"].values())
+            if n:
+                spans.append((s or "", s is None, k, first, first + used, p["start"], p["period"], len(at)))
+                due = array("q", (min(-(-(r + 1) * size // w), 2**63 - 1) for r in range(n)))
+                free = array("q", (r * size // w for r in range(n)))
+                table.append(pa.table({"__s": pa.repeat(s or "", n), "__n": pa.repeat(s is None, n), "phase": pa.repeat(pa.scalar(k, pa.int32()), n), "__r": np.arange(n), "__t": np.array(at[:n]), "__free": np.array(free), "__due": np.array(due)}))
     spans_df = spark.createDataFrame(spans, "__s string, __n boolean, phase int, __first long, __end long, __start long, __period long, __parts long")
-    table_df = spark.createDataFrame(table, "__s string, __n boolean, phase int, __r long, __t long")
-    # Both tables are bounded by sources x phases x period; blocks find theirs by equality on the source.
+    kind = "__s string, __n boolean, phase int, __r long, __t long, __free long, __due long"
+    table_df = spark.createDataFrame(pa.concat_tables(table), kind) if table else spark.createDataFrame([], kind)
+    # One table is bounded by sources x phases, the other by the blocks; blocks find theirs by equality on the source.
     blocks = placed.select("__s", "__n", "block").distinct()
     blocks = (
         blocks.join(spans_df, ["__s", "__n"])
@@ -147,8 +177,8 @@ def mix(
             "block",
             "phase",
             (F.col("__start") + F.floor(F.col("__j") / F.col("__parts")) * F.col("__period") + F.col("__t")).cast("long").alias("slot"),
-            F.expr("__j * __period div __parts").alias("release"),
-            F.expr("((__j + 1) * __period + __parts - 1) div __parts").alias("deadline"),
+            F.expr("__j div __parts * __period + __free").alias("release"),
+            F.expr("__j div __parts * __period + __due").alias("deadline"),
         )
     )
     out = placed.join(blocks, ["__s", "__n", "block"])
