@@ -225,3 +225,18 @@ def test_api(spark):
 
     x = [r[0] for r in spark.range(200).select(api.sine("id", length=200, frequency=4.0)).collect()]
     assert x == pytest.approx([math.sin(2 * math.pi * 4 * 2 * k / 199) for k in range(200)])
+
+
+def test_length_normalisers_take_whole_channels(spark, monkeypatch):
+    from tidemark.plans import queries as registered
+
+    sizes, seen = {0: 250, 1: 130, 2: 90}, []
+    rows = [(c, t, float(1000 * c + t)) for c, n in sizes.items() for t in range(n)]
+    df = spark.createDataFrame(rows, "channel int, t long, value double")
+    monkeypatch.setattr(registered, "_ev", lambda s, d: df)
+    monkeypatch.setattr(registered.pl, "normalise_length", lambda d, *a, f=registered.pl.normalise_length: seen.append(d.count()) or f(d, *a))
+    run = lambda name: {(r.channel, r.t): r.value for r in registered.queries()[name](spark, "").collect()}
+    padded, cropped = run("pl_normalise_pad_whole"), run("pl_normalise_length")
+    assert seen == [len(rows)] * 2
+    assert padded == {(c, t): float(1000 * c + min(t, n - 1)) for c, n in sizes.items() for t in range(270)}
+    assert cropped == {(c, t): float(1000 * c + t) for c in sizes for t in range(80)}

@@ -396,9 +396,21 @@ add("pl_freq_ratio", lambda s, d: pl.frequency_ratios(s, [2, 3, 4], [-1, 1], 0.6
 add("pl_amp_adapt", lambda s, d: pl.adapt_amplitude(s.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey", "l_linenumber", (1 + F.col("l_discount") - F.col("l_tax")).alias("factor"), (F.col("l_quantity") / 50).alias("rms")), 0.2, 0.25, 2.0, 0.1).select("l_orderkey", "l_linenumber", r6(F.col("adapted")).alias("adapted")),
     f"""with x as (select l_orderkey, l_linenumber, 1 + l_discount - l_tax as f, l_quantity / 50 as r from lineitem), y as (select *, case when f - 1 >= 0 then 1 else -1 end as sg, greatest(abs(f - 1), 0.2::DOUBLE / greatest(r, 1e-9::DOUBLE), 0.1::DOUBLE) as m from x)
 select l_orderkey, l_linenumber, {q6('least(2.0::DOUBLE, greatest(0.25::DOUBLE, 1 + sg * m))')} as adapted from y""")
-add("pl_normalise_length", lambda s, d: pl.normalise_length(_ev(s, d).where("t < 100"), 80, _K, "crop").select("channel", "t", r6(F.col("value")).alias("value")), f"with {_EV} select channel, t, {q6('base')} as value from e where t < 80")
+add("pl_normalise_length", lambda s, d: pl.normalise_length(_ev(s, d), 80, _K, "crop").select("channel", "t", r6(F.col("value")).alias("value")), f"with {_EV} select channel, t, {q6('base')} as value from e where t < 80")
 add("pl_normalise_pad", lambda s, d: pl.normalise_length(_ev(s, d).where("t < 100"), 120, _K, "pad").select("channel", "t", r6(F.col("value")).alias("value")),
     f"with {_EV}, c as (select distinct channel from e) select c.channel, g.range as t, {q6('e.base')} as value from c, range(120) g join e on e.t = least(g.range, 99) and e.channel = c.channel")
+
+
+def pl_normalise_pad_whole(spark, sf_dir):
+    """Whole channels, padded to 20 rows more than the longest has."""
+    ev = _ev(spark, sf_dir)
+    longest = ev.agg(F.max("t")).first()[0] + 1
+    return pl.normalise_length(ev, longest + 20, _K, "pad").select("channel", "t", r6(F.col("value")).alias("value"))
+
+
+add("pl_normalise_pad_whole", pl_normalise_pad_whole,
+    f"""with {_EV}, c as (select channel, max(t) as l from e group by channel), g as (select unnest(range((select max(l) + 21 from c))) as t)
+select c.channel, g.t, {q6('e.base')} as value from c, g join e on e.t = least(g.t, c.l) and e.channel = c.channel""")
 add("pl_uniform_segments", lambda s, d: pl.uniform_segments(s, [(f"i{k}", 0.08, 6) for k in range(8)], 1000, 3, SEED))
 add("pl_energy_segments", lambda s, d: pl.energy_segments(_ev(s, d).withColumn("instance", F.lit("events")), 30, 12, 0.6, SEED))
 add("pl_period_segments", lambda s, d: pl.period_segments(s, [("x", 1000, 7.0), ("y", 600, 3.3)], 3, SEED))
