@@ -16,7 +16,7 @@ def op1_sampled_segmentations(spark, sf_dir):
 
 
 def op2_suffix_tree(spark, sf_dir):
-    return suffix_tree.score_texts(_table(spark, sf_dir, "documents"), held_out=suffix_tree.held_out())
+    return suffix_tree.score_texts(_table(spark, sf_dir, "documents"), held_out=suffix_tree.held_out(), min_context=2, depth=None)
 
 
 def op3_chat_perspectives(spark, sf_dir):

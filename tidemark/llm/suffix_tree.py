@@ -1,6 +1,6 @@
 """A probabilistic suffix tree over words, learned and applied without gathering it anywhere.
 
-States are contexts of up to two words. A context is kept if its next-word
+States are contexts of up to ``depth`` words, or of any length. A context is kept if its next-word
 distribution diverges from that of its longest kept proper suffix: the leave-one-out
 log-likelihood ratio of its own occurrences, which is its count times an estimate of
 the Kullback-Leibler divergence, must reach ``divergence``. Distributions are
@@ -8,10 +8,19 @@ smoothed towards the longest kept suffix, P(x|s) = (c(sx) + mu P(x|s')) / (N(s)
 to the root, an absolute-discounting unigram model with one symbol for all unseen words.
 A text is scored with the longest kept state at each word.
 
+Contexts grow by one word a round. Without a depth, the occurrences of those that have an
+extension which might be kept move to owners after ROUNDS rounds, with all the words before
+them, and the owners grow these contexts to their full length. A context that is not kept
+rules out all its extensions if even their best case falls short: they have some of its
+occurrences, so their ratio is at most the sum over its occurrences of
+log((c - 1 + mu p) / ((c - 1 + mu) p)), where c is the word's count and p its
+probability so far. This bound drops no context that the divergence test would keep, and
+neither does a minimum of two occurrences: the leave-one-out ratio of a single one is 0.
+
 Counts and divergences of contexts are sums over occurrences, so they are formed in
-three rounds of the same kind: each input partition (chunk) sends its distinct keys with
+rounds of the same kind: each input partition (chunk) sends its distinct keys with
 partial sums to owners chosen by the key, already summed within the chunk; the owners
-add up and return the totals to the chunks that asked. Nothing is collected or broadcast
+add up and return the totals (of divergences, what follows from them) to the chunks that asked. Nothing is collected or broadcast
 but the two totals N and V. The texts are read once and kept as word numbers in a
 checkpointed table, which every round reads in place.
 """
@@ -36,7 +45,11 @@ DISCOUNT = 0.6
 BATCH_ROWS = 256
 CHUNK_TOKENS = 1_500_000
 GAIN = 64
-#: Keys of two and three words have so many bits; of 2 ** n distinct keys about one in 2 ** (52 - n) is shared by chance.
+#: Rounds without a depth; they judge contexts of fewer words, owners the longer ones.
+ROUNDS = 8
+#: What an owner answers about a context.
+KEPT, LIVE = 1, 2
+#: Keys of two and more words have so many bits; of 2 ** n distinct keys about one in 2 ** (52 - n) is shared by chance.
 KEY_BITS = 52
 
 
@@ -130,9 +143,9 @@ def _deltas(keys: np.ndarray) -> np.ndarray:
     return out
 
 
-def _fixed(x: np.ndarray, scale: int) -> np.ndarray:
-    """Sums of gains as whole multiples of 1 / scale, which pack better."""
-    return np.rint(x * scale).astype(np.int64)
+def _fixed(gain: np.ndarray, reach: np.ndarray, scale: int) -> np.ndarray:
+    """Pairs of sums as whole multiples of 1 / scale, which pack better; the second, a bound, is rounded up."""
+    return np.stack([np.rint(gain * scale), np.ceil(reach * scale)], axis=1).astype(np.int64)
 
 
 def _unplanes(b: bytes, kind) -> np.ndarray:
@@ -176,12 +189,13 @@ def _number(k):
     return k
 
 
-def _exchange(sent, owners: int, chunks: int, kinds, answers, known=None, about=None):
+def _exchange(sent, owners: int, chunks: int, kinds, answers, known=None, about=None, judge=None):
     """Totals for every chunk, in the order of its keys, as an RDD with the partitions and items of the chunks.
 
     ``known`` (the messages of an earlier round, by owner) saves sending the keys of the first
     table again: its sums then stand for the keys of that round's table number ``about[0]`` whose
-    totals are ``about[1]`` at least, which both sides know.
+    totals are ``about[1]`` at least, which both sides know. They are pairs, and ``judge`` makes
+    the answer of their totals.
     """
 
     again = known is not None
@@ -193,7 +207,8 @@ def _exchange(sent, owners: int, chunks: int, kinds, answers, known=None, about=
         else:
             before, now = next(iter(items), ([], []))
             messages = sorted((m for _, m in now), key=lambda m: m[0])
-            tables = [_again(before, messages, *about, kinds[0])] + _totals([(c, b[1:]) for c, b in messages], kinds[1:])
+            keys, sums, where = _again(before, messages, *about)
+            tables = [(keys, judge(sums), where)] + _totals([(c, b[1:]) for c, b in messages], kinds[1:])
         for k, (c, _) in enumerate(messages):
             yield c[0], (c[1], owner, [_planes(sums[where[k][1]].astype(a)) for (_, sums, where), a in zip(tables, answers)])
 
@@ -216,17 +231,17 @@ def _all(rdd):
     return _single(rdd.mapPartitions(lambda items: [list(items)]))
 
 
-def _again(before, messages, table: int, least: int, kind):
-    """Like a table of ``_totals``, for sums that come without keys (see ``_exchange``)."""
+def _again(before, messages, table: int, least: int):
+    """Like a table of ``_totals``, for pairs of sums that come without keys (see ``_exchange``)."""
     first = sorted((m for _, m in before), key=lambda m: m[0])
     keys, totals, where = _totals([(c, b[table : table + 1]) for c, b in first], [np.uint32])[0]
-    sums, own = np.zeros(len(keys)), {}
+    sums, own = np.zeros((len(keys), 2), np.int64), {}
     for c, at in where:
         own[c] = at[totals[at] >= least]
     out = []
     for c, b in messages:
         at = own.get(c, np.zeros(0, np.int64))
-        sums[at] += _unplanes(b[0][1], kind)  # a chunk has a key once
+        sums[at] += _unplanes(b[0][1], np.dtype("V16")).view(np.int64).reshape(-1, 2)  # a chunk has a key once
         out.append((c, at))
     return keys, sums, out
 
@@ -261,6 +276,11 @@ def _gain(c, n, parent, mu):
     return np.log((c - 1 + mu * parent) / (n - 1 + mu)) - np.log(parent)
 
 
+def _reach(c, parent, mu):
+    """The most that an occurrence can add to the ratio of a longer context."""
+    return np.log((c - 1 + mu * parent) / ((c - 1 + mu) * parent))
+
+
 class Model:
     """Parameters and the two totals; everything else stays distributed."""
 
@@ -275,10 +295,10 @@ class Model:
         root = _root(c1.astype(float), self.n, self.v, self.discount)
         return c1, c2.astype(float), n1.astype(float), root
 
-    def one(self, ch, a, kept):
-        """Each occurrence's probability with at most one word of context; ``kept`` by occurrence."""
-        _, c2, n1, root = self.first(ch, a)
-        return np.where(kept, (c2 + self.mu * root) / (n1 + self.mu), root)
+    def judge(self, sums):
+        """KEPT and LIVE (a longer context might be kept) of contexts, by their totals."""
+        enough = sums >= self.d * self.scale
+        return (enough[:, 0] * KEPT + enough.any(axis=1) * LIVE).astype(np.uint8)
 
 
 def score_texts(
@@ -290,12 +310,14 @@ def score_texts(
     divergence: float = DIVERGENCE,
     mu: float = MU,
     discount: float = DISCOUNT,
+    depth: int | None = 2,
 ) -> DataFrame:
     """Scores every text with a suffix tree learned from the rows outside ``held_out``.
 
     Returns the identifier, held_out, n_tokens (words and the end), n_known, train_tokens,
     base_score (add-one unigrams), score (log10 probability), and the numbers of words scored
-    with a context of one (depth1) and two words (depth2). Words are runs without white
+    with a context of one (depth1), two (depth2) and more words (deeper). ``depth``: the most
+    words of a context; None for no limit. Words are runs without white
     space, A-Z lower-cased; a null text is empty and has only the end. ``held_out``: a
     boolean column; null counts as no, and by default nothing is held out. Null and
     repeated identifiers are scored row by row. Without any training row every
@@ -305,7 +327,7 @@ def score_texts(
     ship(spark)
     held = F.lit(False) if held_out is None else F.coalesce(held_out, F.lit(False))
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), held.alias("held"))
-    schema = f"{id_col} long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, depth1 long, depth2 long"
+    schema = f"{id_col} long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, depth1 long, depth2 long, deeper long"
     # words as numbers, about half the size of the texts; all rounds read this table
     words = cut(rows.mapInArrow(_load, "part long, no long, ids binary, nulls binary, held binary, counts binary, uni binary, word binary"))
     mask = (1 << 64) - (1 << (64 - KEY_BITS))
@@ -333,88 +355,210 @@ def score_texts(
     got = owned.mapPartitions(sizes).collect()  # two numbers for each partition
     model.n, model.v = sum(x[0] for x in got), sum(x[1] for x in got)
 
-    def ask_second(item):
-        row, a = item
-        ch = Chunk(row, mask)
-        _, c2, n1, root = model.first(ch, a)
-        gain = np.where(ch.train, _gain(np.maximum(c2, 1), np.maximum(n1, 1), root, model.mu), 0)
-        use = a[0] >= model.m  # rarer contexts are never kept
-        sums = _fixed(ch.summed(ch.state, len(ch.uni), gain)[use], model.scale)
-        keys, tri = _trigrams(ch, c2, model.m)
-        return _send(ch.at, [(ch.uni[use], sums), (keys, ch.summed_at(tri, len(keys)))], owners, True)
-
-    kinds2, answers2 = [np.int64, np.uint32], [np.int64, np.uint32]
-    _, r2 = _exchange(_zip(chunked, r1).flatMap(ask_second), owners, chunks, kinds2, answers2, owned, (0, model.m))
-
-    def ask_third(item):
-        (row, a), b = item
+    def ask(k, last):
+        """Messages of round k + 1: gains of contexts of k words, counts of the words after those of k + 1."""
+
+        def run(item):
+            row, got = _open(item, k)
+            ch = Chunk(row, mask)
+            walk = Walk(ch, got, model)
+            more = [] if last else [walk.request()]
+            return _send(ch.at, [(walk.asked, walk.sums), *more], owners, True)
+
+        return run
+
+    asked, replies, k = [owned], [r1], 1
+    while k < ROUNDS if depth is None else k <= depth:
+        last = k == depth
+        known, about = (owned, (0, model.m)) if k == 1 else (asked[k - 2], (1, model.m))
+        types = [None] if last else [None, np.uint32]
+        own, reply = _exchange(_zip(chunked, *replies).flatMap(ask(k, last)), owners, chunks, types, [np.uint8, np.uint32][: len(types)], known, about, model.judge)
+        asked.append(own)
+        replies.append(reply)
+        k += 1
+    rounds = len(replies)
+
+    def ask_rest(item):
+        row, got = _open(item, rounds)
         ch = Chunk(row, mask)
-        tri = Third(ch, a, b, model)
-        # for each context of two words (an edge), the gain of its training occurrences
-        sums = np.bincount(tri.context[tri.train], tri.gain[tri.train], len(ch.bi))
-        use = a[1] >= model.m
-        return _send(ch.at, [(ch.bi[use], _fixed(sums[use], model.scale))], owners, True)
+        return _send_rest(ch, Walk(ch, got, model), rounds, owners)
+
+    def finish(owner, items):
+        return _finish(owner, sorted((m for _, m in items), key=lambda m: m[0]), rounds, model)
+
+    def join_rest(items):
+        got: dict = {}
+        for _, (no, owner, part) in items:
+            got.setdefault(no, []).append((owner, part))
+        for no in sorted(got):
+            yield [np.concatenate(x) for x in zip(*(part for _, part in sorted(got.pop(no), key=lambda v: v[0])))]
 
-    _, r3 = _exchange(_zip(chunked, r1, r2).flatMap(ask_third), owners, chunks, [np.int64], [np.int64], owned, (1, model.m))
+    rest = []
+    if depth is None:
+        sent = _zip(chunked, *replies).flatMap(ask_rest).partitionBy(owners, _number)
+        rest = [_single(sent.mapPartitionsWithIndex(finish).partitionBy(chunks, _number).mapPartitions(join_rest))]
 
     def result(item):
-        ((row, a), b), c = item
+        tail = None
+        if depth is None:
+            item, tail = item
+        row, got = _open(item, rounds)
         ch = Chunk(row, mask)
-        tri = Third(ch, a, b, model)
-        gains = np.zeros(len(ch.bi))
-        gains[a[1] >= model.m] = c[0] / model.scale
-        p = tri.parent.copy()
-        deep = (gains >= model.d)[tri.context]
-        at = tri.at[deep]
-        p[at] = (tri.count[deep] + model.mu * p[at]) / (tri.total[deep] + model.mu)
-        c1 = a[0][ch.word]
-        log = np.log10(p)
+        walk = Walk(ch, got, model)
+        if tail:
+            at, p, used = tail
+            walk.p[at], walk.used[at] = p, np.where(used > 0, used, walk.used[at])
+        c1 = got[0][0][ch.word]
+        log = np.log10(walk.p)
         low = np.log10((c1 + 1.0) / (model.n + (model.v + 1.0)))
         start = np.concatenate(([0], ch.ends[:-1]))
         add = lambda x: np.add.reduceat(x, start)
-        used2 = np.zeros(len(p), np.int64)
-        used2[at] = 1
-        used1 = tri.kept.astype(np.int64) * (1 - used2)
-        cols = (ch.held, ch.counts, add((c1 > 0).astype(np.int64)), add(low), add(log), add(used1), add(used2))
+        some = lambda x: add(x.astype(np.int64))
+        cols = (ch.held, ch.counts, some(c1 > 0), add(low), add(log), some(walk.used == 1), some(walk.used == 2), some(walk.used > 2))
         for k, r in enumerate(zip(*(x.tolist() for x in cols))):
-            yield (None if ch.nulls[k] else int(ch.ids[k]), r[0], r[1], r[2], model.n, r[3], r[4], r[5], r[6])
+            yield (None if ch.nulls[k] else int(ch.ids[k]), r[0], r[1], r[2], model.n, r[3], r[4], r[5], r[6], r[7])
 
-    return spark.createDataFrame(_zip(chunked, r1, r2, r3).flatMap(result), schema)
+    return spark.createDataFrame(_zip(chunked, *replies, *rest).flatMap(result), schema)
 
 
-def _trigrams(ch, c2, least):
-    """Distinct keys of words after contexts of two words that occur often enough in training, and (places, key numbers)."""
-    before = ch.second()
-    at = np.flatnonzero(before >= 0)
-    at = at[c2[before[at]] >= least]
-    keys, inverse = np.unique(pair(ch.bi[ch.edge[before[at]]], ch.uni[ch.word[at]]) & ch.mask, return_inverse=True)
-    return keys, (at, inverse)
-
-
-def _summed_at(self, tri, n):
-    at, inverse = tri
-    return np.bincount(inverse[self.train[at]], minlength=n).astype(np.uint32)
-
-
-Chunk.summed_at = _summed_at
-
-
-class Third:
-    """Contexts of two words: for each occurrence with one, its counts, its parent's probability and its gain."""
+def _send_rest(ch, walk, size: int, owners: int):
+    """The occurrences of contexts that are not judged yet, for the owners of the contexts (of ``size`` words), with all words before them."""
+    at, keys = walk.rest
+    first = np.repeat(np.concatenate(([0], ch.ends[:-1])), ch.counts)
+    own = ((keys >> np.uint64(40)) * np.uint64(owners)) >> np.uint64(24)
+    for o in range(owners):
+        some = np.flatnonzero(own == o)
+        if len(some) or o == sum(ch.at) % owners:  # every chunk gets an answer
+            here = at[some]
+            # for each text the words before its last occurrence, the nearest first and the end symbol last
+            texts, text = np.unique(first[here], return_inverse=True)
+            last = np.zeros(len(texts), np.int64)
+            np.maximum.at(last, text, here)
+            before = [np.append(ch.uni[ch.word[t : max(t, i - size)][::-1]], np.uint64(END))[: i - t + 1 - size] for t, i in zip(texts, last)]
+            flat = np.concatenate(before) if before else np.zeros(0, np.uint64)
+            skip = last[text] - here
+            yield o, (ch.at, (here, keys[some], ch.uni[ch.word[here]], walk.p[here], ch.train[here], text, skip, np.array([len(x) for x in before], np.int64), zlib.compress(flat.tobytes(), 1)))
+
+
+def _finish(owner, messages, size: int, model):
+    """Grows contexts to their full length and answers the places, probabilities and lengths of contexts (0: no longer one is kept) of occurrences."""
+    parts = [m[1] for m in messages]
+    if not parts:
+        return
+    keys, words, p, train = (np.concatenate([x[k] for x in parts]) for k in (1, 2, 3, 4))
+    before = []
+    for x in parts:
+        texts = np.split(np.frombuffer(zlib.decompress(x[8]), np.uint64), np.cumsum(x[7])[:-1])
+        before += [texts[t][s:] for t, s in zip(x[5], x[6])]
+    used = np.zeros(len(keys), np.int64)
+    todo = [(g, 0) for g in _groups(np.arange(len(keys)), keys)]
+    while todo:
+        at, more = todo.pop()
+        learn = train[at]
+        n = int(learn.sum())
+        if n < model.m:
+            continue
+        _, word = np.unique(words[at], return_inverse=True)
+        count = np.bincount(word[learn], minlength=len(at))[word].astype(float)
+        c, own = count[learn], p[at]
+        gain, reach = _gain(c, n, own[learn], model.mu).sum(), _reach(c, own[learn], model.mu).sum()
+        if max(gain, reach) < model.d:
+            continue
+        if gain >= model.d:
+            p[at], used[at] = (count + model.mu * own) / (n + model.mu), size + more
+        else:  # the same occurrences would not be kept with more words either
+            least = min(len(before[i]) for i in at)
+            differ = np.zeros(max(0, least - more), bool)
+            for i in at[1:]:
+                differ |= before[i][more:least] != before[at[0]][more:least]
+            more = more + int(np.argmax(differ)) if differ.any() else max(more, least)
+        at = np.array([i for i in at if len(before[i]) > more], np.int64)
+        todo += [(g, more + 1) for g in _groups(at, np.array([before[i][more] for i in at], np.uint64))]
+    end = 0
+    for c, x in messages:
+        start, end = end, end + len(x[0])
+        yield c[0], (c[1], owner, (x[0], p[start:end], used[start:end]))
+
+
+def _groups(at, by):
+    """The parts of ``at`` with equal values of ``by``."""
+    order = np.argsort(by, kind="stable")
+    return np.split(at[order], np.flatnonzero(by[order][1:] != by[order][:-1]) + 1) if len(at) else []
+
+
+def _open(item, k: int):
+    """A chunk's row and its k answers, in the order of the rounds."""
+    got = []
+    for _ in range(k):
+        item, a = item
+        got.append(a)
+    return item, got[::-1]
+
+
+class Walk:
+    """The answers so far applied to a chunk, from contexts of one word to longer ones.
+
+    ``p`` and ``used`` are each occurrence's probability and the length of its context.
+    ``asked`` and ``sums`` are keys and pairs of sums (gain, reach) of the first contexts
+    that are not judged yet.
+    """
 
-    def __init__(self, ch, a, b, model):
-        _, c2, _, _ = model.first(ch, a)
-        gains = np.full(len(ch.uni), -np.inf)
-        gains[a[0] >= model.m] = b[0] / model.scale
-        self.kept = gains[ch.state] >= model.d
-        self.parent = model.one(ch, a, self.kept)
-        _, (self.at, inverse) = _trigrams(ch, c2, model.m)
-        before = ch.second()[self.at]
-        self.context = ch.edge[before]
-        self.total = c2[before]
-        self.count = b[1][inverse].astype(float)
-        self.train = ch.train[self.at]
-        self.gain = _gain(np.maximum(self.count, 1), self.total, self.parent[self.at], model.mu)
+    def __init__(self, ch, got, model):
+        self.ch, self.m = ch, model.m
+        _, c2, _, self.p = model.first(ch, got[0])
+        self.used = np.zeros(len(self.p), np.int64)
+        self.before = ch.second()
+        self.keys, self.totals, self.context = ch.uni, got[0][0], ch.state
+        live = np.ones(len(self.p), bool)
+        for size in range(1, len(got) + 1):
+            if len(got[size - 1]) < 2:  # the limit of the depth: nothing was asked about longer contexts
+                break
+            self._select()
+            at, own = self.at, self.context[self.at]
+            total = self.totals[own].astype(float)
+            keys, inverse = (ch.bi, ch.edge[at]) if size == 1 else self._grams()
+            count = got[size - 1][1][inverse].astype(float)
+            use = self.totals >= model.m
+            self.asked = self.keys[use]
+            if size < len(got):
+                flags = np.zeros(len(self.keys), np.uint8)
+                flags[use] = got[size][0]
+                now = flags[own]
+                kept = (now & KEPT) > 0
+                there = at[kept]
+                self.p[there] = (count[kept] + model.mu * self.p[there]) / (total[kept] + model.mu)
+                self.used[there] = size
+                live = np.zeros(len(self.p), bool)
+                live[at] = (now & LIVE) > 0
+            else:
+                train = ch.train[at]
+                c, n, p = np.maximum(count[train], 1), total[train], self.p[at[train]]
+                sums = [np.bincount(own[train], f, len(self.keys))[use] for f in (_gain(c, n, p, model.mu), _reach(c, p, model.mu))]
+                self.sums = _fixed(*sums, model.scale)
+                self.rest = at[live[at]], self.keys[own[live[at]]]
+            # contexts of one word more: the key that ends at the word before
+            number = ch.edge if size == 1 else np.full(len(self.p), -1, np.int32)
+            if size > 1:
+                number[at] = inverse
+            self.keys, self.totals = keys, got[size - 1][1]
+            self.context = np.where(self.before >= 0, number[self.before], -1)
+
+    def _select(self):
+        """Occurrences whose context occurs often enough."""
+        ok = self.context >= 0
+        ok[ok] = self.totals[self.context[ok]] >= self.m
+        self.at = np.flatnonzero(ok)
+
+    def _grams(self):
+        """Distinct keys of contexts with the word after, and which one each occurrence has."""
+        ch = self.ch
+        return np.unique(pair(self.keys[self.context[self.at]], ch.uni[ch.word[self.at]]) & ch.mask, return_inverse=True)
+
+    def request(self):
+        """Keys and training counts of the words after the longest contexts so far."""
+        self._select()
+        keys, inverse = self._grams()
+        return keys, np.bincount(inverse[self.ch.train[self.at]], minlength=len(keys)).astype(np.uint32)
 
 
 def held_out(id_col: str = "doc_id", folds: int = 7, fold: int = 2):
