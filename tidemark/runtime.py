@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import io
 import os
 import tempfile
@@ -52,12 +51,34 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut(df):
-    """Cut the lineage of ``df`` by a reliable checkpoint in the shared folder.
-
-    Before that, the driver collects its garbage, so that Spark removes the shuffle files of
-    steps whose lineage was cut earlier and to which nothing refers any more.
-    """
+    """Cut the lineage of ``df`` by a reliable checkpoint in the shared folder, and remove the files of the shuffles before it."""
     checkpoint_dir(df.sparkSession)
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    forget(df.sparkSession, shuffles_of(df._jdf.queryExecution().toRdd(), whole=True))
+    return out
+
+
+def shuffles_of(rdd, whole: bool = False) -> list[int]:
+    """The numbers of the shuffles that an RDD (Python's or Spark's own) reads, and with ``whole`` of those before them."""
+    out, todo = [], [rdd._jrdd.rdd() if hasattr(rdd, "_jrdd") else rdd]
+    while todo:
+        now = todo.pop()
+        deps = now.dependencies()
+        for k in range(deps.size()):
+            dep = deps.apply(k)
+            shuffle = dep.getClass().getSimpleName() == "ShuffleDependency"
+            if shuffle and dep.shuffleId() not in out:
+                out.append(dep.shuffleId())
+            elif shuffle:
+                continue
+            if whole or not shuffle:
+                todo.append(dep.rdd())
+    return out
+
+
+def forget(spark: SparkSession, shuffles: list[int]) -> None:
+    """Remove the files of shuffles whose results are checkpointed, so that nothing will read them again."""
+    cleaner = spark.sparkContext._jsc.sc().cleaner()
+    if cleaner.isDefined():
+        for k in shuffles:
+            cleaner.get().doCleanupShuffle(k, False)
