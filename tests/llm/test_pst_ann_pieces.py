@@ -67,7 +67,7 @@ def test_suffix_tree_matches_brute_force(spark, monkeypatch):
     model = Brute([r[1] for r in rows if not is_held(r[0])])
     assert model.kept1 and model.kept2
     monkeypatch.setattr(suffix_tree, "CHUNK_TOKENS", 500)
-    got = suffix_tree.score_texts(frame(spark, rows), held_out=suffix_tree.held_out()).collect()
+    got = suffix_tree.score_texts(frame(spark, rows), held_out=suffix_tree.held_out(), min_context=4, depth=2).collect()
     want = []
     for i, t, *_ in rows:
         w = tokens(t)
@@ -82,14 +82,15 @@ def test_suffix_tree_matches_brute_force(spark, monkeypatch):
 def test_suffix_tree_totals_beyond_32_bits(spark, monkeypatch):
     rows = documents(n=150)
     scores = lambda: sorted((str(r.doc_id), r.depth1, r.depth2, round(r.score, 6)) for r in suffix_tree.score_texts(frame(spark, rows)).collect())
+    monkeypatch.setattr(suffix_tree, "GAIN", 1 << 20)  # no rounding across the threshold
     want = scores()
     assert any(r[1] for r in want) and any(r[2] for r in want)
     monkeypatch.setattr(suffix_tree, "GAIN", 1 << 28)  # 8 nats are 2 ** 31
     assert scores() == want
 
 
-def deep_brute(rows, d=4.0, mu=4.0):
-    """Scores and numbers of words by length of context, for contexts of any length and count."""
+def deep_brute(rows, depth=None, d=4.0, mu=4.0):
+    """Scores and numbers of words by length of context, for contexts of up to ``depth`` words (any length) and any count."""
     root = Brute([t for i, t in rows if not is_held(i)])
     texts = [[END, *tokens(t)] for _, t in rows]
     train = [not is_held(i) for i, _ in rows]
@@ -109,25 +110,27 @@ def deep_brute(rows, d=4.0, mu=4.0):
             if sum(math.log((c[texts[x][k]] - 1 + mu * p[x, k]) / (n - 1 + mu)) - math.log(p[x, k]) for x, k in own if train[x]) >= d:
                 for x, k in own:
                     p[x, k], used[x, k] = (c[texts[x][k]] + mu * p[x, k]) / (n + mu), size
-            grow(own, size + 1)
+            if size != depth:
+                grow(own, size + 1)
 
     grow(list(p), 1)
     return [(str(rows[x][0]), sum(math.log10(p[x, k]) for k in range(1, len(w))), [sum(f(used[x, k]) for k in range(1, len(w))) for f in (lambda u: u == 1, lambda u: u == 2, lambda u: u > 2)]) for x, w in enumerate(texts)]
 
 
-def test_suffix_tree_without_a_depth_matches_brute_force(spark, monkeypatch):
+def test_deep_suffix_tree_matches_brute_force(spark, monkeypatch):
     rows = [(i, t) for i, t, *_ in documents(n=100) if len(t or "") < 500]
     rows += [(1000 + k, f"{w} {'left' if k % 2 else 'right'} a b c d e f g h {'one' if k % 2 else 'two'} {w}") for k in range(40) for w in [f"w{k % 7}"]]
-    want = sorted(deep_brute(rows))
-    assert sum(x[2][2] for x in want) > 20
     df = frame(spark, [(i, t, None, None, 0, 1, 0.5, True) for i, t in rows])
     monkeypatch.setattr(suffix_tree, "GAIN", 1 << 20)  # no rounding across the threshold
-    for rounds in (2, 5, 8):  # then the owners take over
-        monkeypatch.setattr(suffix_tree, "ROUNDS", rounds)
-        got = sorted((str(r.doc_id), r.score, [r.depth1, r.depth2, r.deeper]) for r in suffix_tree.score_texts(df, held_out=suffix_tree.held_out(), min_context=2, depth=None).collect())
+    deepest = []
+    for depth in (1, 2, 3, 4, 9, None):
+        want = sorted(deep_brute(rows, depth))
+        got = sorted((str(r.doc_id), r.score, [r.depth1, r.depth2, r.deeper]) for r in suffix_tree.score_texts(df, held_out=suffix_tree.held_out(), depth=depth).collect())
         assert len(got) == len(want)
         for a, b in zip(got, want):
             assert a[0] == b[0] and abs(a[1] - b[1]) < 1e-2 and a[2] == b[2]
+        deepest.append(sum(x[1] for x in want))
+    assert sum(x[2][2] for x in want) > 20 and len({round(x, 3) for x in deepest}) > 3
 
 
 def test_suffix_tree_distributions_sum_to_one():

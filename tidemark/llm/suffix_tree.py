@@ -1,6 +1,6 @@
 """A probabilistic suffix tree over words, learned and applied without gathering it anywhere.
 
-States are contexts of up to ``depth`` words, or of any length. A context is kept if its next-word
+States are contexts of up to ``depth`` words. A context is kept if its next-word
 distribution diverges from that of its longest kept proper suffix: the leave-one-out
 log-likelihood ratio of its own occurrences, which is its count times an estimate of
 the Kullback-Leibler divergence, must reach ``divergence``. Distributions are
@@ -8,9 +8,7 @@ smoothed towards the longest kept suffix, P(x|s) = (c(sx) + mu P(x|s')) / (N(s)
 to the root, an absolute-discounting unigram model with one symbol for all unseen words.
 A text is scored with the longest kept state at each word.
 
-Contexts grow by one word a round. Without a depth, the occurrences of those that have an
-extension which might be kept move to owners after ROUNDS rounds, with all the words before
-them, and the owners grow these contexts to their full length. A context that is not kept
+Contexts grow by one word a round. A context that is not kept
 rules out all its extensions if even their best case falls short: they have some of its
 occurrences, so their ratio is at most the sum over its occurrences of
 log((c - 1 + mu p) / ((c - 1 + mu) p)), where c is the word's count and p its
@@ -20,44 +18,109 @@ neither does a minimum of two occurrences: the leave-one-out ratio of a single o
 Counts and divergences of contexts are sums over occurrences, so they are formed in
 rounds of the same kind: each input partition (chunk) sends its distinct keys with
 partial sums to owners chosen by the key, already summed within the chunk; the owners
-add up and return the totals (of divergences, what follows from them) to the chunks that asked. Nothing is collected or broadcast
-but the two totals N and V. The texts are read once and kept as word numbers in a
-checkpointed table, which every round reads in place.
+add up and return the totals (of divergences, what follows from them) to the chunks that
+asked. The answers are checkpointed, and the messages of a round are forgotten then.
+Nothing is collected or broadcast but the two totals N and V. The texts are read once and
+kept as word numbers in a checkpointed table, which the rounds read in place; from the
+third round on, a chunk's state holds only the occurrences whose contexts may still grow.
 """
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 from pyspark.serializers import BatchedSerializer, CPickleSerializer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import cut, ship
+from ..runtime import checkpoint_dir, cut, forget, ship, shuffles_of
 from .tokens import mix64, word_hashes
 
 END = 0x1D872B41F1A3C5E7  # the end's hash; equal to a word's only by a collision of 64 bits
-MIN_CONTEXT = 4
+MIN_CONTEXT = 2
 DIVERGENCE = 4.0
 MU = 4.0
 DISCOUNT = 0.6
+DEPTH = 8
 BATCH_ROWS = 256
-CHUNK_TOKENS = 1_500_000
-GAIN = 64
-#: Rounds without a depth; they judge contexts of fewer words, owners the longer ones.
-ROUNDS = 8
+CHUNK_TOKENS = 1_000_000
+GAIN = 1024
 #: What an owner answers about a context.
 KEPT, LIVE = 1, 2
-#: Keys of two and more words have so many bits; of 2 ** n distinct keys about one in 2 ** (52 - n) is shared by chance.
-KEY_BITS = 52
 
 
 def pair(a, b):
-    """The key of symbol b after context a."""
+    """The key of symbol b after context a, and of the context of both."""
     return mix64((a ^ (a >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + b)
 
 
+# --- arrays ----------------------------------------------------------------------------
+
+
+def _order(keys: np.ndarray) -> np.ndarray:
+    """An order in which 64-bit keys come sorted by their high bits and equal keys stand together."""
+    bits = np.uint64(max(1, (len(keys) - 1).bit_length()))
+    x = keys >> bits << bits | np.arange(len(keys), dtype=np.uint64)  # sorting plain numbers is fast
+    x.sort()
+    order = (x & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    high, got = x >> bits, keys[order]
+    if ((high[1:] == high[:-1]) & (got[1:] != got[:-1])).any():
+        order = np.argsort(keys, kind="stable")
+    return order
+
+
+def _distinct(keys: np.ndarray):
+    """(places of the distinct keys in their order, which of them each key is)."""
+    order = _order(keys)
+    sorted_ = keys[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = sorted_[1:] != sorted_[:-1]
+    inverse = np.empty(len(keys), np.int32)
+    inverse[order] = np.cumsum(new, dtype=np.int32) - np.int32(1)
+    return order[new], inverse
+
+
+def _pairs(a: np.ndarray, b: np.ndarray, width: int):
+    """``_distinct`` of pairs of small numbers, b below ``width``."""
+    if not len(a):
+        return np.zeros(0, np.int64), np.zeros(0, np.int32)
+    both = a.astype(np.uint64) * np.uint64(width) + b.astype(np.uint64)
+    bits = max(1, (len(a) - 1).bit_length())
+    if ((int(a.max()) + 1) * width).bit_length() + bits > 64:
+        return _distinct(both)
+    x = both << np.uint64(bits) | np.arange(len(a), dtype=np.uint64)
+    x.sort()
+    order = (x & np.uint64((1 << bits) - 1)).astype(np.int64)
+    both = x >> np.uint64(bits)
+    new = np.ones(len(a), bool)
+    new[1:] = both[1:] != both[:-1]
+    inverse = np.empty(len(a), np.int32)
+    inverse[order] = np.cumsum(new, dtype=np.int32) - np.int32(1)
+    return order[new], inverse
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """Bytes of an array, first bytes first, so that equal high bytes lie together; compressed lightly."""
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T.tobytes()) if len(x) else b""
+
+
+def _unplanes(b: bytes, kind) -> np.ndarray:
+    import zstandard
+
+    if not b:
+        return np.zeros(0, kind)
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(zstandard.ZstdDecompressor().decompress(b), np.uint8).reshape(size, -1).T).view(kind).ravel()
+
+
+def _deltas(keys: np.ndarray) -> np.ndarray:
+    """Differences of sorted keys."""
+    out = keys.copy()
+    out[1:] = keys[1:] - keys[:-1]
+    return out
+
+
 # --- one partition's texts as arrays -------------------------------------------------
 
 
@@ -73,8 +136,8 @@ def _load(batches):
     def flush():
         ids, held, counts, words = (np.concatenate([g[k] for g in got]) for k in range(4))
         null = np.concatenate([g[4] for g in got])
-        uni, word = np.unique(words, return_inverse=True)
-        cols = {"part": [part], "no": [no], "ids": [ids.tobytes()], "nulls": [null.tobytes()], "held": [held.tobytes()], "counts": [counts.tobytes()], "uni": [_planes(_deltas(uni))], "word": [_planes(word.astype(np.uint32))]}
+        first, word = _distinct(words)
+        cols = {"part": [part], "no": [no], "ids": [ids.tobytes()], "nulls": [null.tobytes()], "held": [held.tobytes()], "counts": [counts.tobytes()], "uni": [_planes(_deltas(words[first]))], "word": [_planes(word.astype(np.uint32))]}
         return pa.RecordBatch.from_pydict(cols)
 
     for whole in batches:
@@ -100,47 +163,39 @@ class Chunk:
     and occurs as often as there are texts.
     """
 
-    def __init__(self, row, mask: int):
-        self.mask = np.uint64(mask)
+    def __init__(self, row):
         self.at = row[0], row[1]
         self.ids, self.nulls, self.held = np.frombuffer(row[2], np.int64), np.frombuffer(row[3], bool), np.frombuffer(row[4], bool)
         self.counts, self.uni = np.frombuffer(row[5], np.int64), np.cumsum(_unplanes(row[6], np.uint64), dtype=np.uint64)
         self.word = _unplanes(row[7], np.uint32).astype(np.int32)
-        n = len(self.word)
-        self.train = np.repeat(~self.held, self.counts)
         self.ends = np.cumsum(self.counts)
-        self.starts = np.zeros(n, bool)
-        self.starts[np.concatenate(([0], self.ends[:-1]))] = True
-        self.state = np.empty(n, np.int32)
-        self.state[1:] = self.word[:-1]
-        self.state[self.starts] = np.searchsorted(self.uni, np.uint64(END))
-        self.bi, edge = np.unique(pair(self.uni[self.state], self.uni[self.word]) & self.mask, return_inverse=True)
-        self.edge = edge.astype(np.int32)
-
-    def summed(self, index, n, weights=None):
-        """Sums over training occurrences for each of n keys."""
-        return np.bincount(index[self.train], None if weights is None else weights[self.train], n)
+        self.first = np.concatenate(([0], self.ends[:-1]))  # of each text, its first word
+        self.end = int(self.word[-1])  # the last word of a text is the end
 
-    def second(self):
-        """For each word, the occurrence that ends its context of two words (-1 without one)."""
-        before = np.arange(len(self.word)) - 1
-        before[self.starts] = -1
-        return before
+    def train(self):
+        return np.repeat(~self.held, self.counts)
 
+    def state(self):
+        """The word before each word."""
+        out = np.empty(len(self.word), np.int32)
+        out[1:] = self.word[:-1]
+        out[self.first] = self.end
+        return out
 
-# --- blobs: sorted keys with numbers, cut by owner -------------------------------------
+    def contexts(self, at, size: int):
+        """Keys of the contexts of ``size`` words before the places ``at``, which must have so many."""
+        word = lambda k: self.uni[self.word[at - k]]
+        text = np.searchsorted(self.ends, at, side="right")
+        key = np.where(at - size < self.first[text], np.uint64(END), self.uni[self.word[np.maximum(at - size, 0)]])
+        for k in range(size - 1, 0, -1):
+            key = pair(key, word(k))
+        return key
 
+    def by_text(self, values):
+        return np.add.reduceat(values, self.first)
 
-def _planes(x: np.ndarray) -> bytes:
-    """Bytes of an array, first bytes first, so that equal high bytes lie together; compressed lightly."""
-    return zlib.compress(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T.tobytes(), 1) if len(x) else b""
 
-
-def _deltas(keys: np.ndarray) -> np.ndarray:
-    """Differences of sorted keys."""
-    out = keys.copy()
-    out[1:] = keys[1:] - keys[:-1]
-    return out
+# --- an exchange: sums of sorted keys go to owners, totals come back --------------------
 
 
 def _fixed(gain: np.ndarray, reach: np.ndarray, scale: int) -> np.ndarray:
@@ -148,69 +203,83 @@ def _fixed(gain: np.ndarray, reach: np.ndarray, scale: int) -> np.ndarray:
     return np.stack([np.rint(gain * scale), np.ceil(reach * scale)], axis=1).astype(np.int64)
 
 
-def _unplanes(b: bytes, kind) -> np.ndarray:
-    if not b:
-        return np.zeros(0, kind)
-    size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(zlib.decompress(b), np.uint8).reshape(size, -1).T).view(kind).ravel()
+#: What a table's sums are: a count, or a pair of whole numbers.
+COUNT, PAIR = np.dtype(np.uint32), np.dtype("V16")
 
 
-def _send(at: tuple[int, int], tables, owners: int, known: bool = False):
-    """(owner, (chunk, blobs)) for every owner; a chunk is a partition and a number in it. ``tables``: (sorted keys, sums) pairs."""
+def _send(at: tuple[int, int], tables, owners: int):
+    """(owner, (chunk, blobs)) for every owner; a chunk is a partition and a number in it. ``tables``: (keys in the order of ``_order``, sums) pairs."""
     cuts = []
     for keys, _ in tables:
         own = ((keys >> np.uint64(40)) * np.uint64(owners)) >> np.uint64(24)
         cuts.append(np.searchsorted(own, np.arange(owners + 1)))
     for o in range(owners):
-        blobs = []
-        for (keys, sums), c in zip(tables, cuts):
-            blobs.append((b"" if known and not blobs else _planes(_deltas(keys[c[o] : c[o + 1]])), _planes(sums[c[o] : c[o + 1]])))
-        if o == sum(at) % owners or any(b[1] for b in blobs):  # every chunk gets an answer
+        blobs = [(_planes(_deltas(keys[c[o] : c[o + 1]])), _planes(sums[c[o] : c[o + 1]])) for (keys, sums), c in zip(tables, cuts)]
+        if o == sum(at) % owners or any(b[0] for b in blobs):  # every chunk gets an answer
             yield o, (at, blobs)
 
 
-def _totals(messages, kinds):
-    """An owner's totals: for each table (keys, totals), and for each chunk where its keys are."""
-    out = []
-    for t, kind in enumerate(kinds):
-        parts = [(c, np.cumsum(_unplanes(b[t][0], np.uint64), dtype=np.uint64), _unplanes(b[t][1], kind)) for c, b in messages]
-        keys = np.concatenate([p[1] for p in parts]) if parts else np.zeros(0, np.uint64)
-        uniq, inverse = np.unique(keys, return_inverse=True)
-        sums = np.bincount(inverse, np.concatenate([p[2] for p in parts]).astype(float), len(uniq)) if len(keys) else np.zeros(0)
-        at, where = 0, []
-        for c, k, _ in parts:
-            where.append((c, inverse[at : at + len(k)]))
-            at += len(k)
-        out.append((uniq, sums, where))
-    return out
+def _totals(messages, t: int, kind):
+    """An owner's distinct keys of table ``t`` by number: their totals, and for each message which ones it has."""
+    parts = [(np.cumsum(_unplanes(b[t][0], np.uint64), dtype=np.uint64), _unplanes(b[t][1], kind)) for _, b in messages]
+    keys = np.concatenate([p[0] for p in parts]) if parts else np.zeros(0, np.uint64)
+    first, inverse = _distinct(keys)
+    sums = np.concatenate([p[1] for p in parts]) if parts else np.zeros(0, kind)
+    add = lambda x: np.bincount(inverse, x.astype(float), len(first)).astype(np.int64)  # noqa: E731  exact below 2 ** 53
+    if kind == PAIR:
+        sums = sums.view(np.int64).reshape(-1, 2)
+        total = np.stack([add(sums[:, 0]), add(sums[:, 1])], axis=1)
+    else:
+        total = add(sums)
+    at = np.cumsum([0] + [len(p[0]) for p in parts])
+    return total, [inverse[a:b] for a, b in zip(at, at[1:])]
 
 
 def _number(k):
     return k
 
 
-def _exchange(sent, owners: int, chunks: int, kinds, answers, known=None, about=None, judge=None):
-    """Totals for every chunk, in the order of its keys, as an RDD with the partitions and items of the chunks.
+def _single(rdd):
+    """The same items, pickled one by one: such RDDs are zipped without another pass through Python."""
+    return rdd._reserialize(BatchedSerializer(CPickleSerializer(), 1))
+
+
+def _zip(base, *more):
+    """((item, answer), answer) ... of the chunks; answers may have more, empty partitions."""
+    n = max([r.getNumPartitions() for r in more], default=0)
+    if (gap := n - base.getNumPartitions()) > 0:
+        base = _single(base.context.union([base, base.context.parallelize([], gap)]))
+    for r in more:
+        base = base.zip(r)
+    return base
+
+
+def _open(item, k: int):
+    """A chunk's row and its k answers, in the order of the rounds."""
+    got = []
+    for _ in range(k):
+        item, a = item
+        got.append(a)
+    return item, got[::-1]
 
-    ``known`` (the messages of an earlier round, by owner) saves sending the keys of the first
-    table again: its sums then stand for the keys of that round's table number ``about[0]`` whose
-    totals are ``about[1]`` at least, which both sides know. They are pairs, and ``judge`` makes
-    the answer of their totals.
-    """
 
-    again = known is not None
+def _exchange(asked, owners: int, chunks: int, kinds, judge):
+    """Answers for every chunk, in the order of its keys, as a checkpointed RDD with the partitions and items of the chunks.
+
+    ``kinds``: for each table COUNT or PAIR; counts come back as totals, pairs of sums as what
+    ``judge`` says of their totals.
+    """
 
     def own(owner, items):
-        if not again:
-            messages = sorted((m for _, m in items), key=lambda m: m[0])
-            tables = _totals(messages, kinds)
-        else:
-            before, now = next(iter(items), ([], []))
-            messages = sorted((m for _, m in now), key=lambda m: m[0])
-            keys, sums, where = _again(before, messages, *about)
-            tables = [(keys, judge(sums), where)] + _totals([(c, b[1:]) for c, b in messages], kinds[1:])
-        for k, (c, _) in enumerate(messages):
-            yield c[0], (c[1], owner, [_planes(sums[where[k][1]].astype(a)) for (_, sums, where), a in zip(tables, answers)])
+        messages = sorted((m for _, m in items), key=lambda m: m[0])
+        answers: list = [[] for _ in messages]
+        for t, kind in enumerate(kinds):
+            total, where = _totals(messages, t, kind)
+            total = judge(total) if kind == PAIR else total.astype(np.uint64)
+            for k, w in enumerate(where):
+                answers[k].append(_planes(total[w]))
+        for (at, _), a in zip(messages, answers):
+            yield at[0], (at[1], owner, a)
 
     def join(items):
         got: dict = {}
@@ -218,50 +287,26 @@ def _exchange(sent, owners: int, chunks: int, kinds, answers, known=None, about=
             got.setdefault(no, []).append((owner, blobs))
         for no in sorted(got):
             parts = sorted(got.pop(no))
-            yield [np.concatenate([_unplanes(v[1][t], a) for v in parts]) for t, a in enumerate(answers)]
-
-    owned = sent.partitionBy(owners, _number)
-    both = owned if known is None else _all(known).zip(_all(owned))
-    back = both.mapPartitionsWithIndex(own).partitionBy(chunks, _number)
-    return owned, _single(back.mapPartitions(join))
-
-
-def _all(rdd):
-    """One item for each partition: the list of its items."""
-    return _single(rdd.mapPartitions(lambda items: [list(items)]))
+            yield [[v[1][t] for v in parts] for t in range(len(kinds))]
 
+    owned = asked.partitionBy(owners, _number)
+    back = owned.mapPartitionsWithIndex(own).partitionBy(chunks, _number)
+    return owned, back, _single(back.mapPartitions(join))
 
-def _again(before, messages, table: int, least: int):
-    """Like a table of ``_totals``, for pairs of sums that come without keys (see ``_exchange``)."""
-    first = sorted((m for _, m in before), key=lambda m: m[0])
-    keys, totals, where = _totals([(c, b[table : table + 1]) for c, b in first], [np.uint32])[0]
-    sums, own = np.zeros((len(keys), 2), np.int64), {}
-    for c, at in where:
-        own[c] = at[totals[at] >= least]
-    out = []
-    for c, b in messages:
-        at = own.get(c, np.zeros(0, np.int64))
-        sums[at] += _unplanes(b[0][1], np.dtype("V16")).view(np.int64).reshape(-1, 2)  # a chunk has a key once
-        out.append((c, at))
-    return keys, sums, out
 
-
-def _single(rdd):
-    """The same items, pickled one by one: such RDDs are zipped without another pass through Python."""
-    return rdd._reserialize(BatchedSerializer(CPickleSerializer(), 1))
+def _answers(blobs, kinds):
+    """A chunk's answers as arrays."""
+    return [np.concatenate([_unplanes(x, np.uint8 if kind == PAIR else np.uint64) for x in b]) for b, kind in zip(blobs, kinds)]
 
 
-def _zip(base, *more):
-    """((item, answer), answer) ... of the chunks; answers may have more, empty partitions."""
-    n = max(r.getNumPartitions() for r in more)
-    if (gap := n - base.getNumPartitions()) > 0:
-        base = _single(base.context.union([base, base.context.parallelize([], gap)]))
-    for r in more:
-        base = base.zip(r)
-    return base
+def _keep(rdd):
+    """The RDD, written to the shared checkpoint folder in one job."""
+    rdd.checkpoint()
+    rdd._jrdd.rdd().doCheckpoint()
+    return rdd
 
 
-# --- the rounds ------------------------------------------------------------------------
+# --- the model -------------------------------------------------------------------------
 
 
 def _root(c, n, v, discount):
@@ -284,22 +329,234 @@ def _reach(c, parent, mu):
 class Model:
     """Parameters and the two totals; everything else stays distributed."""
 
-    def __init__(self, min_context, divergence, mu, discount):
-        self.m, self.d, self.mu, self.discount = min_context, divergence, mu, discount
-        self.scale = GAIN  # of the gains' sums; totals over all chunks need 64 bits
-        self.n = self.v = self.texts = 0
-
-    def first(self, ch, a):
-        """Probabilities at the root and with contexts of one word (for all), for each occurrence."""
-        c1, c2, n1 = a[0][ch.word], a[1][ch.edge], a[0][ch.state]
-        root = _root(c1.astype(float), self.n, self.v, self.discount)
-        return c1, c2.astype(float), n1.astype(float), root
+    def __init__(self, min_context, divergence, mu, discount, depth):
+        self.m, self.d, self.mu, self.discount, self.depth = max(2, min_context), divergence, mu, discount, depth
+        self.scale = GAIN  # of the gains' sums; totals over all chunks have 64 bits
+        self.n = self.v = 0
 
     def judge(self, sums):
         """KEPT and LIVE (a longer context might be kept) of contexts, by their totals."""
         enough = sums >= self.d * self.scale
         return (enough[:, 0] * KEPT + enough.any(axis=1) * LIVE).astype(np.uint8)
 
+    def sums(self, group, groups, c, n, p, times):
+        """Pairs of sums (gain, reach) for each of ``groups``, of items with counts c and n, probabilities p and ``times`` training occurrences."""
+        at = np.flatnonzero(times)
+        group, c, n, p, times = group[at], np.maximum(c[at], 1).astype(float), n[at].astype(float), p[at], times[at]
+        return _fixed(np.bincount(group, times * _gain(c, n, p, self.mu), groups), np.bincount(group, times * _reach(c, p, self.mu), groups), self.scale)
+
+    def smooth(self, c, n, p):
+        return (c + self.mu * p) / (n + self.mu)
+
+    def hopeless(self, n, p):
+        """Contexts of two occurrences that can't be kept, nor their extensions: both words must be the same, and that is too likely already."""
+        return (n == 2) & (2 * _reach(2.0, p, self.mu) < self.d)
+
+
+class Early:
+    """The first rounds of a chunk, worked out from its words and the answers so far.
+
+    ``p`` and ``used`` are each occurrence's probability and the length of its context.
+    """
+
+    def __init__(self, ch: Chunk, model: Model, answers):
+        self.ch, self.m, m = ch, model, model
+        self.state, self.train = ch.state(), ch.train()
+        width = len(ch.uni)
+        first, self.edge = _pairs(self.state, ch.word, width)
+        self.first1, self.width = first, width
+        self.key1 = pair(ch.uni[self.state[first]], ch.uni[ch.word[first]])
+        self.order1 = _order(self.key1)
+        if not answers:
+            return
+        # counts of words and of edges
+        self.c1 = answers[0][0].astype(np.int64)
+        self.c2 = np.empty(len(first), np.int64)
+        self.c2[self.order1] = answers[0][1].astype(np.int64)
+        self.root = _root(self.c1.astype(float), m.n, m.v, m.discount)
+        self.use1 = np.flatnonzero(self.c1 >= m.m)
+        # contexts of two words are the edges that end one word before
+        before = np.arange(len(ch.word)) - 1
+        before[ch.first] = -1
+        if m.depth >= 2:
+            at = np.flatnonzero(before >= 0)
+            at = at[self.c2[self.edge[at - 1]] >= m.m]
+            self.at2, self.own2 = at, self.edge[at - 1]
+            self.first2, self.edge2 = _pairs(self.own2, ch.word[at], width)
+            self.key2 = pair(self.key1[self.own2[self.first2]], ch.uni[ch.word[at[self.first2]]])
+            self.order2 = _order(self.key2)
+        if len(answers) < 2:
+            return
+        # contexts of one word are judged
+        flags = np.zeros(width, np.uint8)
+        flags[self.use1] = answers[1][0]
+        now = flags[self.state]
+        self.live1 = (now & LIVE) > 0
+        kept = np.flatnonzero(now & KEPT)
+        self.p = self.root[ch.word]
+        self.used = np.zeros(len(ch.word), np.uint8)
+        self.p[kept] = m.smooth(self.c2[self.edge[kept]], self.c1[self.state[kept]], self.p[kept])
+        self.used[kept] = 1
+        if m.depth < 2:
+            return
+        self.c3 = np.empty(len(self.first2), np.int64)
+        self.c3[self.order2] = answers[1][1].astype(np.int64)
+        if m.depth >= 3:
+            # of contexts of three words the place of the edge that ends one word before
+            spot = np.full(len(ch.word) + 1, -1, np.int32)
+            spot[self.at2 + 1] = self.edge2
+            spot[ch.first] = -1
+            at = np.flatnonzero((spot[:-1] >= 0) & self.live1)
+            own = spot[at]
+            n = self.c3[own]
+            ok = n >= m.m
+            ok &= ~m.hopeless(n, np.minimum(self.p[at], m.smooth(2, 2, self.p[at])))
+            self.at3, self.own3 = at[ok], own[ok]
+            self.first3, self.edge3 = _pairs(self.own3, ch.word[self.at3], width)
+            self.key3 = pair(self.key2[self.own3[self.first3]], ch.uni[ch.word[self.at3[self.first3]]])
+            self.order3 = _order(self.key3)
+        # contexts of two words that may be kept: with a live suffix
+        self.used2 = np.zeros(len(self.first1), bool)
+        self.used2[self.own2[self.live1[self.at2]]] = True
+        self.use2 = np.flatnonzero(self.used2)
+        self.use2 = self.use2[_order(self.key1[self.use2])]
+        if len(answers) < 3:
+            return
+        flags = np.zeros(len(self.first1), np.uint8)
+        flags[self.use2] = answers[2][0]
+        now = flags[self.own2]
+        kept = np.flatnonzero(now & KEPT)
+        at = self.at2[kept]
+        self.p[at] = m.smooth(self.c3[self.edge2[kept]], self.c2[self.own2[kept]], self.p[at])
+        self.used[at] = 2
+        if m.depth < 3:
+            return
+        self.c4 = np.empty(len(self.first3), np.int64)
+        self.c4[self.order3] = answers[2][1].astype(np.int64)
+        live = np.zeros(len(ch.word), bool)
+        live[self.at2] = (now & LIVE) > 0
+        self.on3 = live[self.at3]
+
+    def ask_counts(self):
+        words = np.bincount(self.ch.word[self.train], minlength=self.width)
+        edges = np.bincount(self.edge[self.train], minlength=len(self.first1))
+        return [(self.ch.uni, words.astype(np.uint32)), (self.key1[self.order1], edges[self.order1].astype(np.uint32))]
+
+    def ask_second(self):
+        """Sums of contexts of one word; counts of the words after contexts of two."""
+        ch, m = self.ch, self.m
+        own = self.state[self.first1]
+        times = np.bincount(self.edge[self.train], minlength=len(self.first1))
+        sums = m.sums(own, self.width, self.c2, self.c1[own], self.root[ch.word[self.first1]], np.where(self.c1[own] >= m.m, times, 0))
+        out = [(ch.uni[self.use1], sums[self.use1])]
+        if m.depth >= 2:
+            edges = np.bincount(self.edge2[self.train[self.at2]], minlength=len(self.first2))
+            out.append((self.key2[self.order2], edges[self.order2].astype(np.uint32)))
+        return out
+
+    def ask_third(self):
+        """Sums of contexts of two words; counts of the words after contexts of three."""
+        m, at = self.m, self.at2[self.first2]
+        own = self.own2[self.first2]
+        times = np.bincount(self.edge2[self.train[self.at2] & self.live1[self.at2]], minlength=len(self.first2))
+        sums = m.sums(own, len(self.first1), self.c3, self.c2[own], self.p[at], times)
+        out = [(self.key1[self.use2], sums[self.use2])]
+        if m.depth >= 3:
+            edges = np.bincount(self.edge3[self.train[self.at3]], minlength=len(self.first3))
+            out.append((self.key3[self.order3], edges[self.order3].astype(np.uint32)))
+        return out
+
+    def finish(self):
+        """The chunk's state: sums of its texts without the occurrences whose contexts may grow, and those occurrences."""
+        ch = self.ch
+        c1 = self.c1[ch.word]
+        low = np.log10((c1 + 1.0) / (self.m.n + (self.m.v + 1.0)))
+        log = np.log10(self.p)
+        used = self.used
+        at = np.zeros(0, np.int64)
+        n = c = at
+        if self.m.depth >= 3:
+            at = self.at3[self.on3]
+            n, c = self.c3[self.own3[self.on3]], self.c4[self.edge3[self.on3]]
+            log[at] = 0.0
+            used = used.copy()
+            used[at] = 0
+        some = lambda x: ch.by_text(x.astype(np.int64))
+        texts = [ch.ids, ch.nulls, ch.held, ch.counts, some(c1 > 0), ch.by_text(low), ch.by_text(log), some(used == 1), some(used == 2), np.zeros(len(ch.ids), np.int64)]
+        return _pack(ch.at, texts, at, self.p[at], self.used[at], n, c)
+
+
+def _pack(no, texts, at, p, used, n, c):
+    """A chunk's state as bytes: its number, the texts' columns, and the open occurrences' place, probability, length of context, and counts of the context to be judged and of the word after it."""
+    return (no, [x.tobytes() for x in texts], _planes(_deltas(at.astype(np.uint64))), _planes(p.astype(np.float32)), _planes(used.astype(np.uint8)), _planes(n.astype(np.uint64)), _planes(c.astype(np.uint64)))
+
+
+TEXTS = (np.int64, bool, bool, np.int64, np.int64, float, float, np.int64, np.int64, np.int64)
+
+
+class Late:
+    """A chunk's open occurrences, whose contexts of ``size`` words are to be judged next."""
+
+    def __init__(self, ch: Chunk, state, model: Model, size: int):
+        self.ch, self.m, self.size = ch, model, size
+        self.texts = [np.frombuffer(b, t) for b, t in zip(state[1], TEXTS)]
+        self.at = np.cumsum(_unplanes(state[2], np.uint64)).astype(np.int64)
+        self.p, self.used = _unplanes(state[3], np.float32).astype(float), _unplanes(state[4], np.uint8)
+        self.n, self.c = _unplanes(state[5], np.uint64).astype(np.int64), _unplanes(state[6], np.uint64).astype(np.int64)
+        keys = ch.contexts(self.at, size)
+        first, self.own = _distinct(keys)
+        self.keys = keys[first]
+        text = np.searchsorted(ch.ends, self.at, side="right")
+        self.train, self.text = ~ch.held[text], text
+        # contexts of one word more
+        if size < model.depth:
+            # where the word before is open too, it knows how often the longer context occurs
+            back = np.searchsorted(self.at, self.at - 1)
+            back[back == len(self.at)] = 0
+            known = self.at[back] == self.at - 1 if len(self.at) else np.zeros(0, bool)
+            n = np.where(known, self.c[back], model.m + 1) if len(self.at) else self.c
+            more = (self.at - size - 1 >= ch.first[text] - 1) & (n >= model.m) & ~model.hopeless(n, np.minimum(self.p, model.smooth(2, 2, self.p)))
+            self.on = np.flatnonzero(more)
+            at = self.at[self.on]
+            keys = ch.contexts(at, size + 1)
+            first, self.own2 = _distinct(keys)
+            self.keys2 = keys[first]
+            keys = pair(keys, ch.uni[ch.word[at]])
+            first, self.edge2 = _distinct(keys)
+            self.edges2 = keys[first]
+
+    def ask(self):
+        """Sums of the contexts, and counts of the contexts of one word more and of the words after them."""
+        out = [(self.keys, self.m.sums(self.own, len(self.keys), self.c, self.n, self.p, self.train.astype(np.int64)))]
+        if self.size < self.m.depth:
+            learn = self.train[self.on]
+            out.append((self.keys2, np.bincount(self.own2[learn], minlength=len(self.keys2)).astype(np.uint32)))
+            out.append((self.edges2, np.bincount(self.edge2[learn], minlength=len(self.edges2)).astype(np.uint32)))
+        return out
+
+    def apply(self, got):
+        """The state after the answers."""
+        now = got[0][self.own]
+        kept = np.flatnonzero(now & KEPT)
+        self.p[kept] = self.m.smooth(self.c[kept], self.n[kept], self.p[kept])
+        used = self.used.copy()
+        used[kept] = np.minimum(255, self.size)
+        open_ = np.zeros(len(self.at), bool)
+        n = c = np.zeros(0, np.int64)
+        if self.size < self.m.depth:
+            total = got[1].astype(np.int64)[self.own2]
+            ok = (total >= self.m.m) & ((now[self.on] & LIVE) > 0)
+            ok &= ~self.m.hopeless(total, self.p[self.on])
+            open_[self.on[ok]] = True
+            n, c = total[ok], got[2].astype(np.int64)[self.edge2[ok]]
+        done = np.flatnonzero(~open_)
+        texts = [x.copy() for x in self.texts]
+        text = self.text[done]
+        texts[6] += np.bincount(text, np.log10(self.p[done]), len(texts[6]))
+        for k, own in ((7, used[done] == 1), (8, used[done] == 2), (9, used[done] > 2)):
+            texts[k] += np.bincount(text[own], minlength=len(texts[k]))
+        return _pack(self.ch.at, texts, self.at[open_], self.p[open_], used[open_], n, c)
+
 
 def score_texts(
     df: DataFrame,
@@ -310,14 +567,15 @@ def score_texts(
     divergence: float = DIVERGENCE,
     mu: float = MU,
     discount: float = DISCOUNT,
-    depth: int | None = 2,
+    depth: int | None = DEPTH,
 ) -> DataFrame:
     """Scores every text with a suffix tree learned from the rows outside ``held_out``.
 
     Returns the identifier, held_out, n_tokens (words and the end), n_known, train_tokens,
     base_score (add-one unigrams), score (log10 probability), and the numbers of words scored
     with a context of one (depth1), two (depth2) and more words (deeper). ``depth``: the most
-    words of a context; None for no limit. Words are runs without white
+    words of a context, one round each; with None rounds go on until no context can grow. ``min_context``:
+    the fewest occurrences of a context; two at least. Words are runs without white
     space, A-Z lower-cased; a null text is empty and has only the end. ``held_out``: a
     boolean column; null counts as no, and by default nothing is held out. Null and
     repeated identifiers are scored row by row. Without any training row every
@@ -325,240 +583,85 @@ def score_texts(
     """
     spark = df.sparkSession
     ship(spark)
+    checkpoint_dir(spark)
     held = F.lit(False) if held_out is None else F.coalesce(held_out, F.lit(False))
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), held.alias("held"))
     schema = f"{id_col} long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, depth1 long, depth2 long, deeper long"
     # words as numbers, about half the size of the texts; all rounds read this table
     words = cut(rows.mapInArrow(_load, "part long, no long, ids binary, nulls binary, held binary, counts binary, uni binary, word binary"))
-    mask = (1 << 64) - (1 << (64 - KEY_BITS))
     base = words.rdd
     chunks = base.getNumPartitions()
     if not chunks:
         return spark.createDataFrame([], schema)
-    owners = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    owners = max(chunks, int(spark.conf.get("spark.sql.shuffle.partitions")))
     chunked = _single(base.map(tuple))
-    model = Model(min_context, divergence, mu, discount)
-
-    def ask_counts(row):
-        ch = Chunk(row, mask)
-        return _send(ch.at, [(ch.uni, ch.summed(ch.word, len(ch.uni)).astype(np.uint32)), (ch.bi, ch.summed(ch.edge, len(ch.bi)).astype(np.uint32))], owners)
-
-    kinds = [np.uint32] * 2
-    sent = chunked.flatMap(ask_counts)
-    owned, r1 = _exchange(sent, owners, chunks, kinds, [np.uint64, np.uint64])
-
-    def sizes(items):
-        _, sums, _ = _totals(sorted((m for _, m in items), key=lambda m: m[0]), kinds)[0]
-        yield int(sums.sum()), int((sums > 0).sum())
-
-    # r1 runs in the next job; its first shuffle is written once and read by both
-    got = owned.mapPartitions(sizes).collect()  # two numbers for each partition
-    model.n, model.v = sum(x[0] for x in got), sum(x[1] for x in got)
-
-    def ask(k, last):
-        """Messages of round k + 1: gains of contexts of k words, counts of the words after those of k + 1."""
+    model = Model(min_context, divergence, mu, discount, (1 << 62) if depth is None else max(1, depth))
+    replies, kinds = [], []
 
+    def early(what, answered):
         def run(item):
-            row, got = _open(item, k)
-            ch = Chunk(row, mask)
-            walk = Walk(ch, got, model)
-            more = [] if last else [walk.request()]
-            return _send(ch.at, [(walk.asked, walk.sums), *more], owners, True)
+            row, got = _open(item, answered)
+            e = Early(Chunk(row), model, [_answers(g, k) for g, k in zip(got, kinds)])
+            return _send(e.ch.at, what(e), owners)
 
         return run
 
-    asked, replies, k = [owned], [r1], 1
-    while k < ROUNDS if depth is None else k <= depth:
-        last = k == depth
-        known, about = (owned, (0, model.m)) if k == 1 else (asked[k - 2], (1, model.m))
-        types = [None] if last else [None, np.uint32]
-        own, reply = _exchange(_zip(chunked, *replies).flatMap(ask(k, last)), owners, chunks, types, [np.uint8, np.uint32][: len(types)], known, about, model.judge)
-        asked.append(own)
-        replies.append(reply)
-        k += 1
-    rounds = len(replies)
-
-    def ask_rest(item):
-        row, got = _open(item, rounds)
-        ch = Chunk(row, mask)
-        return _send_rest(ch, Walk(ch, got, model), rounds, owners)
-
-    def finish(owner, items):
-        return _finish(owner, sorted((m for _, m in items), key=lambda m: m[0]), rounds, model)
-
-    def join_rest(items):
-        got: dict = {}
-        for _, (no, owner, part) in items:
-            got.setdefault(no, []).append((owner, part))
-        for no in sorted(got):
-            yield [np.concatenate(x) for x in zip(*(part for _, part in sorted(got.pop(no), key=lambda v: v[0])))]
-
-    rest = []
-    if depth is None:
-        sent = _zip(chunked, *replies).flatMap(ask_rest).partitionBy(owners, _number)
-        rest = [_single(sent.mapPartitionsWithIndex(finish).partitionBy(chunks, _number).mapPartitions(join_rest))]
-
-    def result(item):
-        tail = None
-        if depth is None:
-            item, tail = item
-        row, got = _open(item, rounds)
-        ch = Chunk(row, mask)
-        walk = Walk(ch, got, model)
-        if tail:
-            at, p, used = tail
-            walk.p[at], walk.used[at] = p, np.where(used > 0, used, walk.used[at])
-        c1 = got[0][0][ch.word]
-        log = np.log10(walk.p)
-        low = np.log10((c1 + 1.0) / (model.n + (model.v + 1.0)))
-        start = np.concatenate(([0], ch.ends[:-1]))
-        add = lambda x: np.add.reduceat(x, start)
-        some = lambda x: add(x.astype(np.int64))
-        cols = (ch.held, ch.counts, some(c1 > 0), add(low), add(log), some(walk.used == 1), some(walk.used == 2), some(walk.used > 2))
-        for k, r in enumerate(zip(*(x.tolist() for x in cols))):
-            yield (None if ch.nulls[k] else int(ch.ids[k]), r[0], r[1], r[2], model.n, r[3], r[4], r[5], r[6], r[7])
-
-    return spark.createDataFrame(_zip(chunked, *replies, *rest).flatMap(result), schema)
-
-
-def _send_rest(ch, walk, size: int, owners: int):
-    """The occurrences of contexts that are not judged yet, for the owners of the contexts (of ``size`` words), with all words before them."""
-    at, keys = walk.rest
-    first = np.repeat(np.concatenate(([0], ch.ends[:-1])), ch.counts)
-    own = ((keys >> np.uint64(40)) * np.uint64(owners)) >> np.uint64(24)
-    for o in range(owners):
-        some = np.flatnonzero(own == o)
-        if len(some) or o == sum(ch.at) % owners:  # every chunk gets an answer
-            here = at[some]
-            # for each text the words before its last occurrence, the nearest first and the end symbol last
-            texts, text = np.unique(first[here], return_inverse=True)
-            last = np.zeros(len(texts), np.int64)
-            np.maximum.at(last, text, here)
-            before = [np.append(ch.uni[ch.word[t : max(t, i - size)][::-1]], np.uint64(END))[: i - t + 1 - size] for t, i in zip(texts, last)]
-            flat = np.concatenate(before) if before else np.zeros(0, np.uint64)
-            skip = last[text] - here
-            yield o, (ch.at, (here, keys[some], ch.uni[ch.word[here]], walk.p[here], ch.train[here], text, skip, np.array([len(x) for x in before], np.int64), zlib.compress(flat.tobytes(), 1)))
-
-
-def _finish(owner, messages, size: int, model):
-    """Grows contexts to their full length and answers the places, probabilities and lengths of contexts (0: no longer one is kept) of occurrences."""
-    parts = [m[1] for m in messages]
-    if not parts:
-        return
-    keys, words, p, train = (np.concatenate([x[k] for x in parts]) for k in (1, 2, 3, 4))
-    before = []
-    for x in parts:
-        texts = np.split(np.frombuffer(zlib.decompress(x[8]), np.uint64), np.cumsum(x[7])[:-1])
-        before += [texts[t][s:] for t, s in zip(x[5], x[6])]
-    used = np.zeros(len(keys), np.int64)
-    todo = [(g, 0) for g in _groups(np.arange(len(keys)), keys)]
-    while todo:
-        at, more = todo.pop()
-        learn = train[at]
-        n = int(learn.sum())
-        if n < model.m:
-            continue
-        _, word = np.unique(words[at], return_inverse=True)
-        count = np.bincount(word[learn], minlength=len(at))[word].astype(float)
-        c, own = count[learn], p[at]
-        gain, reach = _gain(c, n, own[learn], model.mu).sum(), _reach(c, own[learn], model.mu).sum()
-        if max(gain, reach) < model.d:
-            continue
-        if gain >= model.d:
-            p[at], used[at] = (count + model.mu * own) / (n + model.mu), size + more
-        else:  # the same occurrences would not be kept with more words either
-            least = min(len(before[i]) for i in at)
-            differ = np.zeros(max(0, least - more), bool)
-            for i in at[1:]:
-                differ |= before[i][more:least] != before[at[0]][more:least]
-            more = more + int(np.argmax(differ)) if differ.any() else max(more, least)
-        at = np.array([i for i in at if len(before[i]) > more], np.int64)
-        todo += [(g, more + 1) for g in _groups(at, np.array([before[i][more] for i in at], np.uint64))]
-    end = 0
-    for c, x in messages:
-        start, end = end, end + len(x[0])
-        yield c[0], (c[1], owner, (x[0], p[start:end], used[start:end]))
-
-
-def _groups(at, by):
-    """The parts of ``at`` with equal values of ``by``."""
-    order = np.argsort(by, kind="stable")
-    return np.split(at[order], np.flatnonzero(by[order][1:] != by[order][:-1]) + 1) if len(at) else []
-
-
-def _open(item, k: int):
-    """A chunk's row and its k answers, in the order of the rounds."""
-    got = []
-    for _ in range(k):
-        item, a = item
-        got.append(a)
-    return item, got[::-1]
-
-
-class Walk:
-    """The answers so far applied to a chunk, from contexts of one word to longer ones.
-
-    ``p`` and ``used`` are each occurrence's probability and the length of its context.
-    ``asked`` and ``sums`` are keys and pairs of sums (gain, reach) of the first contexts
-    that are not judged yet.
-    """
-
-    def __init__(self, ch, got, model):
-        self.ch, self.m = ch, model.m
-        _, c2, _, self.p = model.first(ch, got[0])
-        self.used = np.zeros(len(self.p), np.int64)
-        self.before = ch.second()
-        self.keys, self.totals, self.context = ch.uni, got[0][0], ch.state
-        live = np.ones(len(self.p), bool)
-        for size in range(1, len(got) + 1):
-            if len(got[size - 1]) < 2:  # the limit of the depth: nothing was asked about longer contexts
-                break
-            self._select()
-            at, own = self.at, self.context[self.at]
-            total = self.totals[own].astype(float)
-            keys, inverse = (ch.bi, ch.edge[at]) if size == 1 else self._grams()
-            count = got[size - 1][1][inverse].astype(float)
-            use = self.totals >= model.m
-            self.asked = self.keys[use]
-            if size < len(got):
-                flags = np.zeros(len(self.keys), np.uint8)
-                flags[use] = got[size][0]
-                now = flags[own]
-                kept = (now & KEPT) > 0
-                there = at[kept]
-                self.p[there] = (count[kept] + model.mu * self.p[there]) / (total[kept] + model.mu)
-                self.used[there] = size
-                live = np.zeros(len(self.p), bool)
-                live[at] = (now & LIVE) > 0
-            else:
-                train = ch.train[at]
-                c, n, p = np.maximum(count[train], 1), total[train], self.p[at[train]]
-                sums = [np.bincount(own[train], f, len(self.keys))[use] for f in (_gain(c, n, p, model.mu), _reach(c, p, model.mu))]
-                self.sums = _fixed(*sums, model.scale)
-                self.rest = at[live[at]], self.keys[own[live[at]]]
-            # contexts of one word more: the key that ends at the word before
-            number = ch.edge if size == 1 else np.full(len(self.p), -1, np.int32)
-            if size > 1:
-                number[at] = inverse
-            self.keys, self.totals = keys, got[size - 1][1]
-            self.context = np.where(self.before >= 0, number[self.before], -1)
-
-    def _select(self):
-        """Occurrences whose context occurs often enough."""
-        ok = self.context >= 0
-        ok[ok] = self.totals[self.context[ok]] >= self.m
-        self.at = np.flatnonzero(ok)
-
-    def _grams(self):
-        """Distinct keys of contexts with the word after, and which one each occurrence has."""
-        ch = self.ch
-        return np.unique(pair(self.keys[self.context[self.at]], ch.uni[ch.word[self.at]]) & ch.mask, return_inverse=True)
-
-    def request(self):
-        """Keys and training counts of the words after the longest contexts so far."""
-        self._select()
-        keys, inverse = self._grams()
-        return keys, np.bincount(inverse[self.ch.train[self.at]], minlength=len(keys)).astype(np.uint32)
+    def sizes(items):
+        total, _ = _totals([m for _, m in items], 0, COUNT)
+        yield int(total.sum()), int((total > 0).sum())
+
+    for what in (Early.ask_counts, Early.ask_second, Early.ask_third)[: 1 + min(2, model.depth)]:
+        k = len(replies)
+        asked = _zip(chunked, *replies).flatMap(early(what, k)) if k else chunked.flatMap(early(what, 0))
+        own = ([COUNT, COUNT], [PAIR, COUNT][: model.depth], [PAIR, COUNT][: max(1, model.depth - 1)])[k]
+        owned, back, reply = _exchange(asked, owners, chunks, own, model.judge)
+        _keep(reply)
+        if not k:  # two numbers for each owner
+            got = owned.mapPartitions(sizes).collect()
+            model.n, model.v = sum(x[0] for x in got), sum(x[1] for x in got)
+        forget(spark, shuffles_of(owned) + shuffles_of(back))
+        replies, kinds = [*replies, reply], [*kinds, own]
+
+    def first_state(item):
+        row, got = _open(item, len(kinds))
+        return Early(Chunk(row), model, [_answers(g, k) for g, k in zip(got, kinds)]).finish()
+
+    states = _single(_zip(chunked, *replies).map(first_state))
+    size = 3
+    if size <= model.depth:
+        _keep(states)
+    while size <= model.depth and (depth is not None or states.filter(lambda s: s[2]).take(1)):
+        last = size == model.depth
+        own = [PAIR, COUNT, COUNT][: 1 if last else 3]
+        both = _zip(chunked, states)
+        owned, back, reply = _exchange(both.flatMap(_late_ask(model, size, owners)), owners, chunks, own, model.judge)
+        states = _keep(_single(_zip(both, reply).map(_late_apply(model, size, own))))
+        forget(spark, shuffles_of(owned) + shuffles_of(back))
+        size += 1
+
+    def result(state):
+        cols = [np.frombuffer(b, t).tolist() for b, t in zip(state[1], TEXTS)]
+        for i, null, held_, count, known, low, log, d1, d2, d3 in zip(*cols):
+            yield (None if null else i, held_, count, known, model.n, low, log, d1, d2, d3)
+
+    return spark.createDataFrame(states.flatMap(result), schema)
+
+
+def _late_ask(model: Model, size: int, owners: int):
+    def run(item):
+        row, state = item
+        ch = Chunk(row)
+        return _send(ch.at, Late(ch, state, model, size).ask(), owners)
+
+    return run
+
+
+def _late_apply(model: Model, size: int, kinds):
+    def run(item):
+        (row, state), got = item
+        return Late(Chunk(row), state, model, size).apply(_answers(got, kinds))
+
+    return run
 
 
 def held_out(id_col: str = "doc_id", folds: int = 7, fold: int = 2):
