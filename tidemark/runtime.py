@@ -8,6 +8,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
+from pyspark import RDD
 from pyspark.sql import SparkSession
 
 _ROOT = Path(__file__).resolve().parent
@@ -60,7 +61,7 @@ def cut(df):
 
 def shuffles_of(rdd, whole: bool = False) -> list[int]:
     """The numbers of the shuffles that an RDD (Python's or Spark's own) reads, and with ``whole`` of those before them."""
-    out, todo = [], [rdd._jrdd.rdd() if hasattr(rdd, "_jrdd") else rdd]
+    out, todo = [], [rdd._jrdd.rdd() if isinstance(rdd, RDD) else rdd]
     while todo:
         now = todo.pop()
         deps = now.dependencies()
