@@ -8,7 +8,6 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark import RDD
 from pyspark.sql import SparkSession
 
 _ROOT = Path(__file__).resolve().parent
@@ -51,28 +50,31 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
+#: With it, Spark removes the shuffle files of a query when it has ended.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut(df):
-    """Cut the lineage of ``df`` by a reliable checkpoint in the shared folder, and remove the files of the shuffles before it."""
-    checkpoint_dir(df.sparkSession)
-    out = df.checkpoint(eager=True)
-    forget(df.sparkSession, shuffles_of(df._jdf.queryExecution().toRdd(), whole=True))
-    return out
+    """Cut the lineage of ``df`` by a reliable checkpoint in the shared folder; the files of its shuffles go when it is written."""
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    once = df.select("*")  # a query of its own takes the setting
+    spark.conf.set(_CLEANUP, before)
+    return once.checkpoint(eager=True)
 
 
-def shuffles_of(rdd, whole: bool = False) -> list[int]:
-    """The numbers of the shuffles that an RDD (Python's or Spark's own) reads, and with ``whole`` of those before them."""
-    out, todo = [], [rdd._jrdd.rdd() if isinstance(rdd, RDD) else rdd]
+def shuffles_of(rdd) -> list[int]:
+    """The numbers of the shuffles that an RDD reads directly."""
+    out, todo = [], [rdd._jrdd.rdd()]
     while todo:
-        now = todo.pop()
-        deps = now.dependencies()
+        deps = todo.pop().dependencies()
         for k in range(deps.size()):
             dep = deps.apply(k)
-            shuffle = dep.getClass().getSimpleName() == "ShuffleDependency"
-            if shuffle and dep.shuffleId() not in out:
+            if dep.getClass().getSimpleName() == "ShuffleDependency":
                 out.append(dep.shuffleId())
-            elif shuffle:
-                continue
-            if whole or not shuffle:
+            else:
                 todo.append(dep.rdd())
     return out
 
