@@ -1,9 +1,10 @@
 """Anomalies as rewrites of sample windows.
 
-``inject`` takes the sample rows of any number of channels and a small frame of windows.
-Rows outside all windows pass through unchanged; rows inside are met by a broadcast join
+``inject`` takes the sample rows of any number of channels and a frame of windows.
+Rows outside all windows pass through unchanged; rows inside are met by a join
 on the channel with the window's bounds as residual condition, rewritten from the clean
-base, and united with the rest. So no sample outside a window is ever shuffled.
+base, and united with the rest. Up to FEW windows (the caller knows their number) are sent to all tasks,
+so that only samples inside windows are shuffled; more are met by channel and span of times.
 """
 
 from __future__ import annotations
@@ -26,6 +27,10 @@ WINDOWS = (
 )
 CHANNEL = ["series", "split", "channel"]
 EVENT = ["series", "split", "order"]
+#: Windows that are sent to all tasks; each has some hundred bytes.
+FEW = 20_000
+#: Samples of a channel that look for their windows together, if there are more.
+SPAN = 1 << 16
 #: Kinds that need a window's samples together as arrays.
 ARRAYS = ("pattern-shift", "pattern-reverse")
 
@@ -297,34 +302,46 @@ def reverse_windows(events: DataFrame) -> DataFrame:
 # --- the whole ----------------------------------------------------------------------------
 
 
-def inject(rows: DataFrame, windows: DataFrame, kinds: set[str], bases: set[str], trends: set[str] = frozenset(), alternatives: DataFrame | None = None, walks: DataFrame | None = None) -> DataFrame:
+def _met(rows: DataFrame, windows: DataFrame, few: bool, before=0, after=0, to_end=None) -> DataFrame:
+    """Samples with the windows they lie in, widened by ``before`` and ``after`` samples; windows marked ``to_end`` reach the end of their channel."""
+    start, end = F.col("s") - before, F.col("e") + after
+    inside = (F.col("t") >= start) & ((F.col("t") < end) if to_end is None else ((F.col("t") < end) | to_end))
+    if few:
+        return rows.join(F.broadcast(windows), CHANNEL).where(inside)
+    own = windows if to_end is None else windows.where(~to_end)
+    own = own.withColumn("__span", F.explode(F.sequence(F.floor(start / SPAN), F.floor((end - 1) / SPAN))))
+    out = rows.withColumn("__span", F.floor(F.col("t") / SPAN)).join(own, [*CHANNEL, "__span"]).where(inside).drop("__span")
+    return out if to_end is None else out.unionByName(rows.join(windows.where(to_end), CHANNEL).where(inside))
+
+
+def inject(rows: DataFrame, windows: DataFrame, kinds: set[str], bases: set[str], trends: set[str] = frozenset(), alternatives: DataFrame | None = None, walks: DataFrame | None = None, few: bool = True) -> DataFrame:
     """Applies windows to sample rows (parameters, t, base, noise, trend, offset).
 
     Anomalies overwrite the base, and of several at one sample the last wins; kinds of one
     anomaly are summed. Noise is replaced by the last variance kind; a platform switches the
     trend off, and what trend kinds after it add stays. ``kinds``, ``bases`` and ``trends``: the anomaly
     kinds, base kinds and kinds of local trends that occur. ``alternatives`` (series, split, order, t, alt) and ``walks`` (series, split, order, i, walk) give
-    regenerated patterns and sequential trends. Samples without a window pass unchanged.
+    regenerated patterns and sequential trends. Samples without a window pass unchanged. ``few``: whether there are at most FEW windows.
     """
     cover = windows.select(*CHANNEL, "s", F.when((F.col("what") == "trend") & (F.col("boundary") == "legacy_carry_over"), F.lit(2**62)).otherwise(F.col("e")).alias("e"))
     spans = cover.groupBy(*CHANNEL).agg(F.collect_list(F.struct("s", "e")).alias("__spans"))
-    marked = rows.join(spans, CHANNEL, "left")
+    marked = rows.join(F.broadcast(spans) if few else spans, CHANNEL, "left")
     covered = F.exists("__spans", lambda w: (F.col("t") >= w["s"]) & (F.col("t") < w["e"]))
     plain = marked.where(~F.coalesce(covered, F.lit(False))).drop("__spans")
     keep = [*rows.columns]
     to_end = (F.col("what") == "trend") & (F.col("boundary") == "legacy_carry_over")
     single = windows.where(~F.col("what").isin(*ARRAYS))
-    inside = rows.join(single, CHANNEL).where((F.col("t") >= F.col("s")) & ((F.col("t") < F.col("e")) | to_end))
+    inside = _met(rows, single, few, to_end=to_end if "trend" in kinds else None)
     inside = inside.withColumn("i", F.col("t") - F.col("s")).withColumn("len", F.col("e") - F.col("s"))
     inside = inside.join(alternatives, [*EVENT, "t"], "left") if alternatives is not None else inside.withColumn("alt", F.lit(None).cast("double"))
     if walks is not None:
         inside = inside.withColumn("__i", F.least(F.col("i"), F.col("len") - 1)).join(walks.withColumnRenamed("i", "__i"), [*EVENT, "__i"], "left").drop("__i")
     else:
         inside = inside.withColumn("walk", F.lit(None).cast("double"))
-    scales = _scales(rows, windows) if "extremum" in kinds else None
+    scales = _scales(rows, windows, few) if "extremum" in kinds else None
     changes = _rewritten(inside, scales, kinds, bases, trends).select(*keep, "anomaly", "order", "nb", "nn", "tz", "ta")
     if kinds & set(ARRAYS):
-        changes = changes.unionByName(_array_changes(rows, windows.where(F.col("what").isin(*ARRAYS)), keep))
+        changes = changes.unionByName(_array_changes(rows, windows.where(F.col("what").isin(*ARRAYS)), keep, few))
     per = changes.groupBy(*CHANNEL, "t", "anomaly").agg(
         F.sum("nb").alias("nb"),
         F.max(F.when(F.col("nn").isNotNull(), F.struct("order", "nn"))).alias("nn"),
@@ -346,25 +363,20 @@ def inject(rows: DataFrame, windows: DataFrame, kinds: set[str], bases: set[str]
     return plain.select(*keep).unionByName(final.select(*keep))
 
 
-def _scales(rows: DataFrame, windows: DataFrame) -> DataFrame:
-    """For each extremum: the base's range, the range around it and the largest noise."""
+def _scales(rows: DataFrame, windows: DataFrame, few: bool) -> DataFrame:
+    """For each extremum: the base's range, the range around it and the largest noise. Channels are reduced once, whatever the number of their windows."""
     ext = windows.where("what = 'extremum'").select(*EVENT, "channel", "s", "e", "context")
-    near = (F.col("t") >= F.col("s") - F.floor(F.col("context") / 2)) & (F.col("t") < F.col("e") + F.floor(F.col("context") / 2))
-    return (
-        rows.select(*CHANNEL, "t", "base", "noise")
-        .join(ext, CHANNEL)
-        .groupBy(*EVENT)
-        .agg(
-            (F.max("base") - F.min("base")).alias("all_range"),
-            (F.max(F.when(near, F.col("base"))) - F.min(F.when(near, F.col("base")))).alias("ctx_range"),
-            F.max(F.abs("noise")).alias("max_noise"),
-        )
-    )
+    at = F.broadcast(ext.select(*CHANNEL).distinct()) if few else ext.select(*CHANNEL).distinct()
+    whole = rows.join(at, CHANNEL, "left_semi").groupBy(*CHANNEL).agg((F.max("base") - F.min("base")).alias("all_range"), F.max(F.abs("noise")).alias("max_noise"))
+    half = F.floor(F.col("context") / 2)
+    near = _met(rows.select(*CHANNEL, "t", "base"), ext, few, half, half)
+    spread = near.groupBy(*EVENT).agg((F.max("base") - F.min("base")).alias("ctx_range"))
+    return ext.select(*EVENT, "channel").join(whole, CHANNEL).join(spread, EVENT).drop("channel")
 
 
-def _array_changes(rows: DataFrame, windows: DataFrame, keep: list[str]) -> DataFrame:
+def _array_changes(rows: DataFrame, windows: DataFrame, keep: list[str], few: bool) -> DataFrame:
     reach = F.when(F.col("what") == "pattern-reverse", 3 + F.greatest(F.lit(1), F.floor((F.col("e") - F.col("s")) * 0.05))).otherwise(0)
-    near = rows.join(windows, CHANNEL).where((F.col("t") >= F.col("s") - reach) & (F.col("t") < F.col("e") + reach))
+    near = _met(rows, windows, few, reach, reach)
     names = [c for c in keep if c not in ("t", "base", "noise", "trend", *CHANNEL)]
     wins = [c for c in windows.columns if c not in (*CHANNEL, "order")]
     events = near.groupBy(*CHANNEL, "order").agg(

@@ -6,10 +6,21 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def point_labels(grid: DataFrame, events: DataFrame, keys) -> DataFrame:
-    """The grid's rows (keys, t) with label 1 where an event (keys, start, end) covers t."""
-    covered = events.where(F.col("end") > F.col("start")).select(*keys, F.explode(F.sequence("start", F.col("end") - 1)).alias("t")).distinct().withColumn("label", F.lit(1))
-    return grid.join(covered, [*keys, "t"], "left").withColumn("label", F.coalesce("label", F.lit(0)))
+#: Times that share one list of events.
+SPAN = 4096
+
+
+def point_labels(grid: DataFrame, events: DataFrame, keys, few: bool = False) -> DataFrame:
+    """The grid's rows (keys, t and others) with label 1 where an event (keys, start, end) covers t.
+
+    Events are listed by key and span of times, and looked up by equality. ``few``: the events are known to be
+    few enough to be sent to all tasks, so that no sample moves.
+    """
+    spans = events.where(F.col("end") > F.col("start")).select(*keys, "start", "end", F.explode(F.sequence(F.floor(F.col("start") / SPAN), F.floor((F.col("end") - 1) / SPAN))).alias("__span"))
+    spans = spans.groupBy(*keys, "__span").agg(F.collect_list(F.struct("start", "end")).alias("__events"))
+    rows = grid.withColumn("__span", F.floor(F.col("t") / SPAN)).join(F.broadcast(spans) if few else spans, [*keys, "__span"], "left")
+    hit = F.exists("__events", lambda x: (F.col("t") >= x["start"]) & (F.col("t") < x["end"]))
+    return rows.select(*grid.columns, F.coalesce(hit, F.lit(False)).cast("int").alias("label"))
 
 
 def effective_support(samples: DataFrame, events: DataFrame, keys, eps: float = 0.05, relative: bool = True, min_length: int = 1) -> DataFrame:

@@ -274,3 +274,273 @@ def trend_segments(spark: SparkSession, instances, n: int, min_cycles: float, de
         return place_lengths(proportional(points, minima, (seed, i)), n, channels, (seed, i))
 
     return _grouped(df, plan)
+
+
+# --- planners of a dataset's instances: plain numbers in, (channel, start, end, attributes) out --------------------
+
+
+def resolve(settings: dict, anomaly: str, special: dict | None = None, override: dict | None = None) -> dict:
+    """The planner of an anomaly kind: the default, what is set for all, for the kind, in its special policy, and for the variant, later ones first."""
+    out = {"planner": "point_events_from_density" if anomaly == "extremum" else "uniform_segments"}
+    for more in (settings.get("default"), settings.get(anomaly), (special or {}).get("segment_planner"), override):
+        out.update(more or {})
+    out["planner"] = str(out["planner"]).lower()
+    if out["planner"] not in PLANNERS:
+        raise cfg.ConfigError(f"segment_planner: one of {', '.join(PLANNERS)} is expected for {anomaly}, not {out['planner']!r}")
+    if only := {"period_locked_frequency": "frequency", "trend_parameter_aware_segments": "trend"}.get(out["planner"]):
+        if anomaly != only:
+            raise cfg.ConfigError(f"segment_planner: {out['planner']} is for {only} only")
+    return out
+
+
+PLANNERS = ("uniform_segments", "point_events_from_density", "period_locked_frequency", "energy_aware_segments", "trend_parameter_aware_segments")
+
+
+def minimum_length(anomaly: str, given: dict, period: int | None = None) -> int:
+    """The least length of a segment; a trend has two periods of its channel at least."""
+    least = int(given.get(anomaly, 1 if anomaly in ("frequency", "extremum") else 5))
+    return max(least, 2 * period) if anomaly == "trend" and period and period > 1 else least
+
+
+def boundaries(n: int, frequency: float | None) -> list[int] | None:
+    """Period starts of a channel, 0 and n included (see ``period_boundaries``); None if a period has one sample or less."""
+    if not frequency or frequency <= 0 or n <= 1:
+        return None
+    size = 100.0 * (n - 1) / (frequency * n)
+    if size <= 1:
+        return None
+    return sorted({min(max(round(k * size), 0), n) for k in range(int(n / size) + 1)} | {0, n})
+
+
+def bounded(total: int, count: int, low: int, high: int, who) -> list[int]:
+    """``count`` whole numbers within bounds of the given total, each spare unit given to a drawn one that has room."""
+    out, spare = [low] * count, total - low * count
+    k = 0
+    while spare > 0:
+        open_ = [j for j in range(count) if out[j] < high]
+        if not open_:
+            break
+        out[open_[int(draw(*who, "bounded", k) * len(open_))]] += 1
+        spare, k = spare - 1, k + 1
+    return out
+
+
+class Board:
+    """What is taken: for all channels together (``global``) or each by itself."""
+
+    def __init__(self, n: int, channels: int, overlap: str):
+        import numpy as np
+
+        self.n, self.channels, self.all = n, channels, overlap == "global"
+        self.busy = np.zeros((channels, n), bool)
+
+    def free(self, c: int, s: int, e: int) -> bool:
+        rows = self.busy if self.all else self.busy[c : c + 1]
+        return not rows[:, s:e].any()
+
+    def take(self, c: int, s: int, e: int) -> None:
+        self.busy[c, s:e] = True
+
+    def starts(self, c: int, length: int):
+        """Whether a segment could begin at each place of a channel."""
+        import numpy as np
+
+        rows = self.busy.any(axis=0) if self.all else self.busy[c]
+        sums = np.concatenate(([0], np.cumsum(rows)))
+        return sums[length:] == sums[: len(sums) - length]
+
+
+def _count(bounds, who) -> int:
+    low, high = sorted(map(int, bounds))
+    return low + int(draw(*who, "count") * (high - low + 1))
+
+
+def _sorted(plan):
+    return sorted(plan, key=lambda x: (x[1], x[0], x[2] - x[1]))
+
+
+def period_plan(density: float, n: int, frequencies: list, conf: dict, count_range, who, overlap: str = "global") -> list:
+    """Segments of whole periods, on period starts unless ``align_to_period_start`` is off; attributes: period_count."""
+    bounds = {c: b for c, f in enumerate(frequencies) if (b := boundaries(n, f))}
+    if not bounds:
+        raise ValueError("period_locked_frequency needs a channel with periods of more than one sample")
+    counts = {c: len(b) - 1 for c, b in bounds.items()}
+    sizes = sorted(n / k for k in counts.values())
+    size = (sizes[(len(sizes) - 1) // 2] + sizes[len(sizes) // 2]) / 2
+    low, high = sorted(map(int, conf.get("periods_per_segment_range", [2, 4])))
+    low = max(1, low)
+    high = min(max(low, high), max(counts.values()))
+    if low > high:
+        raise ValueError("periods_per_segment_range does not fit into the series")
+    total = min(max(round(min(max(round(density * n), 1), n) / size), 1), max(counts.values()))
+    low, high = min(low, total), min(high, total)
+    fewest, most = -(-total // high), total // low
+    a, b = max(min(count_range), fewest), min(max(count_range), most)
+    if a > b:
+        a, b = fewest, most
+    board, out = Board(n, len(frequencies), overlap), []
+    for k, periods in enumerate(bounded(total, _count((a, b), who), low, high, who)):
+        able = [c for c in bounds if counts[c] >= periods]
+        if not able:
+            raise ValueError(f"no channel has {periods} periods")
+        places = []
+        for c in able:
+            if conf.get("align_to_period_start", True):
+                places += [(c, bounds[c][j], bounds[c][j + periods]) for j in range(counts[c] - periods + 1)]
+            else:
+                steps = sorted(y - x for x, y in zip(bounds[c], bounds[c][1:]))
+                length = periods * steps[len(steps) // 2]
+                places += [(c, s, s + length) for s in range(n - length + 1)]
+        free = [p for p in places if board.free(*p)]
+        if not free:
+            raise ValueError(f"no room for a segment of {periods} periods")
+        c, s, e = free[int(draw(*who, "period", k) * len(free))]
+        board.take(c, s, e)
+        out.append((c, s, e, {"period_count": periods}))
+    return _sorted(out)
+
+
+def _windows(values, length: int):
+    """RMS and peak of every window of a channel."""
+    import numpy as np
+
+    sums = np.concatenate(([0.0], np.cumsum(values * values)))
+    rms = np.sqrt(np.maximum((sums[length:] - sums[:-length]) / length, 0.0))
+    return rms, np.lib.stride_tricks.sliding_window_view(np.abs(values), length).max(axis=1)
+
+
+def _strength(values, c: int, s: int, e: int) -> dict:
+    import numpy as np
+
+    own = values[c][s:e]
+    return {"window_rms": float(np.sqrt(np.mean(own * own))), "window_peak": float(np.abs(own).max())}
+
+
+def energy_plan(values, density: float, conf: dict, count_range, minimum: int, who, overlap: str = "global") -> list:
+    """Segments where a window's RMS, peak or both reach their quantiles; stronger windows are likelier.
+
+    ``values``: the clean channels of one instance (channels x samples). Attributes: window_rms,
+    window_peak, energy_metric, energy_fallback (whether a segment was placed without regard to energy).
+    """
+    import numpy as np
+
+    channels, n = values.shape
+    metric, fallback = str(conf.get("energy_metric", "rms")).lower(), str(conf.get("fallback", "uniform_segments")).lower()
+    if metric not in ("rms", "peak", "rms_and_peak") or fallback not in ("uniform_segments", "error"):
+        raise ValueError("energy_aware_segments: energy_metric is rms, peak or rms_and_peak, fallback is uniform_segments or error")
+    quantiles = [float(np.clip(conf.get(k, d), 0.0, 1.0)) for k, d in (("rms_quantile", 0.6), ("peak_quantile", 0.55))]
+    count = _count(count_range, who)
+    points = min(max(round(density * n), count), n)
+    count = max(1, min(count, points // max(1, minimum)))
+    board, out = Board(n, channels, overlap), []
+    for k, length in enumerate(proportional(points, [min(minimum, points)] * count, who)):
+        places, weights = [], []
+        for c in range(channels):
+            ok, weight = board.starts(c, length), np.ones(n - length + 1)
+            for name, x, q in zip(("rms", "peak"), _windows(values[c], length), quantiles):
+                if name in metric:
+                    cut = np.quantile(x, q)
+                    ok, weight = ok & (x >= cut), weight + np.maximum(x - cut, 0.0)
+            at = np.flatnonzero(ok)
+            places += [(c, int(s)) for s in at]
+            weights.append(weight[at] if conf.get("weighted_sampling", True) else np.ones(len(at)))
+        fell = not places
+        if places:
+            upto = np.cumsum(np.concatenate(weights))
+            c, s = places[min(int(np.searchsorted(upto, draw(*who, "energy", k) * upto[-1], side="right")), len(places) - 1)]
+        elif fallback == "uniform_segments":
+            c, s = free_start(board.busy, length, n, channels, (*who, "segment", k), overlap)
+        else:
+            raise ValueError(f"no window of {length} samples is strong enough and free")
+        board.take(c, s, s + length)
+        out.append((c, s, s + length, {**_strength(values, c, s, s + length), "energy_metric": metric, "energy_fallback": fell}))
+    return _sorted(out)
+
+
+def trend_plan(density: float, n: int, channels: int, conf: dict, count_range, minimum: int, parameters, who, overlap: str = "global", values=None) -> list:
+    """Segments that are long enough for their own trends; ``parameters(k)`` draws those of segment k. Attributes: trend_params and its least length."""
+    count = min(_count(count_range, who), n)
+    points = min(max(round(density * n), count), n)
+    cycles = float(conf.get("sine_min_cycles", 0.3))
+    if cycles <= 0:
+        raise ValueError("trend_parameter_aware_segments: sine_min_cycles is positive")
+    rows = []
+    for k in range(count):
+        own, least = parameters(k), max(1, minimum)
+        shape = own.get("oscillation") or {}
+        if shape.get("kind") == "sine" and shape.get("frequency", 0) > 0:
+            least = max(least, math.ceil(100 * cycles / shape["frequency"]))
+        elif shape.get("kind") == "random-walk":
+            least = max(least, int(conf.get("random_walk_min_segment_length", 8)))
+        rows.append((min(least, n), own))
+    while len(rows) > 1 and sum(r[0] for r in rows) > points:
+        rows.remove(max(rows, key=lambda r: r[0]))
+    if len(rows) == 1 and rows[0][0] > points:
+        rows = [(points, rows[0][1])]
+    lengths = proportional(points, [r[0] for r in rows], who)
+    board, out = Board(n, channels, overlap), []
+    for k, (length, (least, own)) in enumerate(zip(lengths, rows)):
+        c, s = free_start(board.busy, length, n, channels, (*who, "segment", k), overlap)
+        board.take(c, s, s + length)
+        out.append((c, s, s + length, {"trend_params": own, "trend_min_segment_length": least, **(_strength(values, c, s, s + length) if values is not None else {})}))
+    return _sorted(out)
+
+
+# --- parameters of a segment ------------------------------------------------------------------------------------
+
+
+def sanitise(anomaly: str, parameters: dict) -> dict:
+    """Parameters within what a kind can do: lengths and floors not negative, shifts within their window and never 0, names in lower case."""
+    out = dict(parameters)
+    if anomaly in ("amplitude", "trend") and out.get("transition_length") is not None:
+        out["transition_length"] = max(0, int(out["transition_length"]))
+    if anomaly == "pattern-shift":
+        window = max(1, abs(int(out.get("transition_window", 10))))
+        out |= {"transition_window": window, "shift_by": max(-window, min(window, int(out.get("shift_by", 0)))) or 1}
+    if anomaly == "extremum":
+        out["context_window"] = max(1, abs(int(out.get("context_window", 10))))
+        out |= {k: bool(out[k]) for k in ("min", "local") if k in out}
+    for k in ("boundary_mode", "envelope_kind", "crossfade_mode"):
+        if k in out:
+            out[k] = str(out[k]).lower()
+    if "min_effect_delta" in out:
+        out["min_effect_delta"] = max(0.0, float(out["min_effect_delta"]))
+    return out
+
+
+def choose_ratio(periods: int, conf: dict, who) -> float:
+    """A drawn frequency factor (k + offset) / k within bounds, so that a segment of k periods ends with one."""
+    offsets = sorted({int(o) for o in conf.get("period_ratio_offsets", [-1, 1]) if int(o)})
+    found = [(periods + o) / periods for o in offsets if periods + o > 0]
+    if bounds := conf.get("frequency_factor_bounds"):
+        found = [f for f in found if min(bounds) <= f <= max(bounds)]
+    if not found:
+        raise ValueError(f"no frequency factor for {periods} periods and offsets {offsets}")
+    return found[int(draw(*who, "ratio") * len(found))]
+
+
+def adapt_factor(factor: float, rms: float, conf: dict, index: int) -> float:
+    """An amplitude factor strong enough for a weak window, out of the dead zone and within bounds."""
+    least = max(0.0, float(conf.get("min_effect_delta", 0.0)))
+    if conf.get("adaptive_strength") and least > 0 and rms > 1e-12 and least / rms > abs(factor - 1):
+        up = factor >= 1 if abs(factor - 1) > 1e-12 else index % 2
+        factor = 1 + (1 if up else -1) * least / rms
+    if zone := conf.get("amplitude_factor_deadzone"):
+        low, high = sorted(zone)
+        if low <= factor <= high:
+            factor = high if factor >= 1 else low
+    if bounds := conf.get("amplitude_factor_bounds"):
+        factor = min(max(factor, min(bounds)), max(bounds))
+    return float(factor)
+
+
+def adapt(anomaly: str, parameters: dict, attributes: dict, conf: dict, index: int, who) -> dict:
+    """A segment's parameters, sanitised and fitted to what its planner found out."""
+    out = sanitise(anomaly, attributes.get("trend_params") or parameters)
+    if anomaly == "frequency" and "period_count" in attributes:
+        out["frequency_factor"] = choose_ratio(attributes["period_count"], conf, (*who, index))
+    if anomaly == "amplitude" and "amplitude_factor" in out:
+        out["amplitude_factor"] = adapt_factor(float(out["amplitude_factor"]), attributes.get("window_rms", 0.0), conf, index)
+    if anomaly == "trend" and conf.get("adaptive_strength") and conf.get("min_effect_delta", 0.0) > 0:
+        out["min_effect_delta"] = max(float(out.get("min_effect_delta", 0.0)), float(conf["min_effect_delta"]))
+    return out

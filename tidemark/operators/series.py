@@ -157,11 +157,22 @@ def noise_column():
     return F.when(F.col("variance") > 0, F.col("variance") * F.col("amplitude") * normal(F.col("seed"), "noise", F.col("channel"), F.col("t"))).otherwise(0.0)
 
 
-def samples(spark: SparkSession, specs: list[tuple], custom: dict | None = None) -> DataFrame:
-    """Base values of all specification rows (formulas excepted): parameters, t and base.
+#: More kinds: name -> function from a frame of specification rows to rows with t and base (see ``register``).
+REGISTERED: dict = {}
 
-    ``custom`` maps (series, split, channel, depth) to frames (t, value) of custom inputs.
-    """
+
+def register(kind: str, build) -> None:
+    """Adds an oscillation kind. ``build`` gets the kind's specification rows (columns of SPEC) and returns them with t (0 .. n-1) and base."""
+    from ..sources import config
+
+    if kind in config.KINDS and kind not in REGISTERED:
+        raise ValueError(f"{kind!r} is a built-in oscillation")
+    REGISTERED[kind] = build
+    config.add_kind(kind)
+
+
+def samples(spark: SparkSession, specs: list[tuple]) -> DataFrame:
+    """Base values of all specification rows (formulas and custom inputs excepted): parameters, t and base."""
     by: dict = {}
     for r in specs:
         p = dict(zip(NAMES, r))
@@ -172,8 +183,6 @@ def samples(spark: SparkSession, specs: list[tuple], custom: dict | None = None)
             group = (kind, p["smoothing"], p["n"])
         elif kind == "mls":
             group = (kind, p["smoothing"])
-        elif kind == "custom-input":
-            group = (kind, *r[:4])
         else:
             group = (kind,)
         by.setdefault(group, []).append(r)
@@ -193,8 +202,8 @@ def samples(spark: SparkSession, specs: list[tuple], custom: dict | None = None)
             part = mls(spark, rows, group[1], total)
         elif group[0] == "cylinder-bell-funnel":
             part = cylinder_bell_funnel(frame)
-        elif group[0] == "custom-input":
-            part = frame.crossJoin(custom[tuple(group[1:])].select(F.col("t").cast("long").alias("t"), F.col("value").cast("double").alias("base"))).where("t < n")
+        elif group[0] in REGISTERED:
+            part = REGISTERED[group[0]](frame)
         else:
             continue
         parts.append(part.select(*NAMES, "t", "base"))

@@ -13,10 +13,12 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import oscillators as osc
 from ..functions.rng import draw, seed_of
 from ..operators import labels as lb
 from ..operators import planner as pl
 from ..operators import stats as st
+from ..runtime import cut, ship
 from ..sources import config as cfg
 from .engine import Engine
 
@@ -26,7 +28,7 @@ DEFAULTS = {
     "dataset": {"length": 10000, "channels": 5, "splits": ["train", "val", "test"], "instances_per_split": 5},
     "anomaly_policy": {
         "density_range": [0.05, 0.10], "density_tolerance": 0.002, "segment_count_range": [20, 50], "overlap_policy": "global", "support_label_mode": "strict_segment",
-        "support_eps_mode": "relative", "support_eps_value": 0.05, "min_effective_label_length_non_extremum": 1, "special_anomaly_policies": {}, "min_segment_length_by_anomaly": {},
+        "support_eps_mode": "relative", "support_eps_value": 0.05, "min_effective_label_length_non_extremum": 1, "special_anomaly_policies": {}, "min_segment_length_by_anomaly": {}, "segment_planner": {},
     },
     "variants": {
         "base_oscillations": [], "anomaly_types": [], "skip_base_oscillations": [], "skip_anomaly_types": [], "disabled_anomaly_types": [], "profiles_per_pair": 1,
@@ -37,10 +39,9 @@ DEFAULTS = {
 #: Parameter ranges of the kinds.
 ANOMALY_TEMPLATES = {
     "amplitude": {"amplitude_factor": [1.5, 2.5]}, "extremum": {"min": False, "local": False}, "frequency": {"frequency_factor": [1.5, 2.5]}, "mean": {"offset": [0.5, 1.5]},
-    "pattern": {"sinusoid_k": [5.0, 10.0]}, "pattern_shift": {"shift_by": 3, "transition_window": 5}, "pattern-shift": {"shift_by": 3, "transition_window": 5}, "platform": {"value": [-0.5, 0.5]},
+    "pattern": {"sinusoid_k": [5.0, 10.0]}, "pattern-shift": {"shift_by": 3, "transition_window": 5}, "platform": {"value": [-0.5, 0.5]},
     "trend": {"oscillation": {"kind": "sine", "frequency": 5.0}}, "variance": {"variance": [0.3, 0.8]}, "mode-correlation": {},
 }
-SHORT = ("frequency", "extremum")
 
 
 class Dataset:
@@ -103,25 +104,34 @@ class Dataset:
         return (variant, split, k) if segment is None else (variant, split, k, segment)
 
     def _plan(self) -> list[dict]:
-        d, p, v = self.conf["dataset"], self.conf["anomaly_policy"], self.conf["variants"]
-        out = []
+        d = self.conf["dataset"]
+        drafts = []
         for variant, base, anomaly in self.variants:
             b, a = self.cascade(variant, base, anomaly)
+            own = self.conf["variants"]["variant_overrides"].get(variant, {}).get("anomaly_policy", {})
+            special = {**self.conf["anomaly_policy"], **self.conf["anomaly_policy"]["special_anomaly_policies"].get(anomaly, {}), **own}
+            planner = pl.resolve(self.conf["anomaly_policy"]["segment_planner"], anomaly, self.conf["anomaly_policy"]["special_anomaly_policies"].get(anomaly), own.get("segment_planner"))
             for split in d["splits"]:
                 for k in range(d["instances_per_split"]):
-                    try:
-                        out.append(self._instance(variant, base, anomaly, split, k, b, a, d, p, v))
-                    except ValueError as e:
-                        if self.conf["generator"]["on_variant_failure"] == "fail_fast":
-                            raise
-                        self.skipped.append((variant, str(e)))
+                    drafts.append(self._draft(variant, base, anomaly, split, k, b, a, special, planner))
+        strong = [x for x in drafts if x["planner"]["planner"] == "energy_aware_segments" or x["anomaly"] == "trend" and x["planner"]["planner"] == "trend_parameter_aware_segments"]
+        planned = self._planned_on_samples(strong) if strong else {}
+        out = []
+        for x in drafts:
+            try:
+                out.append(self._instance(x, planned.get(x["instance"])))
+            except ValueError as e:
+                if self.conf["generator"]["on_variant_failure"] == "fail_fast":
+                    raise
+                self.skipped.append((x["variant"], str(e)))
         bad = {s[0] for s in self.skipped}
         return [x for x in out if x["variant"] not in bad]
 
-    def _instance(self, variant, base, anomaly, split, k, b, a, d, p, v):
-        n, name = d["length"], f"{variant}/{split}/{k:03d}"
-        seed = seed_of(self.seed, variant, split, k)
-        scope = ("fixed_per_variant" == v["base_parameter_policy"] and (variant,)) or (variant, k)
+    def _draft(self, variant, base, anomaly, split, k, b, a, special, planner) -> dict:
+        """An instance's channels, density and templates; its segments are planned later."""
+        d, v = self.conf["dataset"], self.conf["variants"]
+        n, seed = d["length"], seed_of(self.seed, variant, split, k)
+        scope = (variant,) if v["base_parameter_policy"] == "fixed_per_variant" else (variant, k)
         channels = []
         for c in range(d["channels"]):
             template = {**b, **v["base_channel_overrides"].get(base, {}).get(str(c), {})}
@@ -129,28 +139,100 @@ class Dataset:
             shift = v["split_phase_shift"]
             if shift.get("enabled"):
                 channels[-1]["phase"] = (channels[-1].get("phase", 0.0) + shift["values"][split]) % shift.get("phase_modulo", 6.283185307179586)
-        special = {**p, **p["special_anomaly_policies"].get(anomaly, {})}
         lo, hi = special["density_range"]
-        density = lo + (hi - lo) * draw(seed, "density")
-        if anomaly == "extremum":
+        name = f"{variant}/{split}/{k:03d}"
+        return {"instance": name, "variant": variant, "split": split, "base": base, "anomaly": anomaly, "k": k, "seed": seed, "density": lo + (hi - lo) * draw(seed, "density"), "templates": a, "special": special, "planner": planner, "series": {"name": name, "length": n, "base-oscillations": channels, "anomalies": []}}
+
+    def _parameters(self, x: dict, j: int) -> dict:
+        """The drawn parameters of an instance's segment j."""
+        policy = self.conf["variants"]["anomaly_parameter_policy"]
+        who = self._scope(policy, x["variant"], x["split"], x["k"], j if policy == "random_per_segment" else None)
+        return {name: ({key: pl.realised(t_, self.seed, "anomaly", name, key, *who) for key, t_ in t.items()} if isinstance(t, dict) and "kind" in t else pl.realised(t, self.seed, "anomaly", name, *who)) for name, t in x["templates"].items()}
+
+    def _minimum(self, x: dict) -> int:
+        p, first = self.conf["anomaly_policy"], x["series"]["base-oscillations"][0]
+        least = pl.minimum_length(x["anomaly"], p["min_segment_length_by_anomaly"], osc.period_size(first["kind"], x["series"]["length"], first))
+        return int(x["special"].get("min_segment_length", x["planner"].get("min_segment_length", least)))
+
+    def _count_range(self, x: dict):
+        own = self.conf["anomaly_policy"]["special_anomaly_policies"].get(x["anomaly"], {})
+        return own.get("segment_count_range", x["planner"].get("segment_count_range", x["special"]["segment_count_range"]))
+
+    def _planned_on_samples(self, drafts: list[dict]) -> dict:
+        """Segments of the planners that look at the clean samples: each instance's channels go to one task, segments come back.
+
+        A plan that fails is its message.
+        """
+        ship(self.spark)
+        engine = Engine(self.spark, {"timeseries": [x["series"] for x in drafts]}, seed=self.seed)
+        value = F.col("base") + F.col("noise") + F.col("trend") + F.col("offset")
+        rows = engine.clean().select("series", "channel", "t", value.alias("value"))
+        by = {x["instance"]: (x["planner"], x["density"], self._count_range(x), self._minimum(x), x["seed"], x["special"]["overlap_policy"], [self._parameters(x, j) for j in range(max(self._count_range(x)))] if x["anomaly"] == "trend" else []) for x in drafts}
+        channels = self.conf["dataset"]["channels"]
+
+        def run(key, table):
+            import numpy as np
+            import pyarrow as pa
+
+            name = key[0].as_py()
+            conf, density, counts, least, seed, overlap, own = by[name]
+            at = np.lexsort((table.column("t").to_numpy(), table.column("channel").to_numpy()))
+            values = table.column("value").to_numpy()[at].reshape(channels, -1)
+            try:
+                if conf["planner"] == "energy_aware_segments":
+                    out = pl.energy_plan(values, density, conf, counts, least, (seed,), overlap)
+                else:
+                    out = pl.trend_plan(density, values.shape[1], channels, conf, counts, least, own.__getitem__, (seed,), overlap, values)
+            except ValueError as e:
+                out = str(e)
+            return pa.table({"series": [name], "plan": [json.dumps(out)]})
+
+        got = rows.groupBy("series").applyInArrow(run, "series string, plan string").collect()  # segments are bounded by the configuration
+        return {r.series: json.loads(r.plan) for r in got}
+
+    def _instance(self, x: dict, planned=None) -> dict:
+        n, seed, special, planner = x["series"]["length"], x["seed"], x["special"], x["planner"]
+        channels = x["series"]["base-oscillations"]
+        overlap = special["overlap_policy"]
+        if isinstance(planned, str):
+            raise ValueError(planned)
+        if planned is not None:
+            segments = [tuple(p) for p in planned]
+        elif planner["planner"] == "point_events_from_density":
             busy: dict = {}
-            for j in sorted(range(n), key=lambda t: (draw(seed, "point", t), t))[: int(density * n)]:
-                busy[j] = int(draw(seed, "channel", j) * d["channels"])
-            segments = [(c, t, t + 1) for t, c in sorted(busy.items())]
+            for j in sorted(range(n), key=lambda t: (draw(seed, "point", t), t))[: int(x["density"] * n)]:
+                busy[j] = int(draw(seed, "channel", j) * len(channels))
+            segments = [(c, t, t + 1, {}) for t, c in sorted(busy.items())]
+        elif planner["planner"] == "period_locked_frequency":
+            segments = pl.period_plan(x["density"], n, [c.get("frequency", 10.0) if osc.periods(c["kind"], n, c) else None for c in channels], planner, self._count_range(x), (seed,), overlap)
         else:
-            low, high = special["segment_count_range"]
+            low, high = sorted(map(int, self._count_range(x)))
             count = low + int(draw(seed, "count") * (high - low + 1))
-            minimum = p["min_segment_length_by_anomaly"].get(anomaly, 1 if anomaly in SHORT else 5)
-            segments = pl.uniform_plan(density, count, n, d["channels"], (seed,), minimum, p["overlap_policy"])
+            segments = [(*p, {}) for p in pl.uniform_plan(x["density"], count, n, len(channels), (seed,), self._minimum(x), overlap)]
+        self._check_density(x, segments)
         anomalies = []
-        for j, (c, s, e) in enumerate(segments):
-            who = self._scope(v["anomaly_parameter_policy"], variant, split, k, j if v["anomaly_parameter_policy"] == "random_per_segment" else None)
-            kind = {"kind": anomaly, **{x: (t if isinstance(t, dict) and "kind" in t else pl.realised(t, self.seed, "anomaly", x, *who)) for x, t in a.items()}}
-            if anomaly == "pattern-shift":
-                kind["transition_window"] = max(1, min(int(kind.get("transition_window", 5)), (e - s) // 2))
-                kind["shift_by"] = max(-kind["transition_window"], min(int(kind.get("shift_by", 3)), kind["transition_window"]))
-            anomalies.append({"exact-position": s, "length": e - s, "channel": c, "kinds": [kind]})
-        return {"instance": name, "variant": variant, "split": split, "base": base, "anomaly": anomaly, "density": density, "series": {"name": name, "length": n, "base-oscillations": channels, "anomalies": anomalies}, "segments": segments}
+        for j, (c, s, e, found) in enumerate(segments):
+            own = pl.adapt(x["anomaly"], self._parameters(x, j), found, planner, j, (seed,))
+            if x["anomaly"] == "pattern-shift":
+                own["transition_window"] = max(1, min(own["transition_window"], (e - s) // 2))
+                own["shift_by"] = max(-own["transition_window"], min(own["shift_by"], own["transition_window"]))
+            anomalies.append({"exact-position": s, "length": e - s, "channel": c, "kinds": [{"kind": x["anomaly"], **own}]})
+        out = {k: x[k] for k in ("instance", "variant", "split", "base", "anomaly", "density", "planner")}
+        return out | {"series": {**x["series"], "anomalies": anomalies}, "segments": [p[:3] for p in segments], "attributes": [p[3] for p in segments]}
+
+    def _check_density(self, x: dict, segments) -> None:
+        """ValueError if the covered share of the time is out of its range or too far from the target."""
+        p = self.conf["anomaly_policy"]["special_anomaly_policies"].get(x["anomaly"], {})
+        tolerance = float(p.get("density_tolerance", x["planner"].get("density_tolerance", x["special"]["density_tolerance"])))
+        if tolerance < 0:
+            raise cfg.ConfigError("density_tolerance: not negative")
+        n, covered, end = x["series"]["length"], 0, 0
+        for _, s, e, _ in sorted(segments, key=lambda y: (y[1], y[2])):
+            covered += max(0, e - max(s, end))
+            end = max(end, e)
+        low, high = x["special"]["density_range"]
+        if not low - tolerance <= covered / n <= high + tolerance or abs(covered / n - x["density"]) > tolerance:
+            raise ValueError(f"the segments cover {covered / n:.6f} of the time, wanted are {x['density']:.6f} within {low} and {high}, give or take {tolerance}")
 
     # --- frames ---------------------------------------------------------------------------
 
@@ -175,11 +257,10 @@ class Dataset:
         if wins:
             frame = self.spark.createDataFrame(wins, an.WINDOWS)
             kinds, bases = {w[5] for w in wins}, {i["base"] for i in self.instances}
-            rows = an.inject(rows, frame, kinds, bases, {w[-1][0] for w in wins if w[-1]}, engine._alternatives(wins), engine._walks(wins))
+            rows = an.inject(rows, frame, kinds, bases, {w[-1][0] for w in wins if w[-1]}, engine._alternatives(wins), engine._walks(wins), few=len(wins) <= an.FEW)
         keys = ["series", "channel"]
         out = rows.select(*keys, "t", "clean", value.alias("anomalous"))
-        grid = lb.point_labels(out.select(*keys, "t"), self.events(out), keys)
-        return out.join(grid, [*keys, "t"])
+        return lb.point_labels(out, self.events(out), keys, few=len(wins) <= an.FEW)
 
     def events(self, samples: DataFrame | None = None) -> DataFrame:
         """series, channel, event, anomaly_type, start, end, source_start, source_end of every event."""
@@ -192,11 +273,11 @@ class Dataset:
         moved = lb.effective_support(before, frame, ["series", "channel"], p["support_eps_value"], p["support_eps_mode"] == "relative", p["min_effective_label_length_non_extremum"])
         return moved.join(frame.select("series", "channel", "event", "anomaly_type"), ["series", "channel", "event"])
 
-    def summary(self) -> DataFrame:
+    def summary(self, samples: DataFrame | None = None) -> DataFrame:
         """One row for each instance: densities and segment lengths."""
         rows = [(i["instance"], i["variant"], i["split"], i["base"], i["anomaly"], i["density"]) for i in self.instances]
         frame = self.spark.createDataFrame(rows, "series string, variant string, split string, base string, anomaly string, target_density double")
-        samples = self.samples()
+        samples = self.samples() if samples is None else samples
         achieved = lb.density(samples.select("series", "channel", "t", "label"), ["series"]).withColumnRenamed("density", "achieved_density")
         lengths = st.instance_summary(self.events().select("series", "start", "end"), ["series"])
         return frame.join(achieved, "series").join(lengths, "series")
@@ -205,13 +286,51 @@ class Dataset:
         """Statistics by variant and split, by variant and overall."""
         return st.rollup_statistics(self.summary())
 
+    def files(self, samples: DataFrame, column: str, prefix: str = "value", digits: int | None = 8) -> DataFrame:
+        """variant, split, instance, t and one column for each channel, ``digits`` behind the point."""
+        parts = F.split("series", "/")
+        names = [F.get(parts, F.lit(k)).alias(c) for k, c in enumerate(("variant", "split", "instance"))]
+        value = lambda c: F.max(F.when(F.col("channel") == c, F.col(column)))
+        shown = lambda c: F.format_string(f"%.{digits}f", value(c).cast("double")) if digits is not None else value(c).cast("byte")
+        return samples.groupBy(*names, "t").agg(*[shown(c).alias(f"{prefix}-{c}") for c in range(self.conf["dataset"]["channels"])])
+
+    def variant_configs(self) -> DataFrame:
+        """variant and its configuration as JSON: templates, parameters that are fixed for it, planner and policies."""
+        d, p, v = self.conf["dataset"], self.conf["anomaly_policy"], self.conf["variants"]
+        rows = []
+        for variant, base, anomaly in self.variants:
+            b, a = self.cascade(variant, base, anomaly)
+            own = [i for i in self.instances if i["variant"] == variant]
+            fixed_base = v["base_parameter_policy"] == "fixed_per_variant" and own
+            fixed_anomaly = v["anomaly_parameter_policy"] == "fixed_per_variant" and own and own[0]["series"]["anomalies"]
+            rows.append((variant, json.dumps({
+                "variant_id": variant, "profile_id": variant.rsplit("__", 1)[1],
+                "base_oscillation": {"kind": base, "parameter_template": b, "channel_parameter_template": v["base_channel_overrides"].get(base, {}), "realized_parameters": own[0]["series"]["base-oscillations"] if fixed_base else None, "channel_correlation": v["base_channel_correlation"], "split_phase_shift": v["split_phase_shift"]},
+                "anomaly_type": {"kind": anomaly, "parameter_template": a, "realized_parameters": own[0]["series"]["anomalies"][0]["kinds"][0] if fixed_anomaly else None},
+                "dataset": {k: d[k] for k in ("length", "channels", "splits", "instances_per_split")},
+                "anomaly_policy": {**{k: p[k] for k in ("density_range", "density_tolerance", "segment_count_range", "overlap_policy")}, "segment_planner": own[0]["planner"] if own else None},
+                "parameter_policies": {k: v[k] for k in ("base_parameter_policy", "anomaly_parameter_policy")},
+            }, sort_keys=True, indent=2, default=str)))
+        return self.spark.createDataFrame(rows, "variant string, value string")
+
     def write(self, output: str, overwrite: bool = True) -> None:
-        """Samples by variant and split, events, summaries, and a manifest."""
+        """Samples, clean.csv, anomalous.csv and labels_pointwise.csv by variant, split and instance; events, summaries, variant_config and a manifest.
+
+        Without ``overwrite`` anything that is there already is an error. The samples are generated once.
+        """
         mode = "overwrite" if overwrite else "errorifexists"
         parts = F.split("series", "/")
-        self.samples().withColumn("variant", F.get(parts, F.lit(0))).withColumn("split", F.get(parts, F.lit(1))).write.mode(mode).partitionBy("variant", "split").parquet(f"{output}/samples")
-        self.events().write.mode(mode).json(f"{output}/events")
-        self.summary().write.mode(mode).json(f"{output}/instances")
-        self.statistics().write.mode(mode).json(f"{output}/statistics")
+        samples = cut(self.samples())
+        samples.withColumn("variant", F.get(parts, F.lit(0))).withColumn("split", F.get(parts, F.lit(1))).write.mode(mode).partitionBy("variant", "split").parquet(f"{output}/samples")
+        keys = ["variant", "split", "instance"]
+        for name, frame in (("clean", self.files(samples, "clean")), ("anomalous", self.files(samples, "anomalous")), ("labels_pointwise", self.files(samples, "label", "label", None))):
+            # one file for each instance, whose length is bounded by the configuration
+            frame.repartition(*keys).sortWithinPartitions(*keys, "t").drop("t").write.mode(mode).partitionBy(*keys).csv(f"{output}/{name}.csv", header=True)
+        self.variant_configs().repartition("variant").write.mode(mode).partitionBy("variant").text(f"{output}/variant_config")
+        events = cut(self.events(samples))
+        events.write.mode(mode).json(f"{output}/events")
+        summary = cut(self.summary(samples))
+        summary.write.mode(mode).json(f"{output}/instances")
+        st.rollup_statistics(summary).write.mode(mode).json(f"{output}/statistics")
         manifest = json.dumps({"config": self.conf, "variants": [x[0] for x in self.variants], "skipped": self.skipped}, sort_keys=True, default=str)
         self.spark.createDataFrame([(manifest,)], "value string").coalesce(1).write.mode(mode).text(f"{output}/manifest")

@@ -30,17 +30,22 @@ def splits_of(ts: dict) -> list[str]:
 class Engine:
     """All series of a configuration.
 
-    ``inputs`` maps names to frames (t, value) for custom-input channels, which name one by
-    ``input`` or read files by input-timeseries-path-test / -train. ``add_ons`` are called with every
-    series' frame (``process``) and once at the end (``finalize``).
+    ``inputs`` maps names to frames (t, value), or (key, t, value) for many channels in one, for custom-input channels, which name one by
+    ``input`` (and ``key``) or read files by input-timeseries-path-test / -train. An input with fewer samples than its
+    series' length is an error. ``add_ons`` (objects, classes, built-in names or dotted paths) are called with every
+    series' frame (``process``) and once at the end (``finalize``). ``parallelism``: partitions of a shuffle, if given.
     """
 
-    def __init__(self, spark: SparkSession, config, seed: int = 42, only: str | None = None, inputs: dict | None = None, compat: bool = False, skip_errors: bool = False, add_ons=()):
+    def __init__(self, spark: SparkSession, config, seed: int = 42, only: str | None = None, inputs: dict | None = None, compat: bool = False, skip_errors: bool = False, add_ons=(), parallelism: int | None = None):
+        from . import addons
+
         self.spark, self.seed, self.compat = spark, seed, compat
+        if parallelism:
+            spark.conf.set("spark.sql.shuffle.partitions", str(parallelism))
         self.raw = cfg.load(config)
         self.series = cfg.normalise(self.raw, only, skip_errors)
         self.inputs = inputs or {}
-        self.add_ons = list(add_ons)
+        self.add_ons = [addons.resolve(a) for a in add_ons]
 
     @classmethod
     def from_dict(cls, spark, config: dict, **options):
@@ -74,16 +79,42 @@ class Engine:
                         specs.append(row)
         return specs, custom, formulas
 
-    def _input(self, bo: dict, split: str, n: int) -> DataFrame:
+    def _input(self, bo: dict, split: str, n: int):
+        """What a custom-input channel reads: (name of a frame, key), or a file's frame by itself."""
         from ..sources import tables
 
         if "input" in bo:
-            return self.inputs[bo["input"]].where(F.col("t") < n)
+            if bo["input"] not in self.inputs:
+                raise cfg.ConfigError(f"custom-input: there is no input {bo['input']!r}")
+            return bo["input"], bo.get("key")
         path = bo.get("input-timeseries-path-train") if split != "test" else bo.get("input-timeseries-path-test")
         if not path:
             raise cfg.ConfigError(f"custom-input: no path for the split {split}")
         return tables.indexed_csv(self.spark, path, bo.get("use-column-train" if split != "test" else "use-column-test", 0), n)
 
+    def _custom(self, specs: list, custom: dict) -> DataFrame:
+        """Samples of the custom-input channels: parameters, t, base. Each input is read once and meets its channels by key."""
+        known: dict = {}
+        for row in specs:
+            if row[:4] in custom:
+                own = custom[row[:4]]
+                known.setdefault(own[0] if isinstance(own, tuple) else id(own), (self.inputs[own[0]] if isinstance(own, tuple) else own, []))[1].append(((own[1] if isinstance(own, tuple) else None), row))
+        out = None
+        for frame, uses in known.values():
+            keyed = "key" in frame.columns
+            rows = frame.select(F.col("key").cast("string").alias("__in") if keyed else F.lit("").alias("__in"), F.col("t").cast("long").alias("t"), F.col("value").cast("double").alias("base"))
+            wanted = [(str(k) if keyed else "", *row) for k, row in uses]
+            spec = self.spark.createDataFrame(wanted, f"__in string, {series.SPEC}")
+            # one row for each channel of the configuration
+            part = rows.join(F.broadcast(spec), "__in").where("t < n")
+            sizes = {r[0]: r[1] for r in rows.where(F.col("__in").isin(sorted({w[0] for w in wanted}))).groupBy("__in").agg(F.count(F.lit(1))).collect()}
+            for k, *row in wanted:
+                if sizes.get(k, 0) < row[5]:
+                    raise ValueError(f"the custom input of channel {row[2]} of {row[0]} has {sizes.get(k, 0)} samples, {row[5]} are needed")
+            part = part.select(*series.NAMES, "t", "base")
+            out = part if out is None else out.unionByName(part)
+        return out
+
     def windows(self) -> list[tuple]:
         """All windows, one row for each kind of each anomaly (see ``operators.anomalies``)."""
         out = []
@@ -114,7 +145,10 @@ class Engine:
     def clean(self) -> DataFrame:
         """Samples before anomalies: parameters, t, base, noise, trend, offset."""
         specs, custom, formulas = self._specs()
-        rows = series.samples(self.spark, specs, custom)
+        rows = series.samples(self.spark, [r for r in specs if r[:4] not in custom])
+        if custom:
+            given = self._custom(specs, custom)
+            rows = given if len(custom) == len(specs) else rows.unionByName(given)
         own = rows.where("depth = 0")
         if formulas:
             own = own.unionByName(self._formulas(own, formulas))
@@ -149,7 +183,7 @@ class Engine:
             frame = self.spark.createDataFrame(wins, an.WINDOWS)
             bases = {ts["channels"][w[2]]["kind"] for ts in self.series for w in wins if w[0] == ts["name"]}
             trends = {w[-1][0] for w in wins if w[-1]}
-            rows = an.inject(rows, frame, {w[5] for w in wins}, bases, trends, self._alternatives(wins), self._walks(wins))
+            rows = an.inject(rows, frame, {w[5] for w in wins}, bases, trends, self._alternatives(wins), self._walks(wins), few=len(wins) <= an.FEW)
         value = F.col("base") + F.col("noise") + F.col("trend") + F.col("offset")
         out = rows.select("series", "split", "channel", "t", "base", "noise", "trend", "offset", value.alias("value"))
         return self._labelled(out)
@@ -161,7 +195,7 @@ class Engine:
         spans = self.spark.createDataFrame(labels, "series string, split string, anomaly int, channel int, s long, e long")
         spans = spans.groupBy("series", "split").agg(F.collect_list(F.struct("s", "e")).alias("__spans"))
         hit = F.exists("__spans", lambda w: (F.col("t") >= w["s"]) & (F.col("t") < w["e"]))
-        return rows.join(spans, ["series", "split"], "left").withColumn("is_anomaly", F.coalesce(hit, F.lit(False)).cast("int")).drop("__spans")
+        return rows.join(F.broadcast(spans) if len(labels) <= an.FEW else spans, ["series", "split"], "left").withColumn("is_anomaly", F.coalesce(hit, F.lit(False)).cast("int")).drop("__spans")
 
     def _alternatives(self, wins) -> DataFrame | None:
         """Regenerated cylinder-bell-funnel series for pattern and variance kinds."""

@@ -102,8 +102,9 @@ w as (select t, sum(case when t = 0 then 0.0::DOUBLE when u < {lit(1 / 3)} then
 f as (select t, {_fir} as x from w),
 g as (select t, (x - min(x) over ()) / (max(x) over () - min(x) over ()) * 4 - 2 as base from f where t < {_rw_n})"""
 add("bo_random_walk", _engine(_single({"kind": "random-walk", "amplitude": 2}, n=_rw_n)), f"{_RW} select 0 as channel, t, {q6('base')} as value, 0 as is_anomaly from g")
+_mode = sql_uniform(_key, "'jump'", "92", f"t // {N // 50}")
 add("bo_rmj", _engine(_single([{"kind": "random-mode-jump", "frequency": 50, "channel-diff": 0.5, "channel-offset": 1, "random-seed": 92}] * 2)),
-    " union all ".join(f"select {c} as channel, t, {q6(f'case when {sql_uniform(_key, chr(39) + chr(106) + chr(117) + chr(109) + chr(112) + chr(39), chr(57) + chr(50), chr(116) + chr(32) + chr(47) + chr(47) + chr(32) + str(N // 50))} < 0.5::DOUBLE then -1.0::DOUBLE else 1.0::DOUBLE end * {lit(1 + 0.5 * c)}')} as value, 0 as is_anomaly from (select range as t from range({N}))" for c in (0, 1)))
+    f"select c.range::int as channel, t, {q6(f'case when {_mode} < 0.5::DOUBLE then -1.0::DOUBLE else 1.0::DOUBLE end * (1 + 0.5::DOUBLE * c.range)')} as value, 0 as is_anomaly from (select range as t from range({N})), range(2) c")
 _cp = lambda what: (_key, "'cbf'", "0", "0", f"'{what}'", "k")
 add("bo_cbf", _engine(_single({"kind": "cylinder-bell-funnel", "avg-pattern-length": 20, "variance-pattern-length": 3, "variance-amplitude": 0.5, "amplitude": 2})),
     f"""with p as (select range as k, cast(floor({sql_uniform(*[x.replace('k', 'range') if x == 'k' else x for x in _cp('gap')])} * 20) as bigint) as gap from range({N})),
@@ -113,16 +114,9 @@ ok as (select *, max(case when start + len >= {N} then 1 else 0 end) over (order
 h as (select *, floor({sql_uniform(*_cp('shape'))} * 3) as shape, (2 + 0.5::DOUBLE * {sql_normal(*_cp('height'))}) * case when {sql_uniform(*_cp('sign'))} > 0.5::DOUBLE then -1 else 1 end as height from ok where bad = 0)
 select 0 as channel, t, {q6('coalesce(case when shape = 0 then height * (t - start) / len when shape = 1 then height * (len - 1 - (t - start)) / len else height end, 0.0::DOUBLE)')} as value, 0 as is_anomaly
 from (select range as t from range({N})) g left join h on g.t >= h.start and g.t < h.start + h.len""")
-add("bo_mls", _engine(_single({"kind": "mls", "complexity": 5, "smoothing": 0.05})))
-
-
-def _events(spark, sf_dir):
-    rows = tables.event_channels(spark.read.parquet(f"{sf_dir}/events.parquet"))
-    return {f"c{c}": rows.where(F.col("channel") == c).select("t", "value") for c in range(5)}
 
 
 _EV = "e as (select (dense_rank() over (order by event_type) - 1)::INTEGER as channel, row_number() over (partition by event_type order by ts, event_id) - 1 as t, value as base from events)"
-_CUSTOM = [{"kind": "custom-input", "input": f"c{c}"} for c in range(5)]
 _BIG = 10**7
 add("bo_custom_events", lambda s, d: tables.event_channels(s.read.parquet(f"{d}/events.parquet")).select("channel", "t", r6(F.col("value")).alias("value")), f"with {_EV} select channel, t, {q6('base')} as value from e")
 
@@ -195,9 +189,6 @@ select 0 as channel, t, {q6('case when t >= 300 and t < 500 then y else x end')}
 add("an_pattern_sawtooth", _engine(_single({"kind": "sawtooth", "frequency": 1.3}, [_an([{"kind": "pattern", "sawtooth_width": 0.5}], length=200)])),
     f"""with g as (select range as t, {_m.replace(' t ', ' range ')} as m from (select range, range as t from range({N})))
 select 0 as channel, t, {q6(f'case when t >= 300 and t < 500 then case when m < {lit(math.pi)} then m / {lit(math.pi * 0.5)} - 1 else ({lit(math.pi * 1.5)} - m) / {lit(math.pi * 0.5)} end else m / {lit(math.pi)} - 1 end')} as value, case when t >= 300 and t < 500 then 1 else 0 end as is_anomaly from g""")
-add("an_pattern_reverse_ecg", _engine(_single({"kind": "ecg", "frequency": 3}, [_an([{"kind": "pattern"}])])))
-add("an_pattern_mls", _engine(_single({"kind": "mls", "complexity": 5, "smoothing": 0.05}, [_an([{"kind": "pattern"}])])))
-add("an_pattern_cbf", _engine(_single({"kind": "cylinder-bell-funnel", "avg-pattern-length": 20, "variance-pattern-length": 2}, [_an([{"kind": "pattern"}], length=200)])))
 for _mode, _fade in (("cosine", "0.5::DOUBLE * (1 - cos({pi} * {j} / 9))"), ("linear", "{j} / 9.0::DOUBLE")):
     _a = lambda j, f=_fade: f.format(pi=lit(math.pi), j=j)
     add(f"an_pattern_shift_{_mode[:6]}", _engine(_single(_SIN, [_an([{"kind": "pattern-shift", "shift_by": 5, "transition_window": 10, "crossfade_mode": _mode}])])),
@@ -228,21 +219,6 @@ add("an_overlap_last_wins", _engine(_single(_SIN, [_an([{"kind": "mean", "offset
     f"select 0 as channel, t, {q6(f'sin({_th}) + case when t >= 330 and t < 390 then -2 when t >= 300 and t < 330 then 1 else 0 end')} as value, case when t >= 300 and t < 390 then 1 else 0 end as is_anomaly from (select range as t from range({N}))")
 
 
-def an_custom_events(spark, sf_dir):
-    """The events table as a five-channel series with a mean shift in the middle of channel 0 and a platform in channel 3."""
-    ev = spark.read.parquet(f"{sf_dir}/events.parquet")
-    rows = tables.event_channels(ev)
-    n = rows.where("channel = 0").agg(F.count(F.lit(1))).first()[0]
-    inputs = {f"c{c}": rows.where(F.col("channel") == c).select("t", "value") for c in range(5)}
-    config = {"timeseries": [{"name": "events", "length": n, "base-oscillations": _CUSTOM, "anomalies": [_an([{"kind": "mean", "offset": 10.0}], length=n // 10, start=n // 2), _an([{"kind": "platform", "value": 7.0}], length=50, start=100, channel=3)]}]}
-    out = Engine(spark, config, seed=SEED, inputs=inputs).samples()
-    return out.select("channel", "t", r6(F.col("value")).alias("value"), "is_anomaly")
-
-
-add("an_custom_events", an_custom_events, f"""with {_EV}, n as (select count(*) as n from e where channel = 0)
-select channel, t, {q6("case when channel = 0 and t >= n // 2 and t < n // 2 + n // 10 then base + 10 when channel = 3 and t >= 100 and t < 150 then 7.0::DOUBLE else base end")} as value,
-  case when t >= n // 2 and t < n // 2 + n // 10 or t >= 100 and t < 150 then 1 else 0 end as is_anomaly from e, n where t < n""")
-
 # --- formulas ---------------------------------------------------------------------------------------
 
 
@@ -300,7 +276,7 @@ def _orders_events(spark):
 
 
 _EVENTS = "ev as (select channel, event::BIGINT as event, s::BIGINT as s, e::BIGINT as e from (values (0, 0, 10, 40), (0, 1, 35, 60), (1, 0, 5, 6), (2, 0, 100, 300), (3, 0, 0, 50)) v(channel, event, s, e))"
-add("lb_points", lambda s, d: lb.point_labels(_ev(s, d).select("channel", "t"), _orders_events(s), _K).select("channel", "t", "label"),
+add("lb_points", lambda s, d: lb.point_labels(_ev(s, d).select("channel", "t"), _orders_events(s), _K, few=True).select("channel", "t", "label"),
     f"with {_EV}, {_EVENTS} select channel, t, case when exists (select 1 from ev where ev.channel = e.channel and t >= ev.s and t < ev.e) then 1 else 0 end as label from e")
 
 
@@ -323,7 +299,9 @@ def lb_consistency(spark, sf_dir):
     return lb.mismatches(wrong.select("channel", "t", "label"), _orders_events(spark), _K).groupBy().agg(F.count(F.lit(1)).alias("mismatches"))
 
 
-add("lb_consistency", lb_consistency, "select 1::BIGINT as mismatches")
+add("lb_consistency", lb_consistency,
+    f"""with {_EV}, {_EVENTS}, l as (select channel, t, case when exists (select 1 from ev where ev.channel = e.channel and t >= ev.s and t < ev.e) then 1 else 0 end as expected from e)
+select count(*) as mismatches from l where expected <> case when channel = 0 and t = 12 then 0 else expected end""")
 add("lb_density", lambda s, d: lb.check_density(lb.density(lb.point_labels(_ev(s, d).select("channel", "t"), _orders_events(s), _K).withColumn("series", F.lit("events")), ["series"]), 0.05, 0.2, 0.01).select("series", r6(F.col("density")).alias("density"), F.col("ok").cast("int").alias("ok")),
     f"with {_EV}, {_EVENTS}, l as (select channel, t, case when exists (select 1 from ev where ev.channel = e.channel and t >= ev.s and t < ev.e) then 1 else 0 end as label from e), a as (select t, max(label) as any_ from l group by t), f as (select avg(any_) as d from a) select 'events' as series, {q6('d')} as density, case when d >= 0.04::DOUBLE and d <= 0.21::DOUBLE then 1 else 0 end as ok from f")
 
@@ -350,7 +328,9 @@ select 'events' as series, count(*) as length, max(c) as dimensions, {q6('sum(s)
 {q6('(select median(e - s) from ev)')} as median_anomaly_length, (select max(e - s) from ev)::BIGINT as max_anomaly_length, {q6('(select sum(e - s) from ev) / count(*)')} as contamination from a""")
 _CH = [("a", "sine", 4.0, 6.0, 7, 1000), ("a", "dirichlet", 5.0, 6.0, 7, 1000), ("b", "mls", 1.0, 6.0, 5, 1000), ("b", "random-mode-jump", 50.0, 6.0, 7, 1000), ("c", "random-walk", 1.0, 6.0, 7, 1000)]
 add("ag_period_size", lambda s, d: _ints(st.period_sizes(s.createDataFrame(_CH, "series string, kind string, frequency double, periodicity double, complexity int, n long"), ["series"])),
-    "select * from (values ('a', 32.5::DOUBLE), ('b', 25.5::DOUBLE), ('c', null)) x(series, period_size)")
+    f"""with c(series, kind, f, periodicity, complexity, n) as (values {', '.join(f"('{a}', '{b}', {c}, {d}, {e}, {n})" for a, b, c, d, e, n in _CH)})
+select series, median(case when kind in ('sine', 'cosine', 'ecg', 'square', 'sawtooth') then floor(100 / f) when kind = 'dirichlet' then floor(100 / f) * case when cast(periodicity as int) % 2 = 0 then 2 else 1 end
+  when kind = 'mls' then pow(2, complexity) - 1 when kind = 'random-mode-jump' then floor(n / f) end::DOUBLE) as period_size from c group by series""")
 add("ag_quantile", lambda s, d: st.quantiles(win.sliding_rms(_ev(s, d), 25, _K), "rms", 0.6, _K).select("channel", r6(F.col("threshold")).alias("threshold")),
     f"with {_EV}, f as (select channel, t, sqrt(avg(base * base) over w) as rms, count(*) over w as c from e window w as (partition by channel order by t rows between current row and 24 following)) select channel, {q6('quantile_cont(rms, 0.6)')} as threshold from f where c = 25 group by channel")
 add("ag_dedupe", lambda s, d: st.distinct_first(s.read.parquet(f"{d}/events.parquet"), ["user_id", "event_type"], ["ts", "event_id"]).select("user_id", "event_type", "event_id"),
@@ -364,9 +344,19 @@ add("ag_vector_rms", lambda s, d: win.sliding_rms(tables.vector_series(s.read.pa
 
 # --- planners -----------------------------------------------------------------------------------------------------
 
-_compat_rows = ", ".join(f"('{a}', '{k}')" for a, ks in cfg.ALLOWED.items() for k in ks)
-_all_a, _all_b = ", ".join(f"('{a}')" for a in cfg.ANOMALIES), ", ".join(f"('{b}')" for b in cfg.KINDS)
-_GRID = f"c(anomaly, base) as (values {_compat_rows}), g as (select * from (values {_all_a}) a(anomaly), (values {_all_b}) b(base))"
+#: The oscillations and the anomalies allowed on them, by anomaly.
+_PAIRS = """amplitude: sine cosine square sawtooth dirichlet random-walk cylinder-bell-funnel ecg mls custom-input
+extremum: sine cosine square sawtooth dirichlet random-walk cylinder-bell-funnel ecg polynomial mls formula custom-input
+mean: sine cosine square sawtooth dirichlet random-walk cylinder-bell-funnel ecg polynomial mls formula custom-input
+platform: sine cosine square sawtooth dirichlet random-walk cylinder-bell-funnel ecg polynomial mls formula custom-input
+trend: sine cosine square sawtooth dirichlet random-walk cylinder-bell-funnel ecg polynomial mls formula custom-input
+variance: sine cosine square sawtooth dirichlet random-walk cylinder-bell-funnel ecg polynomial mls formula custom-input
+frequency: sine cosine square sawtooth dirichlet ecg
+pattern-shift: sine cosine square sawtooth dirichlet ecg
+pattern: sine cosine square sawtooth dirichlet ecg cylinder-bell-funnel mls
+mode-correlation: random-mode-jump"""
+_GRID = f"""c as (select split_part(line, ': ', 1) as anomaly, unnest(string_split(split_part(line, ': ', 2), ' ')) as base from (select unnest(string_split('{_PAIRS}', chr(10))) as line)),
+g as (select anomaly, base from (select distinct anomaly from c), (select distinct base from c))"""
 
 
 def _grid(spark):
@@ -376,7 +366,7 @@ def _grid(spark):
 
 add("compat_semi", lambda s, d: _grid(s).join(cfg.compat_frame(s), ["anomaly", "base"], "left_semi"), f"with {_GRID} select g.* from g semi join c using (anomaly, base)")
 add("compat_anti", lambda s, d: _grid(s).join(cfg.compat_frame(s), ["anomaly", "base"], "left_anti"), f"with {_GRID} select g.* from g anti join c using (anomaly, base)")
-add("only_filter", lambda s, d: Engine(s, {"timeseries": [_single(_SIN, name=x)["timeseries"][0] for x in ("a", "b")]}, only="b").samples().groupBy("series").agg(F.count(F.lit(1)).alias("n")), f"select 'b' as series, {N}::BIGINT as n")
+add("only_filter", lambda s, d: Engine(s, {"timeseries": [_single(_SIN, name=x)["timeseries"][0] for x in ("a", "b")]}, only="b").samples().groupBy("series").agg(F.count(F.lit(1)).alias("n")), f"select s as series, count(*) as n from (values ('a'), ('b')) x(s), range({N}) where s = 'b' group by s")
 add("pl_variants", lambda s, d: pl.variants(s, profiles=2, disabled=("extremum",), skip_bases=("custom-input", "formula")),
     f"""with {_GRID}, p as (select * from (values ('p00'), ('p01')) p(profile)) select g.base || '__' || g.anomaly || '__' || profile as variant_id, g.base || '__' || g.anomaly as pair_id, g.base, g.anomaly, profile,
 case when g.base in ('custom-input', 'formula') then 'base skipped' when g.anomaly = 'extremum' then 'anomaly disabled' when c.base is null then 'incompatible' end as reason from g cross join p left join c on c.anomaly = g.anomaly and c.base = g.base""")
@@ -411,37 +401,18 @@ def pl_normalise_pad_whole(spark, sf_dir):
 add("pl_normalise_pad_whole", pl_normalise_pad_whole,
     f"""with {_EV}, c as (select channel, max(t) as l from e group by channel), g as (select unnest(range((select max(l) + 21 from c))) as t)
 select c.channel, g.t, {q6('e.base')} as value from c, g join e on e.t = least(g.t, c.l) and e.channel = c.channel""")
-add("pl_uniform_segments", lambda s, d: pl.uniform_segments(s, [(f"i{k}", 0.08, 6) for k in range(8)], 1000, 3, SEED))
-add("pl_energy_segments", lambda s, d: pl.energy_segments(_ev(s, d).withColumn("instance", F.lit("events")), 30, 12, 0.6, SEED))
-add("pl_period_segments", lambda s, d: pl.period_segments(s, [("x", 1000, 7.0), ("y", 600, 3.3)], 3, SEED))
-add("pl_trend_segments", lambda s, d: pl.trend_segments(s, [(f"i{k}", [2.0 + j for j in range(5)]) for k in range(4)], 1000, 0.3, 0.25, SEED))
 add("zoom_topk", lambda s, d: s.read.parquet(f"{d}/events.parquet").withColumn("u", rng.uniform(F.lit(SEED), "zoom", F.col("event_id"))).orderBy("u", "event_id").limit(5).select("event_id"),
     f"select event_id from events order by {sql_uniform(str(SEED), chr(39) + 'zoom' + chr(39), 'event_id')}, event_id limit 5")
 
 
-def demo_series(spark, sf_dir):
-    """The two-anomaly demonstration series and the events table as a custom input with a mean shift."""
-    demo = {"timeseries": [{"name": "demo", "length": 1000, "base-oscillations": [{"kind": "sine", "frequency": 4.0, "variance": 0.05}], "anomalies": [{"position": "middle", "length": 50, "kinds": [{"kind": "pattern", "sinusoid_k": 10.0}]}, {"position": "end", "length": 10, "kinds": [{"kind": "amplitude", "amplitude_factor": 1.5}]}]}]}
-    return Engine(spark, demo, seed=SEED).samples().select("series", "split", "channel", "t", "value", "is_anomaly")
-
-
-add("demo_series", demo_series)
-
-
-def dataset_small(spark, sf_dir):
-    from .dataset import Dataset
-
-    return Dataset(spark, {"dataset": {"length": 600, "channels": 3, "splits": ["train", "val"], "instances_per_split": 2}, "variants": {"base_oscillations": ["sine", "square"], "anomaly_types": ["mean", "amplitude"]}, "anomaly_policy": {"density_range": [0.05, 0.06], "segment_count_range": [4, 6]}}).summary()
-
-
-add("ds_summary", dataset_small)
-
-
 def queries():
+    from . import queries_more  # noqa: F401  registers its queries
+
     return dict(QUERIES)
 
 
 def oracle_sql():
+    queries()
     return dict(SQL)
 
 

@@ -51,6 +51,24 @@ ALLOWED = {
 }
 
 
+def add_kind(kind: str) -> None:
+    """Makes a registered oscillation known: anomalies that are no matter of periods are allowed on it."""
+    global KINDS
+    if kind not in KINDS:
+        KINDS = (*KINDS, kind)
+        for a in ("amplitude", "extremum", "mean", "platform", "trend", "variance"):
+            ALLOWED[a] = (*ALLOWED[a], kind)
+
+
+def add_anomaly(name: str, parameters: dict, allowed: tuple[str, ...]) -> None:
+    """Makes a registered anomaly known: its parameters with defaults, and the oscillations it is allowed on."""
+    global ANOMALIES
+    if name not in ANOMALIES:
+        ANOMALIES = (*ANOMALIES, name)
+    KIND_DEFAULTS[name] = dict(parameters)
+    ALLOWED[name] = tuple(allowed)
+
+
 def compatible(anomaly: str, kind: str) -> bool:
     return kind in ALLOWED.get(anomaly, ())
 
