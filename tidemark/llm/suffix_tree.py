@@ -32,7 +32,7 @@ from pyspark.serializers import BatchedSerializer, CPickleSerializer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import checkpoint_dir, cut, forget, ship, shuffles_of
+from ..runtime import checkpoint_dir, forget, ship, shuffles_of
 from .tokens import mix64, word_hashes
 
 END = 0x1D872B41F1A3C5E7  # the end's hash; equal to a word's only by a collision of 64 bits
@@ -42,7 +42,7 @@ MU = 4.0
 DISCOUNT = 0.6
 DEPTH = 8
 BATCH_ROWS = 256
-CHUNK_TOKENS = 1_000_000
+CHUNK_TOKENS = 800_000
 GAIN = 1024
 #: What an owner answers about a context.
 KEPT, LIVE = 1, 2
@@ -587,14 +587,14 @@ def score_texts(
     held = F.lit(False) if held_out is None else F.coalesce(held_out, F.lit(False))
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), held.alias("held"))
     schema = f"{id_col} long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, depth1 long, depth2 long, deeper long"
-    # words as numbers, about half the size of the texts; all rounds read this table
-    words = cut(rows.mapInArrow(_load, "part long, no long, ids binary, nulls binary, held binary, counts binary, uni binary, word binary"))
-    base = words.rdd
-    chunks = base.getNumPartitions()
+    # words as numbers, about half the size of the texts; all rounds read this table as it was pickled
+    words = rows.mapInArrow(_load, "part long, no long, ids binary, nulls binary, held binary, counts binary, uni binary, word binary")
+    chunked = _single(words.rdd.map(tuple))
+    chunks = chunked.getNumPartitions()
     if not chunks:
         return spark.createDataFrame([], schema)
+    chunked = _keep(chunked)
     owners = max(chunks, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    chunked = _single(base.map(tuple))
     model = Model(min_context, divergence, mu, discount, (1 << 62) if depth is None else max(1, depth))
     replies, kinds = [], []
 
