@@ -36,6 +36,15 @@ def test_exact_dedup_keeps_columns_and_one_of_each(spark):
     assert len(plain) == len(set(plain)) == len({BLANK.sub("", r[1] or "") for r in documents()})
 
 
+def test_exact_dedup_of_repeats_and_clashes(spark):
+    rows = [(None, "same text")] * 5 + [(1, "same  text"), (1, "same  text"), (2, " sametext "), (3, None), (3, ""), (4, " "), (5, "Other")]
+    df = frame(spark, [(i, t, None, None, 0, 1, 0.5, True) for i, t in rows])
+    left = exact.exact_dedup(df).select("doc_id", "text").collect()
+    assert sorted([(r.doc_id, r.text) for r in left], key=str) == sorted([(1, "same  text"), (4, " "), (5, "Other")], key=str)
+    got = exact.exact_groups(df).collect()
+    assert sum(r.kept for r in got) == 3 and sorted(r.group_size for r in got) == [1, 3, 3, 3] + [8] * 8
+
+
 def test_exact_empty(spark):
     assert exact.exact_groups(frame(spark, [])).count() == 0
 
@@ -90,3 +99,10 @@ def test_near_dedup_and_empty(spark):
     out = minhash.near_dedup(df)
     assert out.columns == df.columns and 0 < out.count() < df.count()
     assert minhash.near_groups(frame(spark, [])).count() == 0
+    # by row, not by identifier: a document that shares the identifier of the one that stays doesn't stay with it
+    a, b = " ".join(f"a{k}" for k in range(30)), " ".join(f"b{k}" for k in range(30))
+    rows = [(1, a), (2, a), (2, b), (3, b), (None, a), (None, b + " more"), (7, None), (8, ""), (9, b), (9, b)]
+    rows += [(None, f"{x} c d e f g") for x in ("one", "one", "two")]
+    left = minhash.near_dedup(frame(spark, [(i, t, None, None, 0, 1, 0.5, True) for i, t in rows])).select("doc_id", "text").collect()
+    have = sorted([(r.doc_id, r.text) for r in left], key=str)
+    assert have == sorted([(1, a), (2, b), (7, None), (8, ""), (None, "one c d e f g"), (None, "two c d e f g")], key=str)

@@ -22,13 +22,13 @@ from .tokens import mix64, word_hashes
 
 WIDTH = 5
 THRESHOLD = 75  # percent
-BANDS, ROWS = 28, 4
+BANDS, ROWS = 36, 4
 BATCH_ROWS = 256
 #: Band members compared in one task, and members checked against one leader in one task.
 BLOCK = 2048
 CHECKED = 64
 #: Standard errors below the threshold at which a signature is given up.
-SLACK = 4.0
+SLACK = 5.0
 
 
 def _shingles(texts, width: int):
@@ -363,26 +363,33 @@ def near_groups(
     takes part in links but never names a component unless all its members are null.
     Texts are used whole. An empty table gives an empty result; other columns are not read.
     """
+    out = _groups(df, id_col, text_col, width, threshold, bands, rows)
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", "kept")
+
+
+def _key(id_col: str, text_col: str) -> Column:
+    """Finds a row's text, or the row, again."""
+    return F.xxhash64(F.col(id_col).cast("long"), F.col(text_col))
+
+
+def _groups(df: DataFrame, id_col: str, text_col: str, width: int, threshold: int, bands: int, rows: int) -> DataFrame:
+    """``near_groups`` with the columns id, key, n, node, root (null without shingles), component_id and kept."""
     ship(df.sparkSession)
-    texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    texts = texts.withColumn("key", F.xxhash64("id", "text"))  # finds a node's text again
+    texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), _key(id_col, text_col).alias("key"))
     sketched = cut(texts.mapInArrow(_sketch(width, bands * rows), "id long, key long, n long, node binary, sig binary"))
     filled = sketched.where("n > 0")
     # copies of a set: the smallest identifier stands for all
     nodes = cut(filled.groupBy("node").agg(F.min("id").alias("id"), F.min("key").alias("rep"), F.max("sig").alias("sig")))
     links = near_links(nodes, texts, width, threshold, bands, rows)
     roots = components(links.select(F.col("leader").alias("a"), F.col("member").alias("b")))
-    named = nodes.select("node", "id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    lowest = named.groupBy("root").agg(F.min("id").alias("component_id"))
-    named = named.join(lowest, "root").select("node", "component_id")
-    out = sketched.select("id", "n", "node").join(named, "node", "left")
-    component = F.coalesce("component_id", "id")
-    return out.select(
-        F.col("id").alias(id_col),
-        F.col("n").alias("n_shingles"),
-        component.alias("component_id"),
-        component.eqNullSafe(F.col("id")).alias("kept"),
-    )
+    # linked nodes get the smallest identifier of their component, all others keep their own
+    linked = cut(nodes.select("node", "id").join(roots, "node"))
+    lowest = cut(linked.groupBy("root").agg(F.min("id").alias("lowest")))
+    named = cut(linked.join(lowest, "root").select("node", "root", "lowest"))
+    named = nodes.select("node", F.col("id").alias("own")).join(named, "node", "left")
+    named = named.select("node", F.coalesce("root", "node").alias("root"), F.coalesce("lowest", "own").alias("component_id"))
+    out = sketched.select("id", "key", "n", "node").join(named, "node", "left").withColumn("component_id", F.coalesce("component_id", "id"))
+    return out.withColumn("kept", F.col("component_id").eqNullSafe(F.col("id")))
 
 
 def near_links(nodes: DataFrame, texts: DataFrame, width: int, threshold: int, bands: int, rows: int) -> DataFrame:
@@ -397,10 +404,22 @@ def near_links(nodes: DataFrame, texts: DataFrame, width: int, threshold: int, b
     return sure.unionByName(_left_apart(members.select("band", "node"), nodes, roots, texts, width, threshold, bands, rows))
 
 
-def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``df`` that stay, with its own columns: of each group the one with the smallest identifier."""
-    marked = near_groups(df, id_col, text_col, **options).where("kept").select(id_col).distinct()
-    return df.join(marked.withColumnRenamed(id_col, "__id"), F.col(id_col).eqNullSafe(F.col("__id")), "left_semi")
+def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, threshold: int = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """The rows of ``df`` that stay, with its own columns: of each group one row of the smallest identifier.
+
+    Null and empty texts are in no group, so all these rows stay. Null identifiers come last. If several
+    rows of a group carry its smallest identifier, the smallest hash of identifier and text
+    decides, and of rows repeated in both any one stays.
+    """
+    marked = cut(_groups(df, id_col, text_col, width, threshold, bands, rows).select("id", "key", "n", "root"))
+    best = marked.where("n > 0").groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("no"), "id", "key")).alias("best"))
+    often = marked.where("n > 0").groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key", F.lit(True).alias("__often"))
+    kept = best.select(F.col("best.key").alias("key")).distinct().join(often, "key", "left").unionByName(marked.where("n = 0").select("key", F.lit(False).alias("__often")).distinct())
+    kept = cut(kept.select(F.col("key").alias("__key"), F.coalesce("__often", F.lit(False)).alias("__often")))
+    out = df.join(kept, _key(id_col, text_col) == F.col("__key"))
+    once = out.where("not __often").select(*df.columns)
+    again = out.where("__often").groupBy("__key").agg(F.first(F.struct(*df.columns)).alias("__row")).select("__row.*")
+    return once.unionByName(again)
 
 
 __all__ = ["Column", "components", "near_dedup", "near_groups", "near_links", "signatures"]
