@@ -19,11 +19,12 @@ def test_period_is_pfair():
             assert abs(seen[x] - (t + 1) * parts[x] / size) < 1
 
 
-def simulate(blocks, weights, resolution):
-    """Slot by slot: earliest deadline first among released blocks; a new phase when a source is out."""
+def simulate(blocks, weights, resolution=None):
+    """Slot by slot: earliest deadline first among released blocks, by the exact weights (or rounded ones); a new phase when a source is out."""
     left, done, out, start = dict(blocks), Counter(), [], 0
     while left:
-        parts = mixing.quantise({s: weights[s] for s in left}, resolution)
+        own = {s: weights[s] for s in left}
+        parts = mixing.quantise(own, resolution) if resolution else {s: Fraction(w) for s, w in own.items()}
         size, used, t = sum(parts.values()), Counter(), 0
         order = sorted(left, key=lambda s: (s is None, str(s)))
         while all(used[s] < left[s] for s in left):

@@ -53,8 +53,11 @@ def test_stages_match_brute_force(spark, tmp_path):
     assert sorted(r.doc_id for r in out[2].collect()) == sorted(r[0] for r in near)
     # every document once, blocks in the order of a slot-by-slot simulation
     counts = Counter(r[3] for r in near)
-    order = simulate({s: -(-n // mixing.BLOCK_ROWS) for s, n in counts.items()}, {s: n**0.5 for s, n in counts.items()}, mixing.RESOLUTION)
-    got = [r.source for r in mixing.mix(out[2]).orderBy("position").collect()]
+    order = simulate({s: -(-n // mixing.BLOCK_ROWS) for s, n in counts.items()}, {s: n**0.5 for s, n in counts.items()})
+    # the stage's own order: that of its files and of the rows in them, as the last stage gives it
+    placed = sorted({(r.mix_file, r.mix_row, r.doc_id, r.source) for r in out[4].collect()})
+    got = [x[3] for x in placed]
+    assert [x[2] for x in placed] == [r.doc_id for r in mixing.mix(out[2]).orderBy("position").collect()]
     want = []
     for s, j, _ in order:
         want += [s] * min(mixing.BLOCK_ROWS, counts[s] - j * mixing.BLOCK_ROWS)

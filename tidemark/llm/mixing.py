@@ -19,12 +19,14 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK_ROWS = 16
 RESOLUTION = 1000
 BUCKET_ROWS = 4096
+SPAN = 1024
 
 
 def quantise(weights: dict, resolution: int = RESOLUTION) -> dict:
@@ -105,6 +107,16 @@ def phases(blocks: dict, weights: dict, resolution: int | None = None) -> list[d
     return out
 
 
+def _running(sizes: DataFrame) -> DataFrame:
+    """The rows of a source before each bucket: sums within spans of SPAN buckets and over the spans, so that no task has all buckets of a source."""
+    source, upto = ["__s", "__n"], Window.rowsBetween(Window.unboundedPreceding, -1)
+    so_far = lambda keys, by: F.coalesce(F.sum("__rows").over(upto.partitionBy(*keys).orderBy(by)), F.lit(0))
+    spans = sizes.groupBy(*source, "__span").agg(F.sum("__rows").alias("__rows"))
+    spans = spans.select(*source, "__span", so_far(source, "__span").alias("__outside"))
+    sizes = sizes.withColumn("__here", so_far([*source, "__span"], "__bucket")).join(spans, [*source, "__span"])
+    return sizes.select(*source, "__bucket", (F.col("__outside") + F.col("__here")).alias("__before"))
+
+
 def mix(
     df: DataFrame,
     weights: dict | None = None,
@@ -123,7 +135,7 @@ def mix(
     weights by source, taken exactly unless ``resolution`` rounds them to parts of a period
     of so many slots; a source that is not listed gets its share of rows raised to
     ``temperature`` and scaled, as do all sources if ``weights`` is None. Null sources are a
-    source of their own. Within a source the order is by a hash of the identifier, then the
+    source of their own. Within a source the order is by buckets and a hash of the identifier (the first 60 bits of md5 of its text), then the
     identifier; rows with equal or null identifiers are adjacent. Sources are expected to
     be few (one row each reaches the driver); the driver schedules blocks, three numbers
     for each unless the weights repeat sooner; rows may be any number and one source may hold
@@ -131,7 +143,8 @@ def mix(
     """
     spark = df.sparkSession
     names = [id_col, source_col] + [c for c in (carry or []) if c not in (id_col, source_col)]
-    base = df.select(*names).withColumn("__hash", F.xxhash64(id_col))
+    text = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
+    base = df.select(*names).withColumn("__hash", F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long"))
     counts = {r[0]: r[1] for r in df.groupBy(source_col).agg(F.count(F.lit(1))).collect()}
     total = sum(counts.values())
     target = {s: float(n) ** temperature for s, n in counts.items()}
@@ -145,8 +158,7 @@ def mix(
     base = base.select("*", *by_source)
     # Number within the source: rows of smaller buckets first, then the place within the bucket.
     sizes = base.groupBy("__s", "__n", "__bucket").agg(F.count(F.lit(1)).alias("__rows"))
-    before = Window.partitionBy("__s", "__n").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.select("__s", "__n", "__bucket", F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__before"))
+    sizes = _running(sizes.withColumn("__span", F.floor(F.col("__bucket") / SPAN)))
     inside = F.row_number().over(Window.partitionBy("__s", "__n", "__bucket").orderBy("__hash", F.col(id_col).asc_nulls_last()))
     placed = base.withColumn("__inside", inside).join(sizes, ["__s", "__n", "__bucket"])
     number = F.col("__before") + F.col("__inside") - 1
@@ -187,8 +199,21 @@ def mix(
 
 
 def mixed_rows(df: DataFrame, **options) -> DataFrame:
-    """The rows of ``df``, every one once and with its own columns, in the order of the mix."""
+    """The rows of ``df``, every one once and with its own columns, in the order of the mix.
+
+    Partitions follow one another and rows are in order within each, so a writer's files, by name, and their rows hold
+    the order; ``written_order`` reads it back.
+    """
     rows = df.select(options.get("id_col", "doc_id"), options.get("source_col", "source"), F.struct(*df.columns).alias("__row"))
     out = mix(rows, carry=["__row"], **options)
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return out.repartitionByRange(parts, "position").sortWithinPartitions("position").select("__row.*")
+
+
+def written_order(df: DataFrame) -> DataFrame:
+    """Adds the place of each row in written files: ``mix_file`` (the number of the part) and ``mix_row`` (from 0); nulls if ``df`` does not come from files."""
+    part = F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)", 1)
+    try:
+        return df.select("*", part.cast("int").alias("mix_file"), F.col("_metadata.row_index").cast("long").alias("mix_row"))
+    except AnalysisException:
+        return df.select("*", F.lit(None).cast("int").alias("mix_file"), F.lit(None).cast("long").alias("mix_row"))

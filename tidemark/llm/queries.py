@@ -73,8 +73,80 @@ def queries():
     }
 
 
+def _licence_sql():
+    """The licence scan in SQL: places where the mandatory phrases stand, and the share of the template's IDF mass that stands around them."""
+    rows = []
+    for k, (label, text, phrases) in enumerate(licences.TEMPLATES):
+        must = {at + j for at, q in licences._places(text.split(), phrases) for j in range(len(q))}
+        rows.append(f"({k}, '{label}', string_split('{text}', ' '), [{', '.join(map(str, sorted(must)))}])")
+    base = ", ".join(f"('{label}', string_split('{phrase}', ' '))" for phrase, label in licences.BASE)
+    return f"""
+with d as (
+  select row_number() over () as rid, doc_id,
+         trim(regexp_replace(translate(coalesce(text, ''), '{licences.UPPER}', '{licences.LOWER}'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+', ' ', 'g'), ' ') as plain from documents),
+w as (select rid, doc_id, case when plain = '' then [] else string_split(plain, ' ') end as words from d),
+p as (select rid, unnest(words) as word, unnest(range(len(words))) as i from w),
+t(k, label, words, must) as (values {', '.join(rows)}),
+tw as (select k, unnest(words) as word, unnest(range(len(words))) as j from t),
+m as (select tw.* from tw join t using (k) where list_contains(t.must, tw.j)),
+idf as (
+  select v.word, ln((1.0::DOUBLE + (select count(*) from d)) / (1.0::DOUBLE + count(distinct p.rid))) + 0.001::DOUBLE as mass
+  from (select distinct word from tw) v left join p using (word) group by v.word),
+cand as (select distinct p.rid, m.k, p.i - m.j as o from p join m using (word) where (m.k, m.j) in (select (k, min(j)) from m group by k)),
+ok as (
+  select c.rid, c.k, c.o from cand c join m using (k) join p on p.rid = c.rid and p.i = c.o + m.j and p.word = m.word
+  group by c.rid, c.k, c.o having count(*) = (select len(must) from t where t.k = c.k)),
+share as (
+  select ok.rid, ok.k, ok.o, least(round(sum(case when p.word = tw.word then idf.mass else 0 end) / sum(idf.mass), 6), 1.0::DOUBLE) as share
+  from ok join tw using (k) join idf on idf.word = tw.word left join p on p.rid = ok.rid and p.i = ok.o + tw.j group by ok.rid, ok.k, ok.o),
+b(label, words) as (values {base}),
+bw as (select label, unnest(words) as word, unnest(range(len(words))) as j, len(words) as n from b),
+bp as (select p.rid, bw.label, p.i - bw.j as place from p join bw using (word) group by p.rid, bw.label, p.i - bw.j having count(*) = any_value(bw.n)),
+labels as (select rid, label from bp union select share.rid, t.label from share join t using (k))
+select w.doc_id, cast(len(w.words) as bigint) as n_words,
+       (select count(*) from bp where bp.rid = w.rid) as n_base,
+       (select cast(min(place) as bigint) from bp where bp.rid = w.rid) as first_word,
+       (select cast(max(place) as bigint) from bp where bp.rid = w.rid) as last_word,
+       coalesce((select string_agg(distinct label, ',' order by label) from bp where bp.rid = w.rid), '') as base_labels,
+       coalesce((select string_agg(distinct label, ',' order by label) from labels l where l.rid = w.rid), '') as labels,
+       coalesce((select max(share) from share s where s.rid = w.rid), 0.0::DOUBLE) as score
+from w"""
+
+
+#: The schedule slot by slot: of the released blocks the earliest deadline first. Weights are whole multiples of 2 ** -49.
+MIX_SQL = """
+with recursive src as (
+  select source, count(*) as n, cast(ceil(count(*) / 16) as bigint) as blocks, cast(pow(count(*), 0.5) * pow(2, 49) as hugeint) as w
+  from documents group by source),
+a as (
+  select list(source order by source nulls last) as names, list(blocks order by source nulls last) as blocks, list(w order by source nulls last) as w,
+         list(0::bigint order by source nulls last) as zeros, sum(blocks)::bigint as slots from src),
+st as (
+  select 0::bigint as slot, 0 as phase, 0::bigint as t0, zeros as done, zeros as base, null::bigint as took, null::bigint as block, null::bigint as release, null::bigint as deadline, null::int as in_phase from a
+  union all
+  select slot + 1, case when done[pick] + 1 = blocks[pick] then phase + 1 else phase end,
+         case when done[pick] + 1 = blocks[pick] then slot + 1 else t0 end, now,
+         case when done[pick] + 1 = blocks[pick] then now else base end, pick, done[pick],
+         cast((done[pick] - base[pick]) * size // w[pick] as bigint), cast(((done[pick] - base[pick] + 1) * size + w[pick] - 1) // w[pick] as bigint), phase
+  from (
+    select *, list_transform(range(1, len(done) + 1), lambda k: done[k] + case when k = pick then 1 else 0 end) as now
+    from (
+      select *, list_sort(list_transform(list_filter(range(1, len(done) + 1), lambda k: done[k] < blocks[k] and (done[k] - base[k]) * size // w[k] <= slot - t0),
+               lambda k: {'due': ((done[k] - base[k] + 1) * size + w[k] - 1) // w[k], 'k': k}))[1].k as pick
+      from (select st.*, a.blocks, a.w, a.slots, list_sum(list_transform(range(1, len(a.w) + 1), lambda k: case when st.base[k] < a.blocks[k] then a.w[k] else 0 end))::hugeint as size from st, a)
+      where slot < slots))),
+b as (select a.names[took] as source, block, in_phase as phase, slot - 1 as slot, release, deadline from st, a where took is not null),
+h as (select doc_id, source, cast('0x' || substr(md5(coalesce(cast(doc_id as varchar), '')), 1, 15) as bigint) as h from documents),
+r as (
+  select doc_id, source, row_number() over (partition by source order by (h >> 8) % (select greatest(1, cast(ceil(count(*) / 4096) as bigint)) from documents), h, doc_id nulls last) - 1 as number from h)
+select r.doc_id, r.source, b.block, b.phase, b.slot, b.release, b.deadline, b.slot * 16 + r.number % 16 as position
+from r join b on r.source is not distinct from b.source and r.number // 16 = b.block"""
+
+
 def oracle_sql():
     return {
+        "op10_pfair_mix": MIX_SQL,
+        "op8_license_scan": _licence_sql(),
         "op3_chat_perspectives": """
 with t as (
   select conv_id, cast(turn as bigint) as turn, case when coalesce(trim(role), '') = '' then 'unknown' else role end as role,
