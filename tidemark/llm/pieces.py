@@ -163,7 +163,7 @@ class Lattices:
         self.spelt: list[list[int]] = []
         n = np.fromiter(map(len, words), np.int64, len(words))
         order = np.argsort(-n, kind="stable")
-        words = [words[k] for k in order.tolist()]
+        self.words = words = [words[k] for k in order.tolist()]
         n = n[order]
         self.rank = np.empty(len(words), np.int32)
         self.rank[order] = np.arange(len(words), dtype=np.int32)
@@ -253,6 +253,26 @@ class Lattices:
         # arcs of every word's default path
         self.path, bounds = self.expand(self.start)
         self.path_at, self.path_len = bounds[:-1].astype(np.int32), np.diff(bounds).astype(np.int32)
+        # bytes of the words, of the pieces and, by negative numbers, of the characters spelt in pieces
+        self.plain = [w.replace(SPACE, " ").encode("utf-8", "surrogatepass") for w in words]
+        self.plain_len = np.fromiter(map(len, self.plain), np.int64, len(words))
+        self.raw = vocab.raw + [b"".join(map(vocab.raw.__getitem__, x)) for x in self.spelt[::-1]]
+        self.raw_len = np.fromiter(map(len, self.raw), np.int64, len(self.raw))
+        self.good = self.decoded(self.path, bounds, np.arange(len(words)))  # whether that path decodes to the word
+        self.all_good = bool(self.good.all())
+
+    def decoded(self, arcs, bounds, ranks) -> np.ndarray:
+        """Whether the pieces of arcs, cut by ``bounds``, decode to the words of the given ranks."""
+        seq = self.seq[arcs]
+        got = b"".join(map(self.raw.__getitem__, seq.tolist()))
+        ends = np.zeros(len(seq) + 1, np.int64)
+        np.cumsum(self.raw_len[seq], out=ends[1:])
+        ends = ends[bounds]
+        own = list(map(self.plain.__getitem__, ranks.tolist()))
+        if got == b"".join(own) and (ends[1:] - ends[:-1] == self.plain_len[ranks]).all():
+            return np.ones(len(own), bool)
+        at = ends.tolist()
+        return np.array([got[a:b] == w for a, b, w in zip(at, at[1:], own)], bool)
 
     def expand(self, nodes, steps=None, more=None):
         """Arcs of the default paths from nodes, one after the other, with bounds.
@@ -315,20 +335,20 @@ def _uniform1(key: int, salt: int, at: int) -> float:
 
 
 _M = (1 << 64) - 1
-#: A draw's place: the word's number, then the run of choices within the word.
-_RUNS = 1 << 20
+#: A draw's place: the word's number, then the run of choices within the word (both below 2 ** 31).
+_RUNS = 1 << 31
 
 
 def _leave(lat: Lattices, nodes, keys, place):
     """Where choices leave the default paths of nodes, given that they do: (steps kept, arc taken, log-probability of that choice)."""
     at, node = np.arange(len(nodes)), nodes.copy()
     kept, taken, logp = np.zeros(len(nodes), np.int64), np.zeros(len(nodes), np.int64), np.zeros(len(nodes))
-    draw = 0
+    keys, draw = mix64(keys + place.astype(np.uint64)), np.zeros(1, np.int64)  # a stream of its own for each place
     while len(at):
         best = lat.best[node]
         gone = -np.expm1(np.minimum(lat.logq[best], 0.0))  # probability of another arc here
         stay = np.exp(lat.logq[best]) * -np.expm1(lat.logd[lat.to[best]])
-        u = _uniform(keys[at], (place[at] << np.int64(8)) + draw) * (gone + stay)
+        u = _uniform(keys[at], draw) * (gone + stay)
         now = u < gone
         k = np.flatnonzero(now)
         if len(k):  # the first arc, without the default one, at which the mass exceeds the draw
@@ -375,17 +395,24 @@ def sample_batch(vocab: Vocabulary, trie: Trie, texts, keys, k: int):
     lat = Lattices(vocab, trie, list(seen))
     kinds = [lat.rank[x] for x in kinds]
     key = np.array([x & 0xFFFFFFFFFFFFFFFF for x in keys], np.uint64)
-    found, kappa, at = [], [], 0
-    while at < len(kinds):  # parts that fit the cache
+    found, kappa = [], []
+    for at, end in _parts(kinds):
+        f, c = _emit(lat, kinds[at:end], key[at:end], k)
+        found += f
+        kappa += c
+    return lat, kinds, found, kappa, [float(lat.total[x].sum()) for x in kinds]
+
+
+def _parts(kinds):
+    """Ranges of texts that fit the cache."""
+    at = 0
+    while at < len(kinds):
         end, size = at, 0
         while end < len(kinds) and (end == at or size + len(kinds[end]) <= PART_WORDS):
             size += len(kinds[end])
             end += 1
-        f, c = _emit(lat, kinds[at:end], key[at:end], k)
-        found += f
-        kappa += c
+        yield at, end
         at = end
-    return lat, kinds, found, kappa, [float(lat.total[x].sum()) for x in kinds]
 
 
 def _emit(lat: Lattices, kinds, key, k: int):
@@ -529,7 +556,7 @@ def _branch(lat: Lattices, kinds, node, bound: float, key: int, e: int, heap):
     rest = mass - q[pick]
     if len(q) > 1 and rest > 0:
         at_ = loc + math.log(rest)
-        g = at_ - math.log(math.exp(min(at_ - bound, 700.0)) - math.log(_uniform1(key, 4 * e, spot + (1 << 50))))
+        g = at_ - math.log(math.exp(min(at_ - bound, 700.0)) - math.log(_uniform1(key, 4 * e, spot + (1 << 63))))
         heapq.heappush(heap, (-g, (e << 40), (path, word, at, (*banned, outcome), loc)))
     # arcs of the branching word before this node
     k = int(np.searchsorted(path.words, word))
@@ -569,42 +596,51 @@ def _join(lat, head, words, at, arcs):
 
 def path_arcs(lat: Lattices, kinds, path: Found) -> np.ndarray:
     """All arcs of a segmentation of a text with the words ``kinds``."""
-    n = lat.path_len[kinds]
-    if len(path.words):
-        n[path.words] = np.diff(path.at)
-    if not len(n):
-        return np.zeros(0, np.int32)
-    ends = np.cumsum(n, dtype=np.int32)
-    shift = lat.path_at[kinds] - (ends - n)
-    source = lat.path
-    if len(path.words):
-        source = np.concatenate((lat.path, path.arcs)) if len(path.arcs) * 8 > len(lat.path) else None
-        shift[path.words] = 0
-    if source is None:  # few arcs of their own: put them over the default ones
-        shift[path.words] = -(ends - n)[path.words]
-        spot = np.repeat(shift, n) + np.arange(ends[-1], dtype=np.int32)
-        out = lat.path[np.minimum(spot, len(lat.path) - 1)]
-        at = np.repeat((ends - n)[path.words] - path.at[:-1], np.diff(path.at)) + np.arange(len(path.arcs))
-        out[at] = path.arcs
-        return out
-    if len(path.words):
-        shift[path.words] = len(lat.path) + path.at[:-1] - (ends - n)[path.words]
-    return source[np.repeat(shift, n) + np.arange(ends[-1], dtype=np.int32)]
+    return batch_arcs(lat, [kinds], [path])[0]
+
 
+def batch_arcs(lat: Lattices, kinds, paths):
+    """All arcs of one segmentation of each text, one text after the other, their bounds, and whether each decodes.
 
-def ids_of(lat: Lattices, arcs) -> np.ndarray:
-    """Piece ids of a path."""
+    A segmentation decodes if its words do; those on their default path are decoded once for all.
+    """
+    counts = np.fromiter(map(len, kinds), np.int64, len(kinds))
+    base = np.cumsum(counts) - counts
+    words = np.concatenate(kinds)
+    n = lat.path_len[words].astype(np.int64)
+    odd_counts = np.fromiter((len(p.words) for p in paths), np.int64, len(paths))
+    odd = np.concatenate([p.words for p in paths]) + np.repeat(base, odd_counts)
+    arcs = np.concatenate([p.arcs for p in paths])
+    size = np.concatenate([p.at[1:] - p.at[:-1] for p in paths])
+    n[odd] = size
+    ends = np.cumsum(n)
+    shift = lat.path_at[words] - (ends - n)
+    at = np.cumsum(size)
+    shift[odd] = len(lat.path) + (at - size) - (ends - n)[odd]
+    total = int(ends[-1]) if len(ends) else 0
+    out = np.concatenate((lat.path, arcs))[np.repeat(shift, n) + np.arange(total)]
+    bounds = np.concatenate(([0], ends))[np.concatenate((base, [len(words)]))]
+    good = np.ones(len(words), bool) if lat.all_good else lat.good[words]
+    good[odd] = lat.decoded(arcs, np.concatenate(([0], at)), words[odd])
+    bad = np.concatenate(([0], np.cumsum(~good)))[np.concatenate((base, [len(words)]))]
+    return out, bounds, bad[1:] == bad[:-1]
+
+
+def ids_of(lat: Lattices, arcs, bounds=None):
+    """Piece ids of a path, or of paths one after the other with their ``bounds`` (then with the bounds of the ids)."""
     seq = lat.seq[arcs]
     if not len(seq) or seq.min() >= 0:
-        return seq
+        return seq if bounds is None else (seq, bounds)
     size = np.array([1] + [len(x) for x in lat.spelt], np.int64)
     flat = np.array([i for x in lat.spelt for i in x], np.int64)
     first = np.concatenate(([0, 0], np.cumsum(size[1:])))[:-1]
     kind = np.maximum(-seq, 0)
     n = size[kind]
-    step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    ends = np.cumsum(n)
+    step = np.arange(ends[-1]) - np.repeat(ends - n, n)
     spelt = np.repeat(kind, n)
-    return np.where(spelt > 0, flat[np.minimum(first[spelt] + step, len(flat) - 1)], np.repeat(seq, n))
+    ids = np.where(spelt > 0, flat[np.minimum(first[spelt] + step, len(flat) - 1)], np.repeat(seq, n))
+    return ids if bounds is None else (ids, np.concatenate(([0], ends))[bounds])
 
 
 def decode_ids(ids, raw: list[bytes]) -> str:
@@ -621,8 +657,17 @@ def decodes(ids, raw: list[bytes], text: bytes) -> bool:
 
 def digest_of(ids: np.ndarray, codes: np.ndarray) -> int:
     """A 64-bit digest of piece ids and their places; ``codes`` has a number for every piece."""
-    place = np.arange(1, 2 * len(ids), 2, dtype=np.uint64)
-    return int((codes[ids] * place).sum(dtype=np.uint64).view(np.int64))
+    return int(digests_of(ids, np.array([0, len(ids)]), codes)[0])
+
+
+def digests_of(ids: np.ndarray, bounds: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """The digests of id sequences one after the other."""
+    n = bounds[1:] - bounds[:-1]
+    place = 2 * (np.arange(len(ids)) - np.repeat(bounds[:-1], n)) + 1
+    out, some = np.zeros(len(n), np.uint64), np.flatnonzero(n)
+    if len(some):
+        out[some] = np.add.reduceat(codes[ids] * place.astype(np.uint64), bounds[some])
+    return out.view(np.int64)
 
 
 def _worker(model: bytes) -> tuple[Vocabulary, Trie]:
@@ -654,31 +699,30 @@ def _encode(model: bytes, k: int, with_ids: bool):
 
         vocab, trie = _worker(model)
         codes = mix64(np.arange(1, len(vocab.raw) + 1))
+        names = ["rank", "n_pieces", "log_prob", "log_total", "perturbed", "inclusion", "decodes", "digest"] + ["ids"] * with_ids
         for whole in batches:
             for b, texts in _runs(whole):
                 lat, kinds, found, kappa, z = sample_batch(vocab, trie, [t or "" for t in texts], b.column("__key").to_pylist(), k)
-                rows, rank, ids, pieces, logp, score, incl, same, digest = [], [], [], [], [], [], [], [], []
-                for d, paths in enumerate(found):
-                    text = (texts[d] or "").encode("utf-8", "surrogatepass")
-                    for r, p in enumerate(paths):
-                        own = ids_of(lat, path_arcs(lat, kinds[d], p))
-                        rows.append(d)
-                        rank.append(r + 1)
-                        pieces.append(len(own))
-                        logp.append(p.logp)
-                        score.append(p.score)
-                        incl.append(1.0 if kappa[d] == -math.inf else -math.expm1(-math.exp(min(700.0, p.logp - kappa[d]))))
-                        same.append(decodes(own.tolist(), vocab.raw, text))
-                        digest.append(digest_of(own, codes))
+                parts = []
+                for at, end in _parts(kinds):
+                    for r in range(max(map(len, found[at:end]))):
+                        rows = [d for d in range(at, end) if r < len(found[d])]
+                        paths = [found[d][r] for d in rows]
+                        arcs, bounds, same = batch_arcs(lat, [kinds[d] for d in rows], paths)
+                        ids, bounds = ids_of(lat, arcs, bounds)
+                        for j, d in enumerate(rows):
+                            if SPACE in (texts[d] or ""):  # decoded as a space, so words don't tell
+                                same[j] = decodes(ids[bounds[j] : bounds[j + 1]].tolist(), vocab.raw, texts[d].encode("utf-8", "surrogatepass"))
+                        logp, kap = np.array([p.logp for p in paths]), np.array([kappa[d] for d in rows])
+                        with np.errstate(invalid="ignore"):
+                            incl = np.where(kap == -np.inf, 1.0, -np.expm1(-np.exp(np.minimum(700.0, logp - kap))))
+                        cols = [np.full(len(rows), r + 1, np.int32), bounds[1:] - bounds[:-1], logp, np.array([z[d] for d in rows]), np.array([p.score for p in paths]), incl, same, digests_of(ids, bounds, codes)]
+                        cols = [pa.array(c) for c in cols]
                         if with_ids:
-                            ids.append(own.astype(np.int32))
-                take = b.drop_columns(["__text", "__key"]).take(pa.array(rows, pa.int64()))
-                cols = [pa.array(rank, pa.int32()), pa.array(pieces, pa.int64()), pa.array(logp, pa.float64()), pa.array([z[d] for d in rows], pa.float64()), pa.array(score, pa.float64()), pa.array(incl, pa.float64()), pa.array(same, pa.bool_()), pa.array(digest, pa.int64())]
-                names = ["rank", "n_pieces", "log_prob", "log_total", "perturbed", "inclusion", "decodes", "digest"]
-                if with_ids:
-                    cols.append(pa.array(ids, pa.list_(pa.int32())))
-                    names.append("ids")
-                yield pa.RecordBatch.from_arrays([*take.columns, *cols], [*take.schema.names, *names])
+                            cols.append(pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids.astype(np.int32))))
+                        own = b.drop_columns(["__text", "__key"]).take(pa.array(rows, pa.int64()))
+                        parts.append(pa.RecordBatch.from_arrays([*own.columns, *cols], [*own.schema.names, *names]))
+                yield from parts
 
     return run
 
