@@ -3,6 +3,11 @@
 Stages: toxic documents go; exact copies go (the longest original stays); of each group of
 near duplicates one stays; sources are interleaved to their target weights; texts are
 encoded into sampled pieces. Every stage works on all rows its predecessor kept.
+
+Null columns pass through every stage; a null text counts as empty: it is not toxic, all
+null and blank texts are exact copies of one another, and it has one segmentation without pieces. Rows repeated in identifier and
+text are reduced to one by the second stage. Columns of ``documents`` may have any name that does not begin with two
+underscores. Empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -31,13 +36,13 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def interleave(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents in the order of the mix."""
+    """All documents in the order of the mix: the order of the written parts and of the rows in them."""
     return mixing.mixed_rows(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sampled segmentations of every document, with piece ids that decode to its text."""
-    return pieces.sample_segmentations(docs, keep=["doc_id", "lang", "source"])
+    """Sampled segmentations of every document, with piece ids that decode to its text and its place in the mix."""
+    return pieces.sample_segmentations(mixing.written_order(docs), keep=["doc_id", "lang", "source", "mix_file", "mix_row"])
 
 
 STAGES = [
