@@ -587,12 +587,12 @@ def score_texts(
     held = F.lit(False) if held_out is None else F.coalesce(held_out, F.lit(False))
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), held.alias("held"))
     schema = f"{id_col} long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, depth1 long, depth2 long, deeper long"
+    if df.isEmpty():
+        return spark.createDataFrame([], schema)
     # words as numbers, about half the size of the texts; all rounds read this table as it was pickled
     words = rows.mapInArrow(_load, "part long, no long, ids binary, nulls binary, held binary, counts binary, uni binary, word binary")
     chunked = _single(words.rdd.map(tuple))
     chunks = chunked.getNumPartitions()
-    if not chunks:
-        return spark.createDataFrame([], schema)
     chunked = _keep(chunked)
     owners = max(chunks, int(spark.conf.get("spark.sql.shuffle.partitions")))
     model = Model(min_context, divergence, mu, discount, (1 << 62) if depth is None else max(1, depth))
