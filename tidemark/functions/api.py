@@ -26,3 +26,31 @@ def _make(kind: str):
 
 
 sine, cosine, square, sawtooth, dirichlet, polynomial, random_mode_jump, ecg = (_make(k) for k in ("sine", "cosine", "square", "sawtooth", "dirichlet", "polynomial", "random-mode-jump", "ecg"))
+
+
+def _frame(kind: str):
+    def make(spark, length: int = 10000, seed=0, **parameters):
+        from ..operators.series import samples, spec_row
+
+        row = spec_row({"kind": kind, **{k.replace("_", "-"): v for k, v in parameters.items()}}, "api", "api", 0, 0, length, seed)
+        return samples(spark, [row]).select("t", F.col("base").alias("value"))
+
+    make.__name__ = kind.replace("-", "_")
+    make.__doc__ = f"Samples (t, value) of a {kind} channel, whose values depend on their neighbours."
+    return make
+
+
+random_walk, cylinder_bell_funnel, mls = (_frame(k) for k in ("random-walk", "cylinder-bell-funnel", "mls"))
+
+
+def formula(expression, *channels: Column, keys=()) -> Column:
+    """A formula over columns: ``select(api.formula({"base": 0, "operation": {"kind": "+", "operand": {"base": 1}}}, F.col("a"), F.col("b")))``.
+
+    Aggregations run over the rows of equal ``keys`` (all rows without any).
+    """
+    from pyspark.sql import Window
+
+    from .formula import check, compile_formula
+
+    check(expression)
+    return compile_formula(expression, lambda c: channels[c], Window.partitionBy(*keys))

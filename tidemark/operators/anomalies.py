@@ -23,8 +23,13 @@ WINDOWS = (
     "series string, split string, channel int, anomaly int, `order` int, what string, s long, e long, creep long, factor double, transition long, lowest boolean, "
     "local boolean, context long, u double, shift_offset double, k double, cbf_factor double, square_duty double, sawtooth_width double, min_effect double, "
     "min_ptp double, adaptive boolean, blend double, shift long, shift_window long, crossfade string, value double, target double, boundary string, envelope string, "
-    "tr struct<kind:string,n:bigint,frequency:double,amplitude:double,freq_mod:double,phase:double,duty:double,width:double,periodicity:double,coefficients:array<double>,seed:string,channel:int,channel_diff:double,channel_offset:double,random_seed:bigint>"
+    "tr struct<kind:string,n:bigint,frequency:double,amplitude:double,freq_mod:double,phase:double,duty:double,width:double,periodicity:double,coefficients:array<double>,seed:string,channel:int,channel_diff:double,channel_offset:double,random_seed:bigint>, "
+    "own map<string,double>"
 )
+#: More kinds: name -> (function of the base, the place, the length and the parameters; names of the parameters).
+REGISTERED: dict = {}
+#: The place of a window's trend.
+TREND = -2
 CHANNEL = ["series", "split", "channel"]
 EVENT = ["series", "split", "order"]
 #: Windows that are sent to all tasks; each has some hundred bytes.
@@ -54,6 +59,7 @@ def window_row(series_id: str, split: str, anomaly: int, order: int, channel: in
         float(get("cbf_pattern_factor", 2.0)), float(get("square_duty", 1.0)), float(get("sawtooth_width", 0.5)), max(0.0, float(get("min_effect_delta"))), float(get("min_window_ptp")),
         bool(get("adaptive_blend", False)), float(get("blend_strength", 1.0)), int(get("shift_by", 5)), int(get("transition_window", 10)), str(get("crossfade_mode", "cosine")).lower(),
         float(get("value")), float(get("variance")), str(get("boundary_mode", "inside_window_zero_endpoints")).lower(), str(get("envelope_kind", "sine2")).lower(), trend,
+        {k: float(p[k]) for k in REGISTERED[what][1]} if what in REGISTERED else None,
     )
 
 
@@ -196,6 +202,9 @@ def _rewritten(inside: DataFrame, scales: DataFrame | None, kinds: set[str], bas
         raised = raised.when(bump_top > 1e-12, F.col("min_effect") / F.when(bump_top > 1e-12, bump_top) * bump).otherwise(F.col("shaped"))
         own_trend = F.when(carried, F.col("local_trend") * rise).when(F.col("min_effect") > 0, raised).otherwise(F.col("shaped"))
         trend = F.when(what == "trend", own_trend)
+    for k in sorted(kinds & set(REGISTERED)):
+        rewrite, names = REGISTERED[k]
+        base.append((k, rewrite(x, F.col("i"), F.col("len"), {c: F.try_element_at("own", F.lit(c)) for c in names})))
     new = null
     for k, y in reversed(base):
         new = F.when(what == k, y).otherwise(new)

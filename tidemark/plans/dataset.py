@@ -257,7 +257,7 @@ class Dataset:
         if wins:
             frame = self.spark.createDataFrame(wins, an.WINDOWS)
             kinds, bases = {w[5] for w in wins}, {i["base"] for i in self.instances}
-            rows = an.inject(rows, frame, kinds, bases, {w[-1][0] for w in wins if w[-1]}, engine._alternatives(wins), engine._walks(wins), few=len(wins) <= an.FEW)
+            rows = an.inject(rows, frame, kinds, bases, {w[an.TREND][0] for w in wins if w[an.TREND]}, engine._alternatives(wins), engine._walks(wins), few=len(wins) <= an.FEW)
         keys = ["series", "channel"]
         out = rows.select(*keys, "t", "clean", value.alias("anomalous"))
         return lb.point_labels(out, self.events(out), keys, few=len(wins) <= an.FEW)
@@ -334,3 +334,10 @@ class Dataset:
         st.rollup_statistics(summary).write.mode(mode).json(f"{output}/statistics")
         manifest = json.dumps({"config": self.conf, "variants": [x[0] for x in self.variants], "skipped": self.skipped}, sort_keys=True, default=str)
         self.spark.createDataFrame([(manifest,)], "value string").coalesce(1).write.mode(mode).text(f"{output}/manifest")
+
+
+def generate_dataset(spark: SparkSession, config, output: str, overwrite: bool = True) -> Dataset:
+    """Plans a dataset and writes all its files."""
+    out = Dataset(spark, config)
+    out.write(output, overwrite)
+    return out

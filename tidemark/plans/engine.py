@@ -182,7 +182,7 @@ class Engine:
         if wins:
             frame = self.spark.createDataFrame(wins, an.WINDOWS)
             bases = {ts["channels"][w[2]]["kind"] for ts in self.series for w in wins if w[0] == ts["name"]}
-            trends = {w[-1][0] for w in wins if w[-1]}
+            trends = {w[an.TREND][0] for w in wins if w[an.TREND]}
             rows = an.inject(rows, frame, {w[5] for w in wins}, bases, trends, self._alternatives(wins), self._walks(wins), few=len(wins) <= an.FEW)
         value = F.col("base") + F.col("noise") + F.col("trend") + F.col("offset")
         out = rows.select("series", "split", "channel", "t", "base", "noise", "trend", "offset", value.alias("value"))
