@@ -174,3 +174,12 @@ def test_metadata_columns(spark, tmp_path):
     assert len(COLUMNS) == 22 and tuple(r.asDict()) == COLUMNS and set(rows) == {"s.unsupervised", "s.supervised"}
     assert (r.train_path, r.test_path, r.train_is_normal, r.input_type, r.contamination, r.period_size, r.trend) == ("s/train_anomaly", "s/test", False, "univariate", 0.04, 10, "sine")
     assert rows["s.unsupervised"].train_path is None and rows["s.unsupervised"].median_anomaly_length == 40
+
+
+def test_fast_draws(spark):
+    conf = one([{"kind": "sine", "variance": 0.3}, {"kind": "random-walk"}], [{"position": "end", "length": 40, "kinds": [{"kind": "variance", "variance": 0.8}]}], n=2000)
+    rows = lambda **o: sorted((r.channel, r.t, r.value, r.is_anomaly) for r in Engine(spark, conf, **o).samples().collect())
+    fast, plain = rows(fast=True), rows()
+    assert fast == rows(fast=True) != plain and [x[3] for x in fast] == [x[3] for x in plain]
+    z = [r.noise / 0.3 for r in Engine(spark, conf, fast=True).clean().where("channel = 0").collect()]
+    assert abs(np.mean(z)) < 0.1 and abs(np.std(z) - 1) < 0.1

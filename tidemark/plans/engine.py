@@ -7,12 +7,14 @@ table of one series with a column for each channel.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import formula as fx
 from ..functions import oscillators as osc
-from ..functions.rng import draw
+from ..functions.rng import draw, drawing
 from ..operators import anomalies as an
 from ..operators import series
 from ..operators import windows as win
@@ -27,6 +29,17 @@ def splits_of(ts: dict) -> list[str]:
     return ["test", *(["train_no_anomaly"] if ts["semi_supervised"] else []), *(["train_anomaly"] if ts["supervised"] else [])]
 
 
+def _drawn(method):
+    """The method's draws are the engine's kind of draws."""
+
+    @functools.wraps(method)
+    def run(self, *args, **options):
+        with drawing(self.fast):
+            return method(self, *args, **options)
+
+    return run
+
+
 class Engine:
     """All series of a configuration.
 
@@ -34,12 +47,13 @@ class Engine:
     ``input`` (and ``key``) or read files by input-timeseries-path-test / -train. An input with fewer samples than its
     series' length is an error. ``add_ons`` (objects, classes, built-in names or dotted paths) are called with every
     series' frame (``process``) and once at the end (``finalize``). ``parallelism``: partitions of a shuffle, if given.
+    ``fast``: draws of samples are hashes that only Spark can repeat, instead of MD5; positions are the same.
     """
 
-    def __init__(self, spark: SparkSession, config, seed: int = 42, only: str | None = None, inputs: dict | None = None, compat: bool = False, skip_errors: bool = False, add_ons=(), parallelism: int | None = None):
+    def __init__(self, spark: SparkSession, config, seed: int = 42, only: str | None = None, inputs: dict | None = None, compat: bool = False, skip_errors: bool = False, add_ons=(), parallelism: int | None = None, fast: bool = False):
         from . import addons
 
-        self.spark, self.seed, self.compat = spark, seed, compat
+        self.spark, self.seed, self.compat, self.fast = spark, seed, compat, fast
         if parallelism:
             spark.conf.set("spark.sql.shuffle.partitions", str(parallelism))
         self.raw = cfg.load(config)
@@ -142,6 +156,7 @@ class Engine:
 
     # --- frames -----------------------------------------------------------------------
 
+    @_drawn
     def clean(self) -> DataFrame:
         """Samples before anomalies: parameters, t, base, noise, trend, offset."""
         specs, custom, formulas = self._specs()
@@ -176,6 +191,7 @@ class Engine:
             parts = part if parts is None else parts.unionByName(part)
         return parts
 
+    @_drawn
     def samples(self) -> DataFrame:
         """All samples: series, split, channel, t, base, noise, trend, offset, value, is_anomaly."""
         rows, wins = self.clean(), self.windows()
