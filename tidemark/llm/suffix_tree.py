@@ -349,7 +349,7 @@ class Model:
         return (c + self.mu * p) / (n + self.mu)
 
     def hopeless(self, n, p):
-        """Contexts of two occurrences that can't be kept, nor their extensions: both words must be the same, and that is too likely already."""
+        """Training occurrences of contexts that occur twice and can't be kept, nor their extensions: both words must be the same, and that is too likely already."""
         return (n == 2) & (2 * _reach(2.0, p, self.mu) < self.d)
 
 
@@ -409,8 +409,10 @@ class Early:
             at = np.flatnonzero((spot[:-1] >= 0) & self.live1)
             own = spot[at]
             n = self.c3[own]
-            ok = n >= m.m
-            ok &= ~m.hopeless(n, np.minimum(self.p[at], m.smooth(2, 2, self.p[at])))
+            # the probability after the next answer is the one so far or this
+            p2 = self.p.copy()
+            p2[self.at2] = m.smooth(self.c3[self.edge2], self.c2[self.own2], self.p[self.at2])
+            ok = (n >= m.m) & ~(self.train[at] & m.hopeless(n, np.minimum(self.p[at], p2[at])))
             self.at3, self.own3 = at[ok], own[ok]
             self.first3, self.edge3 = _pairs(self.own3, ch.word[self.at3], width)
             self.key3 = pair(self.key2[self.own3[self.first3]], ch.uni[ch.word[self.at3[self.first3]]])
@@ -515,7 +517,8 @@ class Late:
             back[back == len(self.at)] = 0
             known = self.at[back] == self.at - 1 if len(self.at) else np.zeros(0, bool)
             n = np.where(known, self.c[back], model.m + 1) if len(self.at) else self.c
-            more = (self.at - size - 1 >= ch.first[text] - 1) & (n >= model.m) & ~model.hopeless(n, np.minimum(self.p, model.smooth(2, 2, self.p)))
+            least = np.minimum(self.p, model.smooth(self.c, self.n, self.p))
+            more = (self.at - size - 1 >= ch.first[text] - 1) & (n >= model.m) & ~(self.train & model.hopeless(n, least))
             self.on = np.flatnonzero(more)
             at = self.at[self.on]
             keys = ch.contexts(at, size + 1)
@@ -546,7 +549,7 @@ class Late:
         if self.size < self.m.depth:
             total = got[1].astype(np.int64)[self.own2]
             ok = (total >= self.m.m) & ((now[self.on] & LIVE) > 0)
-            ok &= ~self.m.hopeless(total, self.p[self.on])
+            ok &= ~(self.train[self.on] & self.m.hopeless(total, self.p[self.on]))
             open_[self.on[ok]] = True
             n, c = total[ok], got[2].astype(np.int64)[self.edge2[ok]]
         done = np.flatnonzero(~open_)
