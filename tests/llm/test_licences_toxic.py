@@ -1,6 +1,8 @@
 import math
+import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 from hypothesis import given, settings
@@ -119,3 +121,69 @@ def test_toxicity_sums_significant_passages(spark):
     one = [r.predicted for r in got if r.doc_id % 3 and r.doc_id % 5 == 1]
     three = [r.predicted for r in got if r.doc_id % 3 == 0]
     assert np.mean(one) < 0.1 and np.mean(three) > 0.9
+
+
+def brute_toxic(rows, labels):
+    """Scores of the whole fit with dictionaries and plain loops."""
+    cost, prior, caution, least, floor = toxic.COST, toxic.PRIOR, toxic.CAUTION, toxic.MIN_DOCS, toxic.FLOOR
+    split = lambda t: [w for w in re.split(rb"[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (t or "").encode())) if w]
+    features = lambda w: [(0, w)] + [(n, w[:n]) for n in toxic.PREFIXES]
+    best = {}
+    for i, y in labels:
+        best[i] = max(y, best.get(i, 0))
+    train = {}
+    for i, t in rows:
+        if i in best and zlib.crc32(str(i).encode()) % 5 and t is not None:
+            train[t] = max(best[i], train.get(t, 0))
+    docs, n = [0, 0], [Counter(), Counter()]
+    for t, y in train.items():
+        docs[y] += 1
+        n[y].update({f for w in split(t) for f in features(w)})
+    weight = {}
+    for f, n1 in n[1].items():
+        n0, all_ = n[0][f], sum(docs)
+        a0, a1 = (prior * (n0 + n1) / all_ * docs[y] / all_ + 0.1 for y in (0, 1))
+        odds = math.log((n1 + a1) / (docs[1] - n1 + a1 + 1)) - math.log((n0 + a0) / (docs[0] - n0 + a0 + 1)) - caution * math.sqrt(1 / (n1 + a1 + 0.4) + 1 / (n0 + a0 + 0.4))
+        if n1 >= least and odds > floor:
+            weight[f] = float(np.float32(odds))
+    values = {t: [max([weight[f] for f in features(w) if f in weight], default=-float(np.float32(cost))) for w in split(t)] for t in {x[1] for x in rows}}
+    found = {t: [s for *_, s in brute_segments(v)] for t, v in values.items()}
+    tops = [max(found[t], default=0.0) for t, y in train.items() if not y]
+    sizes = [max(1, len(values[t])) for t, y in train.items() if not y]
+    lam = math.pi / math.sqrt(6) / max(0.25, float(np.std(tops)))
+    mu = sum(b - math.log(m) / lam for b, m in zip(tops, sizes)) / len(tops) - 0.5772156649 / lam
+
+    def evidence(t):
+        free = mu + math.log(max(1, len(values[t]))) / lam
+        kept = [s for s in found[t] if s > free]
+        return min(40.0, max(-20.0, sum(s - free for s in kept) * lam if kept else (max(found[t], default=0.0) - free) * lam))
+
+    x, y = np.array([evidence(t) for t in train]), np.array([float(v) for v in train.values()])
+    a, b = math.log((docs[1] + 0.5) / (docs[0] + 0.5)), 0.1
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-np.clip(a + b * x, -30, 30)))
+        g, q = np.array([(y - p).sum() - 1e-3 * a, ((y - p) * x).sum() - 1e-3 * b]), p * (1 - p)
+        step = np.linalg.solve([[q.sum() + 1e-3, (q * x).sum()], [(q * x).sum(), (q * x * x).sum() + 1e-3]], g)
+        a, b = a + float(np.clip(step[0], -1, 1)), b + float(np.clip(step[1], -1, 1))
+    return [(i, 1 / (1 + math.exp(-max(-30.0, min(30.0, a + max(b, 1e-6) * evidence(t)))))) for i, t in rows]
+
+
+def test_toxicity_matches_brute_force(spark):
+    rng = random.Random(5)
+    rows, labels = [], []
+    for i in range(400):
+        bad = i % 5 == 2
+        words = ["".join(rng.choice(["ta", "re", "mo", "li"]) for _ in range(3)) for _ in range(rng.randint(1, 25))]
+        for _ in range(rng.randint(1, 4) if bad else int(rng.random() < 0.1)):
+            words.insert(rng.randrange(len(words) + 1), rng.choice(["Vileword", "vilewordly", "schädlich", "vile-word"]))
+        rows.append((i, " ".join(words) if i % 50 else (None if i % 100 else "")))
+        if i % 3:
+            labels.append((i, int(bad)))
+    rows += [(1000, rows[1][1]), (1000, rows[1][1])]
+    want = brute_toxic(rows, labels)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = toxic.classify(df, spark.createDataFrame(labels, "doc_id long, toxic int")).collect()
+    have = sorted((r.doc_id, r.score) for r in got)
+    assert len(have) == len(want) and all(a[0] == b[0] and abs(a[1] - b[1]) < 1e-6 for a, b in zip(have, sorted(want)))
+    assert all(r.predicted == int(r.score >= 0.5) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in got)
+    assert sum(s >= 0.5 for _, s in want) > 40
