@@ -143,8 +143,25 @@ select r.doc_id, r.source, b.block, b.phase, b.slot, b.release, b.deadline, b.sl
 from r join b on r.source is not distinct from b.source and r.number // 16 = b.block"""
 
 
+#: Links of shingle sets by counting shared shingles, and everything that can be reached over them.
+NEAR_SQL = """
+with recursive d as (
+  select row_number() over () as rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') as words from documents),
+s as (
+  select rid, doc_id, list_distinct(case when len(words) = 0 then [] when len(words) < 5 then [array_to_string(words, ' ')]
+         else list_transform(range(len(words) - 4), lambda i: array_to_string(words[i + 1 : i + 5], ' ')) end) as grams from d),
+g as (select rid, len(grams) as n, unnest(grams) as gram from s),
+pairs as (select a.rid as a, b.rid as b, count(*) as shared, any_value(a.n) as na, any_value(b.n) as nb from g a join g b on a.gram = b.gram and a.rid < b.rid group by a.rid, b.rid),
+links as (select a, b from pairs where 100 * shared >= 75 * (na + nb - shared)),
+edges as (select a, b from links union all select b, a from links),
+reach as (select rid, rid as other from s union select reach.rid, edges.b from reach join edges on edges.a = reach.other),
+low as (select reach.rid, min(s.doc_id) as component_id from reach join s on s.rid = reach.other group by reach.rid)
+select s.doc_id, cast(len(s.grams) as bigint) as n_shingles, low.component_id, s.doc_id is not distinct from low.component_id as kept from s join low using (rid)"""
+
+
 def oracle_sql():
     return {
+        "op4_near_groups": NEAR_SQL,
         "op10_pfair_mix": MIX_SQL,
         "op8_license_scan": _licence_sql(),
         "op3_chat_perspectives": """
