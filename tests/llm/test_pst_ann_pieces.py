@@ -266,3 +266,34 @@ def test_every_rank_is_built_decoded_and_digested_from_its_ids(spark):
     codes = pieces.mix64(np.arange(1, len(v.raw) + 1))
     assert all(r.digest == pieces.digest_of(np.array(r.ids, np.int64), codes) and r.n_pieces == len(r.ids) for r in whole)
     assert not pieces.decodes([], v.raw, b"x")
+
+
+def test_runs_of_a_batch_are_about_equal_and_whole(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(pieces, "BATCH_CHARS", 2000)
+    texts = ["x" * 100] * 32 + [None, ""]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["__text"])
+    runs = list(pieces._runs(batch))
+    assert [t for _, own in runs for t in own] == texts and all(b.num_rows == len(own) for b, own in runs)
+    assert [sum(len(t or "") for t in own) for _, own in runs] == [1600, 1600]  # not 2000 and 1200: the fullest run sets the memory
+
+
+def test_arrays_tell_whether_pieces_decode():
+    v, trie = pieces._worker(pieces.default_model())
+    words = [pieces.SPACE + w for w in ("the", "é日", "\U0001f600x", "")] + ["\n", "ab"]
+    lat = pieces.Lattices(v, trie, words)
+    assert lat.good.tolist() == [True] * len(words)
+    got = [bytes(lat.plain[a : a + n]) for a, n in zip(lat.plain_at[lat.rank], lat.plain_len[lat.rank])]
+    assert got == [w.replace(pieces.SPACE, " ").encode() for w in words]
+    wrong = lat.rank[[0, 5, 2]]  # the second word's pieces are those of another
+    arcs, bounds = lat.expand(lat.start[lat.rank[[0, 4, 2]]])
+    assert lat.decoded(arcs, bounds, wrong).tolist() == [True, False, True]
+
+
+def test_largest_of_ranges():
+    rng = np.random.default_rng(3)
+    g, cuts = np.round(rng.normal(size=200), 1), np.array([0, 0, 1, 40, 42, 42, 200])
+    for want in (1, 2, 3, 50):
+        for (a, b), got in zip(zip(cuts, cuts[1:]), pieces._largest(g, cuts, want)):
+            assert len(set(got)) == min(want, b - a) and sorted(g[got]) == sorted(g[a:b])[::-1][:want][::-1]

@@ -124,11 +124,15 @@ class Trie:
                 slot = item[2 + side]
             else:
                 raise RuntimeError("the prefix table could not be built")
-        self.keys = np.full((2, 1 << self.bits), -1, np.int64)
-        self.values = np.full((2, 1 << self.bits), -1, np.int32)
+        self.keys = [np.full(1 << self.bits, -1, np.int64) for _ in table]
+        self.values = [np.full(1 << self.bits, -1, np.int32) for _ in table]
         for side in (0, 1):
             for slot, (k, v, _, _) in table[side].items():
-                self.keys[side, slot], self.values[side, slot] = k, v
+                self.keys[side][slot], self.values[side][slot] = k, v
+        self.first = np.full(self.width, -1, np.int32)  # the first step, by character class
+        for (a, c), v in next_.items():
+            if not a:
+                self.first[c] = v
 
     def _slot(self, keys, side: int):
         odd = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)[side]
@@ -138,12 +142,12 @@ class Trie:
         """Next states, -1 where there is none."""
         keys = state.astype(np.int64) * self.width + chars
         s = self._slot(keys, 0)
-        out = np.where(self.keys[0, s] == keys, self.values[0, s], -1)
+        out = np.where(self.keys[0].take(s) == keys, self.values[0].take(s), -1)
         miss = np.flatnonzero(out < 0)
         if len(miss):
-            k = keys[miss]
+            k = keys.take(miss)
             s = self._slot(k, 1)
-            out[miss] = np.where(self.keys[1, s] == k, self.values[1, s], -1)
+            out[miss] = np.where(self.keys[1].take(s) == k, self.values[1].take(s), -1)
         out[chars == 0] = -1
         return out
 
@@ -203,26 +207,36 @@ class Lattices:
             val.append(cost[inverse])
         state, at, row, remain = np.zeros(len(nodes), np.int32), nodes, nodes - off[left[nodes]], left[nodes]
         for size in range(1, vocab.longest + 1):
-            ok = remain >= size
-            state, at, row, remain = state[ok], at[ok], row[ok], remain[ok]
+            if size > 1:
+                ok = np.flatnonzero(remain >= size)
+                state, at, row, remain = state.take(ok), at.take(ok), row.take(ok), remain.take(ok)
             if not len(at):
                 break
-            state = trie.step(state, chars[off[remain - size + 1] + row])
-            ok = state >= 0
-            state, at, row, remain = state[ok], at[ok], row[ok], remain[ok]
-            ends_here = trie.piece[state]
-            hit = ends_here > 0
-            src.append(at[hit])
-            dst.append(off[remain[hit] - size] + row[hit])
-            pid.append(ends_here[hit])
-            val.append(logp[ends_here[hit]])
-        cat = lambda x, t: np.concatenate(x) if x else np.zeros(0, t)
-        src, self.to, self.seq, weight = cat(src, np.int32), cat(dst, np.int32), cat(pid, np.int32).astype(np.int32), cat(val, float)
-        order = np.argsort(src, kind="stable")
-        src, self.to, self.seq, weight = src[order], self.to[order], self.seq[order], weight[order]
-        self.arc = np.concatenate(([0], np.cumsum(np.bincount(src, minlength=total)))).astype(np.int32)
+            state = trie.first.take(chars[nodes]) if size == 1 else trie.step(state, chars.take(off.take(remain - size + 1) + row))
+            ok = np.flatnonzero(state >= 0)
+            state, at, row, remain = state.take(ok), at.take(ok), row.take(ok), remain.take(ok)
+            ends_here = trie.piece.take(state)
+            hit = np.flatnonzero(ends_here)
+            ends_here = ends_here.take(hit)
+            src.append(at.take(hit))
+            dst.append(off.take(remain.take(hit) - size) + row.take(hit))
+            pid.append(ends_here)
+            val.append(logp.take(ends_here))
+        # arcs by node, each node's in the order found: a node is at most once in each of the lists
+        spot = np.zeros(total, np.int32)
+        for x in src:
+            spot[x] += 1
+        self.arc = np.concatenate(([0], np.cumsum(spot))).astype(np.int32)
+        n_arcs = int(self.arc[-1])
+        self.to, self.seq, weight = np.empty(n_arcs, np.int32), np.empty(n_arcs, np.int32), np.empty(n_arcs)
+        spot = self.arc[:-1].copy()
+        for x, d, i, w in zip(src, dst, pid, val):
+            y = spot.take(x)
+            self.to[y], self.seq[y], weight[y] = d, i, w
+            spot[x] = y + 1
+        del src, dst, pid, val
         beta = np.zeros(total)
-        self.logq = np.zeros(len(src))
+        self.logq = np.zeros(n_arcs)
         self.best = np.zeros(total, np.int32)
         self.logd = np.zeros(total)  # log-probability of the default path
         for t in range(1, most + 1):
@@ -254,25 +268,36 @@ class Lattices:
         self.path, bounds = self.expand(self.start)
         self.path_at, self.path_len = bounds[:-1].astype(np.int32), np.diff(bounds).astype(np.int32)
         # bytes of the words, of the pieces and, by negative numbers, of the characters spelt in pieces
-        self.plain = [w.replace(SPACE, " ").encode("utf-8", "surrogatepass") for w in words]
-        self.plain_len = np.fromiter(map(len, self.plain), np.int64, len(words))
-        self.raw = vocab.raw + [b"".join(map(vocab.raw.__getitem__, x)) for x in self.spelt[::-1]]
-        self.raw_len = np.fromiter(map(len, self.raw), np.int64, len(self.raw))
-        self.good = self.decoded(self.path, bounds, np.arange(len(words)))  # whether that path decodes to the word
+        self.plain = np.frombuffer("".join(words).replace(SPACE, " ").encode("utf-8", "surrogatepass"), np.uint8)
+        size = (1 + (text >= 0x80) + (text >= 0x800) + (text >= 0x10000) - 2 * (text == ord(SPACE))).astype(np.int32)
+        self.plain_len = np.add.reduceat(size, ends - n) if len(words) else np.zeros(0, np.int32)
+        self.plain_at = np.cumsum(self.plain_len) - self.plain_len
+        raw = vocab.raw + [b"".join(map(vocab.raw.__getitem__, x)) for x in self.spelt[::-1]]
+        self.raw = np.frombuffer(b"".join(raw), np.uint8)
+        self.raw_len = np.fromiter(map(len, raw), np.int32, len(raw))
+        self.raw_at = np.cumsum(self.raw_len) - self.raw_len
+        self.good = self.decoded(self.path, bounds)  # whether that path decodes to the word
         self.all_good = bool(self.good.all())
 
-    def decoded(self, arcs, bounds, ranks) -> np.ndarray:
-        """Whether the pieces of arcs, cut by ``bounds``, decode to the words of the given ranks."""
+    def decoded(self, arcs, bounds, ranks=None) -> np.ndarray:
+        """Whether the pieces of arcs, cut by ``bounds``, decode to the words of the given ranks (by default all, in their order)."""
         seq = self.seq[arcs]
-        got = b"".join(map(self.raw.__getitem__, seq.tolist()))
+        size = self.raw_len[seq]
+        got = self.raw[_spans(self.raw_at[seq], size)]
         ends = np.zeros(len(seq) + 1, np.int64)
-        np.cumsum(self.raw_len[seq], out=ends[1:])
+        np.cumsum(size, out=ends[1:])
         ends = ends[bounds]
-        own = list(map(self.plain.__getitem__, ranks.tolist()))
-        if got == b"".join(own) and (ends[1:] - ends[:-1] == self.plain_len[ranks]).all():
-            return np.ones(len(own), bool)
-        at = ends.tolist()
-        return np.array([got[a:b] == w for a, b, w in zip(at, at[1:], own)], bool)
+        if ranks is None:
+            own, sizes = self.plain, self.plain_len
+        else:
+            sizes = self.plain_len[ranks]
+            own = self.plain[_spans(self.plain_at[ranks], sizes)]
+        good = ends[1:] - ends[:-1] == sizes
+        if not good.all() or not np.array_equal(got, own):
+            own_ends = np.cumsum(sizes)
+            for k in range(len(good)):
+                good[k] = np.array_equal(got[ends[k] : ends[k + 1]], own[own_ends[k] - sizes[k] : own_ends[k]])
+        return good
 
     def expand(self, nodes, steps=None, more=None):
         """Arcs of the default paths from nodes, one after the other, with bounds.
@@ -301,6 +326,12 @@ class Lattices:
         return arc[order], np.searchsorted(at[order], np.arange(len(nodes) + 1))
 
 
+def _spans(first, sizes) -> np.ndarray:
+    """The places of spans, one after the other, given by their first places and their sizes."""
+    ends = np.cumsum(sizes)
+    return np.repeat(first - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
 def _salted(key, salt: int) -> np.ndarray:
     """Row keys for one kind of draw."""
     return mix64(key + np.uint64(salt * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
@@ -421,8 +452,7 @@ def _emit(lat: Lattices, kinds, key, k: int):
     none = np.zeros(0, np.int64)
     found: list = [[] for _ in range(n)]
     heaps: list = [[] for _ in range(n)]
-    for d in range(n):
-        g = float(-np.log(-np.log(_uniform(_salted(key[d : d + 1], 0), np.zeros(1, np.int64))))[0])
+    for d, g in enumerate((-np.log(-np.log(_uniform(_salted(key, 0), np.zeros(1, np.int64))))).tolist()):
         if len(kinds[d]):
             heaps[d].append((-g, 0, None))  # the root: all segmentations, log weight 0
         else:
@@ -490,6 +520,7 @@ def _emit(lat: Lattices, kinds, key, k: int):
         at = np.flatnonzero(other > -np.inf)
         g = _below(before[at] + other[at], bound[r_text[at]], _uniform(of3[r_text[at]], place[r_item[at]] * _RUNS + r_run[at]))
         at_cuts = np.searchsorted(r_text[at], np.arange(len(jobs) + 1))
+        picks = _largest(g, at_cuts, k - e)  # no more branches than that can still come out, kappa included
         # words that left their default path, with all their arcs
         odd = np.flatnonzero((r_arc >= 0) | (r_run > 0))
         o_arcs, o_at = lat.expand(r_node[odd], np.where(r_arc[odd] < 0, -1, r_kept[odd]), r_arc[odd])
@@ -505,18 +536,34 @@ def _emit(lat: Lattices, kinds, key, k: int):
             words, bounds, arcs = _join(lat, heads[j], fresh_words, fresh_at, fresh_arcs)
             path = Found(words, bounds, arcs, float(total[j]) + heads[j][3], -neg)
             found[d].append(path)
-            a, b = at_cuts[j], at_cuts[j + 1]
-            want = k - e  # no more branches than that can still come out, kappa included
-            part = np.arange(a, b)
-            if b - a > want:
-                part = a + np.argpartition(-g[a:b], want - 1)[:want]
-            for x in part.tolist():
+            for x in picks[j]:
                 r = at[x]
                 taken = (-1,) if r_arc[r] < 0 else (int(r_kept[r]), int(r_arc[r]))
                 heapq.heappush(heaps[d], (-float(g[x]), (e << 40) + int(r) + 1, (path, int(place[r_item[r]]), int(r_node[r]), (taken,), float(before[r]))))
     return found, [-heaps[d][0][0] if heaps[d] else -math.inf for d in range(n)]
 
 
+def _largest(g, cuts, want: int) -> list[list[int]]:
+    """The places of the ``want`` largest numbers (all, if fewer) of each range between ``cuts``."""
+    out: list = [[] for _ in range(len(cuts) - 1)]
+    some = np.flatnonzero(cuts[1:] > cuts[:-1])
+    if want > 16:  # sorting takes less
+        for j in some.tolist():
+            out[j] = (cuts[j] + np.argsort(-g[cuts[j] : cuts[j + 1]], kind="stable")[:want]).tolist()
+        return out
+    g, left = g.copy(), cuts[1:] - cuts[:-1]
+    sizes = left[some]
+    for step in range(want if len(some) else 0):
+        top = np.maximum.reduceat(g, cuts[some])
+        at = np.flatnonzero(g == np.repeat(top, sizes))
+        at = at[np.searchsorted(at, cuts[some])]  # the first of equals
+        for j, x in zip(some.tolist(), at.tolist()):
+            if left[j] > step:
+                out[j].append(x)
+        g[at] = -np.inf
+    return out
+
+
 def _default(lat: Lattices, node: int, steps: int) -> list[int]:
     """The first arcs of a node's default path (all of them if ``steps`` is negative)."""
     out = []
@@ -683,9 +730,11 @@ def _runs(batch):
     """Slices of a batch of bounded text."""
     texts = batch.column("__text").to_pylist()
     at, size = 0, 0
+    whole = sum(len(t or "") for t in texts)
+    most = -(-whole // max(1, -(-whole // BATCH_CHARS)))  # runs of about the same size
     for i, t in enumerate(texts):
         n = len(t or "")
-        if i > at and size + n > BATCH_CHARS:
+        if i > at and size + n > most:
             yield batch.slice(at, i - at), texts[at:i]
             at, size = i, 0
         size += n
