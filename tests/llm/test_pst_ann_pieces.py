@@ -297,3 +297,18 @@ def test_largest_of_ranges():
     for want in (1, 2, 3, 50):
         for (a, b), got in zip(zip(cuts, cuts[1:]), pieces._largest(g, cuts, want)):
             assert len(set(got)) == min(want, b - a) and sorted(g[got]) == sorted(g[a:b])[::-1][:want][::-1]
+
+
+def test_packed_numbers_come_back_and_leave_out_empty_bytes():
+    rng = np.random.default_rng(5)
+    pairs = rng.integers(-(2**40), 2**40, (50, 2))
+    pairs[:3] = [[0, -1], [2**62, -(2**62)], [-1, 1]]
+    back = suffix_tree._unplanes(suffix_tree._planes(pairs), suffix_tree.PAIR)
+    assert (back.view(np.int64).reshape(-1, 2) == pairs).all()
+    for kind, top in ((np.uint8, 3), (np.uint32, 2**32 - 1), (np.uint64, 2**64 - 1), (np.uint64, 300), (np.uint64, 0)):
+        x = rng.integers(0, top, 70, dtype=kind, endpoint=True)
+        assert (suffix_tree._unplanes(suffix_tree._planes(x), kind) == x).all()
+    x = rng.normal(size=9).astype(np.float32)
+    assert (suffix_tree._unplanes(suffix_tree._planes(x), np.float32) == x).all()
+    assert suffix_tree._planes(x[:0]) == b"" and len(suffix_tree._unplanes(b"", suffix_tree.COUNT)) == 0
+    assert suffix_tree._planes(np.arange(200, dtype=np.uint64))[0] == 1  # one byte of eight is packed
