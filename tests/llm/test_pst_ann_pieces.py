@@ -312,3 +312,27 @@ def test_packed_numbers_come_back_and_leave_out_empty_bytes():
     assert (suffix_tree._unplanes(suffix_tree._planes(x), np.float32) == x).all()
     assert suffix_tree._planes(x[:0]) == b"" and len(suffix_tree._unplanes(b"", suffix_tree.COUNT)) == 0
     assert suffix_tree._planes(np.arange(200, dtype=np.uint64))[0] == 1  # one byte of eight is packed
+
+
+def test_a_worker_gives_back_the_memory_of_its_batches():
+    import subprocess
+    import sys
+
+    # in a process of its own: what this one holds is not only the operator's
+    code = """
+import random, re
+import pyarrow as pa
+from tidemark.llm import pieces
+held = lambda: int(re.search(r"RssAnon:\\s+(\\d+)", open("/proc/self/status").read()).group(0).split()[1]) / 1024
+run = pieces._encode(pieces.default_model(), 3, True)
+pieces._worker(pieces.default_model())
+rng = random.Random(1)
+def batch():
+    texts = [" ".join("".join(rng.choice(["th", "an", "re", "on", "ed", "ly", "is"]) for _ in range(rng.randint(1, 6))) for _ in range(300)) for _ in range(600)]
+    return pa.RecordBatch.from_arrays([pa.array(range(600)), pa.array(texts), pa.array(range(600))], ["doc_id", "__text", "__key"])
+before = held()
+assert sum(b.num_rows for b in run(batch() for _ in range(2))) == 3600
+print(held() - before)
+"""
+    left = float(subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout)
+    assert left < 80, left  # MB

@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import cut, ship
+from ..runtime import cut, frugal, ship
 from .tokens import mix64, word_hashes
 
 WIDTH = 5
@@ -208,7 +208,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, width: int, t
     with_text = asked.join(texts.select(F.col("key").alias("rep"), "text"), "rep")
     lined = with_text.select("leader", "part", "member", "text").repartition(_parts(pairs), "leader", "part")
     lined = lined.sortWithinPartitions("leader", "part", (F.col("member") != F.col("leader")))
-    return lined.select("leader", "member", "text").mapInArrow(_verify(width, threshold), "leader binary, member binary")
+    return lined.select("leader", "member", "text").mapInArrow(frugal(_verify(width, threshold)), "leader binary, member binary")
 
 
 def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -376,7 +376,7 @@ def _groups(df: DataFrame, id_col: str, text_col: str, width: int, threshold: in
     """``near_groups`` with the columns id, key, n, node, root (null without shingles), component_id and kept."""
     ship(df.sparkSession)
     texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), _key(id_col, text_col).alias("key"))
-    sketched = cut(texts.mapInArrow(_sketch(width, bands * rows), "id long, key long, n long, node binary, sig binary"))
+    sketched = cut(texts.mapInArrow(frugal(_sketch(width, bands * rows)), "id long, key long, n long, node binary, sig binary"))
     filled = sketched.where("n > 0")
     # copies of a set: the smallest identifier stands for all
     nodes = cut(filled.groupBy("node").agg(F.min("id").alias("id"), F.min("key").alias("rep"), F.max("sig").alias("sig")))
@@ -394,7 +394,7 @@ def _groups(df: DataFrame, id_col: str, text_col: str, width: int, threshold: in
 
 def near_links(nodes: DataFrame, texts: DataFrame, width: int, threshold: int, bands: int, rows: int) -> DataFrame:
     """Checked links (leader, member) that connect all nodes whose sets reach the threshold."""
-    banded = nodes.select("node", "sig").mapInArrow(_bands(bands, rows), "band long, node binary")
+    banded = nodes.select("node", "sig").mapInArrow(frugal(_bands(bands, rows)), "band long, node binary")
     heads = banded.groupBy("band").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("c")).where("c > 1").select("band", "leader")
     members = cut(banded.join(heads, "band"))
     stars = members.where("leader <> node").select("leader", F.col("node").alias("member")).distinct()

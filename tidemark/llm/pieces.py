@@ -34,7 +34,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import ship
+from ..runtime import frugal, ship
 from .tokens import mix64
 
 TOKENIZER = "piece_bpe_32k.model"
@@ -771,9 +771,11 @@ def _encode(model: bytes, k: int, with_ids: bool):
                             cols.append(pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids.astype(np.int32))))
                         own = b.drop_columns(["__text", "__key"]).take(pa.array(rows, pa.int64()))
                         parts.append(pa.RecordBatch.from_arrays([*own.columns, *cols], [*own.schema.names, *names]))
-                yield from parts
+                del lat, kinds, found, kappa, z  # before the next lattices are built
+                while parts:
+                    yield parts.pop(0)
 
-    return run
+    return frugal(run)
 
 
 def sample_segmentations(

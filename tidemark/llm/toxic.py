@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import cut, ship
+from ..runtime import cut, frugal, ship
 from .tokens import word_hashes
 
 #: Bounds of what is fitted: labelled rows, and hashed features.
@@ -148,7 +148,7 @@ def fit(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: str
     ship(spark)
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).where("text is not null")
     rows = cut(rows.join(F.broadcast(train), "__id").select("text", "__y").groupBy(F.xxhash64("text").alias("h"), F.md5("text").alias("m")).agg(F.first("text").alias("text"), F.max("__y").alias("__y")).select("text", "__y"))
-    counted = rows.mapInArrow(_count, "f long, n0 long, n1 long").groupBy("f").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    counted = rows.mapInArrow(frugal(_count), "f long, n0 long, n1 long").groupBy("f").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     # features of enough toxic documents, or the totals
     table = counted.where(f"f = -1 or n1 >= {MIN_DOCS}").toPandas()  # at most 2 ** FEATURE_BITS rows
     head = table[table.f == -1]
@@ -163,7 +163,7 @@ def fit(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: str
     model |= {"f": table.f.to_numpy()[good], "w": odds[good].astype(np.float32)}
 
     def measured():  # four numbers for each training row
-        seen = rows.mapInArrow(_measure(model), "n long, best double, total double, y int").toPandas()
+        seen = rows.mapInArrow(frugal(_measure(model)), "n long, best double, total double, y int").toPandas()
         return seen.sort_values(["n", "best", "total", "y"])
 
     seen = measured()
@@ -223,7 +223,7 @@ def score(docs: DataFrame, model: dict, text_col: str = "text", keep: list[str]
     extra = [] if text_col in kept else [F.col(text_col).alias("__text")]
     rows = docs.select(*kept, *extra)
     schema = T.StructType(rows.schema.fields[: len(kept)]).add(names[0], "double").add(names[1], T.DataType.fromDDL("array<struct<start:bigint,end:bigint,score:double>>"))
-    return rows.mapInArrow(_score(model, "__text" if extra else text_col, names), schema)
+    return rows.mapInArrow(frugal(_score(model, "__text" if extra else text_col, names)), schema)
 
 
 def held_out(id_col: str = "doc_id", folds: int = 5) -> Column:
