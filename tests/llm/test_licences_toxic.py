@@ -187,3 +187,32 @@ def test_toxicity_matches_brute_force(spark):
     assert len(have) == len(want) and all(a[0] == b[0] and abs(a[1] - b[1]) < 1e-6 for a, b in zip(have, sorted(want)))
     assert all(r.predicted == int(r.score >= 0.5) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in got)
     assert sum(s >= 0.5 for _, s in want) > 40
+
+
+def test_one_clean_text_of_repeated_marked_words_hides_no_toxic_text(spark):
+    rng = np.random.default_rng(7)
+    rows, labels = [], []
+    for i in range(600):
+        w = [f"w{x}" for x in rng.integers(0, 200, int(rng.integers(10, 200)))]
+        if i % 4 == 0:
+            for k in rng.integers(0, len(w), 2):
+                w[k] = f"vile{k}"
+        rows.append((i, " ".join(w)))
+        labels.append((i, int(i % 4 == 0)))
+    at = next(i for i in range(1000, 1100) if zlib.crc32(str(i).encode()) % 5)
+    rows.append((at, "vile0 " * 3000))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = toxic.classify(df, spark.createDataFrame([*labels, (at, 0)], "doc_id long, toxic int")).collect()
+    assert len(got) == len(rows)
+    assert np.mean([r.predicted for r in got if r.doc_id < 600 and r.doc_id % 4 == 0]) > 0.95
+    assert np.mean([r.predicted for r in got if r.doc_id < 600 and r.doc_id % 4]) < 0.05
+
+
+def test_extreme_law_leaves_out_only_what_it_cannot_expect():
+    rng = np.random.default_rng(2)
+    best, n = rng.gumbel(0, 2, 5000) + 10, np.ones(5000)
+    mu, lam = toxic.extreme_law(best, n)
+    assert lam == math.pi / math.sqrt(6) / best.std() and abs(mu - (best.mean() - 0.5772156649 / lam)) < 1e-12
+    far = toxic.extreme_law(np.append(best, [1e5, 1e4, 500.0]), np.ones(5003))
+    assert far == (mu, lam)
+    assert all(map(math.isfinite, toxic.extreme_law([3.0], [0])))

@@ -32,6 +32,7 @@ CAUTION = 1.0
 MIN_DOCS = 4
 BATCH_ROWS = 512
 FLOOR = 1.5
+STRAY = 0.01
 
 
 def train_rows(labels: DataFrame, id_col: str = "doc_id", label_col: str = "toxic", max_rows: int = MAX_TRAIN_ROWS) -> DataFrame:
@@ -110,6 +111,24 @@ def _evidence(values, model):
     return kept, (total if kept else (best - free) * model["lam"]), best
 
 
+def extreme_law(best, n) -> tuple[float, float]:
+    """Location and scale of the extreme-value law of texts of n words with these best segments, by moments.
+
+    The variance of a few texts that repeat a marked word hundreds of times would hide all others. So best segments
+    of which the law expects fewer than ``STRAY`` among all these texts are left out and the moments taken again,
+    until none is. The texts count as before in all that follows.
+    """
+    best, size = np.asarray(best, float), np.log(np.maximum(1, np.asarray(n)))
+    far = math.log(len(best) / STRAY)
+    while True:
+        lam = math.pi / math.sqrt(6) / max(0.25, float(best.std()))
+        mu = float(np.mean(best - size / lam)) - 0.5772156649 / lam
+        own = (best - mu) * lam - size <= far
+        if own.all():
+            return mu, lam
+        best, size = best[own], size[own]
+
+
 def _weights(model):
     w = np.full(1 << FEATURE_BITS, -COST, np.float32)
     w[model["f"]] = model["w"]
@@ -168,10 +187,7 @@ def fit(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: str
 
     seen = measured()
     clean = seen[seen.y == 0]
-    # Extreme-value law of clean maxima by moments; its scale and location.
-    excess = clean.best.to_numpy()
-    lam = math.pi / math.sqrt(6) / max(0.25, float(excess.std()))
-    mu = float(np.mean(excess - np.log(np.maximum(1, clean.n)) / lam)) - 0.5772156649 / lam
+    mu, lam = extreme_law(clean.best, clean.n)
     model |= {"lam": lam, "mu": mu}
     seen = measured()  # on that scale
     x = np.clip(seen.total, -20, 40).to_numpy()
