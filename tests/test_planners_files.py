@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import tidemark
-from tidemark.operators import anomalies, planner
+from tidemark.functions import rng
+from tidemark.operators import anomalies, planner, stats
 from tidemark.plans.addons import COLUMNS, Metadata
 from tidemark.plans.dataset import Dataset
 from tidemark.plans.engine import Engine
@@ -70,6 +71,47 @@ def test_energy_aware_segments(spark):
             assert abs(a["kinds"][0]["amplitude_factor"] - 1) * f["window_rms"] >= min(2.0, 0.8 * f["window_rms"]) - 1e-9
 
 
+def test_energy_segments_read_a_bounded_number_of_candidates(spark, monkeypatch):
+    length, count, seed, sizes = 6, 5, 3, {"flat": 400, "burst": 3000, "short": 16}
+    r = np.random.default_rng(1)
+    values = {i: r.normal(size=(3, n)) for i, n in sizes.items()}
+    values["burst"][1, 500:540] *= 50  # the best starts overlap: many of them are met before five are taken
+    rows = [(i, c, t, float(x)) for i, v in values.items() for (c, t), x in np.ndenumerate(v)]
+    samples = spark.createDataFrame(rows, "instance string, channel int, t long, value double").repartition(7)
+    seen, grouped = [], planner._grouped
+    monkeypatch.setattr(planner, "_grouped", lambda df, f: seen.append(df) or grouped(df, f))
+    got = [tuple(x) for x in planner.energy_segments(samples, length, count, 0.6, seed).orderBy("instance", "segment").collect()]
+    want = []
+    for i, v in sorted(values.items()):
+        rms = np.sqrt(np.lib.stride_tricks.sliding_window_view(v * v, length, axis=1).mean(axis=2))
+        cut = np.quantile(rms, 0.6)
+        race = sorted((-math.log(rng.draw(seed, "race", i, c, t)) / (1 + x - cut), c, t) for (c, t), x in np.ndenumerate(rms) if x >= cut)
+        taken = []
+        for _, c, t in race:
+            if len(taken) < count and all(abs(t - u) >= length for u, _ in taken):
+                taken.append((t, c))
+        want += [(i, k, c, t, t + length) for k, (t, c) in enumerate(sorted(taken))]
+    assert got == want and sum(x[0] == "short" for x in got) < count
+    # a plan's rows do not grow with the samples: 400 and 3,000 in each channel give as many
+    read = {x["instance"]: x["count"] for x in seen[0].groupBy("instance").count().collect()}
+    assert read["flat"] == read["burst"] == (count - 1) * (2 * length - 1) + 1 >= read["short"]
+
+
+def test_large_quantiles_are_the_exact_ones(spark):
+    r = np.random.default_rng(2)
+    inf = float("inf")
+    odd = [inf, -inf, float("nan"), 0.0, -0.0, 5e-324, -1e300, 1.7e308]
+    groups = {"normal": r.normal(size=700), "narrow": 1 + r.random(300) * 1e-9, "equal": np.full(50, 7.0), "wide": -r.random(300) * 10.0 ** r.integers(-300, 300, 300), "odd": r.choice(odd, 90), "one": [3.5]}
+    rows = [(k, float(x)) for k, v in groups.items() for x in v]
+    df = spark.createDataFrame([*rows, ("normal", None), ("one", None)], "k string, x double").repartition(5)
+    # text, because no number equals NaN
+    read = lambda f, q: {x.k: repr(x.threshold) for x in f(df, "x", q, ["k"]).collect()}
+    for q in (0.0, 0.6, 0.977, 1.0):
+        assert read(stats.large_quantiles, q) == read(stats.quantiles, q)
+    plan = stats.large_quantiles(df, "x", 0.6, ["k"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "percentile" not in plan
+
+
 def test_trend_aware_segments(spark):
     own = [{"oscillation": {"kind": "sine", "frequency": f}} for f in (0.5, 2.0, 30.0)] + [{"oscillation": {"kind": "random-walk"}}]
     plan = planner.trend_plan(0.1, 1000, 2, {}, (4, 4), 5, own.__getitem__, (3,))
